@@ -19,6 +19,8 @@ one Arrow batch.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,103 +30,131 @@ from pyspark.sql import functions as F
 
 #: Bytes that decide a cut, mean chunk length in bytes (a power of two), and bounds of the two memories.
 WINDOW, MEAN_CHUNK, MAX_CHUNKS, MAX_WORDS = 16, 256, 40_000, 400_000
+#: UTF-8 bytes of texts whose new words are encoded in one call.
+GROUP_BYTES = 1 << 20
 
-_SCHEMA = "n_tokens long, ids string, decoded string"
+
+_GEAR = np.random.default_rng(42).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 def rolling_cuts(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
     """Positions after which ``data`` (UTF-8 bytes) is cut; never inside a character."""
     if len(data) <= WINDOW:
         return np.empty(0, np.int64)
-    gear = np.random.default_rng(42).integers(0, 2**32, 256, dtype=np.uint32)[data]
-    h = np.zeros(len(data), np.uint32)
-    for k in range(WINDOW):  # the hash at i covers bytes i-WINDOW+1 .. i
-        h[k:] += gear[: len(data) - k] << np.uint32(k)
+    h = _GEAR[data]
+    span = 1
+    while span < WINDOW:  # the hash at i covers bytes i-WINDOW+1 .. i; doubling adds the window before it
+        h[span:] += h[:-span] << np.uint32(span)
+        span *= 2
     hit = (h >> np.uint32(8)) & np.uint32(mean - 1) == 0
     hit[:-1] &= data[1:] & 0xC0 != 0x80
     hit[-1] = False
     return np.flatnonzero(hit) + 1
 
 
+Value = tuple[int, str, str]
+
+
+class Chunk:
+    """``head`` and ``tail`` are the bytes outside its outermost white space; between them lie whole words.
+
+    A chunk without white space (not ``inner``) is all head.
+    """
+
+    __slots__ = ("head", "inner", "tail", "value", "words")
+
+    def __init__(self, data: bytes):
+        self.value: Value | None = None
+        self.words: list[bytes] | None = None
+        words = data.split()
+        space = len(words) != 1 or len(words[0]) != len(data)
+        self.inner = space and bool(data)
+        if not self.inner:
+            self.head, self.tail = data, b""
+            return
+        self.head = b"" if data[0] in b" \t\n\r\x0b\x0c" else words.pop(0)
+        self.tail = b"" if data[-1] in b" \t\n\r\x0b\x0c" else words.pop()
+        self.words = words
+
+
 class ChunkCodec:
-    """Encodes and decodes texts; ``text -> (n, ids, decoded)`` with ids and tokens joined by spaces.
+    """Encodes and decodes texts in groups; ``text -> (n, ids, decoded)``.
 
-    A piece's value is ``(n, ids text, decoded text)``: without a decoder in the
-    tokenizer file, decoding joins token strings by one space, so the decoded
-    text of a document is the join of those of its pieces.
+    A piece's value is ``(n, ids text, decoded text)``, both joined by spaces: the
+    tokenizer's file names no decoder, so the decoded text of a document is the join of
+    those of its pieces.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words: dict[bytes, tuple[int, str, str]] = {}
-        self.chunks: dict[bytes, tuple] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > MAX_WORDS:
-            self.words.clear()
-        texts = [w.decode() for w in words]
-        for w, e in zip(words, self.tok.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.words[w] = (len(e.ids), " ".join(map(str, e.ids)), self.tok.decode(e.ids, skip_special_tokens=False))
-
-    def _encode(self, piece: bytes) -> list[tuple[int, str, str]]:
-        """Of a piece that begins and ends at white space or an end of the text."""
-        found = piece.split()
-        known = self.words
-        if missing := [w for w in dict.fromkeys(found) if w not in known]:
-            for k in range(0, len(missing), 10_000):
-                self._learn(missing[k : k + 10_000])
-            known = self.words
-            if len(missing) > MAX_WORDS // 2 or any(w not in known for w in missing):
-                return [self._one(w) for w in found]
-        return [known.get(w) or self._one(w) for w in found]
-
-    def _one(self, word: bytes) -> tuple[int, str, str]:
-        e = self.tok.encode(word.decode(), add_special_tokens=False)
-        return len(e.ids), " ".join(map(str, e.ids)), self.tok.decode(e.ids, skip_special_tokens=False)
-
-    def _chunk(self, chunk: bytes) -> tuple:
-        """``(head, value, tail)``: bytes before the first and after the last white space, and what lies
-        between, encoded; value is None if there is no white space."""
-        if (got := self.chunks.get(chunk)) is None:
-            first = next((i for i, b in enumerate(chunk) if b == 32 or 9 <= b <= 13), -1)
-            if first < 0:
-                got = (chunk, None, b"")
-            else:
-                last = len(chunk) - 1
-                while not (chunk[last] == 32 or 9 <= chunk[last] <= 13):
-                    last -= 1
-                got = (chunk[:first], _join(self._encode(chunk[first : last + 1])), chunk[last + 1 :])
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            if len(chunk) <= 16 * MEAN_CHUNK:
-                self.chunks[chunk] = got
-        return got
-
-    def encode(self, text: bytes, cuts: np.ndarray | None = None) -> tuple[int, str, str]:
-        if cuts is None:
-            cuts = rolling_cuts(np.frombuffer(text, np.uint8))
-        edges = [0, *cuts.tolist(), len(text)]
-        out, open_ = [], []
-        for a, b in zip(edges, edges[1:], strict=False):
-            head, value, tail = self._chunk(text[a:b])
-            open_.append(head)
-            if value is not None:  # the window over the cuts so far has met white space on both sides
-                if repaired := b"".join(open_):
-                    out += self._encode(repaired)
-                out.append(value)
-                open_ = [tail]
-        if repaired := b"".join(open_):
-            out += self._encode(repaired)
-        return _join(out)
-
-
-def _join(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+        #: Without a decoder, decoding joins these by one space.
+        self.tokens = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.words: dict[bytes, Value] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode new words, all of a group in one call."""
+        new = list(words)
+        if len(self.words) + len(new) > MAX_WORDS:
+            self.words = {}
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            e = self.tok.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            of: list[list[int]] = [[] for _ in part]
+            for k, i in zip(e.word_ids, e.ids, strict=True):
+                of[k].append(i)
+            for w, ids in zip(part, of, strict=True):
+                self.words[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+
+    def encode(self, group: list[tuple[bytes, np.ndarray]]) -> list[Value]:
+        """Of texts with their cuts."""
+        chunks, known = self.chunks, self.words
+        fresh: dict[bytes, Chunk] = {}
+        plans, wanted = [], []
+        for text, cuts in group:
+            edges = [0, *cuts.tolist(), len(text)]
+            plan: list = []
+            window: list[bytes] = []  # what the joins so far have left open
+            for a, b in zip(edges, edges[1:], strict=False):
+                key = text[a:b]
+                chunk = chunks.get(key) or fresh.get(key)
+                if chunk is None:
+                    chunk = fresh[key] = Chunk(key)
+                    wanted += chunk.words or ()
+                window.append(chunk.head)
+                if chunk.inner:
+                    # white space on both sides: window and chunks agree from here on
+                    if repaired := b"".join(window):
+                        plan.append(repaired)
+                        wanted.append(repaired)
+                    plan.append(chunk)
+                    window = [chunk.tail]
+            if repaired := b"".join(window):
+                plan.append(repaired)
+                wanted.append(repaired)
+            plans.append(plan)
+        if missing := {w for w in wanted if w not in known}:
+            held = {w: known[w] for w in wanted if w in known} if len(known) + len(missing) > MAX_WORDS else {}
+            self._learn(missing)
+            known = self.words = self.words | held if held else self.words
+        for chunk in fresh.values():
+            if chunk.inner:
+                chunk.value = _join([known[w] for w in chunk.words])
+                chunk.words = None
+        if len(chunks) + len(fresh) > MAX_CHUNKS:
+            self.chunks = chunks = {}
+        chunks.update((k, c) for k, c in fresh.items() if len(k) <= 16 * MEAN_CHUNK)
+        return [_join([known[x] if type(x) is bytes else x.value for x in plan]) for plan in plans]
+
+
+def _join(parts: list[Value]) -> Value:
     parts = [p for p in parts if p[0]]
-    return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
 
 _codecs: dict[str, ChunkCodec] = {}
@@ -136,15 +166,29 @@ def _codec(path: str) -> ChunkCodec:
     return _codecs[path]
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
-    """UTF-8 bytes and cuts of each value; a null is empty."""
-    for start in range(0, len(column), 64):
-        part = [(v.as_py() or b"") for v in column[start : start + 64].cast(pa.binary())]
-        joined = np.frombuffer(b"".join(part), np.uint8)
-        at = 0
-        for b in part:
-            yield b, rolling_cuts(joined[at : at + len(b)])
-            at += len(b)
+#: Between an ASCII letter or digit and a stop or comma that ends a word.
+_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|\Z))")
+
+
+def plain_bytes(text: str | None) -> bytes:
+    """UTF-8 bytes that encode alike but repeat more: ASCII in lower case, and a blank before
+    stops and commas, where a token ends anyway.  Texts that may hold a special token stay as they are."""
+    raw = (text or "").encode()
+    return raw if b"<|" in raw else _STOP.sub(b" ", raw.lower())
+
+
+def _groups(column: pa.Array) -> Iterator[list[tuple[bytes, np.ndarray]]]:
+    """UTF-8 bytes and cuts of each value, in groups of about GROUP_BYTES; a null is empty."""
+    group, size = [], 0
+    for value in column:
+        text = plain_bytes(value.as_py())
+        group.append((text, rolling_cuts(np.frombuffer(text, np.uint8))))
+        size += len(text)
+        if size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, column: str = "text", digests: bool = False) -> DataFrame:
@@ -168,7 +212,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, column: str = "text", di
         codec = _codec(tokenizer_path)
         for batch in batches:
             text = batch.column(len(keep))
-            got = [codec.encode(t, cuts) for t, cuts in _texts(text)]
+            got = [value for group in _groups(text) for value in codec.encode(group)]
             if digests:
                 got = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in xs)) for n, *xs in got]
             cols = [batch.column(i) for i in range(len(keep))]
