@@ -48,6 +48,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Append ``value``, evaluated once a row.
+
+    A generator of one element is a barrier: the optimizer copies the expression neither
+    into each place that uses the column nor into a filter below.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)`` with the smallest reachable node.
 
