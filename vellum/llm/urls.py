@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
+#: A token set is frequent in this share of the labelled urls, and in this many at least.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 20, 0.8, 3
 BLOCKED = "label:block"
 
 # The contract's rules (host and path, verdict).
@@ -70,9 +71,11 @@ def mine(labelled: DataFrame) -> DataFrame:
     """
     schema = "rule_id long, tokens array<string>, confidence double, support double"
     baskets = labelled.select(F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < MIN_COUNT:
         return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    support = max(MIN_SUPPORT, MIN_COUNT / n)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = model.associationRules.filter(
         (F.size("antecedent") <= MAX_TOKENS) & (F.get("consequent", F.lit(0)) == BLOCKED)
     ).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
