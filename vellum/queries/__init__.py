@@ -1,4 +1,6 @@
 """Queries of the collection engine on the driver tables, with their oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import audit, catalogue, images, merge, sources, works  # noqa: F401  (each registers its queries)
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
