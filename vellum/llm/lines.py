@@ -47,14 +47,13 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``places(doc_id, th, line_no, h1, h2)`` and ``classes(h1, h2, first, n, words)``."""
-    lines = numbered_lines(docs).withColumn("key", F.array_join("words", " ")).select(
-        "doc_id", "th", "line_no", "words",
+    lines = bind(numbered_lines(docs), "key", F.array_join("words", " ")).select(
+        "doc_id", "th", "line_no", "words", "key",
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2"),
     )
     places = materialize(
         lines.select(
-            "doc_id", "th", "line_no", "h1", "h2", F.size("words").alias("n"),
-            *_half_keys(F.col("words")),
+            "doc_id", "th", "line_no", "h1", "h2", *_half_keys(F.col("words")),
         ),
         "lines",
     )
@@ -63,29 +62,28 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _half_keys(words: Column) -> list[Column]:
     """Hashes of the first and last q words, for q the half of the shorter line of a pair:
-    n div 2 (this one is the shorter, or both are equal) and (n - 1) div 2 (this one is longer)."""
+    n div 2 (this one is the shorter, or both are equal) and (n - 1) div 2 (this one is longer; null if that's the same)."""
     n = F.size(words)
-    out = []
-    for name, q in (("0", F.floor(n / 2).cast("int")), ("1", F.floor((n - 1) / 2).cast("int"))):
-        out.append(F.xxhash64(F.lit("first"), q, F.array_join(F.slice(words, F.lit(1), q), " ")).alias(f"first{name}"))
-        out.append(F.xxhash64(F.lit("last"), q, F.array_join(F.slice(words, n - q + 1, q), " ")).alias(f"last{name}"))
-    return out
+
+    def key(end: str, q: Column) -> Column:
+        part = F.slice(words, F.lit(1) if end == "first" else n - q + 1, q)
+        return F.xxhash64(F.lit(end), q, F.array_join(part, " "))
+
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    equal = [key(end, half).alias(f"{end}0") for end in ("first", "last")]
+    return equal + [F.when(n % 2 == 0, key(end, less)).alias(f"{end}1") for end in ("first", "last")]
 
 
 def _survivors(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes ``(h1, h2, place, copies)``, and those that share a half with another class ``(h1, h2, place)``."""
-    place = F.struct(*PLACE)
-    classes = materialize(
-        places.groupBy("h1", "h2").agg(
-            F.min(place).alias("place"), F.count("*").alias("copies"),
-            *[F.first(c).alias(c) for c in ("first0", "last0", "first1", "last1")],
-        ),
-        "classes",
+    halves = ("first0", "last0", "first1", "last1")
+    found = places.groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("p"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in halves]
     )
-    keys = classes.select(
-        "h1", "h2",
-        F.explode(F.array_distinct(F.array("first0", "last0", "first1", "last1"))).alias("k"),
+    classes = materialize(
+        found.select("h1", "h2", F.struct("p.doc_id", "p.line_no", "h1", "h2").alias("place"), "copies", *halves), "classes"
     )
+    keys = classes.select("h1", "h2", F.explode(F.array_compact(F.array(*halves))).alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     near = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
     return classes.select("h1", "h2", "place", "copies"), near
@@ -98,10 +96,10 @@ def near_earlier(lines: DataFrame, classes: DataFrame, near: DataFrame) -> DataF
     own = own.select("place.*")
     words = materialize(
         own.join(
-            lines.select("doc_id", "line_no", "h1", "h2", "words"),
+            lines.select("doc_id", "line_no", "h1", "h2", "key"),
             [own[c].eqNullSafe(lines[c]) for c in PLACE],
         )
-        .select(*[own[c] for c in PLACE], "words")
+        .select(*[own[c] for c in PLACE], F.split("key", " ").alias("words"))
         .dropDuplicates(list(PLACE)),
         "words",
     )
