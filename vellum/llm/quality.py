@@ -129,7 +129,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bad: Column, max_rows: int
     )
     # at most max_rows rows of two numbers
     sample = base_counts(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).filter("not base_failed")
-    return materialize(sample.select("doc_id", "bad", *[f"f_{f}" for f in FEATURES]).coalesce(1), "quality")
+    return materialize(sample.select("doc_id", "bad", *[f"f_{f}" for f in FEATURES]).repartition(1), "quality")  # at most max_rows rows of numbers
 
 
 def learn(rows: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
