@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     sample = materialize(
-        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").coalesce(8), "toxic"  # max_rows rows of two numbers
+        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").repartition(8), "toxic"  # max_rows rows of two numbers
     )
     learned = learn_words(sample)
     rows = features(sample, learned).select(
