@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,29 +45,45 @@ def parse_date_range(text: Column) -> Column:
     'xve siècle'; 'siglo xv', 's. xv'; 'circa 1450' (20 years to each side); '1450';
     '1450-1500' in either order.  Dates inside longer texts are not read.
     """
-    raw = trimmed(text)
-    norm = F.lower(F.regexp_replace(raw, r"\s+", " "))
+    return let(trimmed(text), lambda raw: let(F.lower(F.regexp_replace(raw, r"\s+", " ")), lambda norm: _read(raw, norm)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: a lambda over a one-element list."""
+    return F.transform(F.array(value), use)[0]
+
 
-    def group(of: Column, pattern: str, k: int = 1) -> Column:  # null where the pattern doesn't fit
-        return F.when(of.rlike(pattern), F.regexp_extract(of, pattern, k))
+def _group(of: Column, pattern: str, k: int = 1) -> Column:
+    """Group ``k``, null where the pattern doesn't fit (no group here matches nothing)."""
+    return F.nullif(F.regexp_extract(of, pattern, k), F.lit(""))
 
-    nth = group(norm, r"\A([0-9]{1,2})(?:st|nd|rd|th)\s+century\z").cast("int")
-    french = roman_to_int(group(norm, r"\A([ivxlcdm]+)(?:e|eme|ème|ère|er)?\s+si[eè]cle\z"))
-    spanish = roman_to_int(group(norm, r"\A(?:s\.?|siglo)\s+([ivxlcdm]+)\z"))
-    about = group(norm, r"\A(?:circa|ca\.?|c\.?)\s*([0-9]{1,4})\z").cast("int")
-    year = group(raw, r"\A([0-9]{1,4})\z").cast("int")
+
+def _read(raw: Column, norm: Column) -> Column:
+    numeral = F.coalesce(
+        _group(norm, r"\A([ivxlcdm]+)(?:e|eme|ème|ère|er)?\s+si[eè]cle\z"), _group(norm, r"\A(?:s\.?|siglo)\s+([ivxlcdm]+)\z")
+    )
     span = r"\A([0-9]{1,4})\s*[-–—]\s*([0-9]{1,4})\z"
-    a, b = group(raw, span, 1).cast("int"), group(raw, span, 2).cast("int")
-    return (
-        F.when(nth == 0, None)
-        .when(nth > 0, century(nth))
-        .when(french > 0, century(french))
-        .when(spanish > 0, century(spanish))
-        .when(about.isNotNull(), F.struct((about - CIRCA_YEARS).alias("start"), (about + CIRCA_YEARS).alias("end")))
-        .when(year.isNotNull(), F.struct(year.alias("start"), year.alias("end")))
-        .when(a.isNotNull(), F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end")))
+    found = F.struct(
+        _group(norm, r"\A([0-9]{1,2})(?:st|nd|rd|th)\s+century\z").cast("int").alias("nth"),
+        F.when(numeral.isNotNull(), roman_to_int(numeral)).alias("roman"),
+        _group(norm, r"\A(?:circa|ca\.?|c\.?)\s*([0-9]{1,4})\z").cast("int").alias("about"),
+        _group(raw, r"\A([0-9]{1,4})\z").cast("int").alias("year"),
+        _group(raw, span, 1).cast("int").alias("a"),
+        _group(raw, span, 2).cast("int").alias("b"),
     )
 
+    def years(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    return let(found, lambda x: (
+        F.when(x["nth"] == 0, None)
+        .when(x["nth"] > 0, century(x["nth"]))
+        .when(x["roman"] > 0, century(x["roman"]))
+        .when(x["about"].isNotNull(), years(x["about"] - CIRCA_YEARS, x["about"] + CIRCA_YEARS))
+        .when(x["year"].isNotNull(), years(x["year"], x["year"]))
+        .when(x["a"].isNotNull(), years(F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"])))
+    ))
+
 
 def present(date: Column) -> Column:
     """The interval, or null for year 0 to year 0, which counts as no date when works are selected."""

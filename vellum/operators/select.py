@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_range, present, trimmed
 from ..functions.language import parse_language
+from .once import once
 
 # Metadata labels (lower case) by what they hold.
 FIELD_KINDS = {
@@ -36,10 +37,9 @@ def work_records(metadata: DataFrame, key: str) -> DataFrame:
     known = metadata.withColumn("label", F.lower(trimmed(F.col("label")))).join(
         F.broadcast(field_map(metadata.sparkSession)), "label"
     )
-    fields = known.select(
-        key, "pos", "kind",
+    fields = once(known, "date", F.when(F.col("kind") == "date", parse_date_range(F.col("value")))).select(
+        key, "pos", "kind", "date",
         F.when(F.col("kind") == "language", parse_language(F.col("value"))).alias("code"),
-        F.when(F.col("kind") == "date", parse_date_range(F.col("value"))).alias("date"),
         F.when(F.col("kind") == "origin", F.col("value")).alias("origin"),
     )
     made = fields.groupBy(key).agg(
