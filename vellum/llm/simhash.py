@@ -154,7 +154,9 @@ def tile_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
             fa, fb = fa.view(np.uint64), fb.view(np.uint64)
             out_a, out_b = [], []
             for r, same in enumerate(b.column(4).to_pylist()):
-                x, y = fa[oa[r] : oa[r + 1]], fb[ob[r] : ob[r + 1]]
+                x = fa[oa[r] : oa[r + 1]]
+                # a part with itself: the other side's copy may hold the rows in another order
+                y = x if same else fb[ob[r] : ob[r + 1]]
                 nodes = np.concatenate([na[oa[r] : oa[r + 1]], nb[ob[r] : ob[r + 1]]])
                 ii, jj = [], []
                 for s in range(0, len(x), 256):
