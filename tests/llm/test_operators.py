@@ -171,15 +171,26 @@ def test_tiles_lose_no_link(spark, radius, segments):
     flips = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 8), replace=False))) for b in base for _ in range(5)]
     fp = np.unique(np.array(flips, np.uint64))
     rows = [(int(x), k) for k, x in enumerate(fp.view(np.int64).tolist())]
-    links = simhash.tile_links(spark.createDataFrame(rows, "fp long, node long"), radius, segments)
-    got = dict(by_key(common.connected_components(links), "node", "component"))
+    fps = spark.createDataFrame(rows, "fp long, node long").repartition(16)
+    links = simhash.tile_links(fps, radius, segments)
     near = np.bitwise_count(fp[:, None] ^ fp) <= radius
+    got = dict(by_key(common.connected_components(links), "node", "component"))
     label = np.arange(len(fp))
     for _ in range(len(fp)):
         label = np.where(near, label, len(fp)).min(1)
     assert [got.get(k, k) for k in range(len(fp))] == label.tolist()
 
 
+def test_a_tile_against_itself_in_another_order(spark):
+    rng = np.random.default_rng(8)
+    fp = np.unique(rng.integers(-(2**63), 2**63 - 1, 40_000))
+    halves = fp.view(np.uint32).reshape(-1, 2)
+    one = fp[(np.bitwise_count(halves) == 16).all(1)]  # far apart, all in one tile
+    rows = [(int(x), k) for k, x in enumerate(one)]
+    fps = spark.createDataFrame(rows, "fp long, node long").repartition(40, F.rand())  # each evaluation deals anew
+    assert len(one) > 500 and simhash.tile_links(fps, 6, 2).count() == 0
+
+
 def edits_of_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
