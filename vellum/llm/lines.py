@@ -103,17 +103,12 @@ def near_earlier(lines: DataFrame, classes: DataFrame, near: DataFrame) -> DataF
         .dropDuplicates(list(PLACE)),
         "words",
     )
-    n = F.size("words")
-    each = words.select(
-        *PLACE, n.alias("n"),
-        F.aggregate(
-            F.transform("words", lambda w, i: F.xxhash64(w, i - 1)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)
-        ).alias("t1"),
-        F.aggregate(
-            F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)
-        ).alias("t0"),
-        F.posexplode("words").alias("i", "w"),
-    )
+    def folded(shift: int) -> Column:  # exclusive-or of all word hashes, positions shifted
+        hashes = F.transform("words", lambda w, i: F.xxhash64(w, i - shift if shift else i))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+    whole_line = bind(words, "t", F.struct(F.size("words").alias("n"), folded(1).alias("t1"), folded(0).alias("t0")))
+    each = whole_line.select(*PLACE, "t.n", "t.t1", "t.t0", F.posexplode("words").alias("i", "w"))
     run = Window.partitionBy(*PLACE).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     here, shifted = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
     # words before i at their positions, words after i one position earlier
