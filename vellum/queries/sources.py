@@ -240,6 +240,6 @@ def q54_ledger_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
     urls = lambda kinds: events.filter(F.col("event_type").isin(*kinds)).select("user_id")
     new, old = urls(["view"]), urls(["view", "purchase"])
-    added = graph.not_done(old.distinct(), new, "user_id").agg(F.count("*").alias("added"))
-    total = new.union(old).agg(F.count_distinct("user_id").alias("total"))
-    return added.join(total)  # one row each
+    added = graph.not_done(old.distinct(), new, "user_id").withColumn("added", F.lit(1))
+    everything = new.union(old).distinct().join(added, "user_id", "left")
+    return everything.agg(F.count("added").alias("added"), F.count("*").alias("total"))
