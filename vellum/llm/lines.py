@@ -26,38 +26,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind, materialize
+from .common import bind, materialize
 
 MIN_WORDS = 5
 PLACE = ("doc_id", "line_no", "h1", "h2")
-
-
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
-
-
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, line_no, words)`` of the lines that take part; ``th`` tells apart texts with one doc_id."""
-    found = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
+#: White space other than the space and the line feed.
+RARE_SPACE = "\t\x0b\x0c\r"
+
+
+def _split_lines(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(doc_id, more, line_no, line)``; white space in a line is spaces."""
+    text = F.col("text")
+    rare = F.lit(False)
+    for c in RARE_SPACE:
+        rare = rare | F.contains(text, F.lit(c))
+    spaced = F.when(rare, F.regexp_replace(text, f"[{RARE_SPACE}]", " ")).otherwise(text)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split(spaced, "\n")).alias("line_no", "line")
+    ).filter(F.length("line") >= 2 * MIN_WORDS - 1)
+
+
+def _with_words(lines: DataFrame) -> DataFrame:
+    """Lines that take part, with ``words`` and the two hashes of their class."""
+    words = F.array_remove(F.split(F.lower("line"), " "), "")  # a plain split and no lambda: stays in generated code
+    return bind(lines, "words", words).drop("line").filter(F.size("words") >= MIN_WORDS).withColumns(
+        {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit("2"), "words")}
     )
-    return bind(found, "words", _words(F.col("line"))).filter(F.size("words") >= MIN_WORDS).drop("line")
 
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``places(doc_id, th, line_no, h1, h2)`` and ``classes(h1, h2, first, n, words)``."""
-    lines = bind(numbered_lines(docs), "key", F.array_join("words", " ")).select(
-        "doc_id", "th", "line_no", "words", "key",
-        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2"),
+def line_places(docs: DataFrame) -> DataFrame:
+    """``(doc_id, th, line_no, h1, h2)`` and half keys of each line that takes part; ``th`` tells apart texts with one doc_id."""
+    lines = _with_words(_split_lines(docs, F.xxhash64("text").alias("th")))
+    return materialize(
+        lines.select("doc_id", "th", "line_no", "h1", "h2", *_half_keys(F.col("words"))), "lines"
     )
-    places = materialize(
-        lines.select(
-            "doc_id", "th", "line_no", "h1", "h2", *_half_keys(F.col("words")),
-        ),
-        "lines",
-    )
-    return lines, places
 
 
 def _half_keys(words: Column) -> list[Column]:
@@ -67,7 +69,7 @@ def _half_keys(words: Column) -> list[Column]:
 
     def key(end: str, q: Column) -> Column:
         part = F.slice(words, F.lit(1) if end == "first" else n - q + 1, q)
-        return F.xxhash64(F.lit(end), q, F.array_join(part, " "))
+        return F.xxhash64(F.lit(end), q, part)
 
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     equal = [key(end, half).alias(f"{end}0") for end in ("first", "last")]
@@ -89,52 +91,47 @@ def _survivors(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select("h1", "h2", "place", "copies"), near
 
 
-def near_earlier(lines: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+def near_earlier(docs: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
     """``(h1, h2)`` of classes with a near class that stands earlier."""
+    # one long for a class, in the order of places
+    own = classes.join(near, ["h1", "h2"], "left_semi").select("place.*").orderBy(*PLACE)
+    own = materialize(own.withColumn("rank", F.monotonically_increasing_id()), "own")
     # words of surviving classes, from the class's earliest line
-    own = classes.join(near, ["h1", "h2"], "left_semi").select("place")
-    own = own.select("place.*")
+    asked = own.withColumnsRenamed({c: f"own_{c}" for c in PLACE})
+    found = _split_lines(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("line_no") == F.col("own_line_no")))
     words = materialize(
-        own.join(
-            lines.select("doc_id", "line_no", "h1", "h2", "key"),
-            [own[c].eqNullSafe(lines[c]) for c in PLACE],
-        )
-        .select(*[own[c] for c in PLACE], F.split("key", " ").alias("words"))
-        .dropDuplicates(list(PLACE)),
-        "words",
+        _with_words(found).filter("h1 = own_h1 and h2 = own_h2").select("rank", "words").dropDuplicates(["rank"]), "words"
     )
+
     def folded(shift: int) -> Column:  # exclusive-or of all word hashes, positions shifted
         hashes = F.transform("words", lambda w, i: F.xxhash64(w, i - shift if shift else i))
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
     whole_line = bind(words, "t", F.struct(F.size("words").alias("n"), folded(1).alias("t1"), folded(0).alias("t0")))
-    each = whole_line.select(*PLACE, "t.n", "t.t1", "t.t0", F.posexplode("words").alias("i", "w"))
-    run = Window.partitionBy(*PLACE).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = whole_line.select("rank", "t.n", "t.t1", "t.t0", F.posexplode("words").alias("i", "w"))
+    run = Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     here, shifted = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
     # words before i at their positions, words after i one position earlier
     deleted = (
         F.bit_xor(here).over(run).bitwiseXOR(here).bitwiseXOR(F.col("t1")).bitwiseXOR(F.bit_xor(shifted).over(run))
     )
-    place = F.struct(*PLACE).alias("place")
-    cut = each.select(place, "i", F.xxhash64(F.col("n") - 1, deleted).alias("v"))
-    whole = each.filter("i = 0").select(place, F.lit(-1).alias("i"), F.xxhash64("n", "t0").alias("v"))
+    cut = each.select("rank", "i", F.xxhash64(F.col("n") - 1, deleted).alias("v"))
+    whole = whole_line.select("rank", F.lit(-1).alias("i"), F.xxhash64("t.n", "t.t0").alias("v"))
     hood = materialize(cut.unionByName(whole), "hood")
-    groups = hood.groupBy("v", "i").agg(F.min("place").alias("low"))
-    same_slot = (
-        hood.filter("i >= 0").join(groups, ["v", "i"]).filter("low < place").select("place", "low")
-    )
-    wholes = hood.filter("i < 0").select("v", F.col("place").alias("short"))
-    longer = hood.filter("i >= 0").groupBy("v").agg(F.min("place").alias("low"))
-    short_late = wholes.join(longer, "v").filter("low < short").select(F.col("short").alias("place"), "low")
+    cuts = hood.filter("i >= 0")
+    groups = cuts.groupBy("v", "i").agg(F.min("rank").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    same_slot = cuts.join(groups, ["v", "i"]).filter("low < rank").select("rank", "low")
+    wholes = hood.filter("i < 0").select("v", F.col("rank").alias("short"))
+    longer = cuts.groupBy("v").agg(F.min("rank").alias("low"))
+    short_late = wholes.join(longer, "v").filter("low < short").select(F.col("short").alias("rank"), "low")
     long_late = (
-        hood.filter("i >= 0").join(wholes.groupBy("v").agg(F.min("short").alias("low")), "v")
-        .filter("low < place").select("place", "low")
+        cuts.join(wholes.groupBy("v").agg(F.min("short").alias("low")), "v").filter("low < rank").select("rank", "low")
     )
     pairs = same_slot.unionByName(short_late).unionByName(long_late).distinct()
-    texts = words.select(F.struct(*PLACE).alias("place"), F.col("words").alias("a"))
-    earlier = texts.select(F.col("place").alias("low"), F.col("a").alias("b"))
-    checked = pairs.join(texts, "place").join(earlier, "low").filter(within_one_edit(F.col("a"), F.col("b")))
-    return checked.select("place.h1", "place.h2").distinct()
+    late = words.select("rank", F.col("words").alias("a"))
+    earlier = words.select(F.col("rank").alias("low"), F.col("words").alias("b"))
+    checked = pairs.join(late, "rank").join(earlier, "low").filter(within_one_edit(F.col("a"), F.col("b")))
+    return own.join(checked.select("rank").distinct(), "rank", "left_semi").select("h1", "h2")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -151,9 +148,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, drops)``: numbers of the lines that go, from 0, for each document with any."""
-    lines, places = line_classes(docs)
+    places = line_places(docs)
     classes, near = _survivors(places)
-    late = materialize(near_earlier(lines, classes, near), "late").withColumn("near", F.lit(True))
+    late = materialize(near_earlier(docs, classes, near), "late").withColumn("near", F.lit(True))
     judged = classes.join(late, ["h1", "h2"], "left").filter("near or copies > 1")
     act = judged.select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near"),
                         F.col("place.doc_id").alias("d0"), F.col("place.line_no").alias("l0"))
