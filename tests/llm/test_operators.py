@@ -140,6 +140,17 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in plan) <= 1.01 * (counts * np.arange(1025)).sum() / 1024
 
 
+@pytest.mark.parametrize(("long", "many", "short", "more", "least"), [(600, 1000, 50, 8000, 1000), (700, 1000, 100, 9000, 1600), (600, 3, 50, 26, 4)])
+def test_plan_fills_gaps_with_several_pieces(long, many, short, more, least):
+    counts = np.bincount([long] * many + [short] * more, minlength=1025)
+    plan = packing.plan_sequences(counts)
+    used = np.zeros(1025, int)
+    for lengths, n in plan:
+        assert sum(lengths) <= 1024
+        np.add.at(used, list(lengths), n)
+    assert (used == counts).all() and sum(n for _, n in plan) == least
+
+
 def test_simhash(docs, none):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     prints = []

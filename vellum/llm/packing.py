@@ -204,11 +204,12 @@ def plan_sequences(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[i
         for gap in sorted(g for g in gaps if g >= size):
             while n and gaps.get(gap):
                 held, many = gaps[gap].pop()
-                take = min(n, many)
+                put = min(gap // size, n)  # as many as fit: then no smaller gap has to be looked at again
+                take = min(n // put, many)
                 if many > take:
                     gaps[gap].append((held, many - take))
-                gaps.setdefault(gap - size, []).append(((*held, size), take))
-                n -= take
+                gaps.setdefault(gap - put * size, []).append((held + (size,) * put, take))
+                n -= put * take
             if not n:
                 break
         per = limit // size
