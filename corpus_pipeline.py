@@ -14,7 +14,7 @@ from vellum.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Shingles of five words; six bits are an estimated cosine of about 0.96, so pairs near a similarity of 0.8 are mostly missed.
+#: Shingles of five words.  Links are verified, so the stage has no use for the bits and segments; its test compares with them.
 NEAR_WORDS, NEAR_BITS, NEAR_SEGMENTS = 5, 6, 2
 
 
@@ -34,8 +34,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs, NEAR_WORDS, NEAR_BITS, NEAR_SEGMENTS)
+    """Of each group of near copies (Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
+    found = simhash.near_copies(docs, NEAR_WORDS)
     late = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(late, "doc_id", "left_anti").select(*COLUMNS)
 

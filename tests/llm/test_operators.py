@@ -151,6 +151,31 @@ def test_plan_fills_gaps_with_several_pieces(long, many, short, more, least):
     assert (used == counts).all() and sum(n for _, n in plan) == least
 
 
+def test_near_copies_are_verified(spark, none):
+    rnd = random.Random(5)
+    rows, sets = [], []
+    for g in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(150 + 10 * g)]
+        for k in (0, 1, 2, 3, 4, 8):  # words replaced: similarities from 0.95 down to under 0.8
+            w = list(base)
+            for at in rnd.sample(range(len(w)), k):
+                w[at] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, rows[3][1].upper()), (901, ""), (902, None), (None, rows[4][1]), (None, "nobody else has these words")]
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = {i: i for i, _ in rows if i is not None}
+    near = [(a, b) for (a, _), p in zip(rows, sets) for (b, _), q in zip(rows, sets) if None not in (a, b) and a < b and (p == q or len(p & q) >= 0.8 * len(p | q))]
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == root
+    assert sorted((r["component_id"] for r in got if r["doc_id"] is None), key=repr) == [root[4], None]
+    assert len(set(root.values())) > 13 and simhash.near_copies(none, 5).count() == 0
+
+
 def test_simhash(docs, none):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     prints = []

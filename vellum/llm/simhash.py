@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, words_of
+from .common import bind, connected_components, materialize, words_of
 
 WIDTH, RADIUS, SEGMENTS, TILE_ROWS = 3, 3, 4, 2048
+#: Verified near copies: 128 bits, of which pairs at a Jaccard similarity of 0.8 differ in 19 (deviation 4), strangers in 64 (6).
+WIDE_RADIUS, WIDE_ROWS = 34, 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -195,3 +197,130 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, s
     return prints.join(known, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def distinct_shingles(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, h, key)``: hashes of the distinct shingles, and one hash of that set."""
+    hashed = bind(docs, "h", F.array_distinct(shingle_hashes(F.col("text"), width)))
+    return hashed.select(F.col("doc_id").cast("long"), "h", F.xxhash64(F.array_sort("h")).alias("key"))
+
+
+def wide_prints(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, key, n, fp0, fp1)``: 128 bits and the number of distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.asarray(b.column(1).offsets)
+            values = np.asarray(b.column(1).values)
+            z = values.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)  # splitmix64: other bits from the same hash
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            prints = [pa.array(majority_bits(v, ends).view(np.int64)) for v in (values, (z ^ (z >> np.uint64(31))).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(np.diff(ends).astype(np.int64)), *prints], names=["doc_id", "key", "n", "fp0", "fp1"]
+            )
+
+    return distinct_shingles(docs, width).mapInArrow(run, "doc_id long, key long, n long, fp0 long, fp1 long")
+
+
+def candidates(nodes: DataFrame, nearest: bool, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``nodes(id, comp, n, fp0, fp1)`` -> ``(a, b)`` of different components within ``radius`` bits.
+
+    With ``nearest`` only the closest partner of each node, else all pairs.  Tiles are bands
+    of shingle counts: sets with a Jaccard similarity of 0.8 have counts within a factor of
+    1.25, which is four bands (one more for rounding), so other tile pairs are skipped.
+    ``nodes`` is read several times, so pass a written table.
+    """
+    tiled = nodes.filter("n > 0").withColumn("tile", F.floor(F.log(F.col("n")) * (4 / np.log(1.25))).cast("int"))
+    kinds = tiled.groupBy("tile").agg(F.count("*").alias("rows"))  # some 200 rows
+    cols = ("id", "comp", "n", "fp0", "fp1")
+    parts = materialize(
+        tiled.join(F.broadcast(kinds), "tile")
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / WIDE_ROWS)).cast("int"))
+        .groupBy("tile", "part").agg(F.collect_list(F.struct(*cols)).alias("m"))
+        .select("tile", "part", *[F.col(f"m.{c}").alias(c) for c in cols]), "tiles"
+    )
+    names = parts.select("tile", "part")
+    ask = names.select("tile", "part", F.explode(F.array(*[F.lit(d) for d in range(6)])).alias("d")).withColumn("t2", F.col("tile") + F.col("d"))
+    ask = ask.join(names.select(F.col("tile").alias("t2"), F.col("part").alias("p2")), "t2").filter("d > 0 or part <= p2")
+    other = parts.select(F.col("tile").alias("t2"), F.col("part").alias("p2"), *[F.col(c).alias(f"{c}2") for c in cols])
+    pairs = ask.join(parts, ["tile", "part"]).join(other, ["t2", "p2"]).select(
+        *cols, *[f"{c}2" for c in cols], ((F.col("d") == 0) & (F.col("part") == F.col("p2"))).alias("same")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for r in range(whole.num_rows):
+                one = whole.slice(r, 1)
+                ids, comp, n, f0, f1 = (np.asarray(one.column(c).flatten()) for c in range(5))
+                ids2, comp2, n2, g0, g1 = (np.asarray(one.column(c).flatten()) for c in range(5, 10))
+                if one.column(10)[0].as_py():  # the other side's copy may hold the rows in another order
+                    ids2, comp2, n2, g0, g1 = ids, comp, n, f0, f1
+                f0, f1, g0, g1 = (v.view(np.uint64) for v in (f0, f1, g0, g1))
+                best, at = np.full(len(ids2), 255, np.uint8), np.zeros(len(ids2), np.int64)
+                for s in range(0, len(ids), 64):
+                    x = slice(s, s + 64)
+                    d = np.bitwise_count(f0[x, None] ^ g0) + np.bitwise_count(f1[x, None] ^ g1)
+                    near = d <= radius
+                    if not near.any():
+                        continue
+                    near &= comp[x, None] != comp2
+                    near &= 5 * np.minimum(n[x, None], n2) >= 4 * np.maximum(n[x, None], n2)
+                    if not nearest:
+                        i, j = np.nonzero(near)
+                        a, b = np.minimum(ids[i + s], ids2[j]), np.maximum(ids[i + s], ids2[j])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d[i, j].astype(np.int32))], names=["a", "b", "bits"])
+                        continue
+                    d[~near] = 255
+                    j, low = d.argmin(1), d.min(1)
+                    i = np.flatnonzero(low < 255)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + s]), pa.array(ids2[j[i]]), pa.array(low[i].astype(np.int32))], names=["a", "b", "bits"])
+                    i, low = d.argmin(0), d.min(0)
+                    less = low < best
+                    best[less], at[less] = low[less], ids[i[less] + s]
+                j = np.flatnonzero(best < 255)
+                yield pa.RecordBatch.from_arrays([pa.array(ids2[j]), pa.array(at[j]), pa.array(best[j].astype(np.int32))], names=["a", "b", "bits"])
+
+    found = pairs.mapInArrow(run, "a long, b long, bits int")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+    return materialize(found.select("a", "b").distinct(), "candidates")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of 0.8 or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = classes.join(asked, "id", "left_semi").select("id", F.col("node").alias("doc_id"), F.col("key").alias("own"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = distinct_shingles(texts, width).join(asked, "doc_id").filter("key = own").select("id", "h").dropDuplicates(["id"])
+    sets = materialize(sets, "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return materialize(both.filter(9 * shared >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b"), "links")
+
+
+def near_copies(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, component_id)`` for every row of ``docs``: the smallest doc_id reachable.
+
+    Texts are linked if the Jaccard similarity of their distinct shingles is 0.8 or more.
+    Fingerprints only propose pairs; each proposal is verified on the shingles.  First every
+    text is held against its closest one; then, among texts that have any proposal, all
+    pairs that these links haven't joined yet, so a group of near copies never yields all its pairs.
+    Texts without words are one class.  A row without doc_id links nothing by itself.
+    """
+    prints = materialize(wide_prints(docs, width), "prints")
+    classes = prints.groupBy("key", "n", "fp0", "fp1").agg(F.min("doc_id").alias("node")).filter("node is not null")
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    first = candidates(classes.withColumn("comp", F.col("id")), nearest=True)
+    links = verified(first, classes, docs, width)
+    found = connected_components(links).withColumnRenamed("node", "id")
+    asked = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = materialize(
+        classes.join(asked, "id", "left_semi").join(found, "id", "left").select("id", "n", "fp0", "fp1", F.coalesce("component", "id").alias("comp")), "some"
+    )
+    more = verified(candidates(some, nearest=False), classes, docs, width)
+    comps = connected_components(links.unionByName(more)).withColumnRenamed("node", "id")
+    known = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = known.groupBy("component").agg(F.min("node").alias("component_id"))
+    known = known.join(lowest, "component").select("key", "n", "fp0", "fp1", "component_id")
+    return prints.join(known, ["key", "n", "fp0", "fp1"], "left").select("doc_id", "component_id")
