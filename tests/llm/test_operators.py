@@ -448,6 +448,15 @@ def test_url_rules_are_mined(spark):
     assert all(got[i] == ("block" if i % 3 == 0 else "allow") for i in range(300))
 
 
+def test_url_rules_have_one_count_and_any_length(spark):
+    sets = [(["rare"], 1)] * 20 + [(["scarce"], 1)] * 19 + [(["other"], 0)] * 4000  # 0.5 % of the urls
+    four = ["a", "b", "c", "d"]  # only all four together are blocked
+    sets += [(four, 1)] * 25 + [([t for t in four if t != x], 0) for x in four for _ in range(30)]
+    sets += [(["e", "f"], 1)] * 20 + [(["e", "g", "h"], 1)] * 20
+    rules = urls.mine(spark.createDataFrame(sets, "tokens array<string>, blocked int")).collect()
+    assert sorted(r["tokens"] for r in rules) == [four, ["e"], ["f"], ["g"], ["h"], ["rare"]]
+
+
 def test_toxicity(spark, docs, none, labels):
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(300)]

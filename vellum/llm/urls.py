@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A token set is frequent in this share of the labelled urls, and in this many at least.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 20, 0.8, 3
+#: A rule holds in this many labelled urls at least, whatever the number of urls.
+MIN_COUNT, MIN_CONFIDENCE = 20, 0.8
 BLOCKED = "label:block"
 
 # The contract's rules (host and path, verdict).
@@ -66,28 +66,27 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame) -> DataFrame:
     """``labelled(tokens, blocked 0/1)`` -> ``(rule_id, tokens, confidence, support)``.
 
-    There are at most as many rules as frequent token sets, which the support bounds
-    by itself: below 1 / MIN_SUPPORT frequent tokens weighted by a URL's token count.
+    A rule is implied if any proper part of its tokens, of whatever length, is a rule
+    with as much confidence.  A url of k tokens has at most 2^k sets, so there are at most
+    that many times the labelled urls / MIN_COUNT rules.
     """
     schema = "rule_id long, tokens array<string>, confidence double, support double"
     baskets = labelled.select(F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     n = baskets.count()
     if n < MIN_COUNT:
         return labelled.sparkSession.createDataFrame([], schema)
-    support = max(MIN_SUPPORT, MIN_COUNT / n)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
-    rules = model.associationRules.filter(
-        (F.size("antecedent") <= MAX_TOKENS) & (F.get("consequent", F.lit(0)) == BLOCKED)
-    ).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-    rules = materialize(rules.coalesce(1), "url-rules")
-    # implied: a proper part of the tokens has as much confidence.  Equi-join on parts of up to MAX_TOKENS tokens.
-    parts = rules.select(
-        "tokens", "confidence",
-        F.explode(F.concat(
-            F.transform("tokens", lambda t: F.array(t)),
-            F.transform("tokens", lambda t: F.array_remove("tokens", t)),
-        )).alias("part"),
-    ).filter("size(part) < size(tokens) and size(part) > 0")
+    # half a url less: MIN_COUNT / n times n may round up past MIN_COUNT
+    model = FPGrowth(itemsCol="items", minSupport=(MIN_COUNT - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    rules = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCKED).select(
+        F.sort_array("antecedent").alias("tokens"), "confidence", "support"
+    )
+    rules = materialize(rules, "url-rules")
+    # every proper part: one token after another, each part so far with and without it
+    parts = F.aggregate(
+        "tokens", F.array(F.array().cast("array<string>")),
+        lambda got, t: F.concat(got, F.transform(got, lambda part: F.array_append(part, t))),
+    )
+    parts = rules.select("tokens", "confidence", F.explode(parts).alias("part")).filter("size(part) < size(tokens) and size(part) > 0")
     shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
     implied = parts.join(shorter, "part").filter("c >= confidence").select("tokens").distinct()
     left = rules.join(implied, "tokens", "left_anti")
