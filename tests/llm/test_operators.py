@@ -457,6 +457,18 @@ def test_url_rules_have_one_count_and_any_length(spark):
     assert sorted(r["tokens"] for r in rules) == [four, ["e"], ["f"], ["g"], ["h"], ["rare"]]
 
 
+def test_short_lines_go_as_exact_copies(spark):
+    rows = [
+        (1, "Read more\none two three four\n\n日本語の行\nfive words stand in here"), (2, "read  MORE\none two three fox\n\n日本語の行\nx"),
+        (3, "x\nfive words stand in there\nRead more\nRead more"), (4, None), (5, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, short=True).collect()}
+    assert whole == {1: (rows[0][1], 0), 2: ("one two three fox\n\nx", 2), 3: ("", 4), 4: (None, 0), 5: ("", 0)}
+    law = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(docs).collect()}
+    assert law == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
 def test_toxicity(spark, docs, none, labels):
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(300)]

@@ -1,6 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines of at least MIN_WORDS words take part; shorter and blank lines stay.  Two lines
+Lines of at least MIN_WORDS words take part; shorter and blank lines stay.  With
+``short`` the shorter ones take part as exact copies; only blank lines stay.  Two lines
 are near copies when one word substitution, insertion or deletion turns one into the
 other (words are runs without ASCII white space, compared in lower case).  A line
 goes when an equal or near line stands earlier in (doc_id, line number) order.
@@ -34,7 +35,7 @@ PLACE = ("doc_id", "line_no", "h1", "h2")
 RARE_SPACE = "\t\x0b\x0c\r"
 
 
-def _split_lines(docs: DataFrame, *more: Column) -> DataFrame:
+def _split_lines(docs: DataFrame, *more: Column, least: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, more, line_no, line)``; white space in a line is spaces."""
     text = F.col("text")
     rare = F.lit(False)
@@ -43,20 +44,21 @@ def _split_lines(docs: DataFrame, *more: Column) -> DataFrame:
     spaced = F.when(rare, F.regexp_replace(text, f"[{RARE_SPACE}]", " ")).otherwise(text)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split(spaced, "\n")).alias("line_no", "line")
-    ).filter(F.length("line") >= 2 * MIN_WORDS - 1)
+    ).filter(F.length("line") >= 2 * least - 1)
 
 
-def _with_words(lines: DataFrame) -> DataFrame:
+def _with_words(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Lines that take part, with ``words`` and the two hashes of their class."""
     words = F.array_remove(F.split(F.lower("line"), " "), "")  # a plain split and no lambda: stays in generated code
-    return bind(lines, "words", words).drop("line").filter(F.size("words") >= MIN_WORDS).withColumns(
+    return bind(lines, "words", words).drop("line").filter(F.size("words") >= least).withColumns(
         {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit("2"), "words")}
     )
 
 
-def line_places(docs: DataFrame) -> DataFrame:
+def line_places(docs: DataFrame, short: bool = False) -> DataFrame:
     """``(doc_id, th, line_no, h1, h2)`` and half keys of each line that takes part; ``th`` tells apart texts with one doc_id."""
-    lines = _with_words(_split_lines(docs, F.xxhash64("text").alias("th")))
+    least = 1 if short else MIN_WORDS
+    lines = _with_words(_split_lines(docs, F.xxhash64("text").alias("th"), least=least), least)
     return materialize(
         lines.select("doc_id", "th", "line_no", "h1", "h2", *_half_keys(F.col("words"))), "lines"
     )
@@ -64,7 +66,8 @@ def line_places(docs: DataFrame) -> DataFrame:
 
 def _half_keys(words: Column) -> list[Column]:
     """Hashes of the first and last q words, for q the half of the shorter line of a pair:
-    n div 2 (this one is the shorter, or both are equal) and (n - 1) div 2 (this one is longer; null if that's the same)."""
+    n div 2 (this one is the shorter, or both are equal) and (n - 1) div 2 (this one is longer; null if that's the same).
+    Lines under MIN_WORDS words have none."""
     n = F.size(words)
 
     def key(end: str, q: Column) -> Column:
@@ -72,8 +75,8 @@ def _half_keys(words: Column) -> list[Column]:
         return F.xxhash64(F.lit(end), q, part)
 
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    equal = [key(end, half).alias(f"{end}0") for end in ("first", "last")]
-    return equal + [F.when(n % 2 == 0, key(end, less)).alias(f"{end}1") for end in ("first", "last")]
+    equal = [F.when(n >= MIN_WORDS, key(end, half)).alias(f"{end}0") for end in ("first", "last")]
+    return equal + [F.when((n >= MIN_WORDS) & (n % 2 == 0), key(end, less)).alias(f"{end}1") for end in ("first", "last")]
 
 
 def _survivors(places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,9 +149,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return close & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``(doc_id, th, drops)``: numbers of the lines that go, from 0, for each document with any."""
-    places = line_places(docs)
+    places = line_places(docs, short)
     classes, near = _survivors(places)
     late = materialize(near_earlier(docs, classes, near), "late").withColumn("near", F.lit(True))
     judged = classes.join(late, ["h1", "h2"], "left").filter("near or copies > 1")
@@ -160,7 +163,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its repeated lines, and ``n_lines``, ``n_dropped``.
 
     A null text stays null (0 lines); an empty one has one line.  Rows with equal
@@ -169,7 +172,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     other columns pass through.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__id", "__th")]
-    drops = dropped_lines(docs).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    drops = dropped_lines(docs, short).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
     source = docs.select(*[F.col(f"`{c}`") for c in rest])
     joined = source.join(
         drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left"
