@@ -10,7 +10,7 @@ from ..functions.language import parse_language
 from ..jsontext import member_text, text_of
 from ..operators.images import enumerate_images, first_string
 from ..operators.select import Filter, work_records
-from ..sources.graph import written
+from ..scratch import written
 from .base import load, query
 
 _LANGUAGES = ("French", " lat ", "english", "Deutsch", "italiano", "castellano", "GREEK", "Nederlands", "Klingon")

@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; in a local one only where that isn't set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'vellum-levels')}"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage through the cluster's shared folder (``spark.checkpoint.dir``)."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..scratch import written
 
 COLLECTION = (
     "manifests array<struct<`@id`:string>>, collections array<struct<`@id`:string>>, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.graph import scratch
+from ..scratch import scratch
 
 
 def first_changes(spark: SparkSession, path: str) -> DataFrame:
