@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import forget, scratch, written
+
 #: ASCII white space: the characters between words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
+#: Cut lineage: see :func:`vellum.scratch.written`.
+materialize = written
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    global _own_dir
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="vellum-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return "file://" + _own_dir
+def free(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to clash with no column (case ignored)."""
+    taken = {c.lower() for c in columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        made.append(name)
+    return made
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared scratch folder and read it again.
+def kept_columns(docs: DataFrame, outputs: list[str]) -> list[str]:
+    """Columns of ``docs`` but those with the name of an output (case ignored), which the output replaces."""
+    taken = {c.lower() for c in outputs}
+    return [c for c in docs.columns if c.lower() not in taken]
 
-    A lost executor then costs a reread, not a recomputation of everything above.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def named(columns: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +61,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction.  Each half is a partial
     aggregate (min per node) and an equi-join, so hubs are combined map-side and
     a skewed join side can be split by AQE.  Rounds grow with the logarithm of
-    the longest chain; nothing but two counters reaches the driver.
+    the longest chain; nothing but two counters reaches the driver.  Edges with a null
+    end are no edges; an edge from a node to itself makes no row.  A round's table is
+    removed when the next one is written.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -81,13 +81,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         )
 
+    spark = edges.sparkSession
+    path = scratch(spark, "cc")
     e = materialize(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "cc"
+        edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "cc", path
     )
     seen = mark(e)
     while seen[0]:
-        e = materialize(star(star(e, large=True), large=False), "cc")
+        before, path = path, scratch(spark, "cc")
+        e = materialize(star(star(e, large=True), large=False), "cc", path)
         now = mark(e)
+        forget(spark, before)
         if now == seen:
             break
         seen = now

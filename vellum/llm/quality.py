@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, materialize, words_of
+from .common import WORD, bind, free, kept_columns, materialize, named, words_of
 
 #: Labelled rows to learn from at most (those with the smallest hashes of doc_id).
 MAX_TRAIN = 10_000
+#: Thresholds a feature has (its quantiles), bounds of the list and of a rule, and what a rule takes: precision and
+#: low-quality rows covered.
 QUANTILES, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVERED = 16, 8, 3, 0.85, 8
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("words", "mean_word", "symbols", "dup_lines", "repeats", "capitals", "digits", "marks", "distinct_words")
@@ -51,49 +53,49 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 3, 0).otherwise(F.transform(F.array(windows), count)[0])
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Append the contract's counts, ``base_failed`` and the learner's inputs (``f_*``) to ``docs``.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_counts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the contract's counts, ``base_failed`` and a struct of the learner's inputs, and that one's name.
 
     Words are runs without ASCII white space.  A null text has none; its ratios are 0.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    words, split, counts, into = free([*docs.columns, *COUNTS], "words", "lines", "counts", "inputs")
 
     def gone(chars: str) -> Column:  # how many characters of the text are in chars
         return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
-    step = bind(bind(docs, "__w", words_of(text)), "__lines", lines)
-    step = bind(step, "__c", F.struct(
-        F.size("__w").cast("long").alias("n_words"),
+    step = bind(bind(docs, words, words_of(text)), split, lines)
+    step = bind(step, counts, F.struct(
+        F.size(words).cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         gone(SYMBOLS).alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__w")).cast("long").alias("n_repeat_words"),
-        F.size("__lines").alias("n_lines"),
-        F.size(F.array_distinct("__w")).alias("distinct"),
+        (F.size(split) - F.size(F.array_distinct(split))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(words)).cast("long").alias("n_repeat_words"),
+        F.size(split).alias("n_lines"),
+        F.size(F.array_distinct(words)).alias("distinct"),
         gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("caps"),
         gone("0123456789").alias("digits"),
         gone("!?").alias("marks"),
     ))
-    c = F.col("__c")
+    c = F.col(counts)
 
     def ratio(top: str, bottom: str) -> Column:
         return F.coalesce(F.try_divide(c[top], c[bottom]), F.lit(0.0)).cast("double")
 
+    inputs = {
+        "words": c["n_words"].cast("double"), "mean_word": ratio("word_chars", "n_words"), "symbols": ratio("n_symbols", "n_words"),
+        "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"), "capitals": ratio("caps", "word_chars"),
+        "digits": ratio("digits", "word_chars"), "marks": ratio("marks", "n_words"), "distinct_words": ratio("distinct", "n_words"),
+    }
     return step.select(
-        *[F.col(f"`{x}`") for x in docs.columns],
-        *[c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *named(docs.columns), *[c[x].alias(x) for x in COUNTS[:-1]],
         ((c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])).alias("base_failed"),
-        c["n_words"].cast("double").alias("f_words"),
-        ratio("word_chars", "n_words").alias("f_mean_word"),
-        ratio("n_symbols", "n_words").alias("f_symbols"),
-        ratio("n_dup_lines", "n_lines").alias("f_dup_lines"),
-        ratio("n_repeat_words", "n_words").alias("f_repeats"),
-        ratio("caps", "word_chars").alias("f_capitals"),
-        ratio("digits", "word_chars").alias("f_digits"),
-        ratio("marks", "n_words").alias("f_marks"),
-        ratio("distinct", "n_words").alias("f_distinct_words"),
-    )
+        F.struct(*[inputs[f].alias(f) for f in FEATURES]).alias(into),
+    ), into
 
 
 @dataclass(frozen=True)
@@ -102,8 +104,8 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        c = F.col(f"f_{self.feature}")
+    def column(self, inputs: Column) -> Column:
+        c = inputs[self.feature]
         return c > self.threshold if self.above else c <= self.threshold
 
     def __str__(self) -> str:
@@ -113,30 +115,36 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _all(rule: Rule) -> Column:
+def _all(rule: Rule, inputs: Column) -> Column:
     out = F.lit(True)
     for c in rule:
-        out = out & c.column()
+        out = out & c.column(inputs)
     return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bad: Column, max_rows: int = MAX_TRAIN) -> DataFrame:
-    """Inputs and ``bad`` (0/1) of at most ``max_rows`` labelled documents that pass the base rules."""
+    """``(doc_id, bad 0/1, inputs)`` of at most ``max_rows`` labelled documents that pass the base rules."""
     known = (
         labels.select("doc_id", bad.cast("int").alias("bad")).filter("doc_id is not null and bad is not null")
         .groupBy("doc_id").agg(F.max("bad").alias("bad"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     # at most max_rows rows of two numbers
-    sample = base_counts(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).filter("not base_failed")
-    return materialize(sample.select("doc_id", "bad", *[f"f_{f}" for f in FEATURES]).repartition(1), "quality")  # at most max_rows rows of numbers
+    sample, inputs = base_counts(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
+    sample = sample.filter("not base_failed").select("doc_id", "bad", F.col(inputs).alias("inputs"))
+    return materialize(sample.repartition(1), "quality")  # at most max_rows rows of numbers
 
 
 def learn(rows: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
-    """Ordered conjunctions that cover low-quality rows.  No or one-sided labels give no rules."""
-    names = [f"f_{f}" for f in FEATURES]
+    """Ordered conjunctions that cover low-quality rows of ``rows(doc_id, bad, inputs)``.
+
+    Rules grow on two thirds of the rows, by the gain in information for each threshold
+    on either side, and are cut back to the prefix that is best on the last third.  No or
+    one-sided labels give no rules.
+    """
+    inputs = F.col("inputs")
     steps = [k / QUANTILES for k in range(1, QUANTILES)] + [0.97, 0.99]
-    cuts = dict(zip(FEATURES, rows.approxQuantile(names, steps, 0.001), strict=True))
+    cuts = dict(zip(FEATURES, rows.select("inputs.*").approxQuantile(list(FEATURES), steps, 0.0), strict=True))
     cuts = {f: sorted(set(v)) for f, v in cuts.items() if v}
     grow = F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0
     rules: list[Rule] = []
@@ -146,7 +154,7 @@ def learn(rows: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
 
     def histogram(covered: DataFrame) -> dict:
         def bin_of(f: str, c: list[float]) -> Column:  # how many thresholds lie below the value
-            below = F.filter(F.array(*map(F.lit, c)), lambda t: t < F.col(f"f_{f}"))
+            below = F.filter(F.array(*map(F.lit, c)), lambda t: t < inputs[f])
             return F.struct(F.lit(f).alias("f"), F.size(below).alias("b"))
 
         bins = F.array(*[bin_of(f, c) for f, c in cuts.items()])
@@ -158,7 +166,7 @@ def learn(rows: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
         rule: Rule = ()
         at = left.filter(grow)
         while len(rule) < MAX_CONDITIONS:
-            hist = histogram(at.filter(_all(rule)))
+            hist = histogram(at.filter(_all(rule, inputs)))
             first = next(iter(cuts))
             p0 = sum(v[0] for (f, _), v in hist.items() if f == first)
             n0 = sum(v[1] for (f, _), v in hist.items() if f == first)
@@ -181,7 +189,7 @@ def learn(rows: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
         if not rule:
             break
         prefixes = [rule[: k + 1] for k in range(len(rule))]
-        sums = [F.sum(F.when(_all(r) & held, v)).alias(f"{tag}{k}{s}") for k, r in enumerate(prefixes)
+        sums = [F.sum(F.when(_all(r, inputs) & held, v)).alias(f"{tag}{k}{s}") for k, r in enumerate(prefixes)
                 for tag, held in (("g", grow), ("h", ~grow)) for s, v in (("p", F.col("bad")), ("n", 1 - F.col("bad")))]
         got = left.agg(*sums).first().asDict()
 
@@ -194,25 +202,35 @@ def learn(rows: DataFrame, min_precision: float = MIN_PRECISION) -> list[Rule]:
         if p < MIN_COVERED or p / (p + n) < min_precision:
             break
         rules.append(prefixes[keep])
-        left = left.filter(~_all(prefixes[keep]))
+        left = left.filter(~_all(prefixes[keep], inputs))
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], inputs: Column) -> Column:
     """The decision list: the first rule that holds rejects; a document that meets none is kept."""
     out = F.when(F.lit(False), False)
     for r in rules:
-        out = out.when(_all(r), False)
+        out = out.when(_all(r, inputs), False)
     return out.otherwise(True)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``; learns from ``labels(doc_id, quality)``.
 
-    Every row stays, repeated ones too.  Input columns named like an output are replaced.
+    Every row stays, repeated ones too.  Input columns named like an output are replaced;
+    other columns pass through, whatever their names.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
+    source = docs.select(*named(kept_columns(docs, [*COUNTS, "kept"])))
     rules = learn(training_rows(source, labels, F.col("quality") == 0))
-    counted = base_counts(source)
-    return counted.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop(*[f"f_{f}" for f in FEATURES])
+    counted, inputs = base_counts(source)
+    return counted.withColumn("kept", ~F.col("base_failed") & verdict(rules, F.col(inputs))).drop(inputs)
+
+
+def held_out_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row over the fifth of the labelled rows that the rules of this call are not learned from: low-quality
+    ones rejected and kept, others rejected and kept, all of them past the base rules."""
+    rows = training_rows(docs, labels, F.col("quality") == 0)
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0
+    kept = verdict(learn(rows.filter(~held)), F.col("inputs"))
+    counts = {"found": (1, False), "missed": (1, True), "rejected": (0, False), "left": (0, True)}
+    return rows.filter(held).agg(*[F.count_if((F.col("bad") == b) & (kept == k)).alias(n) for n, (b, k) in counts.items()])

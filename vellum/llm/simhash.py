@@ -10,7 +10,10 @@ Scale: equal texts (and all equal fingerprints) meet in one row before anything
 compared.  There are at most ``17**4`` kinds of tile; a kind with many rows is split
 into parts of about TILE_ROWS, so a task holds two parts at a time.  Of each tile
 pair only a spanning forest of its links leaves the task, never all pairs of a group
-of near copies; the forests have the same components as the links.
+of near copies; the forests have the same components as the links.  The method compares
+pairs, so its work grows with the square of the distinct fingerprints: at 4 % of all
+pairs and some 3e8 of them a core second, a thousand cores take 1e8 fingerprints in about
+ten minutes and 1e9 in a day.
 """
 
 from __future__ import annotations
@@ -127,7 +130,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 def tile_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """``fps(fp, node)``, one row per fingerprint -> ``(a, b)`` nodes; a forest of each tile pair's links.
 
-    ``fps`` is read several times, so pass a written table.
+    ``fps`` is read several times, so pass a written table; neither column may be null.
     """
     base = 64 // segments + 1
     tiled = fps.select("fp", "node", _tile(F.col("fp"), segments).alias("tile"))

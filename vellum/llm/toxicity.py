@@ -3,6 +3,9 @@
 Features: densities of a fixed and of a learned lexicon, how near hits stand to
 second-person words, capitals, punctuation and obfuscated spellings.  All are
 built-in functions; texts are scored where they lie, without a shuffle.
+
+Learned words and trees see three quarters of the labelled sample; the isotonic step is
+fitted on the last quarter alone, so it maps scores of texts that neither has seen.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize, words_of
+from .common import bind, free, kept_columns, materialize, named, words_of
 from .trees import probability
 
-#: Labelled rows to learn from at most (those with the smallest hashes of doc_id); learned words at most.
+#: Labelled rows to learn from at most (those with the smallest hashes of doc_id); learned words at most (those in
+#: most contexts), the contexts each takes, and the share of them in toxic texts.
 MAX_TRAIN, MAX_LEARNED, MIN_CONTEXTS, MIN_SHARE = 12_000, 64, 4, 0.6
 THRESHOLD = 0.3
 
@@ -33,6 +37,7 @@ SECOND_PERSON = (
     "du dich dir dein deine deinen euch euer"
 ).split()
 
+# Punctuation.
 _PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_~`+=/\\"
 NAMES = (
     "fixed_density", "learned_density", "fixed_hits", "learned_hits", "near_you", "you_density", "capitals",
@@ -49,27 +54,31 @@ def _words(text: Column) -> Column:
     return words_of(F.lower(text))
 
 
-def features(docs: DataFrame, learned: list[str]) -> DataFrame:
-    """Append ``features`` (array of doubles, in the order of NAMES) to ``docs``; a null text is empty."""
+def features(docs: DataFrame, learned: list[str]) -> tuple[DataFrame, str]:
+    """``docs`` and a column of features (array of doubles, in the order of NAMES), and its name; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
+    words, marks, into = free(docs.columns, "words", "marks", "features")
     # punctuation off first, so plain words need one lookup
-    stripped = F.translate(F.lower(text), _PUNCTUATION, "")
-    undone = F.translate(stripped, "0134@57", "oieaast")
-    words = words_of(undone)
-    learned = learned or ["\x00"]
-    # one letter a word: F fixed, L learned, Y second person, space otherwise
-    marks = F.array_join(
-        F.transform(words, lambda w: F.when(w.isin(*INSULTS), "F").when(w.isin(*learned), "L").when(w.isin(*SECOND_PERSON), "Y").otherwise(".")),
-        "",
-    )
+    step = bind(docs, words, words_of(F.translate(F.translate(F.lower(text), _PUNCTUATION, ""), "0134@57", "oieaast")))
+    w = F.col(words)
+    lexicon = sorted({*INSULTS, *learned, *SECOND_PERSON})
+
+    # one letter a word: F fixed, L learned, Y second person, a stop otherwise; most words need one lookup, most texts none
+    def mark(x: Column) -> Column:
+        kind = F.when(x.isin(*INSULTS), "F")
+        if learned:
+            kind = kind.when(x.isin(*learned), "L")
+        return F.when(~x.isin(*lexicon), ".").otherwise(kind.otherwise("Y"))
+
+    met = F.arrays_overlap(w, F.array(*map(F.lit, lexicon)))
+    step = bind(step, marks, F.when(met, F.array_join(F.transform(w, mark), "")).otherwise(F.repeat(F.lit("."), F.size(w)))).drop(words)
 
     def count(chars: str, of: Column = text) -> Column:
         return F.length(of) - F.length(F.translate(of, chars, ""))
 
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    step = bind(docs, "__m", marks)
     chars = F.greatest(F.length(text), F.lit(1))
-    m = F.col("__m")
+    m = F.col(marks)
     fixed, hits_learned = count("F", m), count("L", m)
     near = F.when(fixed + hits_learned == 0, 0).otherwise(F.regexp_count(m, F.lit("[FL](?=.{0,3}Y)|Y(?=.{0,3}[FL])")))
     obfuscated = F.regexp_count(text, F.lit(r"[A-Za-z]{1,20}[0-9@$*!]{1,4}[A-Za-z]"))
@@ -79,7 +88,7 @@ def features(docs: DataFrame, learned: list[str]) -> DataFrame:
         fixed / n, hits_learned / n, fixed, hits_learned, near, count("Y", m) / n, count(upper) / chars, shout / n,
         count("!?") / chars, count(_PUNCTUATION) / chars, obfuscated / n, F.log1p(n),
     ]
-    return bind(step, "features", F.array(*[v.cast("double") for v in values])).drop("__m")
+    return bind(step, into, F.array(*[v.cast("double") for v in values])).drop(marks), into
 
 
 @dataclass
@@ -99,7 +108,7 @@ def learn_words(sample: DataFrame) -> list[str]:
     """Words that stand in toxic texts in varied company.
 
     A word counts once per distinct word before it, so copies of one toxic text don't
-    make all of its words look toxic.
+    make all of its words look toxic.  A null text has no words.
     """
     words = bind(sample, "ws", F.transform(_words(F.coalesce("text", F.lit(""))), _plain))
     pairs = words.select("toxic", F.explode(F.transform(
@@ -120,29 +129,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     sample = materialize(
-        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").repartition(8), "toxic"  # max_rows rows of two numbers
+        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_rows rows of two numbers
+        .withColumn("calibrate", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).repartition(8), "toxic",
     )
-    learned = learn_words(sample)
-    rows = features(sample, learned).select(
-        F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features"),
-        (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).alias("calibrate"),
-        F.xxhash64("doc_id").alias("seed"),
+    learned = learn_words(sample.filter("not calibrate"))
+    made, into = features(sample, learned)
+    rows = materialize(
+        made.select(F.col("toxic").cast("double").alias("label"), array_to_vector(into).alias("features"), "calibrate").coalesce(4), "toxic-features"
     )
-    rows = materialize(rows.coalesce(4), "toxic-features")
     total, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     rate = (toxic or 0.0) / total if total else 0.0
     train = rows.filter("not calibrate")
     if train.select("label").distinct().count() < 2:
         return Model(learned, None, [], rate)
     trees = GBTClassifier(maxIter=20, maxDepth=4, minInstancesPerNode=5, stepSize=0.2, seed=42).fit(train)
-    scored = trees.transform(rows).select("label", F.element_at(vector_to_array("probability"), 2).alias("p"))
-    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored)
+    unseen = trees.transform(rows.filter("calibrate")).select("label", F.element_at(vector_to_array("probability"), 2).alias("p"))
+    if unseen.select("label").distinct().count() < 2:
+        return Model(learned, trees, [], rate)
+    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(unseen)
     steps = list(zip(iso.boundaries.toArray().tolist(), iso.predictions.toArray().tolist(), strict=True))
     return Model(learned, trees, steps, rate)
 
 
 def calibrated(p: Column, steps: list[tuple[float, float]]) -> Column:
-    """Linear between the fitted points, constant outside."""
+    """Linear between the fitted points, constant outside; ``p`` itself without any."""
+    if not steps:
+        return p
     xs = F.array(*[F.lit(x) for x, _ in steps])
     ys = F.array(*[F.lit(y) for _, y in steps])
     k = F.size(F.filter(xs, lambda x: x < p))
@@ -156,11 +168,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Every row is scored, null and empty texts as texts without words; repeated rows get
     equal scores.  Without labels of both classes the score is the share of toxic
-    labels.  Input columns named like an output are replaced.
+    labels.  Input columns named like an output are replaced; other columns pass
+    through, whatever their names.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
+    source = docs.select(*named(kept_columns(docs, ["score", "predicted"])))
     if model.trees is None:
         return source.withColumns({"score": F.lit(model.base_rate), "predicted": F.lit(int(model.base_rate >= THRESHOLD))})
-    made = bind(features(source, model.learned), "__p", probability(model.trees, lambda i: F.col("features")[i]))
-    p = F.least(F.greatest(calibrated(F.col("__p"), model.calibration), F.lit(0.0)), F.lit(1.0))
-    return bind(made, "score", p).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("features", "__p")
+    made, into = features(source, model.learned)
+    (raw,) = free(made.columns, "raw")
+    made = bind(made, raw, probability(model.trees, lambda i: F.col(into)[i]))
+    p = F.least(F.greatest(calibrated(F.col(raw), model.calibration), F.lit(0.0)), F.lit(1.0))
+    return bind(made, "score", p).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(into, raw)
+
+
+def held_out_counts(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row over labelled rows that learning never sees: toxic ones found and missed, clean ones flagged and left."""
+    known = labels.filter(held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    met = scored.select("doc_id", "predicted").join(known, "doc_id")
+    counts = {"found": "toxic = 1 and predicted = 1", "missed": "toxic = 1 and predicted = 0", "flagged": "toxic = 0 and predicted = 1", "left": "toxic = 0 and predicted = 0"}
+    return met.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()])
