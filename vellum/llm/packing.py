@@ -7,11 +7,13 @@
    by non-negative least squares, round down, and pack the residual counts best-fit.
    The work depends on the limit alone, not on the number of documents.
 5. Give the k-th piece of a length the k-th slot of that length.  Ranks are taken
-   within (length, salt), so a length that a third of all pieces share is split.
+   within (length, salt); a length has SALTS salts, and more if it has over RANK_ROWS
+   pieces for each, so a length that a third of all pieces share is split at any size.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, kept_columns, materialize, named
 
-LIMIT, END_ID, SALTS, MAX_WORDS = 1024, 2, 64, 400_000
+LIMIT, END_ID, SALTS, RANK_ROWS, MAX_WORDS = 1024, 2, 64, 500_000, 400_000
+#: Runs of white space that the pattern's look-ahead would need too deep a stack for.
+_LONG_BLANK = re.compile(r"\s{100000}")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -32,7 +36,8 @@ class WordEncoder:
 
     A token never spans the place before a single space that stands between two
     characters other than white space.  Texts are cut there and each word with its
-    leading space is encoded once per worker (bounded memory).
+    leading space is encoded once per worker (bounded memory).  A text with 100,000
+    white spaces in a row goes to the tokenizers library as a whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -49,11 +54,23 @@ class WordEncoder:
 
         self.enc = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.memo: dict[str, bytes] = {}
+        self.path, self.library = tokenizer_path, None
+
+    def _by_library(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.enc.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if len(text) >= 100_000 and _LONG_BLANK.search(text):
+            return self._by_library(text)
         first, *rest = text.split(" ")
         if not rest:
             return self._ids(text)
@@ -221,54 +238,67 @@ def plan_sequences(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[i
     return plan
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Append ``sequence_id`` and ``offset`` to ``pieces``, placing every row exactly once.
+def _slots(counts: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """The plan as runs of slots in order of (length, first rank): length, first rank, sequence of that rank, offset.
 
-    Only the histogram (at most ``limit`` rows) and the counts by (length, salt)
-    (at most ``limit`` x SALTS rows) are gathered.  The plan has at most a few rows
-    per pattern and goes back as a table joined by (length, range of ranks).
+    Slot ``rank`` of a run from rank ``low`` in sequence ``first`` is in sequence ``first + rank - low``.
     """
-    spark = pieces.sparkSession
-    # salts come in equal order on every run: they depend on the row alone
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS)))
-    tallies = salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()
-    counts = np.zeros(limit + 1, np.int64)
-    base, rows = {}, []
-    for r in sorted(tallies, key=lambda r: (r["length"], r["__salt"])):
-        rows.append((r["length"], r["__salt"], int(base.get(r["length"], 0))))
-        base[r["length"]] = base.get(r["length"], 0) + r["n"]
-        counts[r["length"]] += r["n"]
-    slots, at, ranks = [], 0, np.zeros(limit + 1, np.int64)
+    runs, at, ranks = [], 0, np.zeros(limit + 1, np.int64)
     for lengths, n in plan_sequences(counts, limit):
         offset = 0
-        for k, size in enumerate(lengths):
-            # the run of slots [lo, lo + n) of this length: slot lo + j is in sequence at + j
-            slots.append((size, int(ranks[size]), n, at, offset))
+        for size in lengths:
+            runs.append((size, int(ranks[size]), at, offset))
             ranks[size] += n
             offset += size
         at += n
-    bases = spark.createDataFrame(rows, "length long, __salt long, __base long")
-    runs = spark.createDataFrame(slots, "length long, __lo long, __n long, __seq long, offset long")
-    # per length, the runs in order: a piece finds its own by the largest start up to its rank
-    runs = runs.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("__lo", "__n", "__seq", "offset"))).alias("__runs"))
-    w = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
-        salted.withColumn("__k", F.row_number().over(w) - 1)
-        .join(F.broadcast(bases), ["length", "__salt"])  # at most limit x SALTS rows of three longs
-        .withColumn("__rank", F.col("__base") + F.col("__k"))
-        .join(F.broadcast(runs), "length")  # at most limit rows; their arrays hold the plan
-    )
-    own = F.filter("__runs", lambda r: (r["__lo"] <= F.col("__rank")) & (F.col("__rank") < r["__lo"] + r["__n"]))[0]
-    return ranked.withColumn("__run", own).select(
-        *pieces.columns,
-        (F.col("__run.__seq") + F.col("__rank") - F.col("__run.__lo")).alias("sequence_id"),
-        F.col("__run.offset").alias("offset"),
-    )
+    return tuple(np.array(sorted(runs), np.int64).reshape(-1, 4).T.copy())
+
+
+def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Append ``sequence_id`` and ``offset`` to ``pieces``, placing every row exactly once.
+
+    ``pieces`` is read twice, so pass a written table; columns of an output's name are
+    replaced.  Only the histogram (at most ``limit`` rows) is gathered.  The plan, some
+    runs of slots per pattern, depends on ``limit`` alone and goes to the tasks.
+    """
+    columns = kept_columns(pieces, ["sequence_id", "offset"])
+    salts, salt, k, base = free(columns, "salts", "salt", "k", "base")
+    pieces = pieces.select(*named(columns))
+    sizes = pieces.groupBy("length").agg(F.count("*").alias("n"))
+    counts = np.zeros(limit + 1, np.int64)
+    for r in sizes.collect():
+        counts[r["length"]] = r["n"]
+    low, first_rank, first_sequence, offset = _slots(counts, limit)
+    # one row a length; salts come in equal order on every run: they depend on the row alone
+    dealt = sizes.select("length", F.greatest(F.lit(SALTS), F.ceil(F.col("n") / RANK_ROWS)).alias(salts))
+    salted = pieces.join(F.broadcast(dealt), "length").withColumn(
+        salt, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col(salts))).drop(salts)
+    # at most SALTS rows a length, and one for RANK_ROWS pieces
+    tallies = salted.groupBy("length", salt).agg(F.count("*").alias(base))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    tallies = tallies.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    ranked = salted.withColumn(k, nth).join(tallies, ["length", salt]).select(*named(columns), F.col("length").cast("long").alias(salt), (F.col(k) + F.col(base)).alias(k))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.searchsorted(low, np.arange(limit + 2))  # first run of each length
+        for b in batches:
+            length, rank = (np.asarray(b.column(i)) for i in (len(columns), len(columns) + 1))
+            run = np.empty(len(length), np.int64)
+            for size in np.unique(length):
+                at = np.flatnonzero(length == size)
+                run[at] = starts[size] + np.searchsorted(first_rank[starts[size] : starts[size + 1]], rank[at], "right") - 1
+            made = [pa.array(first_sequence[run] + rank - first_rank[run]), pa.array(offset[run])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *made], names=[*columns, "sequence_id", "offset"])
+
+    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
     """Tokenize, cut and pack whole documents; see :func:`token_pieces` and :func:`pack`.
 
-    Repeated rows are packed once each.  An empty table gives an empty table.
+    Repeated rows are packed once each.  An empty table gives an empty table.  Columns
+    other than doc_id and text are ignored; a null doc_id is a document like any other.
     """
     return pack(materialize(token_pieces(docs, tokenizer_path, limit), "pieces"), limit)
