@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in an earlier document, or nearly, go from the later one; exact copies of any length."""
-    return _with_size(lines.dedup_lines(docs, short=True))
+    """Lines that stand earlier, or nearly, go; exact copies of any length."""
+    return _with_size(lines.dedup_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

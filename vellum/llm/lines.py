@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines of at least MIN_WORDS words take part; shorter and blank lines stay.  With
-``short`` the shorter ones take part as exact copies; only blank lines stay.  Two lines
-are near copies when one word substitution, insertion or deletion turns one into the
-other (words are runs without ASCII white space, compared in lower case).  A line
-goes when an equal or near line stands earlier in (doc_id, line number) order.
+All lines with a word take part; blank lines stay.  Words are runs without ASCII white
+space, compared in lower case.  Equal lines are copies at any length.  Two lines of
+NEAR_WORDS words or more are near copies when one word substitution, insertion or
+deletion turns one into the other: one edit in fewer words changes what they say.
+A line goes when an equal or near line stands earlier in the order of doc_id, line
+number and the hash of the text, whether or not that one goes itself.
 
 1. Equal lines become one class with its earliest place.
 2. Lossless prefilter: with one edit, either the first or the last half of the words
@@ -27,47 +28,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, materialize
+from .common import bind, free, kept_columns, materialize, named
 
-MIN_WORDS = 5
-PLACE = ("doc_id", "line_no", "h1", "h2")
+#: Words that a line has at least to be a near copy of another.
+NEAR_WORDS = 5
+PLACE = ("doc_id", "line_no", "th")
 #: White space other than the space and the line feed.
 RARE_SPACE = "\t\x0b\x0c\r"
 
 
-def _split_lines(docs: DataFrame, *more: Column, least: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, more, line_no, line)``; white space in a line is spaces."""
+def _split_lines(docs: DataFrame, least: int) -> DataFrame:
+    """``(doc_id, th, line_no, line)`` of lines that can have ``least`` words; white space in a line is spaces.
+
+    ``th`` tells apart texts with one doc_id.
+    """
     text = F.col("text")
     rare = F.lit(False)
     for c in RARE_SPACE:
         rare = rare | F.contains(text, F.lit(c))
     spaced = F.when(rare, F.regexp_replace(text, f"[{RARE_SPACE}]", " ")).otherwise(text)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split(spaced, "\n")).alias("line_no", "line")
-    ).filter(F.length("line") >= 2 * least - 1)
+    # hashed and split before the lines are dealt out, so no line carries its whole text
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split(spaced, "\n").alias("ls"))
+    return split.select("doc_id", "th", F.posexplode("ls").alias("line_no", "line")).filter(F.length("line") >= 2 * least - 1)
 
 
-def _with_words(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Lines that take part, with ``words`` and the two hashes of their class."""
+def _with_words(lines: DataFrame, least: int) -> DataFrame:
+    """Lines of ``least`` words or more, with ``words`` and the two hashes of their class."""
     words = F.array_remove(F.split(F.lower("line"), " "), "")  # a plain split and no lambda: stays in generated code
     return bind(lines, "words", words).drop("line").filter(F.size("words") >= least).withColumns(
         {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit("2"), "words")}
     )
 
 
-def line_places(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``(doc_id, th, line_no, h1, h2)`` and half keys of each line that takes part; ``th`` tells apart texts with one doc_id."""
-    least = 1 if short else MIN_WORDS
-    lines = _with_words(_split_lines(docs, F.xxhash64("text").alias("th"), least=least), least)
+def line_places(docs: DataFrame) -> DataFrame:
+    """``(doc_id, th, line_no, h1, h2)`` and half keys of each line that takes part."""
     return materialize(
-        lines.select("doc_id", "th", "line_no", "h1", "h2", *_half_keys(F.col("words"))), "lines"
+        _with_words(_split_lines(docs, 1), 1).select("doc_id", "th", "line_no", "h1", "h2", *_half_keys(F.col("words"))), "lines"
     )
 
 
 def _half_keys(words: Column) -> list[Column]:
     """Hashes of the first and last q words, for q the half of the shorter line of a pair:
     n div 2 (this one is the shorter, or both are equal) and (n - 1) div 2 (this one is longer; null if that's the same).
-    Lines under MIN_WORDS words have none."""
+    Lines under NEAR_WORDS words have none."""
     n = F.size(words)
 
     def key(end: str, q: Column) -> Column:
@@ -75,19 +78,17 @@ def _half_keys(words: Column) -> list[Column]:
         return F.xxhash64(F.lit(end), q, part)
 
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    equal = [F.when(n >= MIN_WORDS, key(end, half)).alias(f"{end}0") for end in ("first", "last")]
-    return equal + [F.when((n >= MIN_WORDS) & (n % 2 == 0), key(end, less)).alias(f"{end}1") for end in ("first", "last")]
+    equal = [F.when(n >= NEAR_WORDS, key(end, half)).alias(f"{end}0") for end in ("first", "last")]
+    return equal + [F.when((n >= NEAR_WORDS) & (n % 2 == 0), key(end, less)).alias(f"{end}1") for end in ("first", "last")]
 
 
 def _survivors(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes ``(h1, h2, place, copies)``, and those that share a half with another class ``(h1, h2, place)``."""
     halves = ("first0", "last0", "first1", "last1")
     found = places.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("p"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in halves]
-    )
-    classes = materialize(
-        found.select("h1", "h2", F.struct("p.doc_id", "p.line_no", "h1", "h2").alias("place"), "copies", *halves), "classes"
+        F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in halves]
     )
+    classes = materialize(found, "classes")
     keys = classes.select("h1", "h2", F.explode(F.array_compact(F.array(*halves))).alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     near = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
@@ -97,14 +98,13 @@ def _survivors(places: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_earlier(docs: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
     """``(h1, h2)`` of classes with a near class that stands earlier."""
     # one long for a class, in the order of places
-    own = classes.join(near, ["h1", "h2"], "left_semi").select("place.*").orderBy(*PLACE)
+    own = classes.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "place.*").orderBy(*PLACE)
     own = materialize(own.withColumn("rank", F.monotonically_increasing_id()), "own")
     # words of surviving classes, from the class's earliest line
-    asked = own.withColumnsRenamed({c: f"own_{c}" for c in PLACE})
-    found = _split_lines(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("line_no") == F.col("own_line_no")))
-    words = materialize(
-        _with_words(found).filter("h1 = own_h1 and h2 = own_h2").select("rank", "words").dropDuplicates(["rank"]), "words"
-    )
+    asked = own.select("rank", *[F.col(c).alias(f"own_{c}") for c in PLACE])
+    here = (F.col("th") == F.col("own_th")) & (F.col("line_no") == F.col("own_line_no")) & F.col("doc_id").eqNullSafe(F.col("own_doc_id"))
+    found = _split_lines(docs, NEAR_WORDS).join(asked, here)
+    words = materialize(_with_words(found, NEAR_WORDS).select("rank", "words").dropDuplicates(["rank"]), "words")  # rows of documents may repeat
 
     def folded(shift: int) -> Column:  # exclusive-or of all word hashes, positions shifted
         hashes = F.transform("words", lambda w, i: F.xxhash64(w, i - shift if shift else i))
@@ -149,41 +149,43 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return close & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, drops)``: numbers of the lines that go, from 0, for each document with any."""
-    places = line_places(docs, short)
+    places = line_places(docs)
     classes, near = _survivors(places)
     late = materialize(near_earlier(docs, classes, near), "late").withColumn("near", F.lit(True))
     judged = classes.join(late, ["h1", "h2"], "left").filter("near or copies > 1")
     act = judged.select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near"),
-                        F.col("place.doc_id").alias("d0"), F.col("place.line_no").alias("l0"))
+                        *[F.col(f"place.{c}").alias(f"first_{c}") for c in PLACE])
     gone = places.join(act, ["h1", "h2"]).filter(
-        "near or not (doc_id <=> d0 and line_no = l0)"
+        "near or not (doc_id <=> first_doc_id and line_no = first_line_no and th = first_th)"
     )
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less its repeated lines, and ``n_lines``, ``n_dropped``.
 
     A null text stays null (0 lines); an empty one has one line.  Rows with equal
-    doc_id and text are one document and get the same result.  Rows without doc_id
-    come first in the order.  Input columns named like an output are replaced;
-    other columns pass through.
+    doc_id and text are one document and get the same result; rows with equal doc_id
+    and different texts are documents of their own.  Rows without doc_id come first in
+    the order.  Input columns named like an output are replaced; other columns pass
+    through, whatever their names.
     """
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__id", "__th")]
-    drops = dropped_lines(docs, short).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
-    source = docs.select(*[F.col(f"`{c}`") for c in rest])
+    rest = kept_columns(docs, ["n_lines", "n_dropped"])
+    drops, doc, th = free(rest, "drops", "id", "th")
+    source = docs.select(*named(rest))
     joined = source.join(
-        drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left"
+        dropped_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": doc, "th": th, "drops": drops}),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left",
     )
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
-    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drops))
+    text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(
         F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))[0]
     )
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest],
+        *[text.alias(c) if c == "text" else named([c])[0] for c in rest],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"),
     )
