@@ -2,9 +2,9 @@
 
 URLs become sets of tokens (host labels, path segments, query names, scheme).  On
 labelled URLs Spark's FP-growth finds token combinations that go with a block label;
-rules under the support or confidence bound go, and so do rules that a shorter one
-with as much confidence implies.  An inverted index from token to rule matches them:
-a rule fires when all of its tokens are met.
+rules under the support or confidence bound go, and so do rules of which a part is a
+rule: they fire on no other URL.  An inverted index from token to rule matches them:
+a rule stands under its rarest token, and fires when all of its tokens are met.
 """
 
 from __future__ import annotations
@@ -66,19 +66,26 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame) -> DataFrame:
     """``labelled(tokens, blocked 0/1)`` -> ``(rule_id, tokens, confidence, support)``.
 
-    A rule is implied if any proper part of its tokens, of whatever length, is a rule
-    with as much confidence.  A url of k tokens has at most 2^k sets, so there are at most
-    that many times the labelled urls / MIN_COUNT rules.
+    Rules of any length whose confidence and support reach the bounds and of which no
+    proper part does.  Such a rule has no token that all labelled urls have, nor one that
+    fewer than MIN_COUNT blocked ones have, so those are left out of the baskets.
     """
     schema = "rule_id long, tokens array<string>, confidence double, support double"
-    baskets = labelled.select(F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
-    n = baskets.count()
-    if n < MIN_COUNT:
+    n, blocked = labelled.agg(F.count("*"), F.sum("blocked")).first()
+    if (blocked or 0) < MIN_COUNT:
         return labelled.sparkSession.createDataFrame([], schema)
-    # half a url less: MIN_COUNT / n times n may round up past MIN_COUNT
-    model = FPGrowth(itemsCol="items", minSupport=(MIN_COUNT - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    counts = labelled.select("blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    useful = counts.filter((F.col("n") < n) & (F.col("b") >= MIN_COUNT)).select("token")
+    keyed = materialize(labelled.withColumn("id", F.monotonically_increasing_id()), "url-baskets")
+    baskets = keyed.select("id", "blocked", F.explode("tokens").alias("token")).join(useful, "token").groupBy("id").agg(
+        F.collect_list("token").alias("tokens"), F.max("blocked").alias("blocked"))
+    items = F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens"))
+    # half a url less: a share of n times n may round up past MIN_COUNT
+    baskets = materialize(baskets.select(items.alias("items")), "url-items")
+    held = baskets.count()  # urls without a useful token count in no rule
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, MIN_COUNT - 0.5) / max(held, 1), minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCKED).select(
-        F.sort_array("antecedent").alias("tokens"), "confidence", "support"
+        F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support")
     )
     rules = materialize(rules, "url-rules")
     # every proper part: one token after another, each part so far with and without it
@@ -86,45 +93,81 @@ def mine(labelled: DataFrame) -> DataFrame:
         "tokens", F.array(F.array().cast("array<string>")),
         lambda got, t: F.concat(got, F.transform(got, lambda part: F.array_append(part, t))),
     )
-    parts = rules.select("tokens", "confidence", F.explode(parts).alias("part")).filter("size(part) < size(tokens) and size(part) > 0")
-    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
-    implied = parts.join(shorter, "part").filter("c >= confidence").select("tokens").distinct()
+    parts = rules.select("tokens", F.explode(parts).alias("part")).filter("size(part) < size(tokens) and size(part) > 0")
+    implied = parts.join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
     left = rules.join(implied, "tokens", "left_anti")
-    return left.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
+    return materialize(left.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-minimal")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls(url, tokens)``, distinct -> ``(url, confidence)`` of urls that meet all tokens of some rule."""
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("need"), "confidence")
-    asked = urls.select("url", F.explode("tokens").alias("token"))
-    met = asked.join(index, "token").groupBy("url", "rule_id").agg(
-        F.count("*").alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence"))
-    return met.filter("n = need").groupBy("url").agg(F.max("confidence").alias("confidence"))
+    """``urls(key, tokens)``, distinct -> ``(key, confidence)`` of urls that meet all tokens of some rule.
 
+    The index has one row a rule, under the token that the fewest urls have, so a token of
+    nearly all urls isn't asked for; the rest of the rule is compared in the join.
+    """
+    asked = urls.select("key", "tokens", F.explode("tokens").alias("token"))
+    used = rules.select(F.explode("tokens").alias("token")).distinct()
+    often = asked.select("token").join(used, "token").groupBy("token").agg(F.count("*").alias("n"))
+    index = rules.select("rule_id", F.col("tokens").alias("need"), "confidence", F.explode("tokens").alias("token")).join(often, "token")
+    index = index.groupBy("rule_id").agg(F.min_by(F.struct("token", "need", "confidence"), F.struct("n", "token")).alias("i")).select("i.*")
+    met = asked.join(index, "token").filter(F.size(F.array_except("need", "tokens")) == 0)
+    return met.groupBy("key").agg(F.max("confidence").alias("confidence"))
 
-def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, confidence)`` for every row of ``pages``.
 
-    Labels: urls that an explicit rule judges, by its verdict; of the others those in
-    ``labels(page_id, blocked)``.  A url without rule and match is allowed; so is a null
-    url.  Repeated rows stay.  Without labels nothing is mined.  Other columns are ignored.
-    """
+def _judged(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, key, host, path, rule, says)``; ``key`` is a hash of the url."""
     host, path = host_and_path(F.col("url"))
-    base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    base = pages.select("page_id", "url", F.xxhash64("url", F.lit(1)).alias("key"), host.alias("host"), path.alias("path"))
     rule, says = longest_rule(F.col("host"), F.col("path"))
-    base = base.withColumns({"rule": rule, "says": says})
-    distinct = materialize(
-        base.filter("url is not null").select("url", "host", "path", "says").distinct()
-        .withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))), "urls"
-    )
-    given = base.filter("says is null and url is not null").join(labels, "page_id").groupBy("url").agg(F.max("blocked").alias("given"))
-    labelled = (
-        distinct.join(given, "url", "left")
-        .withColumn("blocked", F.coalesce(F.when(F.col("says") == "block", 1).when(F.col("says") == "allow", 0), F.col("given").cast("int")))
-        .filter("blocked is not null").select("tokens", "blocked")
-    )
-    hit = matches(distinct.filter("says is null").select("url", "tokens"), mine(labelled))
-    return base.join(hit, "url", "left").select(
+    return base.withColumns({"rule": rule, "says": says})
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``pages`` under the explicit rules, and their distinct urls ``(key, tokens, says, blocked)``.
+
+    A url that an explicit rule judges has its verdict as label.  Of the others those in
+    ``labels(page_id, blocked)`` are labelled (the highest of a url's pages) and the rest
+    is not (``blocked`` null).  Without ``labels`` all others are labelled 0: nothing is
+    known against them, and left out they would make every token of the blocked ones look bad.
+    """
+    base = _judged(pages)
+    urls = base.filter("url is not null").groupBy("key").agg(F.min(F.struct("url", "host", "path", "says")).alias("u"))
+    urls = urls.select("key", tokens(F.col("u.url"), F.col("u.host"), F.col("u.path")).alias("tokens"), F.col("u.says").alias("says"))
+    label = (F.col("says") == "block").cast("int")
+    if labels is None:
+        label = F.coalesce(label, F.lit(0))
+    else:
+        given = base.filter("says is null and url is not null").select("page_id", "key").join(labels, "page_id")
+        urls = urls.join(given.groupBy("key").agg(F.max("blocked").cast("int").alias("given")), "key", "left")
+        label = F.coalesce(label, F.col("given"))
+    return base, materialize(urls.select("key", "tokens", "says", label.alias("blocked")), "urls")
+
+
+def judge(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``(page_id, host, path, rule, verdict, confidence)`` for every row of ``pages``.
+
+    The explicit rule's verdict, else block if a mined rule matches (``confidence`` is the
+    highest of those), else allow; see :func:`labelled_urls` for what is learned from.  A
+    null url is allowed.  Repeated rows stay.  Other columns are ignored.
+    """
+    base, urls = labelled_urls(pages, labels)
+    hit = matches(urls.filter("says is null").select("key", "tokens"), mine(urls.filter("blocked is not null").select("tokens", "blocked")))
+    return base.join(hit, "key", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("says", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence",
     )
+
+
+def held_out_counts(pages: DataFrame) -> DataFrame:
+    """One row over a quarter of the distinct urls, by mined rules of the other three alone: blocked ones found and
+    missed, allowed ones flagged and left, and others (no explicit rule) flagged."""
+    _, urls = labelled_urls(pages)
+    held = F.pmod("key", F.lit(4)) == 0
+    rules = mine(urls.filter(~held).select("tokens", "blocked"))
+    met = urls.filter(held).join(matches(urls.filter(held).select("key", "tokens"), rules), "key", "left")
+    counts = {
+        "found": "says = 'block' and confidence is not null", "missed": "says = 'block' and confidence is null",
+        "flagged": "says = 'allow' and confidence is not null", "left": "says = 'allow' and confidence is null",
+        "others_flagged": "says is null and confidence is not null", "others": "says is null",
+    }
+    return met.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()])
