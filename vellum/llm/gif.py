@@ -1,9 +1,13 @@
 """GIF media columns: lossless storage of bytes as 8-bit samples, and a GIF decoder.
 
-``write_gif`` stores bytes as colour indices of frames 192 samples wide.  Its code
-stream has a clear code before the code width would grow, so all codes have 9 bits
-and both directions are numpy operations.  ``read_gif`` decodes any LZW stream of
-the format, with palettes, interlace, frame delays, transparency and disposal.
+``write_gif`` stores bytes as colour indices of frames 192 samples wide, as LZW code
+streams with growing code widths and a fresh table when the old one is full.
+``read_frames`` decodes any stream of the format: code streams, palettes, interlace,
+delays, transparency and disposal; it gives one composed frame after another.
+``decode_frames`` stores them as rows with times and colour histograms.
+
+Scale: every stage is a narrow pass over Arrow batches.  A task holds one batch, one
+file and the canvas of one frame.
 """
 
 from __future__ import annotations
@@ -20,7 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIDTH, FRAME_ROWS, RUN, DELAY_CS = 192, 2048, 254, 4
+from .common import free, kept_columns, named
+
+WIDTH, FRAME_ROWS, DELAY_CS, BINS = 192, 2048, 4, 4
+#: Codes are up to 12 bits wide.
+MAX_CODES = 4096
 
 
 @dataclass
@@ -32,7 +40,13 @@ class Frame:
     delay_cs: int
     transparent: int  # -1: none
     disposal: int
-    canvas: np.ndarray | None = None  # height x width x 4 after composition
+    canvas: np.ndarray  # height x width x 4, of the whole image, with this frame shown
+
+
+def colour_cube() -> np.ndarray:
+    """256 colours: three bits of red and green, two of blue, spread over 0 to 255."""
+    i = np.arange(256)
+    return np.stack([(i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85], 1).astype(np.uint8)
 
 
 def _blocks(data: bytes) -> bytes:
@@ -45,205 +59,224 @@ def _blocks(data: bytes) -> bytes:
     return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """The samples as 9-bit codes, with a clear code (256) before each RUN of them and an end code (257)."""
-    n = len(samples)
-    runs = -(-n // RUN)
-    codes = np.full((runs, RUN + 1), 257, np.uint16)
-    codes[:, 0] = 256
-    flat = np.full(runs * RUN, 257, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(runs, RUN)
-    codes = np.append(codes.ravel()[: n + runs], np.uint16(257))
-    pad = -len(codes) % 8
-    groups = np.append(codes, np.zeros(pad, np.uint16)).astype(np.uint64).reshape(-1, 8)
-    # eight 9-bit codes make nine bytes, low bits first
-    out = np.zeros((len(groups), 9), np.uint64)
-    for k in range(8):
-        low, shift = divmod(9 * k, 8)
-        out[:, low] |= (groups[:, k] << np.uint64(shift)) & np.uint64(255)
-        out[:, low + 1] |= groups[:, k] >> np.uint64(8 - shift)
-    return out.astype(np.uint8).tobytes()[: -(-9 * len(codes) // 8)]
+def _widths(n: int, min_size: int) -> np.ndarray:
+    """Bits of the first ``n`` codes of a run (its clear code included): the k-th is read with the table
+    of k - 2 added codes, and the width grows when the table has filled it."""
+    size = (1 << min_size) + 2 + np.maximum(np.arange(n) - 2, 0)
+    return np.clip(np.frexp(size)[1], min_size + 1, 12)
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes as bits, low ones first."""
+    ends = np.cumsum(widths)
+    bits = np.zeros(int(ends[-1]) + 7 & ~7, np.uint8)
+    starts = ends - widths
+    for b in range(12):
+        has = widths > b
+        bits[starts[has] + b] = codes[has] >> b & 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
+    """The LZW code stream of ``samples``; a clear code stands first and whenever the table is full."""
+    clear = 1 << min_size
+    codes: list[int] = [clear]
+    runs = [0]  # where runs begin
+    put = codes.append
+    first = clear + 2
+    table: dict[int, int] = {}
+    find = table.get
+    if samples:
+        held, free_code = samples[0], first
+        for s in samples[1:]:
+            key = held << 8 | s
+            longer = find(key)
+            if longer is not None:
+                held = longer
+                continue
+            put(held)
+            held = s
+            if free_code < MAX_CODES:
+                table[key] = free_code
+                free_code += 1
+            else:
+                runs.append(len(codes))
+                put(clear)
+                table.clear()
+                free_code = first
+        put(held)
+    put(clear + 1)
+    edges = [*runs, len(codes)]
+    widths = np.concatenate([_widths(b - a, min_size) for a, b in zip(edges, edges[1:], strict=False)])
+    # a later clear code still has the width of the run that it ends
+    for a in runs[1:]:
+        widths[a] = 12
+    return _packed(np.array(codes, np.int64), widths)
 
 
 def lzw_decode(data: bytes, min_size: int, count: int) -> np.ndarray:
-    """Up to ``count`` samples of a code stream.  Runs of literal codes are taken as arrays."""
+    """Up to ``count`` samples of a code stream; samples that it lacks are 0."""
     clear, end = 1 << min_size, (1 << min_size) + 1
-    out = np.zeros(count, np.uint8)
-    bits, at, done = len(data) * 8, 0, 0
-    raw = np.frombuffer(data + b"\0" * 8, np.uint8)
-
-    if min_size == 8:  # try: everything literal between clears, so all codes have nine bits
-        n = bits // 9
-        groups = -(-n // 8)
-        b = np.zeros(groups * 9 + 1, np.uint16)
-        b[: min(len(data), len(b))] = raw[: min(len(data), len(b))]
-        g = b[: groups * 9].reshape(-1, 9)
-        codes = np.empty((groups, 8), np.uint16)
-        for k in range(8):
-            low, shift = divmod(9 * k, 8)
-            codes[:, k] = ((g[:, low] >> shift) | (g[:, low + 1] << (8 - shift))) & 511
-        codes = codes.ravel()[:n]
-        ends = np.flatnonzero(codes == end)
-        codes = codes[: ends[0]] if len(ends) else codes
-        clears = np.flatnonzero(codes == clear)
-        gaps = np.diff(np.append(clears, len(codes))) - 1
-        if len(clears) and clears[0] == 0 and codes.max() <= clear and gaps.max() <= 255:
-            got = codes[codes < clear][:count]
-            out[: len(got)] = got
-            return out
-    size, table, prev = min_size + 1, [bytes([k]) for k in range(clear)] + [b"", b""], b""
-    first = len(table)
-    buf = bytes(raw)
+    literals = [bytes([k & 255]) for k in range(clear)] + [b"", b""]
+    table, size, prev = literals[:], min_size + 1, b""
+    full, mask = 1 << size, (1 << size) - 1
+    held = have = done = 0
     parts: list[bytes] = []
-    while at + size <= bits and done < count:
-        code = (int.from_bytes(buf[at >> 3 : (at >> 3) + 3], "little") >> (at & 7)) & ((1 << size) - 1)
-        at += size
-        if code == clear:
-            del table[first:]
-            size, prev = min_size + 1, b""
-            continue
-        if code == end:
+    for byte in data:
+        held |= byte << have
+        have += 8
+        while have >= size:
+            code = held & mask
+            held >>= size
+            have -= size
+            if code == clear:
+                table, size, prev = literals[:], min_size + 1, b""
+                full, mask = 1 << size, (1 << size) - 1
+                continue
+            known = len(table)
+            if code == end:
+                done = count
+                break
+            if code < known:
+                entry = table[code]
+            elif prev and code == known:
+                entry = prev + prev[:1]
+            else:
+                raise ValueError("code outside the table")
+            parts.append(entry)
+            done += len(entry)
+            if prev and known < MAX_CODES:
+                table.append(prev + entry[:1])
+                if known + 1 == full and size < 12:
+                    size += 1
+                    full, mask = 1 << size, (1 << size) - 1
+            prev = entry
+        if done >= count:
             break
-        if code < len(table):
-            entry = table[code]
-        elif prev and code == len(table):
-            entry = prev + prev[:1]
-        else:
-            raise ValueError("code outside the table")
-        parts.append(entry)
-        done += len(entry)
-        if prev and len(table) < 4096:
-            table.append(prev + entry[:1])
-            if len(table) == 1 << size and size < 12:
-                size += 1
-        prev = entry
     got = np.frombuffer(b"".join(parts), np.uint8)[:count]
-    out[: len(got)] = got
-    return out
-
-
-def write_gif(samples: np.ndarray, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
-    """An animation whose frames, in order, hold ``samples`` (a multiple of ``width``)."""
-    rows = samples.reshape(-1, width)
-    height = min(len(rows), frame_rows)
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), grey]
-    for top in range(0, len(rows), frame_rows):
-        part = rows[top : top + frame_rows]
+    return np.pad(got, (0, count - len(got)))
+
+
+def write_gif(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
+    """An animation whose frames, in order, hold ``samples`` (a multiple of ``width``); each is cleared before the next."""
+    rows = len(samples) // width
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), colour_cube().tobytes()]
+    for top in range(0, rows, frame_rows):
+        high = min(frame_rows, rows - top)
+        part = samples[top * width : (top + high) * width]
         out += [
-            b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay_cs, 0), b"\0",
-            b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part), 0), b"\x08", _blocks(lzw_literal(part.ravel())),
+            b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2, delay_cs, 0), b"\0",
+            b"\x2c", struct.pack("<HHHHB", 0, 0, width, high, 0), b"\x08", _blocks(lzw_encode(part)),
         ]
     return b"".join([*out, b"\x3b"])
 
 
-def read_gif(data: bytes, compose: bool = True) -> tuple[int, int, list[Frame]]:
-    """``(width, height, frames)``; with ``compose``, each frame's canvas after palette,
-    transparency and disposal rules are applied."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
-    width, height, flags, back, _ = struct.unpack("<HHBBB", data[6:13])
-    at = 13
-
-    def palette(flags: int) -> np.ndarray:
-        nonlocal at
-        n = 3 * (2 << (flags & 7))
-        got = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
-        at += n
+class _Reader:
+    """A place in the bytes of a file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> bytes:
+        got = self.data[self.at : self.at + n]
+        if len(got) < n:
+            raise ValueError("the file ends early")
+        self.at += n
         return got
 
-    def blocks() -> bytes:
-        nonlocal at
-        stop, sizes = at, []
-        while data[stop]:
-            sizes.append(data[stop])
-            stop += data[stop] + 1
-        full = next((k for k, s in enumerate(sizes) if s != 255), len(sizes))
-        body = np.frombuffer(data, np.uint8, full * 256, at).reshape(-1, 256)[:, 1:].tobytes()
-        at += full * 256
-        for s in sizes[full:]:
-            body += data[at + 1 : at + 1 + s]
-            at += s + 1
-        at += 1
-        return body
-
-    shared = palette(flags) if flags & 0x80 else np.zeros((256, 3), np.uint8)
-    frames: list[Frame] = []
-    delay, clear_index, disposal = 0, -1, 0
-    canvas = np.zeros((height, width, 4), np.uint8) if compose else None
-    while at < len(data) and data[at] != 0x3B:
-        if data[at] == 0x21:
-            label = data[at + 1]
-            at += 2
-            body = blocks()
-            if label == 0xF9:
+    def palette(self, flags: int) -> np.ndarray:
+        return np.frombuffer(self.take(3 * (2 << (flags & 7))), np.uint8).reshape(-1, 3)
+
+    def blocks(self) -> bytes:
+        parts = []
+        while size := self.take(1)[0]:
+            parts.append(self.take(size))
+        return b"".join(parts)
+
+
+def _row_order(height: int) -> np.ndarray:
+    """Rows of an interlaced frame in stored order: every 8th from 0 and 4, every 4th from 2, every 2nd from 1."""
+    return np.concatenate([np.arange(a, height, step) for a, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
+
+
+def read_frames(data: bytes) -> Iterator[Frame]:
+    """Frames of a GIF, each with the canvas after palette, transparency and the disposal of those before."""
+    r = _Reader(data)
+    if r.take(6) not in (b"GIF87a", b"GIF89a"):
+        raise ValueError("not a GIF")
+    width, height, flags, _, _ = struct.unpack("<HHBBB", r.take(7))
+    shared = r.palette(flags) if flags & 0x80 else np.zeros((256, 3), np.uint8)
+    canvas = np.zeros((height, width, 4), np.uint8)
+    plain = (0, -1, 0)  # delay, transparent index, disposal
+    delay, clear_index, disposal = plain
+    while r.at < len(data) and (kind := r.take(1)) != b"\x3b":
+        if kind == b"\x21":
+            label, body = r.take(1), r.blocks()
+            if label == b"\xf9":
                 f, delay, t = struct.unpack("<BHB", body[:4])
-                disposal, clear_index = (f >> 2) & 7, t if f & 1 else -1
+                disposal, clear_index = f >> 2 & 7, t if f & 1 else -1
             continue
-        if data[at] != 0x2C:
+        if kind != b"\x2c":
             raise ValueError("unknown block")
-        left, top, w, h, f = struct.unpack("<HHHHB", data[at + 1 : at + 10])
-        at += 10
-        own = palette(f) if f & 0x80 else shared
-        min_size = data[at]
-        at += 1
-        px = lzw_decode(blocks(), min_size, w * h).reshape(h, w)
-        if f & 0x40:  # interlaced: every 8th row from 0 and 4, every 4th from 2, every 2nd from 1
-            order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-            px = px[np.argsort(order)]
-        frame = Frame(left, top, px, own, delay, clear_index, disposal)
-        if compose:
-            before = canvas.copy()
-            area = canvas[top : top + h, left : left + w]
-            inside = px[: area.shape[0], : area.shape[1]]
-            shown = inside != clear_index
-            rgb = own[np.minimum(inside, len(own) - 1)]
-            area[shown] = np.dstack([rgb, np.full(inside.shape, 255, np.uint8)])[shown]
-            frame.canvas = canvas.copy()
-            if disposal == 2:
-                area[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(frame)
-        delay, clear_index, disposal = 0, -1, 0
-    return width, height, frames
-
-
-def histogram(frame: Frame, bins: int = 8) -> np.ndarray:
-    """Counts of a frame's luma (ITU-R 601 weights, integer) in equal bins; transparent samples don't count."""
-    use = np.bincount(frame.indices.ravel(), minlength=256)[: len(frame.palette)].copy()
-    if 0 <= frame.transparent < len(use):
-        use[frame.transparent] = 0
-    luma = (frame.palette.astype(np.int64) @ np.array([299, 587, 114])) // 1000
-    return np.bincount(luma * bins // 256, weights=use, minlength=bins).astype(np.int64)
+        left, top, w, h, f = struct.unpack("<HHHHB", r.take(9))
+        colours = r.palette(f) if f & 0x80 else shared
+        min_size = r.take(1)[0]
+        if not 2 <= min_size <= 8:
+            raise ValueError("no such code size")
+        px = lzw_decode(r.blocks(), min_size, w * h).reshape(h, w)
+        if f & 0x40:
+            px = px[np.argsort(_row_order(h))]
+        before = canvas.copy() if disposal == 3 else None
+        area = canvas[top : top + h, left : left + w]
+        inside = px[: area.shape[0], : area.shape[1]]
+        solid = np.concatenate([colours[np.minimum(inside, len(colours) - 1)], np.full((*inside.shape, 1), 255, np.uint8)], 2)
+        area[...] = solid if clear_index < 0 else np.where((inside != clear_index)[:, :, None], solid, area)
+        yield Frame(left, top, px, colours, delay, clear_index, disposal, canvas.copy())
+        if disposal == 2:
+            area[...] = 0
+        elif disposal == 3:
+            canvas = before
+        delay, clear_index, disposal = plain
+
+
+def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Visible pixels of a composed frame by colour: ``bins`` equal ranges of red, by green, by blue."""
+    shown = canvas[canvas[:, :, 3] > 0][:, :3].astype(np.int64) * bins >> 8
+    return np.bincount((shown[:, 0] * bins + shown[:, 1]) * bins + shown[:, 2], minlength=bins**3)
+
+
+_UNREADABLE = (ValueError, IndexError, struct.error)
+_KINDS = "frame int, start_ms long, delay_ms long, left int, top int, width int, height int, histogram array<bigint>, rgba binary"
 
 
 def decode_frames(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per frame of each GIF: ``frame, start_ms, delay_ms, left, top, width, height,
-    histogram, rgba`` behind the other columns.  A null or undecodable value gives no rows."""
-    keep = [c for c in media.columns if c != column]
-    source = media.select(*[F.col(f"`{c}`") for c in keep], F.col(column).cast("binary").alias("__media"))
-    kinds = T.StructType.fromDDL(
-        "frame int, start_ms long, delay_ms long, left int, top int, width int, height int, histogram array<bigint>, rgba binary"
-    )
-    schema = T.StructType([*source.drop("__media").schema, *kinds])
+    histogram, rgba`` behind the other columns.
+
+    Input columns with those names are replaced.  A null, empty or unreadable value gives
+    no rows (an unreadable end: none from there on).
+    """
+    kinds = T.StructType.fromDDL(_KINDS)
+    keep = [c for c in kept_columns(media, kinds.names) if c != column]
+    (stored,) = free(keep, "media")
+    source = media.select(*named(keep), F.col(f"`{column}`").cast("binary").alias(stored))
+    schema = T.StructType([*source.schema.fields[:-1], *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         for b in batches:
             for r, value in enumerate(b.column(len(keep))):
+                start = 0
                 try:
-                    w, h, frames = read_gif(value.as_py() or b"")
-                except (ValueError, IndexError, struct.error):
+                    for k, f in enumerate(read_frames(value.as_py() or b"")):
+                        height, width = f.canvas.shape[:2]
+                        one = [k, start, f.delay_cs * 10, f.left, f.top, width, height, histogram(f.canvas).tolist(), f.canvas.tobytes()]
+                        start += f.delay_cs * 10
+                        arrays = [b.column(i).slice(r, 1) for i in range(len(keep))]
+                        arrays += [pa.array([v], t) for v, t in zip(one, types, strict=True)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds.names])
+                except _UNREADABLE:
                     continue
-                start = 0
-                for k, f in enumerate(frames):
-                    one = [k, start, f.delay_cs * 10, f.left, f.top, w, h, histogram(f).tolist(), f.canvas.tobytes()]
-                    start += f.delay_cs * 10
-                    arrays = [b.column(i).slice(r, 1) for i in range(len(keep))]
-                    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-                    arrays += [pa.array([v], t) for v, t in zip(one, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds.names])
 
     return source.mapInArrow(run, schema)
 
@@ -254,38 +287,59 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (-len(raw) % WIDTH or (0 if raw else WIDTH))
 
 
-def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Each text as a GIF, read back: sizes, checksums of the bytes read back and of the file, and the
-    frames' feature string (frames, total milliseconds, colour histogram).  A null text counts as empty.
+def store_texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, media)``: each text's unpadded size, and the text as a GIF.  A null text counts as empty.
 
-    ``keep_media`` adds the file as ``media``.  Equal texts give equal values; they are
-    computed once per Arrow batch.  Memory: one batch, and one text's samples.
+    Equal texts give equal files; a text is encoded once per Arrow batch.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep_media
-
-    def one(text: str | None) -> tuple:
-        n, data = payload(text)
-        media = write_gif(np.frombuffer(data, np.uint8))
-        _, _, frames = read_gif(media, compose=False)
-        back = b"".join(f.indices.tobytes() for f in frames)
-        colours = sum(histogram(f) for f in frames)
-        feature = f"frames={len(frames)};ms={sum(f.delay_cs for f in frames) * 10};hist={','.join(map(str, colours.tolist()))}"
-        got = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-        return (*got, media) if keep_media else got
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str | None, tuple] = {}
+            seen: dict[str | None, tuple[int, bytes]] = {}
             rows = []
-            for text in b.column(1):
-                text = text.as_py()
+            for value in b.column(1):
+                text = value.as_py()
                 if text not in seen:
-                    seen[text] = one(text)
+                    n, data = payload(text)
+                    seen[text] = n, write_gif(data)
                 rows.append(seen[text])
-            cols = list(zip(*rows, strict=True)) or [()] * (len(types) - 1)
-            arrays = [b.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types[1:], strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def read_back(data: bytes) -> tuple[int, str, int, int, str, str]:
+    """Of a stored file: samples, their SHA-256, the CRC-32 of the last 16, bytes and SHA-256 of the file, and a
+    feature: frames, milliseconds, and pixels of all composed frames by colour."""
+    digest, total, tail, frames, ms = hashlib.sha256(), 0, b"", 0, 0
+    colours = np.zeros(BINS**3, np.int64)
+    for f in read_frames(data):
+        samples = f.indices.tobytes()
+        digest.update(samples)
+        total, tail, frames, ms = total + len(samples), (tail + samples)[-16:], frames + 1, ms + f.delay_cs * 10
+        colours += histogram(f.canvas)
+    feature = f"frames={frames};ms={ms};colours={','.join(map(str, colours.tolist()))}"
+    return total, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` of
+    :func:`store_texts`, all but the first two from the decoded and composed frames of the files."""
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[bytes, tuple] = {}
+            rows = []
+            for value in b.column(2):
+                data = value.as_py()
+                if data not in seen:
+                    seen[data] = read_back(data)
+                rows.append(seen[data])
+            made = [pa.array([row[k] for row in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=names)
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
