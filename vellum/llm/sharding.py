@@ -11,12 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, kept_columns, materialize, named
 
-SHARDS, BUCKET_BYTES, SEED = 8, 8 << 20, 42
+#: Shuffle partitions at most; beyond, some hold several buckets, one after another.
+SHARDS, BUCKET_BYTES, SEED, MAX_PARTITIONS = 8, 8 << 20, 42, 100_000
+#: Equal rows (one key, one text) of which more are dealt over several buckets; keys of such rows sent to all tasks.
+HOT_ROWS, MAX_BROADCAST = 64, 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -47,31 +50,38 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """All rows of ``docs`` with ``shard``, ``bucket``, ``place`` (in the bucket, from 0) and ``grown_shard``.
 
-    The bucket count follows the input's bytes, so a bucket fits a task's memory at
-    any size.  A record's bucket depends on its key, its text's checksum and the
-    seed: copies of one text with different keys spread evenly, so no group of
-    equal texts can overfill a bucket.  Equal rows (same key and text) may share one;
-    they are interchangeable.  Within a bucket rows are first ordered by key, size
-    and checksum, so the permutation doesn't depend on arrival order.  Input columns
-    named like an output are replaced.
+    The bucket count follows the input's bytes, and the shuffle has a partition for each,
+    so a bucket fits a task's memory at any size.  A record's bucket depends on its key,
+    its text's checksum and the seed: copies of one text with different keys spread
+    evenly, so no group of equal texts can overfill a bucket.  Of equal rows (same key and
+    text) beyond HOT_ROWS, which are interchangeable, each input partition deals its own
+    to another bucket.  Within a bucket rows are first ordered by key and checksum, so the
+    permutation doesn't depend on arrival order.  Input columns named like an output are
+    replaced; a null key is a key like any other, a null text counts as empty.
     """
-    new = ("shard", "grown_shard", "bucket", "place", "__crc")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    columns = kept_columns(docs, ["shard", "grown_shard", "bucket", "place"])
+    docs = docs.select(*named(columns))
     total = docs.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    k = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    scattered = docs.withColumns({
-        "shard": shard_of(F.col(key), shards, seed).cast("int"),
-        "grown_shard": shard_of(F.col(key), shards + 1, seed).cast("int"),
-        "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), k, crc), F.lit(buckets)).cast("long"),
-        "__crc": crc,
+    crc, k, salt, hot = free([*columns, "shard", "bucket", "place", "grown_shard"], "crc", "k", "salt", "hot")
+    keyed = docs.withColumns({
+        crc: F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), k: F.coalesce(F.col(key).cast("string"), F.lit("null")),
     })
-    schema = scattered.drop("__crc").withColumn("place", F.lit(0).cast("long")).schema
+    many = materialize(keyed.groupBy(k, crc).agg(F.count("*").alias(hot)).filter(F.col(hot) > HOT_ROWS), "hot-rows")
+    n, salted = many.count(), F.lit(-1)
+    if n:
+        keyed = keyed.withColumn(salt, F.spark_partition_id()).join(F.broadcast(many) if n <= MAX_BROADCAST else many, [k, crc], "left")
+        salted = F.when(F.col(hot).isNotNull(), F.col(salt)).otherwise(-1)
+    scattered = keyed.select(
+        *named(columns),
+        shard_of(F.col(key), shards, seed).cast("int").alias("shard"), shard_of(F.col(key), shards + 1, seed).cast("int").alias("grown_shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), k, crc, salted), F.lit(buckets)).cast("long").alias("bucket"), F.col(crc),
+    ).repartition(min(shards * buckets, MAX_PARTITIONS), "shard", "bucket")
+    schema = scattered.drop(crc).withColumn("place", F.lit(0).cast("long")).schema
     names = [f.name for f in schema]
 
     def permute(rows: pa.Table) -> pa.Table:
-        order = pc.sort_indices(rows.select([key, "__crc"]), sort_keys=[(key, "ascending"), ("__crc", "ascending")])
+        order = pc.sort_indices(rows.select([key, crc]), sort_keys=[(key, "ascending"), (crc, "ascending")])
         first = {c: rows.column(c)[0].as_py() for c in ("shard", "bucket")}
         rng = np.random.default_rng([seed, first["shard"], first["bucket"]])
         rows = rows.take(order).take(pa.array(fisher_yates(rows.num_rows, rng)))
@@ -86,17 +96,21 @@ def with_slots(shuffled: DataFrame) -> DataFrame:
     ``shuffled`` is read twice, so pass a written table.  The bucket sizes are one
     row per memory-sized bucket; they are summed by window over each shard.
     """
-    from pyspark.sql import Window
-
+    columns = kept_columns(shuffled, ["slot"])
+    (base,) = free(columns, "base")
     sizes = shuffled.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__base"))
-    return shuffled.join(base, ["shard", "bucket"]).withColumn("slot", F.col("__base") + F.col("place")).drop("__base")
+    before = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias(base))
+    return shuffled.select(*named(columns)).join(before, ["shard", "bucket"]).withColumn("slot", F.col(base) + F.col("place")).drop(base)
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
-    """Write the shuffled rows as one folder per shard, one file per bucket, in shuffled order."""
-    shuffle_into_shards(docs, **how).write.partitionBy("shard", "bucket").parquet(path)
+    """Write the shuffled rows as one folder per shard and bucket, rows in shuffled order.
+
+    A bucket lies whole in one partition, which is sorted by bucket and place: the order
+    that the writer asks for by itself is met, so it sorts nothing anew.
+    """
+    shuffle_into_shards(docs, **how).sortWithinPartitions("shard", "bucket", "place").write.partitionBy("shard", "bucket").parquet(path)
 
 
 def digest(docs: DataFrame) -> DataFrame:
