@@ -14,6 +14,11 @@ from vellum.llm import bpe, common, gif, lines, packing, pii, quality, sharding,
 from vellum.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, score double, shard int, n_lines long"
+#: Names that operators use, or once used, for columns of their own.
+CLASHES = (
+    "base", "spans", "cands", "features", "drops", "id", "th", "__w", "f_words", "frame", "words", "lines", "counts", "inputs", "raw",
+    "marks", "salt", "crc", "k", "hot", "__text", "text_", "media", "key", "row", "BASE",
+)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -50,6 +55,36 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
 
 
+@pytest.fixture(scope="module")
+def clashing(docs):
+    names = [n for n in CLASHES if n != "BASE"]
+    return docs.filter("doc_id < 30").select("doc_id", "text", *[F.lit(n).alias(n) for n in names]), names
+
+
+def carried(df, names):
+    """Whether each of ``names`` came through as it was."""
+    return df.count() > 0 and all(df.filter(F.col(f"`{n}`").isNull() | (F.col(f"`{n}`") != n)).count() == 0 for n in names)
+
+
+def test_columns_of_any_name_pass_through(clashing, labels):
+    from vellum.llm import packing as P
+
+    made, names = clashing
+    path = tokenizer("word_bpe_49k.json")
+    assert carried(bpe.encode_decode(made, path), names)
+    assert carried(pii.redact(made), names)
+    assert carried(toxicity.score(made, toxicity.fit(made, labels)), names)
+    assert carried(lines.dedup_lines(made), names)
+    assert carried(quality.judge(made, labels), names)
+    assert carried(sharding.with_slots(sharding.shuffle_into_shards(made)), names)
+    media = gif.store_texts(made).select("doc_id", F.col("media").alias("file")).join(made.drop("text"), "doc_id")
+    assert carried(gif.decode_frames(media, "file"), [n for n in names if n != "frame"])  # an output's name is replaced
+    pieces = P.token_pieces(made, tokenizer("byte_bpe_50k.json")).join(made.drop("text"), "doc_id")
+    assert carried(P.pack(common.materialize(pieces, "clash")), names)
+    for op in (simhash.near_duplicates, lambda d: simhash.near_copies(d, 5), pii.find, lambda d: gif.features(gif.store_texts(d)), sharding.digest):
+        assert op(made if op is not sharding.digest else made.drop("shard")).count() == made.count()
+
+
 def by_key(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
@@ -79,16 +114,63 @@ def test_bpe_equals_the_library(docs, none):
     assert "fp" in out.columns and bpe.encode_decode(none, path).count() == 0
 
 
-def test_bpe_cuts_anywhere(monkeypatch):
+def encoded(codec, text, mean=bpe.MEAN_CHUNK):
+    raw = bpe.plain_bytes(text)
+    return codec.encode([(raw, bpe.rolling_cuts(np.frombuffer(raw, np.uint8), mean))])[0]
+
+
+def whole(tok, text):
+    ids = tok.encode(text or "", add_special_tokens=False).ids
+    return len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_cuts_anywhere():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    tok, codec = Tokenizer.from_file(path), bpe.ChunkCodec(path)
+    for _, text, *_ in awkward():
+        assert encoded(codec, text, 4) == whole(tok, text)  # also inside words
+    assert 0 < codec.reused < codec.asked
+
+
+def test_bpe_capitals_before_marks():
     from tokenizers import Tokenizer
 
     path = tokenizer("word_bpe_49k.json")
     tok, codec = Tokenizer.from_file(path), bpe.ChunkCodec(path)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    for capital in map(chr, range(65, 91)):
+        text = " ".join(f"{capital}{m}adith x{capital}{m}{capital}. {capital.lower()}{m}" for m in marks)
+        assert encoded(codec, text) == whole(tok, text)
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 200_000 + "Y", "\n" * 200_000, "Ab" * 100_000, "é" * 100_000])
+def test_bpe_very_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    assert encoded(bpe.ChunkCodec(path), text) == whole(Tokenizer.from_file(path), text)
+
+
+def test_bpe_windows_grow_until_they_agree():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+
+    class Doubtful(bpe.ChunkCodec):
+        doubts = 0
+
+        def _agrees(self, ids, left, right):
+            if left and right and zlib.crc32(left + right) % 3 == 0:
+                self.doubts += 1
+                return None
+            return super()._agrees(ids, left, right)
+
+    tok, codec = Tokenizer.from_file(path), Doubtful(path)
     for _, text, *_ in awkward():
-        raw = bpe.plain_bytes(text)
-        cuts = bpe.rolling_cuts(np.frombuffer(raw, np.uint8), 4)  # also inside words
-        e = tok.encode(text or "", add_special_tokens=False).ids
-        assert codec.encode([(raw, cuts)])[0][1] == " ".join(map(str, e))
+        assert encoded(codec, text, 8) == whole(tok, text)
+    assert codec.doubts > 10
 
 
 def test_word_tokenizer_equals_the_library():
@@ -101,6 +183,37 @@ def test_word_tokenizer_equals_the_library():
         assert enc.encode(text or "") == np.array(want, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "z" * 2_000_000, "\t " * 1_000_000 + "<|endoftext|>q", "12" * 200_000])
+def test_word_tokenizer_very_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.WordEncoder(path).encode(text) == np.array(want, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("rank_rows", [500_000, 5])
+def test_pack_alone(spark, monkeypatch, rank_rows):
+    monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
+    rnd = random.Random(9)
+    sizes = [rnd.choice([1024, 1024, 600, 50, 7, rnd.randint(1, 1024)]) for _ in range(3000)]
+    rows = [(i % 700, i % 3, 0, n, 5, "x") for i, n in enumerate(sizes)]  # ids repeat, rows too
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id string"
+    pieces = common.materialize(spark.createDataFrame(rows, schema).repartition(7), "pieces")
+    got = packing.pack(pieces).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in by.values():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert sorted(n for held in by.values() for _, n in held) == sorted(sizes)
+    assert packing.pack(pieces.limit(0)).count() == 0
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
@@ -236,18 +349,23 @@ def edits_of_one(a, b):
     return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
 
+def same_line(a, b):
+    """Equal, or one word edit apart if both have five words or more."""
+    return a == b or (min(len(a), len(b)) >= 5 and edits_of_one(a, b))
+
+
 def test_line_dedup(docs, none):
     rows = sorted({(r[0], r[1]) for r in awkward() if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     found = []
     for doc_id, text in rows:
         for n, line in enumerate(text.split("\n")):
-            w = WORDS.findall(line.lower())
-            if len(w) >= 5:
+            if w := WORDS.findall(line.lower()):
                 found.append(((doc_id is not None, doc_id or 0), n, w, (doc_id, text)))
+    th = dict(by_key(docs.select(F.struct("doc_id", "text").alias("at"), F.xxhash64("text").alias("th")), "at", "th"))
     gone = set()
     for d, n, w, at in found:
-        for d2, n2, w2, _ in found:
-            if (d2, n2) < (d, n) and edits_of_one(w, w2):
+        for d2, n2, w2, at2 in found:
+            if (d2, n2, th[at2]) < (d, n, th[at]) and same_line(w, w2):
                 gone.add((at, n))
     want = []
     for doc_id, text, *_ in awkward():
@@ -329,18 +447,46 @@ def test_pii_learns_secrets(spark):
 
 
 def test_gif_round_trip(docs, none):
+    cube = gif.colour_cube()
     want = []
     for doc_id, text, *_ in awkward():
         n, data = gif.payload(text)
         assert len(data) % 192 == 0 and data
-        want.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:])))
-    stored = gif.store_texts(docs, keep_media=True)
-    assert by_key(stored, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
-    assert gif.store_texts(none).count() == 0
+        bins = [0] * 64
+        for byte in data:
+            r, g, b = (int(c) * 4 // 256 for c in cube[byte])
+            bins[16 * r + 4 * g + b] += 1
+        frames = -(-len(data) // (192 * 2048))
+        want.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), f"frames={frames};ms={40 * frames};colours={','.join(map(str, bins))}"))
+    stored = gif.store_texts(docs)
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature")
+    assert by_key(gif.features(stored), *columns) == sorted(want, key=repr)
+    sizes = {(len(r["media"]), hashlib.sha256(r["media"]).hexdigest()) for r in stored.collect()}
+    assert sizes == set(by_key(gif.features(stored), "media_bytes", "media_sha256"))
+    assert gif.features(gif.store_texts(none)).count() == 0
     frames = gif.decode_frames(stored.select("doc_id", "media").filter("doc_id = 3")).collect()
     assert frames[0]["start_ms"] == 0 and frames[0]["delay_ms"] == 40 and sum(frames[0]["histogram"]) == frames[0]["width"] * frames[0]["height"]
 
 
+def test_gif_of_several_frames(spark):
+    data = bytes(np.random.default_rng(0).integers(32, 127, 192 * 5000, np.uint8))
+    frames = list(gif.read_frames(gif.write_gif(data)))
+    assert [f.indices.shape[0] for f in frames] == [2048, 2048, 904] and b"".join(f.indices.tobytes() for f in frames) == data
+    assert frames[2].canvas.shape == (2048, 192, 4) and not frames[2].canvas[904:].any()  # the frame before was cleared
+    rows = gif.decode_frames(spark.createDataFrame([(1, bytearray(gif.write_gif(data)))], "doc_id long, media binary")).orderBy("frame").collect()
+    assert [(r["frame"], r["start_ms"], sum(r["histogram"])) for r in rows] == [(0, 0, 2048 * 192), (1, 40, 2048 * 192), (2, 80, 904 * 192)]
+    assert len(rows[2]["rgba"]) == 2048 * 192 * 4
+
+
+def test_unreadable_media(spark):
+    good = gif.write_gif(b"x" * 192)
+    bad = [None, b"", b"GIF89a", b"nothing of the kind", good[:-40], good[:13], good[:20] + b"\xff" * 50]
+    rows = spark.createDataFrame([(k, None if v is None else bytearray(v), 7) for k, v in enumerate([*bad, good])], "doc_id long, media binary, frame int")
+    got = gif.decode_frames(rows).collect()
+    assert {r["doc_id"] for r in got} == {len(bad)} and got[0]["frame"] == 0
+    assert gif.decode_frames(rows.limit(0)).count() == 0
+
+
 def lzw(samples, bits):
     """A plain compressor: variable code widths, a clear only when the table is full."""
     clear, end = 1 << bits, (1 << bits) + 1
@@ -379,13 +525,32 @@ def lzw(samples, bits):
     return bytes(out)
 
 
-@pytest.mark.parametrize(("bits", "n"), [(2, 500), (8, 70_000), (8, 3), (4, 9000)])
+@pytest.mark.parametrize(("bits", "n"), [(2, 500), (8, 70_000), (8, 3), (4, 9000), (8, 3838), (8, 3839), (8, 3840), (8, 3841)])
 def test_lzw_streams(bits, n):
     rng = np.random.default_rng(n)
-    samples = np.minimum(rng.geometric(0.3, n) - 1, (1 << bits) - 1).astype(np.uint8)
-    assert (gif.lzw_decode(lzw(samples, bits), bits, n) == samples).all()
-    if bits == 8:
-        assert (gif.lzw_decode(gif.lzw_literal(samples), 8, n) == samples).all()
+    for samples in (np.minimum(rng.geometric(0.3, n) - 1, (1 << bits) - 1), rng.integers(0, 1 << bits, n), np.zeros(n)):
+        samples = samples.astype(np.uint8)
+        assert (gif.lzw_decode(lzw(samples, bits), bits, n) == samples).all()
+        assert (gif.lzw_decode(gif.lzw_encode(samples.tobytes(), bits), bits, n) == samples).all()
+
+
+@pytest.mark.parametrize("run", [100, 253, 254, 255, 256])
+def test_lzw_literals_between_clears(run):
+    samples = np.random.default_rng(run).integers(0, 128, 4 * run).astype(np.uint8)
+    bits = at = 0
+
+    def put(code, width):
+        nonlocal bits, at
+        bits |= code << at
+        at += width
+
+    for k in range(4):
+        # a clear code has the width that the run before it has grown to
+        put(256, 9 if k == 0 or run < 255 else 10)
+        for j, s in enumerate(samples[k * run : (k + 1) * run].tolist()):
+            put(s, 9 if j < 255 else 10)
+    put(257, 9 if run < 255 else 10)
+    assert (gif.lzw_decode(bits.to_bytes(at // 8 + 1, "little"), 8, 4 * run) == samples).all()
 
 
 def test_gif_disposal_and_transparency():
@@ -400,7 +565,7 @@ def test_gif_disposal_and_transparency():
 
     head = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x81, 0, 0) + palette
     data = head + frame([[0, 1]], 1, None) + frame([[3, 2]], 3, 3) + frame([[3, 3]], 2, 3) + frame([[1, 3]], 0, 3) + b"\x3b"
-    _, _, f = gif.read_gif(data)
+    f = list(gif.read_frames(data))
     seen = [x.canvas[0].tolist() for x in f]
     red, green, blue, clear = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [0, 0, 0, 0]
     assert seen == [[red, green], [red, blue], [red, green], [green, clear]]
@@ -419,10 +584,36 @@ def test_shards(docs, none):
     key = lambda rows: sorted([tuple(r) for r in rows if r["doc_id"] != 5], key=repr)
     assert key(got) == key(again)
     assert sharding.digest(none).count() == 0
+    for d, _, _, _, shard, _, grown in [tuple(r) for r in got]:  # highest random weight, by itself
+        key = "null" if d is None else str(d)
+        weights = docs.sparkSession.range(9).select(F.xxhash64(F.lit(42), F.lit(key), F.col("id").cast("int")).alias("w")) if d in (1, 2, 3, None) else None
+        if weights is not None:
+            w = [r["w"] for r in weights.collect()]
+            assert shard == max(range(8), key=w.__getitem__) and grown == max(range(9), key=w.__getitem__)
     order = sharding.fisher_yates(1000, np.random.default_rng(0))
     assert sorted(order) == list(range(1000)) and (order != np.arange(1000)).mean() > 0.9
 
 
+def test_hot_rows_are_dealt_over_buckets(spark):
+    rows = [(7, "the same text " * 20)] * 4000 + [(i, f"text {i} " * 20) for i in range(1000)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = sharding.shuffle_into_shards(made, bucket_bytes=20_000)
+    sizes = {(r["shard"], r["bucket"]): r["count"] for r in got.groupBy("shard", "bucket").count().collect()}
+    assert got.count() == 5000 and max(sizes.values()) < 2500
+    assert got.groupBy("shard", "bucket", "place").count().filter("count > 1").count() == 0
+    assert got.filter("doc_id = 7").select("shard").distinct().count() == 1  # the law holds for hot rows, too
+
+
+def test_shards_are_written_in_order(docs, tmp_path):
+    sharding.write_shards(docs.drop("shard"), f"{tmp_path}/out", bucket_bytes=300)
+    back = docs.sparkSession.read.parquet(f"{tmp_path}/out").select("*", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("file")).collect()
+    assert len(back) == len(awkward())
+    files = {}
+    for r in sorted(back, key=lambda r: r["n"]):
+        files.setdefault(r["file"], []).append(r["place"])
+    assert len(files) > 8 and all(places == list(range(len(places))) for places in files.values())
+
+
 def test_urls(spark, labels):
     made = [
         (1, "https://a.Example.COM/en/7x?q#f"), (2, "http://com/en/"), (3, "https://x.example.net/de/8"), (4, "http://y.net/de/9"),
@@ -448,25 +639,52 @@ def test_url_rules_are_mined(spark):
     assert all(got[i] == ("block" if i % 3 == 0 else "allow") for i in range(300))
 
 
+def plain_rules(baskets, min_count=20, min_confidence=0.8):
+    """All minimal token sets with enough blocked urls and confidence."""
+    from itertools import combinations
+
+    found = []
+    tokens = sorted({t for ts, _ in baskets for t in ts})
+    for size in range(1, 5):
+        for part in combinations(tokens, size):
+            met = [b for ts, b in baskets if set(part) <= set(ts)]
+            if sum(met) >= min_count and sum(met) >= min_confidence * len(met) and not any(set(f) < set(part) for f in found):
+                found.append(list(part))
+    return sorted(found)
+
+
 def test_url_rules_have_one_count_and_any_length(spark):
     sets = [(["rare"], 1)] * 20 + [(["scarce"], 1)] * 19 + [(["other"], 0)] * 4000  # 0.5 % of the urls
     four = ["a", "b", "c", "d"]  # only all four together are blocked
     sets += [(four, 1)] * 25 + [([t for t in four if t != x], 0) for x in four for _ in range(30)]
     sets += [(["e", "f"], 1)] * 20 + [(["e", "g", "h"], 1)] * 20
-    rules = urls.mine(spark.createDataFrame(sets, "tokens array<string>, blocked int")).collect()
-    assert sorted(r["tokens"] for r in rules) == [four, ["e"], ["f"], ["g"], ["h"], ["rare"]]
+    sets = [([*ts, "everywhere"], b) for ts, b in sets]
+    rules = urls.mine(spark.createDataFrame(sets, "tokens array<string>, blocked int"))
+    want = plain_rules(sets)
+    assert sorted(r["tokens"] for r in rules.collect()) == want == [four, ["e"], ["f"], ["g"], ["h"], ["rare"]]
+    asked = [(k, ts) for k, (ts, _) in enumerate(sets)]
+    met = urls.matches(spark.createDataFrame(asked, "key long, tokens array<string>"), rules)
+    assert {r["key"] for r in met.collect()} == {k for k, ts in asked if any(set(w) <= set(ts) for w in want)}
+
+
+def test_url_rules_on_urls_held_out(spark):
+    rows = [(i, f"https://h{i % 11}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'es', 'fr')[i // 3 % 4]}/{i}.html") for i in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    r = urls.held_out_counts(pages).first()
+    assert r["found"] > 20 and r["missed"] <= 0.1 * r["found"] and r["flagged"] <= 0.3 * r["found"] and r["others_flagged"] == 0
+    assert urls.judge(pages.limit(0)).count() == 0 and urls.mine(pages.limit(0).selectExpr("array(url) tokens", "0 blocked")).count() == 0
 
 
-def test_short_lines_go_as_exact_copies(spark):
+def test_lines_of_any_length(spark):
     rows = [
-        (1, "Read more\none two three four\n\n日本語の行\nfive words stand in here"), (2, "read  MORE\none two three fox\n\n日本語の行\nx"),
-        (3, "x\nfive words stand in there\nRead more\nRead more"), (4, None), (5, ""),
+        (1, "Read more\none two three four\n\n日本語の行\nfive words stand in here\nbuy now\nbuy now\nbuy now"), (2, "read  MORE\none two three fox\n\n日本語の行\nx"),
+        (3, "x\nfive words stand in there\nRead more\nRead more"), (4, None), (5, ""), (6, "alone here\nz"), (6, "alone here\ny"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, short=True).collect()}
-    assert whole == {1: (rows[0][1], 0), 2: ("one two three fox\n\nx", 2), 3: ("", 4), 4: (None, 0), 5: ("", 0)}
-    law = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(docs).collect()}
-    assert law == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    got = {(r["doc_id"], t): (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs.withColumn("was", F.col("text"))).collect() for t in [r["was"]]}
+    assert got[1, rows[0][1]] == ("Read more\none two three four\n\n日本語の行\nfive words stand in here\nbuy now", 2)
+    assert got[2, rows[1][1]] == ("one two three fox\n\nx", 2) and got[3, rows[2][1]] == ("", 4) and got[4, None] == (None, 0) and got[5, ""] == ("", 0)
+    assert sorted(got[6, t][1] for t in ("alone here\nz", "alone here\ny")) == [0, 1]  # two texts of one doc_id, the same line at the same place
 
 
 def test_toxicity(spark, docs, none, labels):

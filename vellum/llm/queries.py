@@ -30,7 +30,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.store_texts(table(spark, sf_dir, "documents"))
+    return gif.features(gif.store_texts(table(spark, sf_dir, "documents")))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +49,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("blocked")
-    )
-    return urls.judge(table(spark, sf_dir, "pages"), labels)
+    return urls.judge(table(spark, sf_dir, "pages"))  # no table labels pages; the explicit rules do
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +86,14 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 w AS (SELECT *, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
-e AS (SELECT *, array_to_string(w, ' ') AS k, doc_id * 100000 + n AS p FROM w WHERE len(w) >= 5),
-c AS (SELECT k, any_value(w) AS w, min(p) AS p FROM e GROUP BY k),
-v AS (SELECT k, p, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
+e AS (SELECT *, array_to_string(w, ' ') AS k, doc_id * 100000 + n AS p FROM w WHERE len(w) > 0),
+c AS (SELECT k, any_value(w) AS w, min(p) AS p FROM e GROUP BY k), m AS (FROM c WHERE len(w) >= 5),
+v AS (SELECT k, p, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m)),
 slot AS (SELECT v, i, min(p) AS low FROM v GROUP BY ALL),
 longer AS (SELECT v, min(p) AS low FROM v GROUP BY v),
 late AS (SELECT v.k FROM v JOIN slot ON v.v = slot.v AND v.i = slot.i WHERE low < p
-  UNION SELECT c.k FROM c JOIN longer ON v = k WHERE low < p
-  UNION SELECT v.k FROM v JOIN c ON v.v = c.k WHERE c.p < v.p),
+  UNION SELECT m.k FROM m JOIN longer ON v = k WHERE low < p
+  UNION SELECT v.k FROM v JOIN m ON v.v = m.k WHERE m.p < v.p),
 gone AS (SELECT DISTINCT e.doc_id, e.n FROM e JOIN c USING (k) WHERE e.p <> c.p OR k IN (FROM late)),
 t AS (SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS kept
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id)
