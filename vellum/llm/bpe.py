@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from .common import free, kept_columns, named
 
-#: Bytes that decide a cut, mean chunk length in bytes (a power of two), and bounds of the three memories.
-WINDOW, MEAN_CHUNK, MAX_CHUNKS, MAX_WORDS, MAX_JOINS = 16, 512, 40_000, 400_000, 100_000
+#: Bytes that decide a cut, mean chunk length in bytes (a power of two), and bounds of the three memories (twice that of words).
+WINDOW, MEAN_CHUNK, MAX_CHUNKS, MAX_WORDS, MAX_JOINS = 16, 512, 40_000, 300_000, 100_000
 #: UTF-8 bytes of texts whose new words are encoded in one call.
 GROUP_BYTES = 1 << 20
 
@@ -104,6 +104,7 @@ class ChunkCodec:
         #: Without a decoder, decoding joins these by one space.
         self.tokens = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.words: dict[bytes, Value] = {}
+        self.older: dict[bytes, Value] = {}
         self.chunks: dict[bytes, Chunk] = {}
         self.joins: dict[Window, Value] = {}
         self.asked = self.reused = 0
@@ -122,10 +123,14 @@ class ChunkCodec:
         return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
 
     def _learn(self, wanted: list[bytes]) -> None:
-        known = self.words
-        new = list({w for w in wanted if w and w not in known})
+        """Have the values of ``wanted`` in ``words``.  When that is full it becomes the older memory, from which
+        words still in use come back, so frequent ones are never encoded again."""
+        known, older = self.words, self.older
+        missing = {w for w in wanted if w and w not in known}
+        known.update({w: older[w] for w in missing if w in older})
+        new = [w for w in missing if w not in known]
         if len(known) + len(new) > MAX_WORDS:
-            self.words = {w: known[w] for w in wanted if w in known}
+            self.older, self.words = known, {w: known[w] for w in wanted if w in known}
         for w, ids in zip(new, self._ids(new), strict=True):
             self.words[w] = self._value(ids)
 
