@@ -12,6 +12,7 @@ file and the canvas of one frame.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -59,6 +60,15 @@ def _blocks(data: bytes) -> bytes:
     return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
+@functools.lru_cache(maxsize=64)
+def _run_widths(min_size: int) -> np.ndarray:
+    """Widths of the codes behind a clear code, while the table grows."""
+    return _widths(MAX_CODES - (1 << min_size), min_size)[1:]
+
+
+_FULL = np.full(MAX_CODES, 12)
+
+
 def _widths(n: int, min_size: int) -> np.ndarray:
     """Bits of the first ``n`` codes of a run (its clear code included): the k-th is read with the table
     of k - 2 added codes, and the width grows when the table has filled it."""
@@ -114,47 +124,71 @@ def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
     return _packed(np.array(codes, np.int64), widths)
 
 
+def _unpacked(data: np.ndarray, at: int, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of these widths from bit ``at`` on, as far as the data goes, and the bits at which they end."""
+    widths = widths[: (8 * len(data) - at) // 9 + 1] if widths[0] > 8 else widths
+    ends = at + np.cumsum(widths)
+    n = int(np.searchsorted(ends, 8 * (len(data) - 2), "right"))  # data has two bytes behind its last
+    starts, widths = ends[:n] - widths[:n], widths[:n]
+    byte = starts >> 3
+    three = data[byte].astype(np.uint32) | data[byte + 1].astype(np.uint32) << 8 | data[byte + 2].astype(np.uint32) << 16
+    return three >> (starts & 7) & ((1 << widths) - 1), ends[:n]
+
+
 def lzw_decode(data: bytes, min_size: int, count: int) -> np.ndarray:
-    """Up to ``count`` samples of a code stream; samples that it lacks are 0."""
+    """Up to ``count`` samples of a code stream; samples that it lacks are 0.
+
+    The k-th code after a clear code has a width that follows from k alone, so the codes
+    of a run are unpacked at once; a run ends with a clear or end code.
+    """
     clear, end = 1 << min_size, (1 << min_size) + 1
-    literals = [bytes([k & 255]) for k in range(clear)] + [b"", b""]
-    table, size, prev = literals[:], min_size + 1, b""
-    full, mask = 1 << size, (1 << size) - 1
-    held = have = done = 0
+    literals = [bytes([k]) for k in range(clear)]
+    padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2, np.uint8)])
+    fresh = True
     parts: list[bytes] = []
-    for byte in data:
-        held |= byte << have
-        have += 8
-        while have >= size:
-            code = held & mask
-            held >>= size
-            have -= size
-            if code == clear:
-                table, size, prev = literals[:], min_size + 1, b""
-                full, mask = 1 << size, (1 << size) - 1
-                continue
-            known = len(table)
-            if code == end:
-                done = count
-                break
-            if code < known:
-                entry = table[code]
-            elif prev and code == known:
-                entry = prev + prev[:1]
-            else:
-                raise ValueError("code outside the table")
-            parts.append(entry)
-            done += len(entry)
-            if prev and known < MAX_CODES:
-                table.append(prev + entry[:1])
-                if known + 1 == full and size < 12:
-                    size += 1
-                    full, mask = 1 << size, (1 << size) - 1
-            prev = entry
-        if done >= count:
+    at = done = 0
+    while done < count:
+        codes, ends = _unpacked(padded, at, _run_widths(min_size) if fresh else _FULL)
+        if not len(codes):
+            break
+        stops = np.flatnonzero(codes >> 1 == clear >> 1)
+        n = int(stops[0]) if len(stops) else len(codes)
+        at = int(ends[n] if len(stops) else ends[-1])
+        run = codes[:n].tolist()
+        if fresh:
+            table = [*literals, b"", b""]
+            found = _grown(table, run)
+        else:
+            found = [table[c] for c in run]  # the table is full
+        parts += found
+        done += sum(map(len, found))
+        fresh = len(stops) > 0
+        if fresh and codes[n] == end:
             break
     got = np.frombuffer(b"".join(parts), np.uint8)[:count]
-    return np.pad(got, (0, count - len(got)))
+    return got if len(got) == count else np.append(got, np.zeros(count - len(got), np.uint8))
+
+
+def _grown(table: list[bytes], run: list[int]) -> list[bytes]:
+    """Entries of a run's codes; each but the first adds the entry before it and its own first sample to ``table``."""
+    if not run:
+        return []
+    known = len(table)
+    prev = table[run[0]]
+    out = [prev]
+    put, add = out.append, table.append
+    for code in run[1:]:
+        if code < known:
+            entry = table[code]
+        elif code == known:
+            entry = prev + prev[:1]
+        else:
+            raise ValueError("code outside the table")
+        put(entry)
+        add(prev + entry[:1])
+        known += 1
+        prev = entry
+    return out
 
 
 def write_gif(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
