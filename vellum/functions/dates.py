@@ -38,51 +38,46 @@ def century(n: Column) -> Column:
     return F.struct(((n - 1) * 100 + 1).cast("int").alias("start"), (n * 100).cast("int").alias("end"))
 
 
+# The whole-text forms of a date.
+YEAR = r"\A[0-9]{1,4}\z"
+SPAN = r"\A([0-9]{1,4})\s*[-–—]\s*([0-9]{1,4})\z"
+CENTURY = r"\A([0-9]{1,2})(?:st|nd|rd|th)\s+century\z"
+CIRCA = r"\A(?:circa|ca\.?|c\.?)\s*([0-9]{1,4})\z"
+ROMAN = (r"\A([ivxlcdm]+)(?:e|eme|ème|ère|er)?\s+si[eè]cle\z", r"\A(?:s\.?|siglo)\s+([ivxlcdm]+)\z")
+
+
 def parse_date_range(text: Column) -> Column:
     """``struct<start int, end int>`` or null.
 
-    Whole-text forms, the first that fits wins: '15th century' (0th: no date, stop);
-    'xve siècle'; 'siglo xv', 's. xv'; 'circa 1450' (20 years to each side); '1450';
-    '1450-1500' in either order.  Dates inside longer texts are not read.
+    Whole-text forms: '15th century' (0th: no date); 'xve siècle'; 'siglo xv', 's. xv';
+    'circa 1450' (20 years to each side); '1450'; '1450-1500' in either order.  No text
+    has two of these forms, so the cheap ones are tried first and a plain year costs one
+    test.  Dates inside longer texts are not read.
     """
-    return let(trimmed(text), lambda raw: let(F.lower(F.regexp_replace(raw, r"\s+", " ")), lambda norm: _read(raw, norm)))
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once: a lambda over a one-element list."""
-    return F.transform(F.array(value), use)[0]
+    raw = trimmed(text)
+    norm = F.lower(F.regexp_replace(raw, r"\s+", " "))
 
+    def years(start: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
-def _group(of: Column, pattern: str, k: int = 1) -> Column:
-    """Group ``k``, null where the pattern doesn't fit (no group here matches nothing)."""
-    return F.nullif(F.regexp_extract(of, pattern, k), F.lit(""))
+    def number(of: Column, pattern: str, k: int = 1) -> Column:
+        return F.regexp_extract(of, pattern, k).cast("int")
 
+    found = F.when(raw.rlike(YEAR), years(raw, raw))
+    a, b = number(raw, SPAN, 1), number(raw, SPAN, 2)
+    found = found.when(raw.rlike(SPAN), years(F.least(a, b), F.greatest(a, b)))
+    about, nth = number(norm, CIRCA), number(norm, CENTURY)
+    found = found.when(norm.rlike(CIRCA), years(about - CIRCA_YEARS, about + CIRCA_YEARS))
+    found = found.when(norm.rlike(CENTURY), F.when(nth > 0, century(nth)))
+    for pattern in ROMAN:
+        numeral = F.regexp_extract(norm, pattern, 1)
+        found = found.when(norm.rlike(pattern), let(roman_to_int(numeral), lambda n: F.when(n > 0, century(n))))
+    return found
 
-def _read(raw: Column, norm: Column) -> Column:
-    numeral = F.coalesce(
-        _group(norm, r"\A([ivxlcdm]+)(?:e|eme|ème|ère|er)?\s+si[eè]cle\z"), _group(norm, r"\A(?:s\.?|siglo)\s+([ivxlcdm]+)\z")
-    )
-    span = r"\A([0-9]{1,4})\s*[-–—]\s*([0-9]{1,4})\z"
-    found = F.struct(
-        _group(norm, r"\A([0-9]{1,2})(?:st|nd|rd|th)\s+century\z").cast("int").alias("nth"),
-        F.when(numeral.isNotNull(), roman_to_int(numeral)).alias("roman"),
-        _group(norm, r"\A(?:circa|ca\.?|c\.?)\s*([0-9]{1,4})\z").cast("int").alias("about"),
-        _group(raw, r"\A([0-9]{1,4})\z").cast("int").alias("year"),
-        _group(raw, span, 1).cast("int").alias("a"),
-        _group(raw, span, 2).cast("int").alias("b"),
-    )
 
-    def years(start: Column, end: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"))
-
-    return let(found, lambda x: (
-        F.when(x["nth"] == 0, None)
-        .when(x["nth"] > 0, century(x["nth"]))
-        .when(x["roman"] > 0, century(x["roman"]))
-        .when(x["about"].isNotNull(), years(x["about"] - CIRCA_YEARS, x["about"] + CIRCA_YEARS))
-        .when(x["year"].isNotNull(), years(x["year"], x["year"]))
-        .when(x["a"].isNotNull(), years(F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"])))
-    ))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: a lambda over a one-element list."""
+    return F.transform(F.array(value), use)[0]
 
 
 def present(date: Column) -> Column:

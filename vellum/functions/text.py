@@ -53,3 +53,30 @@ def ordinal_name(n: Column, width: int = 4) -> Column:
 def or_else(value: Column, other: Column) -> Column:
     """``value`` unless null or ''."""
     return F.coalesce(F.nullif(value, F.lit("")), other)
+
+
+def result_line(kind: Column, subject: Column) -> Column:
+    """A verdict and what it is about."""
+    return F.concat_ws(" ", kind, subject.cast("string"))
+
+
+def comparison_query(docs: Column, canvases: Column) -> Column:
+    """Query string of a comparison: documents, then canvases; blank ones at the end drop out."""
+    last = F.aggregate(
+        F.transform(canvases, lambda c, i: F.when(c != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x)
+    )
+    shown = F.slice(canvases, F.lit(1), last)
+    pairs = F.concat(
+        F.transform(shown, lambda c: F.concat(F.lit("canvas="), F.url_encode(c))), F.transform(docs, lambda d: F.concat(F.lit("doc="), F.url_encode(d)))
+    )
+    return F.array_join(pairs, "&")
+
+
+def expand_home(path: Column, home: Column) -> Column:
+    """A leading '~' alone or before '/' is ``home``."""
+    return F.when(path == "~", home).when(F.startswith(path, F.lit("~/")), F.concat(home, F.substring(path, 2, 1 << 20))).otherwise(path)
+
+
+def resolve_store(flag: Column, setting: Column, home: Column, default: str) -> Column:
+    """The flag, else the setting, else ``default`` under ``home``."""
+    return F.coalesce(*[expand_home(F.nullif(v, F.lit("")), home) for v in (flag, setting)], F.concat(home, F.lit("/" + default)))

@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.dates import trimmed
+
 
 def _number(x: int | float) -> str:
     """Shortest decimal of the 64-bit value, never with an exponent."""
@@ -79,6 +81,18 @@ def member_text(raw: Column, prefer: Sequence[str] = ("en",)) -> Column:
     return F.coalesce(F.when(nested, text_of(F.when(nested, raw), prefer)).otherwise(raw), F.lit(""))
 
 
+def title_of(manifest: Column, prefer: Sequence[str] = ("en",)) -> Column:
+    """Text of a document's ``label``; '' where there is none, or no JSON."""
+    return member_text(F.from_json(manifest, "label string")["label"], prefer)
+
+
+def metadata_rows(documents: DataFrame, key: str, manifest: str, prefer: Sequence[str] = ("en",)) -> DataFrame:
+    """``(key, pos, label, value)`` of documents' metadata, blank labels dropped; see :func:`metadata_of`."""
+    rows = documents.select(key, F.posexplode(metadata_of(F.col(manifest))).alias("pos", "m"))
+    texts = rows.select(key, "pos", member_text(F.col("m.label"), prefer).alias("label"), member_text(F.col("m.value"), prefer).alias("value"))
+    return texts.filter(trimmed(F.col("label")) != "")
+
+
 def metadata_of(manifest: Column) -> Column:
     """``array<struct<label, value>>`` of raw JSON texts; null where ``metadata`` isn't a list."""
     return F.from_json(manifest, "metadata array<struct<label:string,value:string>>")["metadata"]

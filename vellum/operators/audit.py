@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_of
+from ..rank import ranked
 
 
 def missing_by_kind(links: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
@@ -44,6 +45,16 @@ def first_results(results: DataFrame, order: str, n: int) -> DataFrame:
     return results.orderBy(order).limit(n) if n else results
 
 
+def incomplete(files: DataFrame, state_dir: str = ".iiif-state") -> DataFrame:
+    """``(dir)`` of bundles with a ``manifest.json`` and no ``provenance.json`` beside it; ``files(dir, file)``.
+
+    Folders below one named ``state_dir`` are passed over.
+    """
+    seen = files.filter(~F.array_contains(F.split("dir", "/"), state_dir))
+    done = seen.filter("file = 'provenance.json'").select("dir").distinct()
+    return seen.filter("file = 'manifest.json'").select("dir").distinct().join(done, "dir", "left_anti")
+
+
 def topmost(paths: DataFrame, path: str) -> DataFrame:
     """Directories that hold a marker file and lie under no other such directory."""
     from .merge import prefixes
@@ -54,17 +65,8 @@ def topmost(paths: DataFrame, path: str) -> DataFrame:
 
 
 def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "rn") -> DataFrame:
-    """1-based rank over all rows without one task holding them.
-
-    ``bucket`` grows with the order's first key.  Rows before a bucket come from its
-    (few) counts; the rank inside it from a window over the bucket.
-    """
-    rows = df.withColumn("__b", bucket)
-    counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    # one row per bucket, so this window is over a small table
-    before = counts.select("__b", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return rows.join(before, "__b").withColumn(name, F.col("__base") + inner).drop("__b", "__base")
+    """1-based rank over all rows by ``order``; see :func:`vellum.rank.ranked`, which needs no ``bucket``."""
+    return ranked(df, order, name)
 
 
 def institution(url: Column) -> Column:

@@ -26,12 +26,11 @@ def own_id(node: Column) -> Column:
 def _service(resource: Column) -> Column:
     """Of a service object its id; of a list the first element's, even if empty; else from the image's own id."""
     raw = resource["service"]
-    one = F.from_json(raw, "`@id` string, id string")
-    many = F.from_json(raw, "array<struct<`@id`:string,id:string>>")
-    listed = F.startswith(F.ltrim(raw), F.lit("["))
-    from_list = F.when(listed & (F.size(many) > 0), own_id(F.get(many, F.lit(0))))
-    from_one = F.when(~F.coalesce(listed, F.lit(False)), F.nullif(own_id(one), F.lit("")))
-    return F.coalesce(from_list, from_one, service_id(own_id(resource)))
+    # an object is read as a list of one, so each service is parsed once
+    listed = F.coalesce(F.startswith(F.ltrim(raw), F.lit("[")), F.lit(False))
+    first = F.get(F.from_json(F.when(listed, raw).otherwise(F.concat(F.lit("["), raw, F.lit("]"))), "array<struct<`@id`:string,id:string>>"), F.lit(0))
+    found = F.when(first.isNotNull(), own_id(first))
+    return F.coalesce(F.when(listed, found).otherwise(F.nullif(found, F.lit(""))), service_id(own_id(resource)))
 
 
 def parsed(manifests: DataFrame, column: str = "manifest") -> DataFrame:
@@ -75,6 +74,13 @@ def canvas_ids(manifests: DataFrame, key: str) -> DataFrame:
     return m.select(key, F.array_distinct(F.filter(both, lambda x: x != "")).alias("canvases"))
 
 
+def with_stored_size(images: DataFrame, sizes: DataFrame, key: str, w: str = "width", h: str = "height") -> DataFrame:
+    """``images`` with width and height of the stored description where it is known (``sizes(key, w, h)``; 0 is unknown), else as declared."""
+    stored = sizes.select(key, F.struct(F.nullif(F.col(w), F.lit(0)).alias("w"), F.nullif(F.col(h), F.lit(0)).alias("h")).alias("stored"))
+    size = {w: F.coalesce("stored.w", w), h: F.coalesce("stored.h", h)}
+    return images.join(stored, key, "left").select(*[size[c].alias(c) if c in size else F.col(c) for c in images.columns])
+
+
 def first_string(*raw: Column) -> Column:
     """Of raw JSON values in order: the first non-empty string, or first string of a list; '' if none."""
     def one(v: Column) -> Column:

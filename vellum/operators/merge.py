@@ -31,6 +31,12 @@ def monotone_union(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.withColumn("kept", F.lit(False)).unionByName(stay.withColumn("kept", F.lit(True)))
 
 
+def reuse_linked(links: DataFrame, previous: DataFrame, by: list[str]) -> DataFrame:
+    """``links`` with ``file`` and ``sha256`` of the resource that is stored for the URL already; null where none is."""
+    had = previous.groupBy(*by, "url").agg(F.max_by(F.struct("file", "sha256"), "file").alias("p"))
+    return links.join(had, [*by, "url"], "left").select(*links.columns, "p.file", "p.sha256")
+
+
 def prefixes(path: Column) -> Column:
     """A path and its ancestors at '/' boundaries."""
     parts = F.split(path, "/")
@@ -82,9 +88,9 @@ def merge_annotations(local: DataFrame, incoming: DataFrame, order: str) -> Data
     """Incoming annotations by outcome: skipped (no id or canvas), added, duplicate, conflict.
 
     Those with one id are compared with the local one, else with the first incoming of
-    that id; the local one always stays.
+    that id; the local one always stays (of local ones that share an id, the least body).
     """
-    mine = local.select("id", F.col("body").alias("mine"))
+    mine = local.filter("id <> ''").groupBy("id").agg(F.min("body").alias("mine"))  # ids of a page may repeat
     firsts = incoming.filter("id <> '' and canvas <> ''").groupBy("id").agg(F.min(F.struct(order, "body")).alias("f"))
     met = incoming.join(mine, "id", "left").join(firsts, "id", "left")
     base = F.coalesce("mine", "f.body")
@@ -100,7 +106,8 @@ def replay(log: DataFrame, by: list[str], order: str) -> DataFrame:
     """Final state of keyed add/update/delete logs: ``(by, value, present, not_found)``.
 
     An update or delete of an absent key is not found; the state before a step is the
-    last add or delete before it (an update changes no presence).
+    last add or delete before it (an update changes no presence).  A key's log is one
+    window: keys are ids of single notes or comparisons, with few edits each.
     """
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     flip = F.when(F.col("op") == "add", True).when(F.col("op") == "delete", False)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tiles
 from ..operators import audit as A
+from ..operators import library
+from ..operators import linked as L
+from ..sources import ingest
 from .base import load, query
 
 
@@ -53,8 +57,9 @@ WITH d AS (SELECT DISTINCT {_LISTING} AS dir, page_id % 4 IN (0, 2) OR (page_id
 SELECT dir, done AS complete FROM d WHERE top""")
 def q43_bundle_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = load(spark, sf_dir, "pages").select(F.expr(_LISTING).alias("dir"), (F.col("page_id") % 5 != 0).alias("done")).distinct()
-    committed = dirs.filter("done").select("dir", F.lit(True).alias("c"))
-    return A.topmost(dirs.select("dir"), "dir").join(committed, "dir", "left").select("dir", F.coalesce("c", F.lit(False)).alias("complete"))
+    files = dirs.select("dir", F.explode(F.when(F.col("done"), F.array(F.lit("manifest.json"), F.lit("provenance.json"))).otherwise(F.array(F.lit("manifest.json")))).alias("file"))
+    unfinished = A.incomplete(files).withColumn("c", F.lit(False))
+    return A.topmost(dirs.select("dir"), "dir").join(unfinished, "dir", "left").select("dir", F.coalesce("c", F.lit(True)).alias("complete"))
 
 
 @query("""
@@ -64,11 +69,12 @@ def q47_digest_and_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     digest = F.sha2(F.col("text").cast("binary"), 256)
     want = F.when(k % 4 == 0, "").when(k % 4 == 2, F.sha2(F.concat("text", F.lit("x")).cast("binary"), 256)).otherwise(digest)
-    valid_json = F.try_parse_json(F.when(k % 3 == 0, '{"a":').otherwise('{"a": 1}')).isNotNull()
+    # documents that aren't JSON, each as long as its text
+    body = F.when(k % 3 == 0, F.rpad(F.lit('{"a":'), F.greatest(F.octet_length("text"), F.lit(5)), F.lit(" "))).otherwise('{"a": 1}')
     types = F.array(*map(F.lit, ("AnnotationPage", "sc:AnnotationList", "Manifest", "sc:Canvas", "Annotation")))
     return load(spark, sf_dir, "documents").select(
-        "doc_id", ((want == "") | (want == digest)).alias("digest_ok"), ((F.octet_length("text") <= 2000) & valid_json).alias("linked_ok"),
-        F.lower(F.get(types, (k % 5).cast("int"))).rlike("annotation(page|collection|list)").alias("recognized"),
+        "doc_id", L.digest_ok(F.col("text"), want).alias("digest_ok"), ((F.octet_length("text") <= 2000) & L.valid_resource(body, F.lit("annotation"))).alias("linked_ok"),
+        L.is_annotation_document(F.to_json(F.struct(F.get(types, (k % 5).cast("int")).alias("type")))).alias("recognized"),
     )
 
 
@@ -107,9 +113,83 @@ def q56_ordinals_and_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id % 20 AS run, count(DISTINCT user_id) AS manifests, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS done,
  greatest(0, count(DISTINCT user_id) - count(DISTINCT user_id) FILTER (event_type = 'purchase')) AS pending, count(DISTINCT user_id) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL""")
 def q57_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = load(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("run"), "user_id").agg(
-        F.bool_or(F.col("event_type") == "purchase").alias("done"), F.bool_or(F.col("event_type") == "error").alias("failed"))
-    return per.groupBy("run").agg(
-        F.count("*").alias("manifests"), F.count_if(F.col("done")).alias("done"), F.greatest(F.lit(0), F.count("*") - F.count_if(F.col("done"))).alias("pending"), F.count_if(F.col("failed")).alias("failed"))
+    seen = load(spark, sf_dir, "events").select(
+        (F.col("user_id") % 20).alias("run"), F.col("user_id").alias("url"), (F.col("event_type") == "purchase").alias("done"), (F.col("event_type") == "error").alias("failed"))
+    return ingest.status(seen, "run")
+
+
+@query("""
+WITH u AS (SELECT user_id, user_id % 20 AS run, bool_or(event_type = 'purchase') AS done, bool_or(event_type = 'error') AS failed FROM events GROUP BY user_id)
+SELECT count(DISTINCT run) AS runs, count(*) FILTER (done) AS reused, count(*) FILTER (NOT done) AS pending, count(*) FILTER (failed) AS failed,
+ (SELECT count(DISTINCT page_id) FROM pages WHERE page_id % 5 = 0) AS incomplete FROM u""")
+def q63_ingest_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select(F.concat(F.lit("h/"), "page_id").alias("dir"), "page_id")
+    names = F.when(F.col("page_id") % 5 == 0, F.array(F.lit("manifest.json"))).otherwise(F.array(F.lit("manifest.json"), F.lit("provenance.json")))
+    total = ingest.status_total(q57_ingest_status(spark, sf_dir), A.incomplete(pages.select("dir", F.explode(names).alias("file"))))
+    return total.select("runs", F.col("reused").cast("long"), F.col("pending").cast("long"), F.col("failed").cast("long"), "incomplete")
+
+
+def _library(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A library of one bundle per customer, with faults by the remainder of its key."""
+    who = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("b/"), "c_custkey").alias("slug"))
+    k = F.col("k")
+    linked = F.array(F.struct(
+        F.concat(F.lit("https://x/"), k).alias("url"), F.when(k % 13 == 5, "../up").otherwise("resources/r.json").alias("file"), F.lit("annotation").alias("kind"),
+        F.sha2(F.when(k % 13 == 6, "other").otherwise("{}").cast("binary"), 256).alias("sha256")))
+    image = lambda file, folder: F.struct(file.alias("file"), folder.alias("tile_dir"))
+    provenance = F.to_json(F.struct(
+        F.concat(F.lit("https://m/"), k).alias("manifest_url"), F.lit("").alias("manifest_file"),
+        F.array(image(F.lit("i1.jpg"), F.lit("t1")), image(F.when(k % 13 == 7, "i1.jpg").otherwise("i2.jpg"), F.lit(""))).alias("images"),
+        linked.alias("linked_resources"), F.when(k % 13 == 8, F.array(F.struct(F.lit("").alias("url"), F.lit("content").alias("kind"), F.lit("gone").alias("error")))).alias("linked_failures")))
+    bundles = who.select(
+        "slug", F.when(k % 13 == 1, '{"a":').otherwise("{}").alias("manifest"), F.when(k % 13 == 2, None).when(k % 13 == 3, "[").otherwise(provenance).alias("provenance"),
+        F.when(k % 13 == 4, "nope").alias("annotations"))
+    info = tiles.info_json(F.lit("t1"), F.lit(600).cast("long"), F.lit(400).cast("long"), 256)
+    texts = who.select("slug", F.explode(F.array(
+        F.struct(F.lit("resources/r.json").alias("file"), F.lit("{}").alias("body")), F.struct(F.lit("t1/info.json").alias("file"), F.when(k % 13 == 9, "{}").otherwise(info).alias("body")),
+    )).alias("t")).select("slug", "t.*")
+    promised = library.advertised(spark.range(1).select(F.lit("t1").alias("prefix"), info.alias("body")), ["prefix"]).select("file")
+    plain = spark.createDataFrame([("i1.jpg",), ("i2.jpg",), ("resources/r.json",)], "file string")
+    names = plain.union(promised)  # some twenty names
+    files = who.join(F.broadcast(names)).filter("not (k % 13 = 10 and file = 'i1.jpg') and not (k % 13 = 11 and file like 't1/full/%')").select(
+        "slug", "file", F.when((k % 13 == 12) & (F.col("file") == "i1.jpg"), 0).otherwise(10).alias("length"))
+    links = who.select("slug", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.concat(F.lit("https://x/"), k).alias("url"), F.lit("annotation").alias("kind")), F.struct(
+        F.lit(1).alias("ord"), F.when(k % 13 == 0, "https://y/z").otherwise(F.concat(F.lit("https://x/"), k)).alias("url"), F.lit("seeAlso").alias("kind")))).alias("l")).select("slug", "l.*")
+    catalogue = who.filter("k % 17 <> 0").select(F.col("slug").alias("dir")).union(spark.createDataFrame([("b/none",)], "dir string"))
+    return {"bundles": bundles, "files": files, "texts": texts, "links": links, "catalogue": catalogue}
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'b/' || c_custkey AS s FROM customer), ok AS (FROM c WHERE k % 13 NOT IN (2, 3))
+SELECT 'ERROR' AS severity, s || '/manifest.json' AS path, 'invalid JSON' AS message FROM c WHERE k % 13 = 1
+UNION ALL SELECT 'ERROR', s || '/provenance.json', 'cannot read provenance' FROM c WHERE k % 13 = 2
+UNION ALL SELECT 'ERROR', s || '/provenance.json', 'invalid provenance JSON' FROM c WHERE k % 13 = 3
+UNION ALL SELECT 'ERROR', s || '/annotations.json', 'invalid JSON' FROM c WHERE k % 13 = 4
+UNION ALL SELECT 'ERROR', s || '/provenance.json', 'linked resource 1 has an unsafe file path' FROM ok WHERE k % 13 = 5
+UNION ALL SELECT 'ERROR', s || '/resources/r.json', 'SHA-256 does not match provenance' FROM ok WHERE k % 13 = 6
+UNION ALL SELECT 'ERROR', s || '/provenance.json', 'repeated image file i1.jpg' FROM ok WHERE k % 13 = 7
+UNION ALL SELECT 'WARN', s || '/provenance.json', 'unpreserved linked content: gone' FROM ok WHERE k % 13 = 8
+UNION ALL SELECT 'ERROR', s || '/t1/info.json', 'invalid dimensions or no tiles' FROM ok WHERE k % 13 = 9
+UNION ALL SELECT 'ERROR', s || '/i1.jpg', 'missing or unreadable' FROM ok WHERE k % 13 = 10
+UNION ALL SELECT 'ERROR', s || '/t1/full/' || z || '/0/default.jpg', 'missing or unreadable' FROM ok, (VALUES ('600,400'), ('300,200'), ('150,100')) v(z) WHERE k % 13 = 11
+UNION ALL SELECT 'ERROR', s || '/i1.jpg', 'file is empty' FROM ok WHERE k % 13 = 12
+UNION ALL SELECT 'WARN', s || '/manifest.json', '1 linked seeAlso not preserved, first https://y/z' FROM ok WHERE k % 13 = 0
+UNION ALL SELECT 'WARN', 'catalogue', 'missing catalogue entry ' || s FROM c WHERE k % 17 = 0
+UNION ALL SELECT 'WARN', 'catalogue', 'stale catalogue entry b/none'""")
+def q64_library_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.problems(**_library(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer), ok AS (FROM c WHERE k % 13 NOT IN (2, 3)),
+n AS (SELECT (SELECT count(*) FROM c WHERE k % 13 IN (1, 2, 3, 4)) + (SELECT count(*) FROM ok WHERE k % 13 IN (5, 6, 7, 9, 10, 12)) + 3 * (SELECT count(*) FROM ok WHERE k % 13 = 11) AS errors,
+  (SELECT count(*) FROM ok WHERE k % 13 IN (0, 8)) + (SELECT count(*) FROM c WHERE k % 17 = 0) + 1 AS warnings)
+SELECT (SELECT count(*) FROM c) AS bundles, 2 * (SELECT count(*) FROM ok) AS images, (SELECT count(*) FROM ok) AS pyramids, (SELECT count(*) FROM ok) AS linked, errors, warnings, errors = 0 AS healthy,
+ (SELECT count(*) FROM ok WHERE k % 13 IN (0, 8)) AS reruns FROM n""")
+def q65_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _library(spark, sf_dir)
+    again = library.reruns(held["bundles"], held["links"]).agg(F.count("*").alias("reruns"))
+    return library.report(held["bundles"], library.problems(**held)).join(again).select(
+        "bundles", *[F.col(c).cast("long") for c in ("images", "pyramids", "linked", "errors", "warnings")], "healthy", "reruns")
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import first_spellings, megabytes, or_else, shell_quote, split_list
+from ..functions.text import comparison_query, first_spellings, megabytes, or_else, resolve_store, result_line, shell_quote, split_list
+from ..operators import annotations as N
+from ..operators import catalogue as C
+from ..operators import comparisons as K
 from ..operators.annotations import by_canvas, to_open_annotation
-from ..operators.audit import global_rank
 from .base import load, query
 
 
@@ -45,14 +47,10 @@ WITH c AS (SELECT doc_id, lower(source) AS title, lang AS institution, n_chars A
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS by_path, row_number() OVER (ORDER BY title, doc_id) AS by_title, row_number() OVER (ORDER BY institution, doc_id) AS by_institution,
  row_number() OVER (ORDER BY pages DESC, title, doc_id) AS by_pages FROM c""")
 def q35_catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    text = F.lower(F.concat_ws(" ", "source", F.concat(F.lit("t"), "doc_id"), "lang", F.lit("tag"), "source"))
-    found = docs.filter(F.contains(text, F.lower(F.trim(F.lit(" SRC1 "))))).select("doc_id", F.lower("source").alias("title"), F.col("lang").alias("institution"), F.col("n_chars").alias("pages"))
-    out = global_rank(found, F.floor(F.col("doc_id") / 100_000), [F.col("doc_id")], "by_path")
-    out = global_rank(out, F.col("title"), [F.col("title"), F.col("doc_id")], "by_title")
-    out = global_rank(out, F.col("institution"), [F.col("institution"), F.col("doc_id")], "by_institution")
-    out = global_rank(out, -F.col("pages"), [F.col("pages").desc(), F.col("title"), F.col("doc_id")], "by_pages")
-    return out.select("doc_id", "by_path", "by_title", "by_institution", "by_pages")
+    rows = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("dir"), F.concat(F.lit("t"), "doc_id").alias("source_title"), F.col("source").alias("title"), F.col("lang").alias("institution"),
+        F.lit("—").alias("languages"), F.col("n_chars").alias("pages"), F.lit("").alias("notes"), F.lit("tag").alias("tags"))
+    return C.ranks(C.search(rows, " SRC1 ")).select(F.col("dir").alias("doc_id"), "by_path", "by_title", "by_institution", "by_pages")
 
 
 @query("""
@@ -64,26 +62,133 @@ def q40_comparison_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = load(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("d"))
     sets = picks.groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n between 2 and 20").select("o_custkey")
     chosen = picks.join(sets, "o_custkey", "left_semi")
-    shared = chosen.groupBy("o_custkey", (F.col("d") % 50).alias("canvas")).agg(F.count_distinct("d").alias("owners"))
-    conflicts = shared.groupBy("o_custkey").agg(F.count_if(F.col("owners") > 1).alias("conflicts"))
-    return chosen.groupBy("o_custkey").agg(F.count_distinct("d").alias("docs")).join(conflicts, "o_custkey")
+    owned = picks.select(F.col("d").alias("doc"), (F.col("d") % 50).alias("canvas"))
+    shared = K.shared_canvases(chosen.select("o_custkey", F.col("d").alias("doc")), owned, "o_custkey")
+    conflicts = shared.groupBy("o_custkey").agg(F.count("*").alias("conflicts"))
+    docs = chosen.groupBy("o_custkey").agg(F.count_distinct("d").alias("docs"))
+    return docs.join(conflicts, "o_custkey", "left").select("o_custkey", "docs", F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"))
+
+
+@query("""
+WITH m AS (SELECT o_custkey % 3000 AS s, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 3000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+d AS (SELECT *, CASE WHEN k % 41 = 0 THEN '../x' WHEN k % 29 = 0 THEN 'd/0' ELSE 'd/' || k END AS doc, CASE WHEN k % 31 = 0 THEN 'other' WHEN k % 2 = 0 THEN 'c' || (k % 40) ELSE '' END AS canvas FROM m),
+o AS (SELECT DISTINCT 'd/' || o_orderkey AS doc, 'c' || (o_orderkey % 40) AS canvas FROM orders WHERE o_orderkey % 7 <> 0),
+x AS (SELECT s, count(*) AS n FROM (SELECT s, o.canvas FROM (SELECT DISTINCT s, doc FROM d) JOIN o USING (doc) GROUP BY ALL HAVING count(*) > 1) GROUP BY s),
+g AS (SELECT s, count(*) AS docs, count(DISTINCT d.doc) AS u, bool_or(d.doc = '../x') AS unsafe, count(*) FILTER (d.doc NOT IN (SELECT doc FROM o)) AS unknown,
+  count(*) FILTER (d.canvas <> '' AND (d.doc, d.canvas) NOT IN (SELECT (doc, canvas) FROM o)) AS strangers FROM d GROUP BY s)
+SELECT s, docs, CASE WHEN docs NOT BETWEEN 2 AND 4 THEN 'number of documents' WHEN unsafe THEN 'unsafe document' WHEN u < docs THEN 'repeated document' WHEN unknown > 0 THEN 'unknown document'
+  WHEN n > 0 THEN 'canvas of two documents' WHEN strangers > 0 THEN 'canvas of another document' END AS error FROM g LEFT JOIN x USING (s)""")
+def q66_comparison_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 3000).alias("s"), "o_orderkey")
+    members = orders.select(
+        "s", k.alias("pos"), F.when(k % 41 == 0, "../x").when(k % 29 == 0, "d/0").otherwise(F.concat(F.lit("d/"), k)).alias("doc"),
+        F.when(k % 31 == 0, "other").when(k % 2 == 0, F.concat(F.lit("c"), k % 40)).otherwise("").alias("canvas"))
+    owned = orders.filter(k % 7 != 0).select(F.concat(F.lit("d/"), k).alias("doc"), F.concat(F.lit("c"), k % 40).alias("canvas"))
+    return K.selections(members, owned, owned, "s")
+
+
+@query("""
+WITH s AS (SELECT 'Name ' || (c_custkey % 40) AS name FROM customer WHERE c_custkey < 20),
+n AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 11 = 0 THEN ' ' WHEN p_partkey % 13 = 0 THEN repeat('x', 201) ELSE 'NAME ' || (p_partkey % 150) END AS name FROM part),
+j AS (SELECT *, lower(trim(name)) AS k, length(trim(name)) BETWEEN 1 AND 200 AS ok FROM n),
+e AS (SELECT *, CASE WHEN NOT ok THEN 'name' WHEN k IN (SELECT lower(name) FROM s) OR ord > min(ord) OVER (PARTITION BY k) THEN 'exists' END AS e FROM j),
+r AS (SELECT *, count(*) FILTER (e IS NULL) OVER (ORDER BY ord) AS nth FROM e)
+SELECT ord, CASE WHEN e IS NULL AND nth > 100 - (SELECT count(*) FROM s) THEN 'full' ELSE e END AS error FROM r""")
+def q67_comparison_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = load(spark, sf_dir, "customer").filter("c_custkey < 20").select(F.concat(F.lit("Name "), F.col("c_custkey") % 40).alias("name"))
+    k = F.col("p_partkey")
+    name = F.when(k % 11 == 0, " ").when(k % 13 == 0, F.repeat(F.lit("x"), F.lit(201))).otherwise(F.concat(F.lit("NAME "), k % 150))
+    return K.added(store, load(spark, sf_dir, "part").select(k.alias("ord"), name.alias("name")), "ord").select("ord", "error")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS k, 's' || (o_orderkey % 3) || CASE WHEN o_orderkey % 11 = 0 THEN ':-' ELSE '' END AS stamp FROM orders),
+b AS (SELECT DISTINCT l_orderkey AS k, 's' || (l_orderkey % 4) || CASE WHEN l_orderkey % 5 = 0 THEN ':-' ELSE '' END AS stamp FROM lineitem),
+j AS (SELECT coalesce(c.k, b.k) AS k, c.k IS NOT NULL AS had, b.k IS NOT NULL AS here, c.stamp AS was, b.stamp AS now, b.k % 5 = 0 AS half FROM c FULL JOIN b ON c.k = b.k),
+s AS (SELECT *, CASE WHEN had AND here AND (half OR was = now) THEN 'same' WHEN had AND here THEN 'changed' WHEN had THEN 'removed' WHEN NOT half THEN 'added' END AS state FROM j)
+SELECT k AS dir, CASE WHEN state IN ('same', 'removed') THEN was ELSE now END AS stamp, CASE WHEN had THEN 't' || k ELSE '' END AS title,
+ CASE WHEN state IN ('same', 'removed') OR was = now THEN k * 10 END AS size, state FROM s WHERE state IS NOT NULL""")
+def q68_catalogue_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def stamp(key: str, by: int, half: int):
+        return F.concat(F.lit("s"), F.col(key) % by, F.when(F.col(key) % half == 0, ":-").otherwise(""))
+
+    listed = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("dir"), stamp("o_orderkey", 3, 11).alias("stamp"), F.lit(1).alias("pages"), F.concat(F.lit("t"), "o_orderkey").alias("title"), F.lit("").alias("notes"), F.lit("").alias("tags"),
+        (F.col("o_orderkey") * 10).alias("size"))
+    there = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dir")).distinct().select("dir", stamp("dir", 4, 5).alias("stamp"), F.lit(2).alias("pages"))
+    return C.refreshed(listed, there).select("dir", "stamp", "title", "size", "state")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 17 = 0 THEN repeat('y', 501) ELSE ' T' || event_id || ' ' END AS t FROM events),
+l AS (SELECT user_id, max(event_id) AS id FROM e WHERE event_id % 17 <> 0 GROUP BY user_id)
+SELECT c_custkey AS dir, CASE WHEN id IS NULL THEN 'old' ELSE 'T' || id END AS title, CASE WHEN id IS NULL THEN 'x' WHEN event_type = 'view' THEN 'a, view' ELSE 'a, ' || event_type END AS tags
+FROM customer LEFT JOIN l ON c_custkey = user_id LEFT JOIN e ON e.event_id = l.id""")
+def q69_catalogue_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dir"), F.lit("old").alias("title"), F.lit("").alias("notes"), F.lit("x").alias("tags"))
+    k = F.col("event_id")
+    edits = load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("dir"), k.alias("ord"), F.when(k % 17 == 0, F.repeat(F.lit("y"), F.lit(501))).otherwise(F.concat(F.lit(" T"), k, F.lit(" "))).alias("title"), F.lit(" ").alias("notes"),
+        F.concat(F.lit("a,, A,"), "event_type").alias("tags"))
+    return C.edited(catalogue, edits).select("dir", "title", "tags")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id FROM events)
+SELECT event_id AS ord, CASE WHEN event_id % 17 = 0 THEN 'too long' WHEN user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'not found' ELSE 'saved' END AS outcome FROM e""")
+def q70_edit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("dir"))
+    k = F.col("event_id")
+    edits = load(spark, sf_dir, "events").select(F.col("user_id").alias("dir"), k.alias("ord"), F.lit("t").alias("title"), F.lit("").alias("notes"), F.when(k % 17 == 0, F.repeat(F.lit("y"), F.lit(1001))).otherwise("").alias("tags"))
+    return C.edit_outcomes(catalogue, edits).select("ord", "outcome")
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN '' END AS title, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'src ' || c_custkey END AS src, c_nationkey FROM customer)
+SELECT 'd/' || k AS dir, CASE WHEN coalesce(title, '') <> '' THEN title WHEN src <> '' THEN src ELSE 'd/' || k END AS title, CASE WHEN k % 5 = 0 THEN '—' ELSE 'host' || (k % 7) END AS institution,
+ CASE WHEN k % 2 = 0 THEN 'la, fr' ELSE '—' END AS languages, k % 9 AS pages FROM s""")
+def q71_catalogue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    bundles = load(spark, sf_dir, "customer").select(
+        F.concat(F.lit("d/"), k).alias("dir"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("src "), k)).alias("source_title"), F.when(k % 5 == 0, "none").otherwise(F.concat(F.lit("https://host"), k % 7, F.lit("/m"))).alias("url"),
+        F.when(k % 2 == 0, F.array(F.lit("la"), F.lit("fr"))).otherwise(F.array().cast("array<string>")).alias("langs"), (k % 9).alias("images"),
+        F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, "").alias("title"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("tags"), F.lit(0).alias("size"))
+    return C.summary(bundles).select("dir", "title", "institution", "languages", "pages")
+
+
+@query("""
+SELECT conv_id, turn, 'a' || turn AS id, 'Annotation' AS type, 'https://x/canvas/' || conv_id AS canvas, md5(text) AS extra, count(*) OVER (PARTITION BY conv_id) AS items FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)""")
+def q72_annotation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = load(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    note = F.to_json(F.struct(
+        F.concat(F.lit("a"), "turn").alias("id"), F.lit("Annotation").alias("type"), F.struct(F.concat(F.lit("https://x/canvas/"), "conv_id", F.lit("#t=1")).alias("source")).alias("target"),
+        F.md5(F.col("text").cast("binary")).alias("mae")))
+    items = made.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", note.alias("n")))), lambda x: x["n"]).alias("items"))
+    none = F.lit(None).cast("string")
+    empty = N.page(none)
+    stored = items.select("conv_id", N.encoded(F.struct(empty["context"].alias("context"), F.lit("").alias("id"), empty["type"].alias("type"), F.col("items").alias("items"))).alias("text"))
+    back = stored.select("conv_id", N.page(F.col("text")).alias("p")).select("conv_id", F.size("p.items").cast("long").alias("items"), F.explode("p.items").alias("note"))
+    seen = back.withColumn("d", N.decoded(F.col("note")))
+    return seen.select(
+        "conv_id", F.regexp_extract("d.id", r"([0-9]+)", 1).cast("long").alias("turn"), "d.id", "d.type", N.canvas_id(F.col("d.target")).alias("canvas"), F.get_json_object("note", "$.mae").alias("extra"), "items")
 
 
 @query("""
 SELECT c_custkey, replace(c_name || '''s ' || c_mktsegment, '''', '''"''"''') AS q0, '''' || replace(c_name || '''s', '''', '''"''"''') || '''' AS quoted,
  CASE c_custkey % 3 WHEN 0 THEN 'MATCH ' || c_custkey WHEN 1 THEN 'NO-MATCH ' || c_custkey ELSE 'ERROR ' || c_custkey END AS line,
  c_mktsegment || '|b' AS parts, CASE WHEN c_custkey = 0 THEN '—' ELSE (round_even(c_custkey * 300000.0 / 1048576.0, 0))::BIGINT || ' MB' END AS size,
- 'doc=' || c_custkey || '&doc=' || (c_custkey + 1) || '&canvas=a%2F' || c_custkey AS query FROM customer""".replace("replace(c_name || '''s ' || c_mktsegment, '''', '''\"''\"''') AS q0, ", ""))
+ 'canvas=a%2F' || c_custkey || '&doc=' || c_custkey || '&doc=' || (c_custkey + 1) AS query FROM customer""".replace("replace(c_name || '''s ' || c_mktsegment, '''', '''\"''\"''') AS q0, ", ""))
 def q44_text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     verdict = F.get(F.array(*map(F.lit, ("MATCH", "NO-MATCH", "ERROR"))), (key % 3).cast("int"))
     canvases = F.array(F.concat(F.lit("a/"), key), F.lit(""))
-    shown = F.filter(canvases, lambda c: c != "")
+    docs = F.array(key.cast("string"), (key + 1).cast("string"))
     return load(spark, sf_dir, "customer").select(
-        "c_custkey", shell_quote(F.concat("c_name", F.lit("'s"))).alias("quoted"), F.format_string("%s %d", verdict, key).alias("line"),
+        "c_custkey", shell_quote(F.concat("c_name", F.lit("'s"))).alias("quoted"), result_line(verdict, key).alias("line"),
         F.array_join(first_spellings(split_list(F.concat(F.lit(" "), "c_mktsegment", F.lit(", ,b,"), F.lower("c_mktsegment")))), "|").alias("parts"),
         megabytes(key * 300000).alias("size"),
-        F.concat_ws("&", F.concat(F.lit("doc="), key), F.concat(F.lit("doc="), key + 1), F.array_join(F.transform(shown, lambda c: F.concat(F.lit("canvas="), F.url_encode(c))), "&")).alias("query"),
+        comparison_query(docs, canvases).alias("query"),
     )
 
 
@@ -101,3 +206,12 @@ def q45_path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '/h/f' || c_custkey WHEN c_custkey % 3 = 1 THEN '/abs' ELSE '/h/images' END AS store FROM customer""")
+def q73_store_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    flag = F.when(k % 3 == 0, F.concat(F.lit("~/f"), k)).otherwise("")
+    setting = F.when(k % 3 == 1, "/abs").when(k % 3 == 0, "~")
+    return load(spark, sf_dir, "customer").select("c_custkey", resolve_store(flag, setting, F.lit("/h"), "images").alias("store"))

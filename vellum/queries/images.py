@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles
 from ..functions.text import ordinal_name
+from ..operators.images import with_stored_size
+from ..operators.items import page_images
+from ..operators.library import advertised
+from ..rank import ranked_by
+from ..sources.files import pyramid_complete
 from .base import load, query
 
 _PARTS = "p AS (SELECT p_partkey, p_size * 97 + 13 AS w, p_size * 61 + 7 AS h FROM part)"
@@ -39,11 +44,9 @@ SELECT p_partkey, count(*) AS missing, min('p' || p_partkey || '/' || x || ',' |
 FROM t WHERE (x + y + s + p_partkey) % 11 = 0 GROUP BY p_partkey""")
 def q25_missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = tiles.tile_plan(_images(spark, sf_dir))
-    advertised = plan.select(
-        "p_partkey", tiles.tile_key(F.concat(F.lit("p"), "p_partkey")).alias("file"), ((F.col("x") + F.col("y") + F.col("scale") + F.col("p_partkey")) % 11).alias("k")
-    )
-    listing = advertised.filter("k <> 0").select("file")
-    missing = advertised.select("p_partkey", "file").join(listing, "file", "left_anti")
+    cell = ["p_partkey", "scale", "x", "y"]  # whole numbers name a tile; file names are made for missing ones alone
+    listing = plan.filter((F.col("x") + F.col("y") + F.col("scale") + F.col("p_partkey")) % 11 != 0).select(*cell)
+    missing = plan.join(listing, cell, "left_anti").select("p_partkey", tiles.tile_key(F.concat(F.lit("p"), "p_partkey")).alias("file"))
     return missing.groupBy("p_partkey").agg(F.count("*").alias("missing"), F.min("file").alias("first"))
 
 
@@ -54,16 +57,13 @@ c AS (SELECT l.l_orderkey, l.area, min(pos) AS pos FROM l JOIN b ON l.l_orderkey
 SELECT l_orderkey, area, pos, row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey) AS page,
  lpad((row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey))::VARCHAR, 4, '0') AS name FROM c""")
 def q41_page_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     files = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"),
         (F.col("l_quantity") * (F.col("l_partkey") % 7)).cast("long").alias("area"),
     )
     # the first of the largest; images without area never win
     best = files.filter("area > 0").groupBy("l_orderkey").agg(F.max(F.struct("area", (-F.col("pos")).alias("p"))).alias("b"))
-    page = F.row_number().over(Window.partitionBy(F.col("l_orderkey") % 100).orderBy("l_orderkey"))
-    return best.withColumn("page", page.cast("long")).select(
+    return ranked_by(best.withColumn("volume", F.col("l_orderkey") % 100), ["volume"], [F.col("l_orderkey")], "page").select(
         "l_orderkey", F.col("b.area").alias("area"), (-F.col("b.p")).alias("pos"), "page", ordinal_name(F.col("page")).alias("name")
     )
 
@@ -79,7 +79,42 @@ def q51_stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey",
         F.get_json_object(tiles.info_json(F.lit("x"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_size") * 11).otherwise(0).cast("long"), F.lit(9).cast("long")), "$.width").cast("int").alias("sw"),
     )
-    width = F.coalesce(F.nullif(F.col("sw"), F.lit(0)), F.col("w"))
-    return declared.join(info, "p_partkey", "left").select(
-        "p_partkey", width.alias("width"), tiles.ceil_div(width, F.lit(512)).cast("int").alias("columns")
+    sizes = info.select("p_partkey", F.col("sw").alias("width"), F.lit(0).alias("height"))
+    sized = with_stored_size(declared.select("p_partkey", F.col("w").alias("width"), F.lit(1).alias("height")), sizes, "p_partkey")
+    return sized.select("p_partkey", "width", tiles.ceil_div(F.col("width"), F.lit(512)).cast("int").alias("columns"))
+
+
+@query(f"""
+WITH {_TILES},
+z AS (SELECT p_partkey, s, (w + s - 1) // s AS zw, (h + s - 1) // s AS zh FROM f)
+SELECT p_partkey, count(*) AS files, min(file) AS first, max(file) AS last FROM (
+ SELECT p_partkey, 't/full/' || zw || ',' || zh || '/0/default.jpg' AS file FROM z
+ UNION ALL SELECT p_partkey, 't/' || x || ',' || y || ',' || rw || ',' || rh || '/' || ((rw + s - 1) // s) || ',' || ((rh + s - 1) // s) || '/0/default.jpg' FROM t) GROUP BY p_partkey""")
+def q60_advertised_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _images(spark, sf_dir).select("p_partkey", F.lit("t").alias("prefix"), tiles.info_json(F.lit("t"), F.col("w"), F.col("h")).alias("body"))
+    found = advertised(stored, ["p_partkey"])
+    return found.groupBy("p_partkey").agg(F.count("*").alias("files"), F.min("file").alias("first"), F.max("file").alias("last"))
+
+
+@query("""
+SELECT p_partkey, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS complete FROM part""")
+def q61_pyramid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _images(spark, sf_dir).withColumn("prefix", F.lit("t"))
+    k = F.col("p_partkey") % 4
+    body = F.when(k == 0, tiles.info_json(F.lit("t"), F.col("w"), F.col("h"))).when(k == 1, F.concat(tiles.info_json(F.lit("t"), F.col("w"), F.col("h")), F.lit("\n"))).otherwise(
+        tiles.info_json(F.lit("t"), F.col("w") + 1, F.col("h")))
+    return pyramid_complete(images, images.filter("p_partkey % 4 < 3").select("p_partkey", body.alias("body")), "p_partkey")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber AS grp, l_partkey * 1000 + l_suppkey AS pos, (l_quantity * (l_partkey % 7))::INT AS w, l_suppkey % 3 <> 0 AS jpeg FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, grp ORDER BY w DESC, pos) AS rn FROM l WHERE w > 0 AND jpeg)
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY grp) AS page, 'u' || pos AS url, w AS width FROM r WHERE rn = 1""")
+def q62_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    files = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("grp"), pos.alias("pos"), F.concat(F.lit("u"), pos).alias("url"), F.lit(None).cast("string").alias("info"),
+        F.when(F.col("l_suppkey") % 3 != 0, "image/jpeg").otherwise("text/plain").alias("mimetype"),
+        (F.col("l_quantity") * (F.col("l_partkey") % 7)).cast("int").alias("width"), F.lit(1).alias("height"),
     )
+    return page_images(files, "l_orderkey").select("l_orderkey", F.col("page").cast("long").alias("page"), "url", "width")

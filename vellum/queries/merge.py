@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import merge_tags
+from ..operators import comparisons as K
 from ..operators import merge as M
+from ..sources.files import active
 from .base import load, query
 
 
@@ -102,12 +104,46 @@ WITH i AS (SELECT 'Set ' || (o_orderkey % 400) AS name, min(o_orderkey) AS k, co
 l AS (SELECT 'SET ' || c_custkey AS name, c_custkey % 2 = 0 AS same FROM customer WHERE c_custkey < 300)
 SELECT lower(i.name) AS name, CASE WHEN l.name IS NULL THEN 'added' WHEN l.same THEN 'duplicate' ELSE 'conflict' END AS outcome, k AS first, n FROM i LEFT JOIN l ON lower(i.name) = lower(l.name)""")
 def q48_comparison_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incoming = load(spark, sf_dir, "orders").groupBy(F.lower(F.concat(F.lit("Set "), (F.col("o_orderkey") % 400).cast("string"))).alias("name")).agg(
-        F.min("o_orderkey").alias("first"), F.count("*").alias("n"))
+    canvases = F.array(F.lit(""), F.lit(""))
+    incoming = load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("Set "), F.col("o_orderkey") % 400).alias("name"), F.array(F.lit("a"), F.lit("b")).alias("docs"), canvases.alias("canvases"), F.col("o_orderkey").alias("ord"))
     local = load(spark, sf_dir, "customer").filter("c_custkey < 300").select(
-        F.lower(F.concat(F.lit("SET "), F.col("c_custkey").cast("string"))).alias("name"), (F.col("c_custkey") % 2 == 0).alias("same"))
-    outcome = F.when(F.col("same").isNull(), "added").when(F.col("same"), "duplicate").otherwise("conflict")
-    return incoming.join(local, "name", "left").select("name", outcome.alias("outcome"), "first", "n")
+        F.concat(F.lit(" SET "), "c_custkey").alias("name"), F.array(F.lit("a"), F.when(F.col("c_custkey") % 2 == 0, "b").otherwise("c")).alias("docs"), canvases.alias("canvases"))
+    outcomes = K.merged(local, incoming, "ord").groupBy(F.lower("name").alias("name")).agg(
+        F.min_by("outcome", "ord").alias("outcome"), F.min("ord").alias("first"), F.count("*").alias("n"))
+    return outcomes.select("name", "outcome", "first", "n")
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, 'u' || o_orderkey AS url, 'd' || (o_orderkey % 50) AS dir FROM orders),
+b AS (SELECT 'd' || (p_partkey % 30) AS dir, 'u' || p_partkey AS url FROM part),
+u AS (SELECT url, max(dir) AS dir FROM b GROUP BY url), r AS (SELECT s, pos, coalesce(u.dir, (SELECT min(b.dir) FROM b WHERE b.dir = c.dir)) AS d FROM c LEFT JOIN u ON c.url = u.url)
+SELECT s, string_agg(coalesce(d, '-'), ',' ORDER BY pos) AS docs, bool_and(d IS NOT NULL) AS complete FROM r GROUP BY s""")
+def q74_comparison_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("u"), "o_orderkey").alias("manifest_url"), F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("bundle_dir"))
+    bundles = load(spark, sf_dir, "part").select(F.concat(F.lit("d"), F.col("p_partkey") % 30).alias("dir"), F.concat(F.lit("u"), "p_partkey").alias("manifest_url"))
+    found = K.resolved(documents, bundles, "s")
+    return found.select("s", F.array_join("docs", ",", "-").alias("docs"), "complete")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS k, 'u' || (l_partkey % 9) AS url FROM lineitem), p AS (SELECT DISTINCT l_orderkey AS k, 'u' || (l_partkey % 9) AS url FROM lineitem WHERE l_suppkey % 3 = 0)
+SELECT l.k, l.url, CASE WHEN p.k IS NOT NULL THEN 'f/' || l.url END AS file FROM l LEFT JOIN p USING (k, url)""")
+def q75_linked_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("u"), F.col("l_partkey") % 9)
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), url.alias("url"), "l_suppkey")
+    had = lines.filter("l_suppkey % 3 = 0").select("k", "url", F.concat(F.lit("f/"), "url").alias("file"), F.lit("").alias("sha256"))
+    return M.reuse_linked(lines.select("k", "url").distinct(), had, ["k"]).select("k", "url", "file")
+
+
+@query("""
+WITH c AS (SELECT o_custkey, max(o_orderkey) AS active FROM orders GROUP BY o_custkey)
+SELECT c_custkey, CASE WHEN active IS NULL OR active % 3 = 0 THEN 'manifest.json' ELSE 'manifest-versions/' || active || '.json' END AS manifest FROM customer LEFT JOIN c ON c_custkey = o_custkey""")
+def q76_active_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pointers = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("a"))
+    name = F.when(F.col("a") % 3 == 0, F.concat(F.lit("../"), "a")).otherwise(F.concat(F.lit("manifest-versions/"), "a", F.lit(".json")))
+    return active(load(spark, sf_dir, "customer").select("c_custkey"), pointers.select("c_custkey", name.alias("manifest")), "c_custkey")
 
 
 @query("""

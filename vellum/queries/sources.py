@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import canonical_set
-from ..sources import graph
+from ..operators import linked
+from ..operators.localize import localize
+from ..operators.profiles import HOSTS, Profile, mapping_rows, with_profile
+from ..sources import fetch, files, graph, ingest
 from .base import load, query
 
 
@@ -102,10 +105,8 @@ WITH u AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regex
 s AS (SELECT page_id, host, trim(regexp_replace(rest, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS slug FROM u)
 SELECT page_id, host, host || '/' || slug AS dir, CASE WHEN host = 'tionsh.example.net' THEN 13000 ELSE 750 END AS min_interval_ms FROM s""")
 def q17_store_dirs_and_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a fixed dimension: hosts with a profile of their own, and the default
-    profiles = spark.createDataFrame([("gallica.bnf.fr", 13000), ("tionsh.example.net", 13000)], "host string, own int")
-    pages = load(spark, sf_dir, "pages").select("page_id", U.host_of(F.col("url")).alias("host"), U.store_dir(F.col("url")).alias("dir"))
-    return pages.join(F.broadcast(profiles), "host", "left").select("page_id", "host", "dir", F.coalesce("own", F.lit(750)).alias("min_interval_ms"))
+    pages = with_profile(load(spark, sf_dir, "pages").select("page_id", "url"), "url", HOSTS | {"tionsh.example.net": Profile(interval_ms=13_000)})
+    return pages.select("page_id", "host", U.store_dir(F.col("url")).alias("dir"), F.col("interval_ms").alias("min_interval_ms"))
 
 
 _POLICY_URL = """CASE page_id % 6 WHEN 0 THEN 'http://OAI.bnf.fr/oai2/OAIHandler?verb=x' WHEN 1 THEN 'http://oai.bnf.fr:80/oai2/OAIHandler'
@@ -184,15 +185,14 @@ def q22_image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, 750 * (row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id) - 1) AS start_ms FROM pages""")
 def q23_request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", U.host_of(F.col("url")).alias("host"))
-    nth = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
-    return pages.select("page_id", (750 * (nth.cast("long") - 1)).alias("start_ms"))
+    return fetch.schedule(pages.withColumn("interval_ms", F.lit(None).cast("int")), "page_id").select("page_id", "start_ms")
 
 
 @query(_FIRST)
 def q42_change_stream_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.changes import first_changes
 
-    return first_changes(spark, f"{sf_dir}/events.parquet")
+    return first_changes(spark, f"{sf_dir}/events.parquet", ("signup", "view"), "event_type", "user_id", "event_id")
 
 
 @query("""
@@ -213,10 +213,8 @@ def q46_item_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(F.array(*map(F.lit, (403, 200, 404))), (key % 3).cast("int")).alias("status"),
     )
     items = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("item"), F.concat(F.lit("body"), key).alias("body"))
-    routed = asked.withColumn("item", F.when(F.col("status") == 403, U.item_route(F.col("url"))))
-    met = routed.join(items.withColumnRenamed("body", "derived"), "item", "left")
-    via = F.when(F.col("derived").isNotNull(), "derived").when(F.col("status") == 200, "direct").otherwise("error")
-    return met.select("o_orderkey", via.alias("via"), U.derivation_key(F.col("url"), F.concat(F.lit("body"), key)).alias("derivation"))
+    asked = asked.withColumn("body", F.concat(F.lit("body"), key))
+    return fetch.item_fallback(asked, items, ["o_orderkey"]).select("o_orderkey", "via", "derivation")
 
 
 @query("""
@@ -225,12 +223,9 @@ l AS (SELECT user_id, max(event_id) FILTER (r <> 'fail') AS ok FROM a GROUP BY u
 SELECT user_id, ok IS NOT NULL AS done, count(*) FILTER (r = 'fail' AND (ok IS NULL OR event_id > ok)) AS attempts,
  max(event_id) FILTER (r = 'fail' AND (ok IS NULL OR event_id > ok)) AS last_failure FROM a JOIN l USING (user_id) GROUP BY user_id, ok""")
 def q55_crawl_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = load(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
-    ok = log.groupBy("user_id").agg(F.max(F.when(~F.col("failed"), F.col("event_id"))).alias("ok"))  # success clears failures before it
-    after = F.col("failed") & (F.col("ok").isNull() | (F.col("event_id") > F.col("ok")))
-    return log.join(ok, "user_id").groupBy("user_id").agg(
-        F.bool_or(F.col("ok").isNotNull()).alias("done"), F.count_if(after).alias("attempts"), F.max(F.when(after, F.col("event_id"))).alias("last_failure")
-    )
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "nomatch").otherwise("stored")
+    log = load(spark, sf_dir, "events").select("user_id", "event_id", outcome.alias("outcome"), F.col("props").alias("message"))
+    return ingest.failures(log, "user_id", "event_id").select("user_id", "done", "attempts", "last_failure")
 
 
 @query("""
@@ -239,7 +234,133 @@ SELECT (SELECT count(*) FROM k WHERE user_id NOT IN (SELECT user_id FROM j)) AS
 def q54_ledger_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
     urls = lambda kinds: events.filter(F.col("event_type").isin(*kinds)).select("user_id")
-    new, old = urls(["view"]), urls(["view", "purchase"])
-    added = graph.not_done(old.distinct(), new, "user_id").withColumn("added", F.lit(1))
-    everything = new.union(old).distinct().join(added, "user_id", "left")
-    return everything.agg(F.count("added").alias("added"), F.count("*").alias("total"))
+    both = ingest.migrated(urls(["view"]), urls(["view", "purchase"]), "user_id")
+    return both.agg(F.count_if(F.col("added")).alias("added"), F.count("*").alias("total"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT 'root' AS p, 'r' || r_regionkey AS c, r_regionkey AS pos, 'collection' AS kind FROM region
+  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey, 'collection' FROM nation
+  UNION ALL SELECT 'r' || r_regionkey, 'n' || ((r_regionkey * 7 + 3) % 25), 100 + r_regionkey, 'collection' FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'root', 60, 'collection' FROM nation
+  UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 1), 50, 'collection' FROM nation WHERE n_nationkey % 5 = 0
+  UNION ALL SELECT 'n' || c_nationkey, 'm' || (c_custkey % 200), 1000 + c_custkey, 'manifest' FROM customer),
+w AS (SELECT 'root' AS node, []::INT[] AS path, ['root'] AS seen
+  UNION ALL SELECT c, list_append(path, pos::INT), list_append(seen, c) FROM w JOIN t ON p = node WHERE kind = 'collection' AND NOT list_contains(seen, c)),
+f AS (SELECT node, min(path) AS path FROM w GROUP BY node)
+SELECT c AS manifest, len(path) + 1 AS depth, array_to_string(path, '.') || '.' || pos AS path FROM f JOIN t ON p = node WHERE kind = 'manifest'""")
+def q77_shared_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, customer = (load(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    parts = [
+        region.selectExpr("'root' parent", "concat('r', r_regionkey) child", "'collection' kind", "r_regionkey pos"),
+        nation.selectExpr("concat('r', n_regionkey) parent", "concat('n', n_nationkey) child", "'collection' kind", "n_nationkey pos"),
+        region.selectExpr("concat('r', r_regionkey) parent", "concat('n', (r_regionkey * 7 + 3) % 25) child", "'collection' kind", "100 + r_regionkey pos"),
+        nation.selectExpr("concat('n', n_nationkey) parent", "'root' child", "'collection' kind", "60 pos"),
+        nation.filter("n_nationkey % 5 = 0").selectExpr("concat('n', n_nationkey) parent", "concat('n', n_nationkey + 1) child", "'collection' kind", "50 pos"),
+        customer.selectExpr("concat('n', c_nationkey) parent", "concat('m', c_custkey % 200) child", "'manifest' kind", "cast(1000 + c_custkey as int) pos"),
+    ]
+    edges = parts[0]
+    for part in parts[1:]:
+        edges = edges.unionByName(part)
+    found = graph.walk_tree(edges, "root")
+    return found.select("manifest", F.col("depth").cast("long").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, event_id // 500 AS page FROM events), l AS (SELECT max(page) - 2 AS bad FROM e)
+SELECT user_id, min(event_id) AS event_id, NULL::VARCHAR AS error FROM e, l WHERE page < bad AND event_type IN ('signup', 'view') GROUP BY user_id
+UNION ALL SELECT NULL, NULL, 'unreadable page p' || bad FROM l""")
+def q78_paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.create_map(*map(F.lit, ("signup", "Create", "view", "Update", "error", "Delete", "click", "Other", "purchase", "Other")))
+    events = load(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("page"), "event_id", "user_id", F.try_element_at(kinds, F.col("event_type")).alias("type"))
+    last = events.agg(F.max("page")).first()[0]
+    item = F.struct("event_id", F.struct(F.col("type").alias("type"), F.struct(F.concat(F.col("user_id").cast("string"), F.lit("")).alias("id"), F.lit("Manifest").alias("type")).alias("object")).alias("a"))
+    pages = events.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["a"]).alias("orderedItems"))
+    following = F.concat(F.lit("p"), F.when(F.col("page") == last, 3).otherwise(F.col("page") + 1))  # the last page leads back
+    body = F.to_json(F.struct(F.struct(following.alias("id")).alias("next"), "orderedItems"))
+    docs = pages.select(F.concat(F.lit("p"), "page").alias("url"), F.when(F.col("page") == last - 2, "no page").otherwise(body).alias("body"))
+    root = spark.createDataFrame([("s", '{"first":{"id":"p0"}}')], "url string, body string")
+    rows = graph.paged_activities(docs.union(root), "s")
+    numbered = rows.filter("error is null").select("activity", F.col("id").cast("long").alias("user_id"), (F.col("page") * 500 + F.col("pos")).alias("event_id"))
+    lost = rows.filter("error is not null").select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), "error")
+    return graph.changed(numbered, "user_id", "event_id").withColumn("error", F.lit(None).cast("string")).unionByName(lost)
+
+
+@query("""
+WITH d AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS more FROM orders), b AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey IN (SELECT k FROM d)),
+p AS (SELECT DISTINCT k FROM b)
+SELECT k AS key, kind, count(*) AS n FROM (
+ SELECT k, 'seeAlso' AS kind FROM d UNION ALL SELECT k, 'annotation' FROM d UNION ALL SELECT k, 'content' FROM b
+ UNION ALL SELECT k, 'annotation' FROM d WHERE more AND k IN (SELECT k FROM p) UNION ALL SELECT k, 'content' FROM d WHERE more AND k IN (SELECT k FROM p)) GROUP BY ALL""")
+def q79_linked_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    at = lambda kind, key: F.concat(F.lit(f"https://x/{kind}/"), key)
+    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    docs = orders.select(k.alias("key"), F.to_json(F.struct(
+        F.array(F.struct(at("s", k).alias("id"))).alias("seeAlso"), F.array(F.struct(at("l", k).alias("@id"))).alias("otherContent"),
+        F.array(F.struct(F.lit("Annotation").alias("type"), F.lit("painting").alias("motivation"), F.struct(at("i", k).alias("id")).alias("body"))).alias("items"))).alias("body"))
+    key = F.col("l_orderkey").cast("string")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    notes = F.collect_list(F.struct(F.lit("Annotation").alias("type"), F.struct(F.concat(at("b", key), F.lit("/"), "l_linenumber").alias("id")).alias("body")))
+    pages = lines.groupBy("l_orderkey").agg(notes.alias("items")).select(at("l", key).alias("url"), F.to_json(F.struct(
+        F.lit("AnnotationPage").alias("type"), F.when(F.col("l_orderkey") % 2 == 0, at("m", key)).alias("next"), "items")).alias("body"))
+    last = orders.select(at("m", k).alias("url"), F.concat(F.lit('{"@type":"sc:AnnotationList","resources":[{"@type":"oa:Annotation","resource":{"@id":"https://x/z/'), F.col("o_orderkey") % 10, F.lit('"}}]}')).alias("body"))
+    found = linked.closure(docs, pages.union(last), "key", "body")
+    return found.groupBy(F.col("key").cast("long").alias("key"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'http://me/' || o_orderkey || '.jpg' ELSE 'https://i/' || o_orderkey || '/full/max/0/default.jpg' END AS image,
+ CASE WHEN o_orderkey % 3 = 0 THEN 600 ELSE 1 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 'http://me/r' ELSE 'https://x/meta' END AS meta, o_orderkey % 5 = 0 AS thumbnail FROM orders""")
+def q80_localized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    thumb = F.when(k % 5 == 0, "http://me/t").otherwise("https://far/t")
+    body = F.struct(F.concat(F.lit("https://i/"), key, F.lit("/full/max/0/default.jpg")).alias("id"), F.lit(1).alias("width"))
+    canvas = F.struct(F.lit("Canvas").alias("type"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.array(F.struct(F.array(F.struct(body.alias("body"))).alias("items"))).alias("items"))
+    docs = load(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.lit("Manifest").alias("type"), thumb.alias("thumbnail"), F.lit("https://x/meta").alias("seeAlso"), F.array(canvas).alias("items"))).alias("body"))
+    targets = docs.filter(k % 3 == 0).select(
+        "o_orderkey", F.concat(F.lit("https://i/"), key).alias("anchor"), F.concat(F.lit("http://me/"), key, F.lit(".jpg")).alias("image"), F.concat(F.lit("http://me/"), key).alias("service"), F.lit(600).alias("w"), F.lit(400).alias("h"))
+    links = docs.filter(k % 2 == 0).select("o_orderkey", F.lit("https://x/meta").alias("url"), F.lit("http://me/r").alias("file"))
+    made = localize(docs, "o_orderkey", "body", targets, links, "http://me/")
+    shape = "thumbnail string, seeAlso string, items array<struct<width:int,items:array<struct<items:array<struct<body:struct<id:string>>>>>>>"
+    read = made.select("o_orderkey", F.from_json("body", shape).alias("m"))
+    return read.select(
+        "o_orderkey", F.expr("m.items[0].items[0].items[0].body.id").alias("image"), F.expr("m.items[0].width").alias("width"), F.col("m.seeAlso").alias("meta"), F.col("m.thumbnail").isNotNull().alias("thumbnail"))
+
+
+@query("""
+SELECT count(DISTINCT fp) AS runs, count(*) AS asked FROM (SELECT concat_ws('|', o_custkey % 40, o_orderkey % 2) AS fp FROM orders)""")
+def q81_run_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    a, b = F.array(F.lit("fr"), F.lit(" la"), F.lit("")), F.array(F.lit("la"), F.lit("fr"), F.lit("fr"))
+    places = F.when(k % 3 == 0, F.array(F.lit("Paris"))).otherwise(F.array(F.lit(" PARIS "), F.lit("paris")))
+    digest = ingest.mapping_digest(mapping_rows(spark)).first()[0]
+    asked = load(spark, sf_dir, "orders").select(ingest.fingerprint(
+        F.concat(F.lit(" c"), F.col("o_custkey") % 40), F.when(k % 5 == 0, a).otherwise(b), places, F.when(k % 2 == 0, 1400), F.when(k % 2 == 0, 1500), F.lit(digest)).alias("fp"))
+    return asked.agg(F.count_distinct("fp").alias("runs"), F.count("*").alias("asked"))
+
+
+@query("""
+WITH s AS (SELECT 'k' || o_orderkey AS key, o_totalprice AS body FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN '../k' ELSE 'k' || o_orderkey END AS key, -o_totalprice AS body FROM orders WHERE o_orderkey % 3 = 0)
+SELECT key, coalesce(n.body, s.body)::DOUBLE AS body FROM s FULL JOIN (FROM n WHERE key <> '../k') n USING (key) WHERE key NOT IN (SELECT 'k' || o_orderkey FROM orders WHERE o_orderkey % 11 = 0)""")
+def q82_blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("k"), k)
+    orders = load(spark, sf_dir, "orders")
+    store = orders.filter(k % 2 == 0).select(name.alias("key"), F.col("o_totalprice").alias("body"))
+    new = orders.filter(k % 3 == 0).select(F.when(k % 7 == 0, "../k").otherwise(name).alias("key"), (-F.col("o_totalprice")).alias("body"), k.alias("ord"))
+    return files.blobs_delete(files.blobs_put(store, new), orders.filter(k % 11 == 0).select(name.alias("key")))
+
+
+@query("""
+SELECT user_id, arg_max(event_id, event_id) AS etag FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id
+UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type IN ('view', 'click'))""")
+def q83_updated_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    cache = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("url"), F.lit("-1").alias("etag"), none.alias("last_modified"), none.alias("content_type"), F.lit("{}").alias("body"))
+    responses = load(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("url"), F.when(F.col("event_type").isin("view", "click"), 200).otherwise(500).alias("status"), F.col("event_id").cast("string").alias("etag"), none.alias("last_modified"),
+        none.alias("content_type"), F.col("props").alias("body"), "event_id")
+    found = fetch.updated_cache(cache, responses, "event_id")
+    return found.select(F.col("url").cast("long").alias("user_id"), F.col("etag").cast("long").alias("etag"))

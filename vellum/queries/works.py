@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_range
 from ..functions.language import parse_language
-from ..jsontext import member_text, text_of
-from ..operators.images import enumerate_images, first_string
+from ..jsontext import member_text, metadata_rows, text_of, title_of
+from ..operators.images import canvas_ids, enumerate_images, first_string
 from ..operators.select import Filter, work_records
 from ..scratch import written
 from .base import load, query
@@ -167,37 +167,36 @@ def q07_label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(l_orderkey, manifest)``: a presentation document per order; even orders in the older shape."""
-    key, rn = F.col("l_orderkey").cast("string"), F.col("i")
+    key = F.col("l_orderkey").cast("string")
     lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines")
     )
-    flat = lines.select("l_orderkey", F.posexplode("lines").alias("i", "l"))
-    service = F.concat(F.lit("https://img.example/s/"), F.col("l.l_partkey"), F.lit("/"), F.col("l.l_suppkey"))
-    canvas = F.concat(F.lit("https://img.example/c/"), key, F.lit("/"), rn + 1)
-    old = F.struct(
-        canvas.alias("@id"), F.lit("sc:Canvas").alias("@type"), F.concat(F.lit("p. "), rn + 1).alias("label"),
-        F.array(F.struct(F.struct(
-            F.concat(service, F.lit("/full/full/0/default.jpg")).alias("@id"), F.lit(600).alias("width"), F.lit(400).alias("height"),
-            F.when(F.col("l.l_partkey") % 2 == 0, F.struct(service.alias("@id"))).alias("service"),
-        ).alias("resource"))).alias("images"),
-    )
-    new = F.struct(
-        canvas.alias("id"), F.lit("Canvas").alias("type"),
-        F.array(F.struct(F.array(F.struct(F.struct(
-            F.concat(service, F.lit("/full/max/0/default.jpg")).alias("id"), F.lit(600).alias("width"), F.lit(400).alias("height"),
-            F.array(F.struct(service.alias("id"))).alias("service"),
-        ).alias("body"))).alias("items"))).alias("items"),
-    )
-    made = flat.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct("i", old.alias("c")))).alias("old"),
-        F.sort_array(F.collect_list(F.struct("i", new.alias("c")))).alias("new"),
-    )
-    cs = lambda c: F.transform(c, lambda x: x["c"])
+
+    def canvas(i: Column) -> Column:
+        return F.concat(F.lit("https://img.example/c/"), key, F.lit("/"), i + 1)
+
+    def service(x: Column) -> Column:
+        return F.concat(F.lit("https://img.example/s/"), x["l_partkey"], F.lit("/"), x["l_suppkey"])
+
+    def old(x: Column, i: Column) -> Column:
+        resource = F.struct(
+            F.concat(service(x), F.lit("/full/full/0/default.jpg")).alias("@id"), F.lit(600).alias("width"), F.lit(400).alias("height"),
+            F.when(x["l_partkey"] % 2 == 0, F.struct(service(x).alias("@id"))).alias("service"))
+        return F.struct(
+            canvas(i).alias("@id"), F.lit("sc:Canvas").alias("@type"), F.concat(F.lit("p. "), i + 1).alias("label"), F.array(F.struct(resource.alias("resource"))).alias("images"))
+
+    def new(x: Column, i: Column) -> Column:
+        body = F.struct(
+            F.concat(service(x), F.lit("/full/max/0/default.jpg")).alias("id"), F.lit(600).alias("width"), F.lit(400).alias("height"),
+            F.array(F.struct(service(x).alias("id"))).alias("service"))
+        return F.struct(canvas(i).alias("id"), F.lit("Canvas").alias("type"), F.array(F.struct(F.array(F.struct(body.alias("body"))).alias("items"))).alias("items"))
+
+    # one grouping; a document is built in its own shape alone
     text = F.when(
         F.col("l_orderkey") % 2 == 0,
-        F.to_json(F.struct(F.lit("sc:Manifest").alias("@type"), F.array(F.struct(cs("old").alias("canvases"))).alias("sequences"))),
-    ).otherwise(F.to_json(F.struct(F.lit("Manifest").alias("type"), cs("new").alias("items"))))
-    return written(made.select("l_orderkey", text.alias("manifest")), "manifests")  # documents are read from storage
+        F.to_json(F.struct(F.lit("sc:Manifest").alias("@type"), F.array(F.struct(F.transform("lines", old).alias("canvases"))).alias("sequences"))),
+    ).otherwise(F.to_json(F.struct(F.lit("Manifest").alias("type"), F.transform("lines", new).alias("items"))))
+    return written(lines.select("l_orderkey", text.alias("manifest")), "manifests")  # documents are read from storage
 
 
 @query("""
@@ -228,3 +227,26 @@ def q09_license_and_canvases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", F.array_join(F.transform("cs", lambda x: x["c"]), ",").alias("canvases"),
         first_string(license_, rights, attribution).alias("license"),
     )
+
+
+@query("""
+SELECT l_orderkey, count(*) AS canvases, min('https://img.example/c/' || l_orderkey || '/1') AS first, max(rn) AS last
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) GROUP BY l_orderkey""")
+def q58_canvas_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canvas_ids(manifests(spark, sf_dir), "l_orderkey")
+    last = F.element_at(F.split(F.element_at("canvases", -1), "/"), -1)
+    return found.select("l_orderkey", F.size("canvases").cast("long").alias("canvases"), F.get("canvases", F.lit(0)).alias("first"), last.cast("long").alias("last"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS title, 0 AS pos, 'Brand' AS label, p_brand AS value FROM part
+UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, 1, 'Size', p_size::VARCHAR FROM part""")
+def q59_document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = load(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    label = F.when(k == 1, F.concat(F.lit(',"label":"'), "p_name", F.lit('"'))).when(k == 2, F.concat(F.lit(',"label":{"fr":["x"],"en":["'), "p_name", F.lit('"]}'))).otherwise("")
+    entries = F.concat(
+        F.lit('[{"label":"Brand","value":{"en":["'), "p_brand", F.lit('"]}},{"label":[{"@value":"Size","@language":"en"}],"value":'), F.col("p_size").cast("string"), F.lit('},{"label":" ","value":"x"}]'))
+    docs = part.select("p_partkey", F.concat(F.lit('{"type":"Manifest"'), label, F.lit(',"metadata":'), entries, F.lit("}")).alias("manifest"))
+    titles = docs.select("p_partkey", title_of(F.col("manifest")).alias("title"))
+    return metadata_rows(docs, "p_partkey", "manifest").join(titles, "p_partkey").select("p_partkey", "title", "pos", "label", "value")

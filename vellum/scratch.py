@@ -51,6 +51,12 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

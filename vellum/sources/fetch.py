@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import looks_like_html, retry_delay_ms, scheme_policy
+from ..functions.urls import derivation_key, item_route, looks_like_html, retry_delay_ms, scheme_policy
+from ..rank import ranked_by
 
 MAX_BODY, MAX_CACHED = 512 << 20, 16 << 20
 
@@ -30,15 +31,33 @@ def outcomes(responses: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.select("url", F.when(error.isNull(), body).alias("body"), error.alias("error"), (F.col("status") == 304).alias("from_cache"))
 
 
-def updated_cache(cache: DataFrame, responses: DataFrame) -> DataFrame:
-    """The cache after ``responses``: JSON bodies with a validator, of up to 16 MiB, replace older ones."""
+def updated_cache(cache: DataFrame, responses: DataFrame, order: str | None = None) -> DataFrame:
+    """The cache after ``responses``: JSON bodies with a validator, of up to 16 MiB, replace older ones.
+
+    Of several responses of one URL the last by ``order`` counts (without an order, the one
+    with the greatest validator and body).
+    """
     names = ["url", "etag", "last_modified", "content_type", "body"]
     validator = (F.coalesce("etag", F.lit("")) != "") | (F.coalesce("last_modified", F.lit("")) != "")
     keep = F.col("status").between(200, 299) & validator & (F.octet_length("body") <= MAX_CACHED) & F.try_parse_json("body").isNotNull()
-    new = responses.filter(keep).groupBy("url").agg(*[F.max_by(n, F.struct("etag", "body")).alias(n) for n in names[1:]]).select(names)
+    last = F.struct(order) if order else F.struct("etag", "body")
+    new = responses.filter(keep).groupBy("url").agg(F.max_by(F.struct(*names[1:]), last).alias("r")).select("url", *[f"r.{n}" for n in names[1:]])
     return new.unionByName(cache.select(names).join(new.select("url"), "url", "left_anti"))
 
 
+def item_fallback(responses: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, url, via, body)``: where a manifest comes from, with the key it is derived under.
+
+    A refused (403) manifest of an exact catalogue route is derived from its item among
+    ``items(item, body)``; a 200 is taken as it is; anything else is an error.
+    """
+    routed = responses.withColumn("item", F.when(F.col("status") == 403, item_route(F.col("url"))))
+    met = routed.join(items.select("item", F.col("body").alias("derived")), "item", "left")
+    via = F.when(F.col("derived").isNotNull(), "derived").when(F.col("status") == 200, "direct").otherwise("error")
+    body = F.when(via == "derived", F.col("derived")).when(via == "direct", F.col("body"))
+    return met.select(*keys, "url", via.alias("via"), body.alias("body"), derivation_key(F.col("url"), F.coalesce("derived", "body")).alias("derivation"))
+
+
 def attempts(log: DataFrame, limit: int = 3) -> DataFrame:
     """``log(url, attempt, status, retry_after)`` with ``delay_ms`` before the next try and the time it begins."""
     delay = retry_delay_ms(F.col("status"), F.col("retry_after"), F.col("attempt"), limit)
@@ -49,8 +68,9 @@ def attempts(log: DataFrame, limit: int = 3) -> DataFrame:
 
 def schedule(requests: DataFrame, order: str, default_ms: int = 750) -> DataFrame:
     """``start_ms`` of each request: its place in its host's queue times the host's interval (``interval_ms``)."""
-    nth = F.row_number().over(Window.partitionBy("host").orderBy(order)) - 1
-    return requests.withColumn("start_ms", nth.cast("long") * F.coalesce("interval_ms", F.lit(default_ms)))
+    queued = ranked_by(requests, ["host"], [F.col(order)], "__nth")
+    start = (F.col("__nth") - 1) * F.coalesce("interval_ms", F.lit(default_ms))
+    return queued.withColumn("start_ms", start.cast("long")).drop("__nth")
 
 
 def jittered(start_ms: Column, max_ms: int = 600) -> Column:

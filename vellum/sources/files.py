@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import trimmed
 from ..functions.text import or_else
+from ..functions.tiles import info_json
 from ..functions.urls import is_absolute, safe_relative
 from .graph import latest
 
@@ -78,3 +79,30 @@ def active(bundles: DataFrame, pointers: DataFrame, key: str) -> DataFrame:
     named = bundles.select(key).join(pointers.select(key, "manifest"), key, "left")
     ok = F.coalesce(safe_relative(F.col("manifest")), F.lit(False))
     return named.select(key, F.when(ok, F.col("manifest")).otherwise("manifest.json").alias("manifest"))
+
+
+def blobs_put(store: DataFrame, new: DataFrame) -> DataFrame:
+    """``(key, body)`` after ``new(key, body, ord)``: the last body of a key counts; keys that leave the root are refused."""
+    good = new.filter(F.coalesce(safe_relative(F.col("key")), F.lit(False))).groupBy("key").agg(F.max_by("body", "ord").alias("body"))
+    return store.select("key", "body").join(good.select("key"), "key", "left_anti").unionByName(good)
+
+
+def blobs_get(store: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(key, body, error)`` for each of ``asked(key)``; an empty body is there, a missing one is an error."""
+    met = asked.select("key").join(store.select("key", "body", F.lit(True).alias("there")), "key", "left")
+    error = F.when(~F.coalesce(safe_relative(F.col("key")), F.lit(False)), "outside the store").when(F.col("there").isNull(), "no such key")
+    return met.select("key", F.when(error.isNull(), F.col("body")).alias("body"), error.alias("error"))
+
+
+def blobs_delete(store: DataFrame, gone: DataFrame) -> DataFrame:
+    return store.select("key", "body").join(gone.select("key"), "key", "left_anti")
+
+
+def pyramid_complete(images: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """``(key, complete)``: whether the description beside an image's tiles is the one its size asks for.
+
+    ``images(key, prefix, w, h)``, ``texts(key, body)``.  It is written after all tiles, so it stands for them.
+    """
+    met = images.join(texts.select(key, "body"), key, "left")
+    want = trimmed(info_json(F.col("prefix"), F.col("w"), F.col("h")))
+    return met.select(key, F.coalesce(trimmed(F.col("body")) == want, F.lit(False)).alias("complete"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..rank import ranked_by
+from ..scratch import complete, forget, scratch, written
 
 COLLECTION = (
     "manifests array<struct<`@id`:string>>, collections array<struct<`@id`:string>>, "
@@ -41,54 +42,91 @@ def references(documents: DataFrame, url: str = "url", body: str = "body") -> Da
     )
 
 
-def walk_tree(edges: DataFrame, root: str) -> DataFrame:
-    """Manifests in document order, duplicates kept: ``(manifest, depth, path)``.
+def walk_tree(edges: DataFrame, root: str, failed: DataFrame | None = None) -> DataFrame:
+    """Manifests in document order, duplicates kept: ``(manifest, depth, path, error)``.
 
-    Level by level; a collection on its own path is not entered again, so cycles end.
-    Sorting by ``path`` (positions from the root) gives depth-first order.
+    A collection is entered once, however many documents refer to it and whether or not
+    they form cycles: where a depth-first walk in document order comes to it first.
+    That is the least of its paths (positions from the root), so each round offers the
+    collections behind those whose path has changed a path, and keeps the lesser; a round
+    per level, and few collections after the first.  ``failed(url, error)`` are collections
+    that can't be read: a row with their error stands where their content would, and the
+    walk goes on.  Sorting by ``path`` gives the depth-first order.
     """
     spark = edges.sparkSession
-    level = spark.createDataFrame([(root, [root], [])], "node string, seen array<string>, path array<int>")
-    found, depth = None, 0
+    inner = edges.filter("kind = 'collection' and child <> ''").select(F.col("parent").alias("node"), "child", "pos")
+    at = scratch(spark, "walk")
+    known = written(spark.createDataFrame([(root, [])], "node string, path array<int>"), "walk", at)
+    changed = known
     while True:
-        depth += 1
-        step = level.join(edges, F.expr("node = parent")).select(
-            "child", "kind", "seen", F.concat("path", F.array("pos")).alias("path")
-        )
-        step = written(step, "walk")
-        leaves = step.filter("kind = 'manifest'").select(F.col("child").alias("manifest"), F.lit(depth).alias("depth"), "path")
-        found = leaves if found is None else found.unionByName(leaves)
-        level = step.filter("kind = 'collection' and not array_contains(seen, child)").select(
-            F.col("child").alias("node"), F.array_append("seen", F.col("child")).alias("seen"), "path"
-        )
-        if level.isEmpty():
-            return found
-
-
-def walk_frontier(edges: DataFrame, root: str) -> DataFrame:
-    """Breadth-first with both collections and manifests visited once: ``(url, kind, depth)``.
-
-    Each level is written before the next is read, so a stopped walk resumes from the
-    levels on disk.  Blank URLs drop out.
+        offers = changed.join(inner, "node").select(F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"))
+        best = offers.groupBy("node").agg(F.min("path").alias("path"))
+        less = best.join(known.withColumnRenamed("path", "was"), "node", "left").filter("was is null or path < was").select("node", "path")
+        changed = written(less, "walk-changed")
+        if changed.isEmpty():
+            break
+        before, at = at, scratch(spark, "walk")
+        known = written(known.join(changed.select("node"), "node", "left_anti").unionByName(changed), "walk", at)
+        forget(spark, before)
+    leaves = known.join(edges.filter("kind = 'manifest'"), F.expr("node = parent")).select(
+        F.col("child").alias("manifest"), F.concat("path", F.array("pos")).alias("path"), F.lit(None).cast("string").alias("error"))
+    if failed is not None:
+        errors = known.join(failed, F.expr("node = url")).select(F.lit(None).cast("string").alias("manifest"), "path", "error")
+        leaves = leaves.unionByName(errors)
+    return leaves.select("manifest", F.size("path").alias("depth"), "path", "error")
+
+
+FRONTIER_VERSION = 1
+
+
+def walk_frontier(edges: DataFrame, root: str, folder: str | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """Breadth-first with both collections and manifests visited once: ``(url, kind, depth, expanded)``.
+
+    Blank URLs drop out.  Every round's discoveries and expanded collections are written
+    before the next round reads them.  With a ``folder`` they stay there: a later call
+    takes up the rounds that were written to their end and goes on with the collections
+    still pending.  A folder of another root or version raises.  A collection in
+    ``failed(url)`` stays pending, and the walk stops after its round.
     """
     spark = edges.sparkSession
-    visited = spark.createDataFrame([(root, "collection", 0)], "url string, kind string, depth int")
-    level, depth = visited, 0
+    folder = folder or scratch(spark, "frontier")
+    about = f"{folder}/about"
+    if complete(spark, about):
+        had = spark.read.parquet(about).first()
+        if (had["root"], had["version"]) != (root, FRONTIER_VERSION):
+            raise ValueError(f"{folder} holds a walk of {had['root']}, version {had['version']}")
+    else:
+        spark.createDataFrame([(root, FRONTIER_VERSION)], "root string, version int").write.mode("overwrite").parquet(about)
+    shape = "url string, kind string, depth int"
+    found = spark.createDataFrame([(root, "collection", 0)], shape)
+    done = spark.createDataFrame([], "url string")
+    depth = 0
     while True:
         depth += 1
-        step = level.filter("kind = 'collection'").select("url").join(edges, F.expr("url = parent")).filter("child <> ''")
-        new = step.groupBy("child").agg(F.min("kind").alias("kind")).select(
-            F.col("child").alias("url"), "kind", F.lit(depth).alias("depth")
-        ).join(visited, "url", "left_anti")
-        level = written(new, "frontier")
-        if level.isEmpty():
-            return visited
-        visited = visited.unionByName(level)
+        paths = {name: f"{folder}/{name}-{depth:06d}" for name in ("found", "done")}
+        if not complete(spark, paths["done"]):  # written last: the round counts from then on
+            pending = found.filter("kind = 'collection'").join(done, "url", "left_anti").select("url")
+            ready = pending if failed is None else pending.join(failed.select("url"), "url", "left_anti")
+            step = ready.join(edges, F.expr("url = parent")).filter("child <> ''")
+            new = step.groupBy("child").agg(F.min("kind").alias("kind")).select(
+                F.col("child").alias("url"), "kind", F.lit(depth).alias("depth")).join(found, "url", "left_anti")
+            if ready.isEmpty():
+                break
+            new.write.mode("overwrite").parquet(paths["found"])
+            ready.write.mode("overwrite").parquet(paths["done"])
+            stop = failed is not None and not pending.join(failed.select("url"), "url", "left_semi").isEmpty()
+        else:
+            stop = False
+        found = found.unionByName(spark.read.schema(shape).parquet(paths["found"]))
+        done = done.unionByName(spark.read.schema("url string").parquet(paths["done"]))
+        if stop:
+            break
+    return found.join(done.withColumn("expanded", F.lit(True)), "url", "left").select("url", "kind", "depth", F.coalesce("expanded", F.lit(False)).alias("expanded"))
 
 
 def frontier_stats(visited: DataFrame, expanded: DataFrame) -> DataFrame:
     """One row: collections visited, collections not yet expanded, manifests, complete."""
-    state = visited.join(expanded.select("url", F.lit(True).alias("done")), "url", "left")
+    state = visited.select("url", "kind").join(expanded.select("url", F.lit(True).alias("done")), "url", "left")
     counts = state.agg(
         F.count_if(F.col("kind") == "collection").alias("visited"),
         F.count_if(F.expr("kind = 'collection' and done is null")).alias("pending"),
@@ -97,6 +135,46 @@ def frontier_stats(visited: DataFrame, expanded: DataFrame) -> DataFrame:
     return counts.withColumn("complete", F.expr("pending = 0"))
 
 
+_PAGE = "first struct<id:string>, next struct<id:string>, orderedItems array<struct<type:string,object:struct<id:string,type:string>>>"
+
+
+def paged_activities(documents: DataFrame, root: str) -> DataFrame:
+    """``(page, pos, activity, id, error)`` of a paged stream, from ``documents(url, body)``.
+
+    From the root's ``first`` page along ``next`` until there is none or a page comes
+    again.  A page that is missing or isn't JSON ends the stream with an error row.  Pages
+    are numbered by doubling: each round knows the page 1, 2, 4, ... steps on, so a
+    stream of n pages takes log n joins.
+    """
+    read = documents.groupBy("url").agg(F.max("body").alias("body"))
+    read = read.select("url", F.from_json("body", _PAGE).alias("p"), F.try_parse_json("body").isNotNull().alias("ok"))
+    read = written(read.select("url", "ok", "p.first.id", F.col("p.next.id").alias("next"), F.col("p.orderedItems").alias("items")), "stream")
+    start = read.filter(F.col("url") == root).select(F.col("id").alias("url")).filter("url <> ''")
+    reached = written(start.withColumn("page", F.lit(0).cast("long")), "stream-pages")
+    jump = read.filter("next <> ''").select("url", F.col("next").alias("to"))
+    step = 1
+    while True:
+        more = reached.join(jump, "url").groupBy(F.col("to").alias("url")).agg((F.min("page") + step).alias("page"))
+        new = written(more.join(reached, "url", "left_anti").select("url", "page"), "stream-pages")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        jump = written(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("far")), "to").select("url", F.col("far").alias("to")), "stream-jumps")
+        step *= 2
+    pages = reached.join(read.drop("id", "next"), "url", "left")
+    bad = ~F.coalesce("ok", F.lit(False))
+    end = pages.filter(bad).agg(F.min("page")).first()[0]
+    read_whole = pages if end is None else pages.filter(F.col("page") < end)
+    rows = read_whole.select("page", F.posexplode("items").alias("pos", "x")).select(
+        "page", "pos", F.col("x.type").alias("activity"), F.col("x.object.id").alias("id"), F.lit(None).cast("string").alias("error"))
+    errors = pages.filter(F.col("page") == F.lit(end)).select(
+        "page", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("activity"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("unreadable page "), "url").alias("error"))
+    root_bad = documents.filter(F.col("url") == root).filter(F.try_parse_json("body").isNotNull()).agg(F.count("*").alias("n")).filter("n = 0")
+    lost = root_bad.select(
+        F.lit(0).cast("long").alias("page"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("activity"), F.lit(None).cast("string").alias("id"), F.lit(f"unreadable stream {root}").alias("error"))
+    return rows.unionByName(errors).unionByName(lost)
+
+
 def changed(activities: DataFrame, key: str, order: str) -> DataFrame:
     """First Create or Update of each object: ``(key, order)``; deletes are ignored, not retracted."""
     return activities.filter("activity in ('Create', 'Update')").groupBy(key).agg(F.min(order).alias(order))
@@ -129,4 +207,4 @@ def last_complete_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def occurrence(df: DataFrame, key: str, *order: str) -> DataFrame:
     """``nth``: 1-based occurrence of a key in order, for first-in-first-out matching."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked_by(df, [key], [F.col(c) for c in order], "nth")

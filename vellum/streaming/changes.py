@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch
 
 
-def first_changes(spark: SparkSession, path: str) -> DataFrame:
-    """First Create or Update per object, by a stateful minimum over everything available.
+def first_changes(spark: SparkSession, path: str, kinds: Sequence[str], kind: str = "activity", key: str = "id", order: str = "seq") -> DataFrame:
+    """First of ``kinds`` per object ``key``, by a stateful minimum over everything available.
 
-    Files arrive in any order, so the state holds the smallest event id of each object
+    Files arrive in any order, so the state holds the smallest ``order`` of each object
     rather than the first row seen.  State grows with the objects, not with the events.
     """
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.rpartition("/")[0], pathGlobFilter=path.rpartition("/")[2])
-    first = source.filter(F.col("event_type").isin("signup", "view")).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    path, state = scratch(spark, "changes"), scratch(spark, "changes-state")
+    schema = spark.read.parquet(path).schema
+    source = spark.readStream.schema(schema).parquet(path.rpartition("/")[0], pathGlobFilter=path.rpartition("/")[2])
+    first = source.filter(F.col(kind).isin(*kinds)).groupBy(key).agg(F.min(order).alias(order))
+    out, state = scratch(spark, "changes"), scratch(spark, "changes-state")
 
     def replace(batch: DataFrame, _: int) -> None:  # the complete result, written by the executors
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(out)
 
     run = first.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(replace)
     run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long, event_id long").parquet(path)
+    return spark.read.schema(first.schema).parquet(out)
