@@ -31,6 +31,8 @@ from .common import bind, connected_components, materialize, words_of
 WIDTH, RADIUS, SEGMENTS, TILE_ROWS = 3, 3, 4, 2048
 #: Verified near copies: 128 bits, of which pairs at a Jaccard similarity of 0.8 differ in 19 (deviation 4), strangers in 64 (6).
 WIDE_RADIUS, WIDE_ROWS = 34, 4096
+#: Shingles of the texts of a tile part that is compared exactly (8 bytes each).
+SET_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -226,20 +228,18 @@ def wide_prints(docs: DataFrame, width: int) -> DataFrame:
     return distinct_shingles(docs, width).mapInArrow(run, "doc_id long, key long, n long, fp0 long, fp1 long")
 
 
-def candidates(nodes: DataFrame, nearest: bool, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``nodes(id, comp, n, fp0, fp1)`` -> ``(a, b)`` of different components within ``radius`` bits.
+def _banded(nodes: DataFrame, cols: tuple[str, ...], weight: Column, most: int) -> DataFrame:
+    """Pairs of tile parts that can hold near sets: ``cols`` of one, ``cols`` with a 2 of the other, and ``same``.
 
-    With ``nearest`` only the closest partner of each node, else all pairs.  Tiles are bands
-    of shingle counts: sets with a Jaccard similarity of 0.8 have counts within a factor of
-    1.25, which is four bands (one more for rounding), so other tile pairs are skipped.
-    ``nodes`` is read several times, so pass a written table.
+    Tiles are bands of shingle counts: sets with a Jaccard similarity of 0.8 have counts
+    within a factor of 1.25, which is four bands (one more for rounding), so other tile
+    pairs are skipped.  A tile has a part for each ``most`` of its rows' ``weight``.
     """
     tiled = nodes.filter("n > 0").withColumn("tile", F.floor(F.log(F.col("n")) * (4 / np.log(1.25))).cast("int"))
-    kinds = tiled.groupBy("tile").agg(F.count("*").alias("rows"))  # some 200 rows
-    cols = ("id", "comp", "n", "fp0", "fp1")
+    kinds = tiled.groupBy("tile").agg(F.sum(weight).alias("weight"))  # some 200 rows
     parts = materialize(
         tiled.join(F.broadcast(kinds), "tile")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / WIDE_ROWS)).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("weight") / most)).cast("int"))
         .groupBy("tile", "part").agg(F.collect_list(F.struct(*cols)).alias("m"))
         .select("tile", "part", *[F.col(f"m.{c}").alias(c) for c in cols]), "tiles"
     )
@@ -247,18 +247,26 @@ def candidates(nodes: DataFrame, nearest: bool, radius: int = WIDE_RADIUS) -> Da
     ask = names.select("tile", "part", F.explode(F.array(*[F.lit(d) for d in range(6)])).alias("d")).withColumn("t2", F.col("tile") + F.col("d"))
     ask = ask.join(names.select(F.col("tile").alias("t2"), F.col("part").alias("p2")), "t2").filter("d > 0 or part <= p2")
     other = parts.select(F.col("tile").alias("t2"), F.col("part").alias("p2"), *[F.col(c).alias(f"{c}2") for c in cols])
-    pairs = ask.join(parts, ["tile", "part"]).join(other, ["t2", "p2"]).select(
+    return ask.join(parts, ["tile", "part"]).join(other, ["t2", "p2"]).select(
         *cols, *[f"{c}2" for c in cols], ((F.col("d") == 0) & (F.col("part") == F.col("p2"))).alias("same")
     )
 
+
+def candidates(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``nodes(id, n, fp0, fp1)`` -> ``(a, b)``: the closest partner of each node within ``radius`` bits.
+
+    ``nodes`` is read several times, so pass a written table.
+    """
+    pairs = _banded(nodes, ("id", "n", "fp0", "fp1"), F.lit(1), WIDE_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for r in range(whole.num_rows):
                 one = whole.slice(r, 1)
-                ids, comp, n, f0, f1 = (np.asarray(one.column(c).flatten()) for c in range(5))
-                ids2, comp2, n2, g0, g1 = (np.asarray(one.column(c).flatten()) for c in range(5, 10))
-                if one.column(10)[0].as_py():  # the other side's copy may hold the rows in another order
-                    ids2, comp2, n2, g0, g1 = ids, comp, n, f0, f1
+                ids, n, f0, f1 = (np.asarray(one.column(c).flatten()) for c in range(4))
+                ids2, n2, g0, g1 = (np.asarray(one.column(c).flatten()) for c in range(4, 8))
+                if one.column(8)[0].as_py():  # the other side's copy may hold the rows in another order
+                    ids2, n2, g0, g1 = ids, n, f0, f1
                 f0, f1, g0, g1 = (v.view(np.uint64) for v in (f0, f1, g0, g1))
                 best, at = np.full(len(ids2), 255, np.uint8), np.zeros(len(ids2), np.int64)
                 for s in range(0, len(ids), 64):
@@ -267,13 +275,8 @@ def candidates(nodes: DataFrame, nearest: bool, radius: int = WIDE_RADIUS) -> Da
                     near = d <= radius
                     if not near.any():
                         continue
-                    near &= comp[x, None] != comp2
+                    near &= ids[x, None] != ids2
                     near &= 5 * np.minimum(n[x, None], n2) >= 4 * np.maximum(n[x, None], n2)
-                    if not nearest:
-                        i, j = np.nonzero(near)
-                        a, b = np.minimum(ids[i + s], ids2[j]), np.maximum(ids[i + s], ids2[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d[i, j].astype(np.int32))], names=["a", "b", "bits"])
-                        continue
                     d[~near] = 255
                     j, low = d.argmin(1), d.min(1)
                     i = np.flatnonzero(low < 255)
@@ -285,21 +288,91 @@ def candidates(nodes: DataFrame, nearest: bool, radius: int = WIDE_RADIUS) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(ids2[j]), pa.array(at[j]), pa.array(best[j].astype(np.int32))], names=["a", "b", "bits"])
 
     found = pairs.mapInArrow(run, "a long, b long, bits int")
-    if nearest:
-        found = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
-    return materialize(found.select("a", "b").distinct(), "candidates")
+    closest = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m"))
+    return materialize(closest.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct(), "candidates")
+
+
+def similar(shared, a, b):
+    """Whether sets of ``a`` and ``b`` elements with ``shared`` in common have a Jaccard similarity of 0.8 or more."""
+    return 9 * shared >= 4 * (a + b)
+
+
+def tile_forest(ids, comp, n, f0, f1, h, o, ids2, comp2, n2, g0, g1, h2, o2, same: bool, radius: int) -> list[tuple[int, int]]:
+    """Verified links of two tile parts, of which only those that join components not joined so far.
+
+    ``h`` and ``o`` are hashes of shingles and where each set begins.  Pairs within
+    ``radius`` bits are compared shingle by shingle, a row against all of its partners at once.
+    """
+    _, local = np.unique(np.concatenate([h, h2]), return_inverse=True)
+    mine, theirs = local[: len(h)], local[len(h) :]
+    _, root = np.unique(np.concatenate([comp, comp2]), return_inverse=True)  # component of each row, of both parts
+    left, right = root[: len(ids)], root[len(ids) :]  # views: a join below changes both
+    seen = np.zeros(int(local.max(initial=-1)) + 1, bool)
+    links = []
+    for i in range(len(ids)):
+        near = np.bitwise_count(f0[i] ^ g0) + np.bitwise_count(f1[i] ^ g1) <= radius
+        near &= (right != left[i]) & (5 * np.minimum(n[i], n2) >= 4 * np.maximum(n[i], n2))
+        if same:
+            near[: i + 1] = False
+        js = np.flatnonzero(near)
+        if not len(js):
+            continue
+        seen[mine[o[i] : o[i + 1]]] = True
+        sizes = o2[js + 1] - o2[js]
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(o2[js] - starts, sizes)
+        shared = np.add.reduceat(seen[theirs[at]].astype(np.int64), starts)
+        seen[mine[o[i] : o[i + 1]]] = False
+        for j in js[similar(shared, n[i], n2[js])].tolist():
+            if left[i] != right[j]:
+                links.append((int(ids[i]), int(ids2[j])))
+                root[root == right[j]] = left[i]
+                if same:
+                    right[:] = left
+    return links
+
+
+def exact_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``nodes(id, comp, n, fp0, fp1, h)`` -> ``(a, b)``: links that join different ``comp``.
+
+    All pairs within ``radius`` bits and of a Jaccard similarity of 0.8 or more count; of
+    those of a tile pair a forest leaves the task, never all pairs of a group, whether or
+    not the pairs are similar enough.  ``nodes`` is read several times, so pass a written table.
+    """
+    pairs = _banded(nodes, ("id", "comp", "n", "fp0", "fp1", "h"), F.col("n"), SET_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for r in range(whole.num_rows):
+                one = whole.slice(r, 1)
+
+                def part(first: int) -> list[np.ndarray]:
+                    flat = [np.asarray(one.column(first + c).flatten()) for c in range(5)]  # noqa: B023
+                    sets = one.column(first + 5).flatten()  # noqa: B023
+                    begin = np.asarray(sets.offsets).astype(np.int64)
+                    return [*flat[:3], *[v.view(np.uint64) for v in flat[3:]], np.asarray(sets.flatten()), begin - begin[0]]
 
+                same = one.column(12)[0].as_py()
+                here = part(0)
+                links = tile_forest(*here, *(here if same else part(6)), same, radius)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(id, h)`` of classes ``asked(id, node, key)``: distinct shingles of their texts."""
+    wanted = asked.select("id", F.col("node").alias("doc_id"), F.col("key").alias("own"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = distinct_shingles(texts, width).join(wanted, "doc_id").filter("key = own").select("id", "h")
+    return materialize(sets.dropDuplicates(["id"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of 0.8 or more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = classes.join(asked, "id", "left_semi").select("id", F.col("node").alias("doc_id"), F.col("key").alias("own"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = distinct_shingles(texts, width).join(asked, "doc_id").filter("key = own").select("id", "h").dropDuplicates(["id"])
-    sets = materialize(sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return materialize(both.filter(9 * shared >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b"), "links")
+    return materialize(both.filter(similar(shared, F.size("ha"), F.size("hb"))).select("a", "b"), "links")
 
 
 def near_copies(docs: DataFrame, width: int) -> DataFrame:
@@ -308,20 +381,20 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     Texts are linked if the Jaccard similarity of their distinct shingles is 0.8 or more.
     Fingerprints only propose pairs; each proposal is verified on the shingles.  First every
     text is held against its closest one; then, among texts that have any proposal, all
-    pairs that these links haven't joined yet, so a group of near copies never yields all its pairs.
-    Texts without words are one class.  A row without doc_id links nothing by itself.
+    pairs that these links haven't joined yet are compared within tiles, from which only
+    forests of verified links come.  Texts without words are one class.  A row without
+    doc_id links nothing by itself.
     """
     prints = materialize(wide_prints(docs, width), "prints")
     classes = prints.groupBy("key", "n", "fp0", "fp1").agg(F.min("doc_id").alias("node")).filter("node is not null")
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    first = candidates(classes.withColumn("comp", F.col("id")), nearest=True)
-    links = verified(first, classes, docs, width)
+    first = candidates(classes)
+    asked = classes.join(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    sets = shingle_sets(asked, docs, width)
+    links = verified(first, sets)
     found = connected_components(links).withColumnRenamed("node", "id")
-    asked = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = materialize(
-        classes.join(asked, "id", "left_semi").join(found, "id", "left").select("id", "n", "fp0", "fp1", F.coalesce("component", "id").alias("comp")), "some"
-    )
-    more = verified(candidates(some, nearest=False), classes, docs, width)
+    some = asked.join(found, "id", "left").join(sets, "id").select("id", F.coalesce("component", "id").alias("comp"), "n", "fp0", "fp1", "h")
+    more = exact_links(materialize(some, "some"))
     comps = connected_components(links.unionByName(more)).withColumnRenamed("node", "id")
     known = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = known.groupBy("component").agg(F.min("node").alias("component_id"))
