@@ -54,30 +54,31 @@ def parse_date_range(text: Column) -> Column:
     has two of these forms, so the cheap ones are tried first and a plain year costs one
     test.  Dates inside longer texts are not read.
     """
-    raw = trimmed(text)
-    norm = F.lower(F.regexp_replace(raw, r"\s+", " "))
+    return let(trimmed(text), _read)
 
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: a lambda over a one-element list."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _read(raw: Column) -> Column:
     def years(start: Column, end: Column) -> Column:
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
     def number(of: Column, pattern: str, k: int = 1) -> Column:
         return F.regexp_extract(of, pattern, k).cast("int")
 
-    found = F.when(raw.rlike(YEAR), years(raw, raw))
-    a, b = number(raw, SPAN, 1), number(raw, SPAN, 2)
-    found = found.when(raw.rlike(SPAN), years(F.least(a, b), F.greatest(a, b)))
-    about, nth = number(norm, CIRCA), number(norm, CENTURY)
-    found = found.when(norm.rlike(CIRCA), years(about - CIRCA_YEARS, about + CIRCA_YEARS))
-    found = found.when(norm.rlike(CENTURY), F.when(nth > 0, century(nth)))
-    for pattern in ROMAN:
-        numeral = F.regexp_extract(norm, pattern, 1)
-        found = found.when(norm.rlike(pattern), let(roman_to_int(numeral), lambda n: F.when(n > 0, century(n))))
-    return found
-
+    def words(norm: Column) -> Column:
+        about, nth = number(norm, CIRCA), number(norm, CENTURY)
+        found = F.when(norm.rlike(CIRCA), years(about - CIRCA_YEARS, about + CIRCA_YEARS)).when(norm.rlike(CENTURY), F.when(nth > 0, century(nth)))
+        for pattern in ROMAN:
+            found = found.when(norm.rlike(pattern), let(roman_to_int(F.regexp_extract(norm, pattern, 1)), lambda n: F.when(n > 0, century(n))))
+        return found
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once: a lambda over a one-element list."""
-    return F.transform(F.array(value), use)[0]
+    a, b = number(raw, SPAN, 1), number(raw, SPAN, 2)
+    return F.when(raw.rlike(YEAR), years(raw, raw)).when(raw.rlike(SPAN), years(F.least(a, b), F.greatest(a, b))).otherwise(
+        let(F.lower(F.regexp_replace(raw, r"\s+", " ")), words))
 
 
 def present(date: Column) -> Column:
