@@ -110,8 +110,9 @@ def near_earlier(docs: DataFrame, classes: DataFrame, near: DataFrame) -> DataFr
         hashes = F.transform("words", lambda w, i: F.xxhash64(w, i - shift if shift else i))
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
-    whole_line = bind(words, "t", F.struct(F.size("words").alias("n"), folded(1).alias("t1"), folded(0).alias("t0")))
-    each = whole_line.select("rank", "t.n", "t.t1", "t.t0", F.posexplode("words").alias("i", "w"))
+    # dealt by rank before the words are: the window needs no shuffle of a row a word
+    dealt = bind(words.repartition("rank"), "t", F.struct(F.size("words").alias("n"), folded(1).alias("t1")))
+    each = dealt.select("rank", "t.n", "t.t1", F.posexplode("words").alias("i", "w"))
     run = Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     here, shifted = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
     # words before i at their positions, words after i one position earlier
@@ -119,7 +120,7 @@ def near_earlier(docs: DataFrame, classes: DataFrame, near: DataFrame) -> DataFr
         F.bit_xor(here).over(run).bitwiseXOR(here).bitwiseXOR(F.col("t1")).bitwiseXOR(F.bit_xor(shifted).over(run))
     )
     cut = each.select("rank", "i", F.xxhash64(F.col("n") - 1, deleted).alias("v"))
-    whole = whole_line.select("rank", F.lit(-1).alias("i"), F.xxhash64("t.n", "t.t0").alias("v"))
+    whole = words.select("rank", F.lit(-1).alias("i"), F.xxhash64(F.size("words"), folded(0)).alias("v"))
     hood = materialize(cut.unionByName(whole), "hood")
     cuts = hood.filter("i >= 0")
     groups = cuts.groupBy("v", "i").agg(F.min("rank").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
