@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, lines, packing, pii, quality, sharding, simhash, toxicity, urls
+from . import bpe, codes, gif, lines, negatives, packing, pii, quality, sharding, simhash, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,17 +72,66 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_bpe_chunks, op2_quality_rules, op3_simhash, op4_url_filters, op5_line_dedup, op6_pii_spans, op7_gif_media,
-        op8_best_fit_packing, op9_shard_shuffle, op10_toxicity,
+        op8_best_fit_packing, op9_shard_shuffle, op10_toxicity, op11_hard_negatives, op13_vector_codes,
     )
 }
 
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _codes_sql() -> str:
+    """The rounds of vector codes as one table expression each."""
+    assign = """
+{name} AS MATERIALIZED (SELECT vec_id, n, p, v, i, d FROM (SELECT r.vec_id, r.n, r.p, r.v, b.i,
+    list_sum(list_transform(list_zip(r.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts r JOIN {book} b ON r.p = b.p)
+  QUALIFY row_number() OVER (PARTITION BY n, p ORDER BY d, i) = 1)"""
+    update = """
+b{k} AS MATERIALIZED (SELECT b.p, b.i, coalesce(m.v, b.v) AS v FROM b{before} b LEFT JOIN
+  (SELECT p, i, list(v ORDER BY j) AS v FROM (SELECT p, i, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS v
+      FROM (SELECT p, i, generate_subscripts(v, 1) AS j, unnest(v) AS x FROM a{k}) GROUP BY p, i, j) GROUP BY p, i) m ON b.p = m.p AND b.i = m.i)"""
+    rounds = ",".join(
+        assign.format(name=f"a{k}", book=f"b{k - 1}") + "," + update.format(k=k, before=k - 1) for k in range(1, codes.ROUNDS + 1)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n,
+    list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (SELECT vec_id, n, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM kept, (SELECT unnest(range(8)) AS p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS i, v FROM parts WHERE n <= {codes.ENTRIES}),{rounds},{assign.format(name="last", book=f"b{codes.ROUNDS}")},
+coded AS (SELECT n, string_agg(printf('%02x', i), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY n)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, i)) FROM b{codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (n)"""
+
+
 #: The others need learned models, fingerprints, tokenizers, media or checksums that SQL lacks; tests hold them
 #: against brute-force versions.
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
     "op5_line_dedup": r"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 w AS (SELECT *, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
