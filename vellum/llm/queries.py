@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, gif, lines, negatives, packing, pii, quality, sharding, simhash, toxicity, urls
+from . import bpe, codes, extract, gif, lines, negatives, packing, pii, quality, sharding, simhash, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digest(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +90,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_bpe_chunks, op2_quality_rules, op3_simhash, op4_url_filters, op5_line_dedup, op6_pii_spans, op7_gif_media,
-        op8_best_fit_packing, op9_shard_shuffle, op10_toxicity, op11_hard_negatives, op13_vector_codes,
+        op8_best_fit_packing, op9_shard_shuffle, op10_toxicity, op11_hard_negatives,
+        op12_html_extraction, op13_vector_codes,
     )
 }
 
