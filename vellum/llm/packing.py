@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import free, kept_columns, materialize, named
 
 LIMIT, END_ID, SALTS, RANK_ROWS, MAX_WORDS = 1024, 2, 64, 500_000, 400_000
-#: Runs of white space that the pattern's look-ahead would need too deep a stack for.
-_LONG_BLANK = re.compile(r"\s{100000}")
+#: Runs of white space that the pattern's look-ahead would need too deep a stack for; sought at a run's start only.
+_LONG_BLANK = re.compile(r"(?<!\s)\s{100000}")
 
 _encoders: dict[str, WordEncoder] = {}
 
