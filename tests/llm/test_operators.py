@@ -707,3 +707,29 @@ def test_toxicity(spark, docs, none, labels):
     out = toxicity.score(docs, toxicity.fit(docs, labels))
     assert out.count() == len(awkward()) and out.filter("score is null").count() == 0 and "fp" in out.columns
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_hostile_gif_headers_take_no_memory(spark):
+    import tracemalloc
+
+    wide = b"GIF89a" + b"\xff\xff\xff\xff\x00\x00\x00" + b"\x2c" + b"\0" * 4 + b"\xff\xff\xff\xff\x00\x08\x02\x00\x01\x00\x3b"
+    framed = b"GIF89a" + b"\x04\x00\x04\x00\x00\x00\x00" + wide[13:]
+    tracemalloc.start()
+    for data in (wide, framed):
+        with pytest.raises(ValueError, match="too large"):
+            list(gif.read_frames(data))
+    assert tracemalloc.get_traced_memory()[1] < 10e6
+    tracemalloc.stop()
+    rows = spark.createDataFrame([(1, bytearray(wide)), (2, bytearray(framed)), (3, bytearray(gif.write_gif(b"a" * 192)))], "doc_id long, media binary")
+    assert [r.doc_id for r in gif.decode_frames(rows).collect()] == [3]
+
+
+def test_many_long_blank_runs_encode_in_linear_time():
+    import time
+
+    encoder = packing.WordEncoder(tokenizer("byte_bpe_50k.json"))
+    for text in (("a" + " " * 50_000) * 10, ("a" + " " * 99_999) * 5, ("a" + "\t " * 49_999) * 10, "a" + " " * 100_001 + "b"):
+        start = time.perf_counter()
+        got = encoder.encode(text)
+        assert time.perf_counter() - start < 4  # 52 seconds for the first, when each blank began a search
+        assert got == encoder._by_library(text)

@@ -233,12 +233,21 @@ def _row_order(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, step) for a, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
+#: Pixels at most of a screen, and of a frame: a header of a few bytes must not ask for gigabytes.
+MAX_PIXELS = 1 << 24
+
+
 def read_frames(data: bytes) -> Iterator[Frame]:
-    """Frames of a GIF, each with the canvas after palette, transparency and the disposal of those before."""
+    """Frames of a GIF, each with the canvas after palette, transparency and the disposal of those before.
+
+    A screen or frame of more than ``MAX_PIXELS`` is refused, before memory is taken for it.
+    """
     r = _Reader(data)
     if r.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", r.take(7))
+    if width * height > MAX_PIXELS:
+        raise ValueError("screen too large")
     shared = r.palette(flags) if flags & 0x80 else np.zeros((256, 3), np.uint8)
     canvas = np.zeros((height, width, 4), np.uint8)
     plain = (0, -1, 0)  # delay, transparent index, disposal
@@ -253,6 +262,8 @@ def read_frames(data: bytes) -> Iterator[Frame]:
         if kind != b"\x2c":
             raise ValueError("unknown block")
         left, top, w, h, f = struct.unpack("<HHHHB", r.take(9))
+        if w * h > MAX_PIXELS:
+            raise ValueError("frame too large")
         colours = r.palette(f) if f & 0x80 else shared
         min_size = r.take(1)[0]
         if not 2 <= min_size <= 8:
@@ -288,7 +299,7 @@ def decode_frames(media: DataFrame, column: str = "media") -> DataFrame:
     histogram, rgba`` behind the other columns.
 
     Input columns with those names are replaced.  A null, empty or unreadable value gives
-    no rows (an unreadable end: none from there on).
+    no rows (an unreadable end, or a frame beyond ``MAX_PIXELS``: none from there on).
     """
     kinds = T.StructType.fromDDL(_KINDS)
     keep = [c for c in kept_columns(media, kinds.names) if c != column]
