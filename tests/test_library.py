@@ -123,6 +123,7 @@ def test_descriptions(spark):
     bodies = [
         ("ok", {"width": 4, "height": 4, "sizes": [{"width": 4, "height": 4}], "tiles": [{"width": 2, "scaleFactors": [1, 2]}]}), ("none", {"width": 0, "height": 4, "tiles": [{}]}),
         ("bad", {"width": 4, "height": 4, "sizes": [{"width": 0, "height": 1}], "tiles": [{"width": 0, "scaleFactors": [1]}, {"width": 2, "scaleFactors": [0, 9223372036854775807]}]}),
+        ("absent", {"width": 4, "height": 4, "sizes": [{"width": 4}], "tiles": [{"height": 2, "scaleFactors": [1, 2]}, {}, {"width": 4, "scaleFactors": [None]}]}),
         ("many", {"width": 100000, "height": 100000, "tiles": [{"width": 1, "scaleFactors": [1]}]}),
     ]
     df = spark.createDataFrame([(k, k, json.dumps(b)) for k, b in bodies] + [("no", "no", "{")], "k string, prefix string, body string")
@@ -132,6 +133,7 @@ def test_descriptions(spark):
     assert sorted(got["ok"]) == ["ok/0,0,2,2/2,2/0/default.jpg", "ok/0,0,4,4/2,2/0/default.jpg", "ok/0,2,2,2/2,2/0/default.jpg", "ok/2,0,2,2/2,2/0/default.jpg", "ok/2,2,2,2/2,2/0/default.jpg", "ok/full/4,4/0/default.jpg"]
     assert got["none"] == ["invalid dimensions or no tiles"] and got["no"] == ["invalid description"] and got["many"] == ["too many tiles"]
     assert sorted(got["bad"]) == ["invalid scale factor", "invalid size", "invalid tile width", "scale factor too large"]
+    assert sorted(got["absent"]) == ["invalid scale factor", "invalid size", "invalid tile width", "invalid tile width"]
     asked = df.filter("k = 'ok'").select(localize.with_request_id(F.col("body"), F.lit("http://me/ok")).alias("b")).first()["b"]
     assert json.loads(asked)["id"] == "http://me/ok" and json.loads(asked)["width"] == 4
 
@@ -161,7 +163,7 @@ def test_sidecars_and_state(spark):
 def test_comparison_merges(spark):
     shape = "name string, docs array<string>, canvases array<string>"
     local = spark.createDataFrame([("One", ["a", "b"], ["", ""])], shape)
-    new = spark.createDataFrame([("ONE", ["a", "b"], ["", ""], 1), (" one", ["a", "c"], ["", ""], 2), ("two", ["a", "b"], ["", ""], 3), ("Two", ["a", "b"], ["", "x"], 4)], shape + ", ord int")
-    assert rows(comparisons.merged(local, new, "ord"), "ord", "outcome") == [(1, "duplicate"), (2, "conflict"), (3, "added"), (4, "conflict")]
+    new = spark.createDataFrame([("ONE", ["a", "b"], ["", ""], 1), (" one", ["a", "c"], ["", ""], 2), ("two", ["a", "b"], ["", ""], 3), ("Two", ["a", "b"], ["", "x"], 4), (None, ["a", "b"], ["", ""], 5), (" ", None, None, 6)], shape + ", ord int")
+    assert rows(comparisons.merged(local, new, "ord"), "ord", "outcome") == [(1, "duplicate"), (2, "conflict"), (3, "added"), (4, "conflict"), (5, "invalid"), (6, "invalid")]
     sets = spark.createDataFrame([("x", 5, 2), ("y", 3, 1), ("z", 5, 1)], "name string, created_at int, ord int")
     assert [r["name"] for r in comparisons.listed(sets).collect()] == ["y", "z", "x"] == [r["name"] for r in catalogue.in_order(sets, "comparisons").collect()]

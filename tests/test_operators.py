@@ -83,6 +83,10 @@ def test_merges(spark):
     local = spark.createDataFrame([(1, "", "x"), (2, "t", "")], "k int, title string, tags string")
     incoming = spark.createDataFrame([(1, " new ", "X,y"), (2, "u", ""), (3, "v", "")], "k int, title string, tags string")
     assert rows(merge.merge_research(local, incoming, "k"), "k", "title", "tags", "status") == [(1, "new", "x, y", "changed"), (2, "t", "", "conflict"), (3, None, None, "missing")]
+    noted = lambda rows: spark.createDataFrame(rows, "k int, title string, notes string, tags string")
+    merged = merge.merge_research(noted([(1, "t", "", ""), (2, "t", "n", ""), (4, None, None, None)]), noted([(1, "u", "\u2003m ", ""), (2, "t", "o", None), (3, "", "", "")]), "k")
+    assert rows(merged, "k", "title", "notes", "status", "changed", "conflicts") == [
+        (1, "t", "m", "conflict", True, ["title"]), (2, "t", "n", "conflict", False, ["notes"]), (3, None, None, "missing", False, []), (4, "", "", "same", False, [])]
     mine = spark.createDataFrame([("a", "1")], "id string, body string")
     new = spark.createDataFrame([("a", "1", "c", 1), ("a", "2", "c", 2), ("b", "1", "c", 3), ("b", "1", "c", 4), ("b", "9", "c", 5), ("", "1", "c", 6), ("d", "1", "", 7)], "id string, body string, canvas string, n int")
     assert [r[1] for r in rows(merge.merge_annotations(mine, new, "n"), "n", "outcome")] == ["duplicate", "conflict", "added", "duplicate", "conflict", "skipped", "skipped"]

@@ -11,6 +11,15 @@ from ..functions.urls import safe_relative
 MIN_DOCS, MAX_DOCS, MAX_NAME, MAX_SETS = 2, 4, 200, 100
 
 
+def named(name: Column) -> Column:
+    """A set's name as it is stored; none is blank."""
+    return trimmed(F.coalesce(name, F.lit("")))
+
+
+def good_name(name: Column) -> Column:
+    return F.length(named(name)).between(1, MAX_NAME)
+
+
 def safe_slug(slug: Column) -> Column:
     """A relative path in its shortest form: no empty, '.' or '..' part."""
     parts = F.split(slug, "/")
@@ -63,21 +72,22 @@ def resolved(documents: DataFrame, bundles: DataFrame, by: str) -> DataFrame:
 
 
 def merged(local: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """``(name, order, outcome)``: added, duplicate (same documents and canvases) or conflict; the local set stays.
+    """``(name, order, outcome)``: added, duplicate (same documents and canvases), conflict (the local set stays)
+    or invalid (no name of 1 to 200 characters).
 
     ``local(name, docs, canvases)``, ``incoming(name, docs, canvases, order)``.  Names are
     compared without case; of incoming sets with one name the first is added and the
     others are held against it.
     """
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", F.lower(trimmed(F.col("name")))).withColumn("set", F.to_json(F.struct("docs", "canvases")))
+        return df.withColumn("key", F.lower(named(F.col("name")))).withColumn("set", F.to_json(F.struct("docs", "canvases")))
 
     mine = keyed(local).groupBy("key").agg(F.min("set").alias("mine"))
     new = keyed(incoming)
     firsts = new.groupBy("key").agg(F.min(F.struct(order, "set")).alias("f"))
     met = new.join(mine, "key", "left").join(firsts, "key")
     outcome = (
-        F.when(F.col("mine").isNull() & (F.col(order) == F.col(f"f.{order}")), "added")
+        F.when(~good_name(F.col("name")), "invalid").when(F.col("mine").isNull() & (F.col(order) == F.col(f"f.{order}")), "added")
         .when(F.col("set") == F.coalesce("mine", "f.set"), "duplicate").otherwise("conflict")
     )
     return met.select("name", order, outcome.alias("outcome"))
@@ -86,12 +96,12 @@ def merged(local: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
 def added(store: DataFrame, new: DataFrame, order: str, most: int = MAX_SETS) -> DataFrame:
     """``new(name, order)`` with ``error``: a bad name (1 to 200 characters), one that exists already (case ignored),
     or a full store; null if it may be added.  Sets are added one after another in ``order``."""
-    name = trimmed(F.coalesce("name", F.lit("")))
+    name = named(F.col("name"))
     taken = store.select(F.lower(trimmed(F.col("name"))).alias("key"), F.lit(True).alias("taken")).distinct()
     keyed = new.withColumn("key", F.lower(name)).join(taken, "key", "left")
     first = keyed.filter("taken is null").groupBy("key").agg(F.min(order).alias("first"))
     met = keyed.join(first, "key", "left")
-    error = F.when(~F.length(name).between(1, MAX_NAME), "name").when(F.col("taken").isNotNull() | (F.col(order) > F.col("first")), "exists")
+    error = F.when(~good_name(F.col("name")), "name").when(F.col("taken").isNotNull() | (F.col(order) > F.col("first")), "exists")
     judged = met.select(*new.columns, error.alias("error"))
     room = most - store.count()
     good = judged.filter("error is null")
@@ -99,6 +109,14 @@ def added(store: DataFrame, new: DataFrame, order: str, most: int = MAX_SETS) ->
     return judged.join(F.broadcast(kept), order, "left").select(*new.columns, F.when(F.col("error").isNull() & F.col("fits").isNull(), "full").otherwise(F.col("error")).alias("error"))
 
 
+def deleted(store: DataFrame, gone: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The store without the sets of ``gone(key)``, and what became of each key asked for: ``(key, outcome)``, deleted or not found."""
+    asked = gone.select(key).distinct()
+    there = store.select(key).distinct().withColumn("there", F.lit(True))
+    outcome = F.when(F.col("there").isNotNull(), "deleted").otherwise("not found")
+    return store.join(asked, key, "left_anti"), asked.join(there, key, "left").select(key, outcome.alias("outcome"))
+
+
 def listed(store: DataFrame) -> DataFrame:
     """Sets by the time they were made; ``ord`` keeps equal ones in the order of the store."""
     return store.orderBy("created_at", "ord")

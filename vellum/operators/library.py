@@ -27,7 +27,7 @@ MAX_TILES = 10_000_000
 def advertised(descriptions: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, file, error)``: every size and tile that ``descriptions(keys, prefix, body)`` promise, and what is wrong with them.
 
-    A tile's height defaults to its width.  A description that isn't JSON, without
+    A tile's height defaults to its width; a number that is absent counts as 0.  A description that isn't JSON, without
     dimensions or tiles, or a profile with bad numbers or over MAX_TILES tiles is an error.
     """
     read = once(descriptions, "i", F.from_json("body", INFO))
@@ -40,12 +40,17 @@ def advertised(descriptions: DataFrame, keys: list[str]) -> DataFrame:
     sizes = size.select(
         *keys, F.when(F.expr("s.width > 0 and s.height > 0"), F.format_string("%s/full/%d,%d/0/default.jpg", "prefix", "s.width", "s.height")).alias("file"),
     ).withColumn("error", F.when(F.col("file").isNull(), "invalid size"))
+    # an absent number is 0, and so an error: a null must not slip through comparisons
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
     profile = good.select(*keys, "prefix", F.col("i.width").alias("w"), F.col("i.height").alias("h"), F.explode("i.tiles").alias("t"))
-    scaled = profile.select(*keys, "prefix", "w", "h", F.col("t.width").alias("tw"), F.expr("if(t.height > 0, t.height, t.width)").alias("th"), F.explode("t.scaleFactors").alias("f"))
+    profile = profile.withColumns({"tw": number("t.width"), "th": number("t.height")}).withColumn("th", F.expr("if(th > 0, th, tw)"))
+    errors.append(profile.filter("tw <= 0").select(*keys, F.lit(None).cast("string").alias("file"), F.lit("invalid tile width").alias("error")))
+    scaled = profile.filter("tw > 0").select(*keys, "prefix", "w", "h", "tw", "th", F.explode("t.scaleFactors").alias("f")).withColumn("f", number("f"))
     # a step beyond the image is one tile, so products stay small
     step = lambda side, edge: F.least(F.col(side).cast("decimal(38,0)") * F.col("f"), F.col(edge).cast("decimal(38,0)")).cast("long")
     huge = F.greatest(F.col("tw"), F.col("th")).cast("decimal(38,0)") * F.col("f") > F.lit(2**63 - 1)
-    sized = scaled.withColumns({"bad": F.when(F.expr("tw <= 0"), "invalid tile width").when(F.expr("f <= 0"), "invalid scale factor").when(huge, "scale factor too large"), "sx": step("tw", "w"), "sy": step("th", "h")})
+    sized = scaled.withColumn("bad", F.when(F.expr("f <= 0"), "invalid scale factor").when(huge, "scale factor too large"))
+    sized = sized.withColumns({"sx": F.when(F.col("bad").isNull(), step("tw", "w")), "sy": F.when(F.col("bad").isNull(), step("th", "h"))})
     sized = sized.withColumn("bad", F.coalesce("bad", F.when(ceil_div(F.col("w"), F.col("sx")) > F.lit(float(MAX_TILES)) / ceil_div(F.col("h"), F.col("sy")), "too many tiles")))
     errors.append(sized.filter("bad is not null").select(*keys, F.lit(None).cast("string").alias("file"), F.col("bad").alias("error")))
     rows = sized.filter("bad is null").withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1, F.col("sy"))))

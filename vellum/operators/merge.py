@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import trimmed
 from ..functions.text import merge_tags, or_else
 from ..sources.graph import occurrence
 
@@ -59,47 +60,52 @@ def replace_urls(docs: DataFrame, key: str, urls: str, files: DataFrame) -> Data
 
 
 def fill_blank(local: Column, incoming: Column) -> Column:
-    return or_else(local, F.trim(F.coalesce(incoming, F.lit(""))))
+    return or_else(local, trimmed(F.coalesce(incoming, F.lit(""))))
 
 
 def conflict(local: Column, incoming: Column) -> Column:
-    l, i = F.coalesce(local, F.lit("")), F.trim(F.coalesce(incoming, F.lit("")))
+    l, i = F.coalesce(local, F.lit("")), trimmed(F.coalesce(incoming, F.lit("")))
     return (l != "") & (i != "") & (l != i)
 
 
 def merge_research(local: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Non-destructive: blank titles and notes are filled, differing ones stay and are reported, tags united.
+    """Non-destructive: blank texts (``title``, and ``notes`` where both sides have them) are filled, differing
+    ones stay and are reported, tags united.
 
-    ``(key, title, tags, status)``; status: missing (no local row), conflict, changed, same.
+    ``(key, texts, tags, status, changed, conflicts)``; status: missing (no local row), conflict,
+    changed, same.  A row can be both ``changed`` and in conflict; ``conflicts`` lists the texts that are.
     """
-    a = local.select(key, F.col("title").alias("lt"), F.col("tags").alias("lg"), F.lit(True).alias("here"))
-    b = incoming.select(key, F.col("title").alias("it"), F.col("tags").alias("ig"), F.lit(True).alias("there"))
-    both = a.join(b, key, "full")
-    title, tags = fill_blank(F.col("lt"), F.col("it")), merge_tags(F.col("lg"), F.col("ig"))
-    changed = (title != F.coalesce("lt", F.lit(""))) | (tags != F.coalesce("lg", F.lit("")))
-    status = (
-        F.when(F.col("here").isNull(), "missing").when(F.col("there").isNull(), "same")
-        .when(conflict(F.col("lt"), F.col("it")), "conflict").when(changed, "changed").otherwise("same")
-    )
-    return both.select(key, F.when(F.col("here"), title).alias("title"), F.when(F.col("here"), tags).alias("tags"), status.alias("status"))
-
-
-def merge_annotations(local: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    texts = [c for c in ("title", "notes") if c in local.columns and c in incoming.columns]
+    a = local.select(key, F.struct(*texts, "tags").alias("a"))
+    both = a.join(incoming.select(key, F.struct(*texts, "tags").alias("b")), key, "full")
+    here, there = F.col("a").isNotNull(), F.col("b").isNotNull()
+    made = {c: fill_blank(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in texts} | {"tags": merge_tags(F.col("a.tags"), F.col("b.tags"))}
+    both = both.select(key, "a", "b", *[F.when(here, F.when(there, v).otherwise(F.coalesce(f"a.{c}", F.lit("")))).alias(c) for c, v in made.items()])
+    clash = F.filter(F.array(*[F.when(conflict(F.col(f"a.{c}"), F.col(f"b.{c}")), F.lit(c)) for c in texts]), lambda c: c.isNotNull())
+    changed = F.exists(F.array(*[F.col(c) != F.coalesce(f"a.{c}", F.lit("")) for c in made]), lambda x: x)
+    both = both.withColumns({"conflicts": clash, "changed": here & there & F.coalesce(changed, F.lit(False))})
+    status = F.when(~here, "missing").when(F.size("conflicts") > 0, "conflict").when(F.col("changed"), "changed").otherwise("same")
+    return both.select(key, *made, status.alias("status"), "changed", "conflicts")
+
+
+def merge_annotations(local: DataFrame, incoming: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Incoming annotations by outcome: skipped (no id or canvas), added, duplicate, conflict.
 
     Those with one id are compared with the local one, else with the first incoming of
     that id; the local one always stays (of local ones that share an id, the least body).
+    ``by`` names the columns of the page that an id belongs to; no page is null.
     """
-    mine = local.filter("id <> ''").groupBy("id").agg(F.min("body").alias("mine"))  # ids of a page may repeat
-    firsts = incoming.filter("id <> '' and canvas <> ''").groupBy("id").agg(F.min(F.struct(order, "body")).alias("f"))
-    met = incoming.join(mine, "id", "left").join(firsts, "id", "left")
+    key = [*by, "id"]
+    mine = local.filter("id <> ''").groupBy(*key).agg(F.min("body").alias("mine"))  # ids of a page may repeat
+    firsts = incoming.filter("id <> '' and canvas <> ''").groupBy(*key).agg(F.min(F.struct(order, "body")).alias("f"))
+    met = incoming.join(mine, key, "left").join(firsts, key, "left")
     base = F.coalesce("mine", "f.body")
     is_first = F.col("mine").isNull() & (F.col(order) == F.col(f"f.{order}"))
     outcome = (
         F.when((F.coalesce("id", F.lit("")) == "") | (F.coalesce("canvas", F.lit("")) == ""), "skipped")
         .when(is_first, "added").when(F.col("body") == base, "duplicate").otherwise("conflict")
     )
-    return met.select("id", order, outcome.alias("outcome"))
+    return met.select(*key, order, outcome.alias("outcome"))
 
 
 def replay(log: DataFrame, by: list[str], order: str) -> DataFrame:

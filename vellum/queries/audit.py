@@ -129,6 +129,11 @@ def q63_ingest_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("runs", F.col("reused").cast("long"), F.col("pending").cast("long"), F.col("failed").cast("long"), "incomplete")
 
 
+#: Descriptions with a tile profile that lacks a number.
+_NO_WIDTH = '{"width":600,"height":400,"tiles":[{"height":5,"scaleFactors":[1,2]}]}'
+_NO_FACTOR = '{"width":600,"height":400,"tiles":[{"width":5,"scaleFactors":[null]}]}'
+
+
 def _library(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A library of one bundle per customer, with faults by the remainder of its key."""
     who = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("b/"), "c_custkey").alias("slug"))
@@ -146,7 +151,7 @@ def _library(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(k % 13 == 4, "nope").alias("annotations"))
     info = tiles.info_json(F.lit("t1"), F.lit(600).cast("long"), F.lit(400).cast("long"), 256)
     texts = who.select("slug", F.explode(F.array(
-        F.struct(F.lit("resources/r.json").alias("file"), F.lit("{}").alias("body")), F.struct(F.lit("t1/info.json").alias("file"), F.when(k % 13 == 9, "{}").otherwise(info).alias("body")),
+        F.struct(F.lit("resources/r.json").alias("file"), F.lit("{}").alias("body")), F.struct(F.lit("t1/info.json").alias("file"), F.when(k % 13 == 9, "{}").when(k % 26 == 13, _NO_WIDTH).when(k % 26 == 0, _NO_FACTOR).otherwise(info).alias("body")),
     )).alias("t")).select("slug", "t.*")
     promised = library.advertised(spark.range(1).select(F.lit("t1").alias("prefix"), info.alias("body")), ["prefix"]).select("file")
     plain = spark.createDataFrame([("i1.jpg",), ("i2.jpg",), ("resources/r.json",)], "file string")
@@ -170,6 +175,7 @@ UNION ALL SELECT 'ERROR', s || '/resources/r.json', 'SHA-256 does not match prov
 UNION ALL SELECT 'ERROR', s || '/provenance.json', 'repeated image file i1.jpg' FROM ok WHERE k % 13 = 7
 UNION ALL SELECT 'WARN', s || '/provenance.json', 'unpreserved linked content: gone' FROM ok WHERE k % 13 = 8
 UNION ALL SELECT 'ERROR', s || '/t1/info.json', 'invalid dimensions or no tiles' FROM ok WHERE k % 13 = 9
+UNION ALL SELECT 'ERROR', s || '/t1/info.json', CASE WHEN k % 26 = 0 THEN 'invalid scale factor' ELSE 'invalid tile width' END FROM ok WHERE k % 13 = 0
 UNION ALL SELECT 'ERROR', s || '/i1.jpg', 'missing or unreadable' FROM ok WHERE k % 13 = 10
 UNION ALL SELECT 'ERROR', s || '/t1/full/' || z || '/0/default.jpg', 'missing or unreadable' FROM ok, (VALUES ('600,400'), ('300,200'), ('150,100')) v(z) WHERE k % 13 = 11
 UNION ALL SELECT 'ERROR', s || '/i1.jpg', 'file is empty' FROM ok WHERE k % 13 = 12
@@ -182,7 +188,7 @@ def q64_library_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT c_custkey AS k FROM customer), ok AS (FROM c WHERE k % 13 NOT IN (2, 3)),
-n AS (SELECT (SELECT count(*) FROM c WHERE k % 13 IN (1, 2, 3, 4)) + (SELECT count(*) FROM ok WHERE k % 13 IN (5, 6, 7, 9, 10, 12)) + 3 * (SELECT count(*) FROM ok WHERE k % 13 = 11) AS errors,
+n AS (SELECT (SELECT count(*) FROM c WHERE k % 13 IN (1, 2, 3, 4)) + (SELECT count(*) FROM ok WHERE k % 13 IN (0, 5, 6, 7, 9, 10, 12)) + 3 * (SELECT count(*) FROM ok WHERE k % 13 = 11) AS errors,
   (SELECT count(*) FROM ok WHERE k % 13 IN (0, 8)) + (SELECT count(*) FROM c WHERE k % 17 = 0) + 1 AS warnings)
 SELECT (SELECT count(*) FROM c) AS bundles, 2 * (SELECT count(*) FROM ok) AS images, (SELECT count(*) FROM ok) AS pyramids, (SELECT count(*) FROM ok) AS linked, errors, warnings, errors = 0 AS healthy,
  (SELECT count(*) FROM ok WHERE k % 13 IN (0, 8)) AS reruns FROM n""")

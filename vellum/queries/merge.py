@@ -60,21 +60,24 @@ def q30_localized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE '' END AS title, 'A, b' AS tags FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)),
-i AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'good' WHEN doc_id % 3 = 1 THEN lang ELSE ' ' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'a, B' ELSE 'c' END AS tags FROM documents),
-m AS (SELECT doc_id, l.title AS lt, trim(i.title) AS it, l.doc_id IS NOT NULL AS here, i.doc_id IS NOT NULL AS there FROM l FULL JOIN i USING (doc_id))
-SELECT doc_id, CASE WHEN lt IS NOT NULL THEN CASE WHEN lt = '' THEN coalesce(it, '') ELSE lt END END AS title,
- CASE WHEN lt IS NOT NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'A, b' ELSE 'A, b, c' END END AS tags,
- CASE WHEN lt IS NULL THEN 'missing' WHEN it IS NULL THEN 'same' WHEN lt <> '' AND it <> '' AND lt <> it THEN 'conflict'
-  WHEN (lt = '' AND it <> '') OR doc_id % 2 = 1 THEN 'changed' ELSE 'same' END AS status FROM m""")
+WITH l AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE '' END AS title, CASE WHEN doc_id % 4 = 0 THEN 'seen' ELSE '' END AS notes, 'A, b' AS tags
+  FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)),
+i AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'good' WHEN doc_id % 3 = 1 THEN lang ELSE ' ' END AS title, CASE WHEN doc_id % 5 = 0 THEN ' read ' WHEN doc_id % 5 = 1 THEN 'seen' END AS notes FROM documents),
+m AS (SELECT doc_id, l.title AS lt, coalesce(trim(i.title), '') AS it, l.notes AS ln, coalesce(trim(i.notes), '') AS inn, l.doc_id IS NOT NULL AS here, i.doc_id IS NOT NULL AS there FROM l FULL JOIN i USING (doc_id)),
+c AS (SELECT *, CASE WHEN here AND lt <> '' AND it <> '' AND lt <> it THEN 'title' END AS ct, CASE WHEN here AND ln <> '' AND inn <> '' AND ln <> inn THEN 'notes' END AS cn,
+  here AND there AND ((lt = '' AND it <> '') OR (ln = '' AND inn <> '') OR doc_id % 2 = 1) AS changed FROM m)
+SELECT doc_id, CASE WHEN here THEN CASE WHEN lt = '' THEN it ELSE lt END END AS title, CASE WHEN here THEN CASE WHEN ln = '' THEN inn ELSE ln END END AS notes,
+ CASE WHEN here THEN CASE WHEN doc_id % 2 = 0 OR NOT there THEN 'A, b' ELSE 'A, b, c' END END AS tags, changed, concat_ws(' ', ct, cn) AS conflicts,
+ CASE WHEN NOT here THEN 'missing' WHEN coalesce(ct, cn) IS NOT NULL THEN 'conflict' WHEN changed THEN 'changed' ELSE 'same' END AS status FROM c""")
 def q33_research_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).select(
-        "doc_id", F.when(F.col("q") == 1, "good").otherwise("").alias("title"), F.lit("A, b").alias("tags"))
-    k = F.col("doc_id") % 3
+        "doc_id", F.when(F.col("q") == 1, "good").otherwise("").alias("title"),
+        F.when(F.col("doc_id") % 4 == 0, "seen").otherwise("").alias("notes"), F.lit("A, b").alias("tags"))
+    k, n = F.col("doc_id") % 3, F.col("doc_id") % 5
     incoming = load(spark, sf_dir, "documents").select(
         "doc_id", F.when(k == 0, "good").when(k == 1, F.col("lang")).otherwise(" ").alias("title"),
-        F.when(F.col("doc_id") % 2 == 0, "a, B").otherwise("c").alias("tags"))
-    return M.merge_research(local, incoming, "doc_id")
+        F.when(n == 0, " read ").when(n == 1, "seen").alias("notes"), F.when(F.col("doc_id") % 2 == 0, "a, B").otherwise("c").alias("tags"))
+    return M.merge_research(local, incoming, "doc_id").withColumn("conflicts", F.array_join("conflicts", " "))
 
 
 @query("""
