@@ -7,7 +7,6 @@ Arrow-batched helper of the engine, and it only looks at labels and values that
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.dates import trimmed
+from .jsontree import decode
 
 
 def _number(x: int | float) -> str:
@@ -25,16 +25,6 @@ def _number(x: int | float) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-def _choose(options: dict, prefer: Sequence[str]) -> str:
-    """Of a language map or a value object."""
-    if "@value" in options:
-        return coerce(options["@value"], prefer)
-    for key in (*prefer, "none"):
-        if key in options and (found := coerce(options[key], prefer)):
-            return found
-    return next((found for key in sorted(options, key=str.encode) if (found := coerce(options[key], prefer))), "")
-
-
 def _tagged(item: object, lang: str) -> bool:
     if not isinstance(item, dict):
         return False
@@ -42,30 +32,46 @@ def _tagged(item: object, lang: str) -> bool:
     return next((n for n in names if isinstance(n, str)), "") == lang
 
 
+def _candidates(value: dict | list, prefer: Sequence[str]) -> list:
+    """What a map or a list may take its text from, best first."""
+    if isinstance(value, list):
+        tagged = [item.get("@value", item.get("value")) for lang in prefer for item in value if _tagged(item, lang)]
+        return [*tagged, *value]
+    if "@value" in value:
+        return [value["@value"]]
+    first = [value[key] for key in (*prefer, "none") if key in value]
+    return [*first, *(value[key] for key in sorted(value, key=str.encode))]
+
+
 def coerce(value: object, prefer: Sequence[str] = ("en",)) -> str:
-    if isinstance(value, str):
-        return value
-    if isinstance(value, bool) or value is None:
-        return ""
-    if isinstance(value, int | float):
-        return _number(value)
-    if isinstance(value, dict):
-        return _choose(value, prefer)
-    for lang in prefer:
-        for item in value:
-            if _tagged(item, lang) and (found := coerce(item.get("@value", item.get("value")), prefer)):
-                return found
-    return next((found for item in value if (found := coerce(item, prefer))), "")
+    """The first text that isn't empty, candidates before what stands behind them.
+
+    A part that comes up again has been searched without a find by then, so each is searched once.
+    """
+    left, searched = [value], set()
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            if x:
+                return x
+        elif isinstance(x, bool) or x is None:
+            continue
+        elif isinstance(x, int | float):
+            return _number(x)
+        elif id(x) not in searched:
+            searched.add(id(x))
+            left += reversed(_candidates(x, prefer))
+    return ""
 
 
 def text_of(raw: Column, prefer: Sequence[str] = ("en",)) -> Column:
-    """Text of a raw JSON value; '' where it is null, not JSON, or has none."""
+    """Text of a raw JSON value; '' where it is null, not JSON, nests too deep, or has none."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         def one(v: str | None) -> str:
             try:
-                return "" if v is None else coerce(json.loads(v), prefer)
+                return "" if v is None else coerce(decode(v), prefer)
             except ValueError:
                 return ""
 

@@ -6,12 +6,12 @@ function; the stored targets of a document come to it by a join, never by broadc
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..jsontree import decode, encode
+
 
 def node_id(node: object) -> tuple[str, str]:
     """Name and value of the id member; ``@id`` goes first when documents are rewritten."""
@@ -23,11 +23,15 @@ def node_id(node: object) -> tuple[str, str]:
 
 
 def thumbnail_url(value: object) -> str:
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list):
-        return next((u for u in map(thumbnail_url, value) if u), "")
-    return node_id(value)[1]
+    """A string, an object's id, or the first of a list that has one."""
+    left = [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, list):
+            left += reversed(x)
+        elif found := x if isinstance(x, str) else node_id(x)[1]:
+            return found
+    return ""
 
 
 def service_anchor(service: object) -> str:
@@ -64,29 +68,39 @@ class Localizer:
                     sized["width"], sized["height"] = target["w"], target["h"]
         return True
 
-    def rewrite(self, node: object, canvas: dict | None = None) -> object:
-        if isinstance(node, str):
-            return self.links.get(node, node)
-        if isinstance(node, list):
-            return [self.rewrite(x, canvas) for x in node]
-        if not isinstance(node, dict) or self._image(node, canvas):
-            return node
-        if str(node.get("type") or node.get("@type") or "").endswith("Canvas"):
-            canvas = node
-        for name in list(node):
-            changed = self.rewrite(node[name], canvas)
-            if name != "width" and name != "height":  # a child may have set the canvas's size meanwhile
-                node[name] = changed
-        if "thumbnail" in node and not thumbnail_url(node["thumbnail"]).startswith(self.base):
-            del node["thumbnail"]
-        return node
+    def rewrite(self, root: object) -> object:
+        """``root`` changed in place: stored images and files, and no thumbnails but stored ones.
+
+        An image that is stored isn't looked into.  Nodes wait on a stack, each with the canvas it
+        stands in; a node's thumbnail is judged when all below it are done.
+        """
+        top = [root]
+        left: list[tuple] = [(top, 0, None)]
+        while left:
+            holder, name, canvas = left.pop()
+            if name is None:
+                if not thumbnail_url(holder["thumbnail"]).startswith(self.base):
+                    del holder["thumbnail"]
+                continue
+            node = holder[name]
+            if isinstance(node, str):
+                holder[name] = self.links.get(node, node)
+            elif isinstance(node, list):
+                left += [(node, k, canvas) for k in range(len(node) - 1, -1, -1)]
+            elif isinstance(node, dict) and not self._image(node, canvas):
+                if "thumbnail" in node:
+                    left.append((node, None, None))
+                inside = node if str(node.get("type") or node.get("@type") or "").endswith("Canvas") else canvas
+                # sizes are left alone: an image below may set its canvas's
+                left += [(node, member, inside) for member in reversed(node) if member not in ("width", "height")]
+        return top[0]
 
 
 def localize(documents: DataFrame, key: str, body: str, targets: DataFrame, links: DataFrame, base: str) -> DataFrame:
     """``(key, body)`` with stored images, linked files and thumbnails; other documents stay as they are.
 
     ``targets(key, anchor, image, service, w, h)`` and ``links(key, url, file)`` are gathered
-    per document.  A body that isn't JSON stays unchanged.
+    per document.  A body that isn't JSON, or nests too deep, stays unchanged.
     """
     t = targets.groupBy(key).agg(F.collect_list(F.struct("anchor", "image", "service", "w", "h")).alias("t"))
     m = links.groupBy(key).agg(F.collect_list(F.struct("url", "file")).alias("l"))
@@ -96,11 +110,11 @@ def localize(documents: DataFrame, key: str, body: str, targets: DataFrame, link
     def run(bodies: pd.Series, targets: pd.Series, links: pd.Series) -> pd.Series:
         def one(text, ts, ls):
             try:
-                tree = json.loads(text)
-            except (TypeError, ValueError):
+                tree = decode(text)
+            except ValueError:
                 return text
             made = Localizer(list(ts if ts is not None else []), {x["url"]: x["file"] for x in (ls if ls is not None else [])}, base)
-            return json.dumps(made.rewrite(tree), ensure_ascii=False, separators=(",", ":"))
+            return encode(made.rewrite(tree))
 
         return pd.Series([one(*row) for row in zip(bodies, targets, links, strict=True)])
 
