@@ -86,3 +86,46 @@ class Filter:
     def classify(self, langs: Column, date: Column, origin: Column) -> Column:
         ok = self.language_ok(langs) & self.date_ok(date) & self.origin_ok(origin)
         return F.when(ok, "MATCH").otherwise("NO-MATCH")
+
+
+def _binned(df: DataFrame, start: str, end: str, others: list[int]) -> DataFrame:
+    """Rows with ``__lo, __own`` and one copy per bin: of their own level, and of higher levels that the other side has.
+
+    A level's bins are as wide as its intervals can be, so an interval touches two at most.
+    """
+    sized = df.withColumns({"__lo": F.least(start, end).cast("long"), "__hi": F.greatest(start, end).cast("long")}).filter("__lo is not null and __hi is not null")
+    sized = sized.withColumn("__own", F.when(F.col("__lo") == F.col("__hi"), 0).otherwise(F.length(F.bin(F.col("__hi") - F.col("__lo")))))
+    levels = F.array_union(F.array("__own"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda level: level > F.col("__own")))
+    leveled = sized.withColumn("__level", F.explode(levels))
+    at = lambda c: F.expr(f"shiftright({c}, __level)")
+    return leveled.withColumn("__bin", F.explode(F.array_distinct(F.array(at("__lo"), at("__hi"))))).drop("__hi")
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_years: tuple[str, str], right_years: tuple[str, str]) -> DataFrame:
+    """Pairs of rows of two tables whose years overlap: each starts no later than the other ends.  Null bounds meet nothing.
+
+    An equi-join on bins of years.  An interval's level is the power of two that holds its length; a pair meets at the
+    higher of its two levels, in the bin where the later of the two starts, hence once.  So a
+    wide interval has as few copies as a narrow one.  Columns of the two sides must have different names.
+    """
+    (a, b), (c, d) = left_years, right_years
+    kinds = lambda df, x, y: [r[0] for r in _binned(df.select(x, y), x, y, []).select("__own").distinct().collect()]  # noqa: E731  at most 65
+    mine = _binned(left, a, b, kinds(right, c, d)).withColumnsRenamed({"__lo": "__llo", "__own": "__lown"})
+    other = _binned(right, c, d, kinds(left, a, b)).withColumnsRenamed({"__lo": "__rlo", "__own": "__rown"})
+    met = mine.join(other, ["__level", "__bin"])
+    once_only = F.expr("greatest(__lown, __rown) = __level and shiftright(greatest(__llo, __rlo), __level) = __bin")
+    exact = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b))
+    return met.filter(once_only & exact).select(*left.columns, *right.columns)
+
+
+def period_counts(works: DataFrame, periods: DataFrame, key: str, years: tuple[str, str], bounds: tuple[str, str]) -> DataFrame:
+    """``periods`` with ``works``: how many works each period's years admit.  Works without a date are in every period.
+
+    Works of equal years are counted before the join.
+    """
+    start, end = years
+    spans = works.groupBy(F.col(start).alias("__start"), F.col(end).alias("__end")).agg(F.count("*").alias("__n"))
+    dated = overlapping(spans, periods, ("__start", "__end"), bounds).groupBy(key).agg(F.sum("__n").alias("__dated"))
+    undated = spans.agg(F.coalesce(F.sum(F.when(F.col("__start").isNull() | F.col("__end").isNull(), F.col("__n"))), F.lit(0)).alias("__undated"))
+    counted = periods.join(dated, key, "left").join(F.broadcast(undated))  # one row on the right
+    return counted.select(*periods.columns, (F.coalesce("__dated", F.lit(0)) + F.col("__undated")).alias("works"))

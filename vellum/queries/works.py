@@ -9,7 +9,7 @@ from ..functions.dates import parse_date_range
 from ..functions.language import parse_language
 from ..jsontext import member_text, metadata_rows, text_of, title_of
 from ..operators.images import canvas_ids, enumerate_images, first_string
-from ..operators.select import Filter, work_records
+from ..operators.select import Filter, period_counts, work_records
 from ..scratch import written
 from .base import load, query
 
@@ -113,14 +113,23 @@ def q04_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = spark.createDataFrame(
         [("a", 1990, 1992), ("b", 1993, 1996), ("c", 1995, 1995), ("d", 1998, 2010), ("e", 1900, 1910)], "name string, lo int, hi int"
     )
-    # works with equal intervals meet first, so the range join sees one row per interval
-    spans = (
-        load(spark, sf_dir, "orders")
-        .select(F.year("o_orderdate").alias("s"), (F.year("o_orderdate") + F.col("o_orderkey") % 3).alias("e"))
-        .groupBy("s", "e").agg(F.count("*").alias("n"))
-    )
-    met = spans.join(F.broadcast(windows), F.expr("s <= hi and lo <= e")).groupBy("name").agg(F.sum("n").alias("works"))
-    return windows.join(met, "name", "left").select("name", F.coalesce("works", F.lit(0)).cast("long").alias("works"))
+    works = load(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("s"), (F.year("o_orderdate") + F.col("o_orderkey") % 3).alias("e"))
+    return period_counts(works, windows, "name", ("s", "e"), ("lo", "hi")).select("name", "works")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, 1700 + (p_partkey * 7919) % 330 AS lo, 1700 + (p_partkey * 7919) % 330 + CASE WHEN p_partkey % 50 = 0 THEN 400 ELSE p_size % 12 END AS hi FROM part),
+o AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 1650 + (o_orderkey * 31) % 400 END AS s, 1650 + (o_orderkey * 31) % 400 + o_custkey % 60 AS e FROM orders),
+g AS (SELECT s, e, count(*) AS n FROM o GROUP BY ALL)
+SELECT p_partkey, lo, hi, (coalesce(sum(n) FILTER (s IS NOT NULL), 0) + (SELECT sum(n) FROM g WHERE s IS NULL))::BIGINT AS works
+FROM w LEFT JOIN g ON s <= hi AND lo <= e GROUP BY ALL""")
+def q84_works_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = 1700 + (F.col("p_partkey") * 7919) % 330
+    periods = load(spark, sf_dir, "part").select(
+        "p_partkey", at.alias("lo"), (at + F.when(F.col("p_partkey") % 50 == 0, 400).otherwise(F.col("p_size") % 12)).alias("hi"))
+    start = 1650 + (F.col("o_orderkey") * 31) % 400
+    works = load(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 97 != 0, start).alias("s"), (start + F.col("o_custkey") % 60).alias("e"))
+    return period_counts(works, periods, "p_partkey", ("s", "e"), ("lo", "hi"))
 
 
 @query("""

@@ -198,11 +198,38 @@ def latest(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     return rows.groupBy(key).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values])
 
 
+def journal_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)`` of an append-only journal's lines; a torn last line (without line feed) is dropped.
+
+    Files are split and read in parallel.  A file is torn if its lines and a line feed for each take
+    more bytes than it has; its last line is the one that starts last in its last split.
+    """
+    row = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), "value")
+    ends = row.groupBy("file", "size").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("at").alias("at"))  # a row a file
+    torn = ends.filter(F.col("bytes") > F.col("size")).select("file", "at.block", "at.n")
+    return row.select("file", "at.block", "at.n", "value").join(torn, ["file", "block", "n"], "left_anti").select("file", "value")
+
+
 def last_complete_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct non-blank lines of an append-only journal; a torn last line (no newline) is dropped."""
-    text = spark.read.text(path, wholetext=True)
-    whole = F.regexp_replace("value", r"[^\n]*\z", "")
-    return text.select(F.explode(F.split(whole, "\n")).alias("url")).filter("trim(url) <> ''").distinct()
+    """Distinct non-blank lines of an append-only journal without torn ones: see :func:`journal_lines`."""
+    return journal_lines(spark, path).select(F.col("value").alias("url")).filter("trim(url) <> ''").distinct()
+
+
+def append_lines(urls: DataFrame, folder: str) -> None:
+    """Add ``urls(url)`` that the journal ``folder`` doesn't have, as files of their own.
+
+    Lines already there aren't touched, so a stopped call loses nothing and leaves no torn line of its own.
+    A URL with a line feed can't be a line and is an error.
+    """
+    spark = urls.sparkSession
+    checked = F.when(F.contains("url", F.lit("\n")), F.raise_error(F.lit("a line feed in a journal's line")).cast("string")).otherwise(F.col("url"))
+    new = urls.filter("trim(url) <> ''").select(checked.alias("url")).distinct()
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        new = new.join(last_complete_lines(spark, folder), "url", "left_anti")
+    written(new, "journal").select("url").write.mode("append").text(folder)
 
 
 def occurrence(df: DataFrame, key: str, *order: str) -> DataFrame:
