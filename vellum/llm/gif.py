@@ -90,38 +90,38 @@ def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
 def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
     """The LZW code stream of ``samples``; a clear code stands first and whenever the table is full."""
     clear = 1 << min_size
-    codes: list[int] = [clear]
+    # codes are held eight bits higher, where a sample can be added to them
+    codes: list[int] = [clear << 8]
     runs = [0]  # where runs begin
     put = codes.append
-    first = clear + 2
+    first, full = clear + 2 << 8, MAX_CODES << 8
     table: dict[int, int] = {}
     find = table.get
     if samples:
-        held, free_code = samples[0], first
+        held, free_code = samples[0] << 8, first
         for s in samples[1:]:
-            key = held << 8 | s
-            longer = find(key)
+            longer = find(key := held + s)
             if longer is not None:
                 held = longer
                 continue
             put(held)
-            held = s
-            if free_code < MAX_CODES:
+            held = s << 8
+            if free_code != full:
                 table[key] = free_code
-                free_code += 1
+                free_code += 256
             else:
                 runs.append(len(codes))
-                put(clear)
+                put(clear << 8)
                 table.clear()
                 free_code = first
         put(held)
-    put(clear + 1)
+    put(clear + 1 << 8)
     edges = [*runs, len(codes)]
     widths = np.concatenate([_widths(b - a, min_size) for a, b in zip(edges, edges[1:], strict=False)])
     # a later clear code still has the width of the run that it ends
     for a in runs[1:]:
         widths[a] = 12
-    return _packed(np.array(codes, np.int64), widths)
+    return _packed(np.array(codes, np.int64) >> 8, widths)
 
 
 def _unpacked(data: np.ndarray, at: int, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +142,9 @@ def lzw_decode(data: bytes, min_size: int, count: int) -> np.ndarray:
     of a run are unpacked at once; a run ends with a clear or end code.
     """
     clear, end = 1 << min_size, (1 << min_size) + 1
-    literals = [bytes([k]) for k in range(clear)]
     padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2, np.uint8)])
+    got = np.zeros(count, np.uint8)
     fresh = True
-    parts: list[bytes] = []
     at = done = 0
     while done < count:
         codes, ends = _unpacked(padded, at, _run_widths(min_size) if fresh else _FULL)
@@ -154,40 +153,63 @@ def lzw_decode(data: bytes, min_size: int, count: int) -> np.ndarray:
         stops = np.flatnonzero(codes >> 1 == clear >> 1)
         n = int(stops[0]) if len(stops) else len(codes)
         at = int(ends[n] if len(stops) else ends[-1])
-        run = codes[:n].tolist()
+        run = codes[:n].astype(np.int64)
         if fresh:
-            table = [*literals, b"", b""]
-            found = _grown(table, run)
-        else:
-            found = [table[c] for c in run]  # the table is full
-        parts += found
-        done += sum(map(len, found))
+            starts, sizes, text = _grown(run, clear)
+            out = text
+        else:  # the table is full
+            out = _looked_up(run, clear, starts, sizes, text)
+        take = min(len(out), count - done)
+        got[done : done + take] = out[:take]
+        done += take
         fresh = len(stops) > 0
         if fresh and codes[n] == end:
             break
-    got = np.frombuffer(b"".join(parts), np.uint8)[:count]
-    return got if len(got) == count else np.append(got, np.zeros(count - len(got), np.uint8))
-
-
-def _grown(table: list[bytes], run: list[int]) -> list[bytes]:
-    """Entries of a run's codes; each but the first adds the entry before it and its own first sample to ``table``."""
-    if not run:
-        return []
-    known = len(table)
-    prev = table[run[0]]
-    out = [prev]
-    put, add = out.append, table.append
-    for code in run[1:]:
-        if code < known:
-            entry = table[code]
-        elif code == known:
-            entry = prev + prev[:1]
-        else:
-            raise ValueError("code outside the table")
-        put(entry)
-        add(prev + entry[:1])
-        known += 1
-        prev = entry
+    return got
+
+
+def _grown(run: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the codes of a fresh run stand for: where each one's samples begin, how many they are, and the samples.
+
+    The entry that a code adds is what it stands for and the sample behind that.  So a code that
+    isn't a literal copies from where an earlier one's samples begin, one sample more than those are;
+    lengths and sources are found by following these references, doubling the stride.
+    """
+    n = len(run)
+    at = np.arange(n)
+    literal = run < clear
+    earlier = run - (clear + 2)
+    if (~literal & (earlier >= at)).any():
+        raise ValueError("code outside the table")
+    to = np.where(literal, at, earlier)
+    sizes, far = np.where(literal, 0, 1), to
+    while (beyond := far[far]).tobytes() != far.tobytes():
+        sizes = sizes + sizes[far]
+        far = beyond
+    sizes = sizes + 1
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    total = int(ends[-1]) if n else 0
+    source = np.arange(total) + np.repeat(starts[to] - starts, sizes)
+    text = np.zeros(total, np.uint8)
+    text[starts[literal]] = run[literal]
+    while (beyond := source[source]).tobytes() != source.tobytes():
+        source = beyond
+    return starts, sizes, text[source]
+
+
+def _looked_up(run: np.ndarray, clear: int, starts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """What codes stand for by the full table that a fresh run has left."""
+    literal = run < clear
+    entry = np.where(literal, 0, run - (clear + 2))
+    if (entry >= len(starts) - 1).any():
+        raise ValueError("code outside the table")
+    long = np.where(literal, 1, sizes[entry] + 1)
+    ends = np.cumsum(long)
+    total = int(ends[-1]) if len(run) else 0
+    source = np.arange(total) + np.repeat(starts[entry] - (ends - long), long)
+    out = text[np.minimum(source, len(text) - 1)]
+    out[(ends - long)[literal]] = run[literal]
     return out
 
 
@@ -274,8 +296,10 @@ def read_frames(data: bytes) -> Iterator[Frame]:
         before = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
         inside = px[: area.shape[0], : area.shape[1]]
-        solid = np.concatenate([colours[np.minimum(inside, len(colours) - 1)], np.full((*inside.shape, 1), 255, np.uint8)], 2)
-        area[...] = solid if clear_index < 0 else np.where((inside != clear_index)[:, :, None], solid, area)
+        opaque = np.hstack([colours, np.full((len(colours), 1), 255, np.uint8)]).view(np.uint32)[:, 0]
+        solid = opaque[np.minimum(inside, len(colours) - 1)]
+        whole = area.view(np.uint32)[:, :, 0]  # a pixel's four bytes at once
+        whole[...] = solid if clear_index < 0 else np.where(inside != clear_index, solid, whole)
         yield Frame(left, top, px, colours, delay, clear_index, disposal, canvas.copy())
         if disposal == 2:
             area[...] = 0
@@ -286,8 +310,9 @@ def read_frames(data: bytes) -> Iterator[Frame]:
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Visible pixels of a composed frame by colour: ``bins`` equal ranges of red, by green, by blue."""
-    shown = canvas[canvas[:, :, 3] > 0][:, :3].astype(np.int64) * bins >> 8
-    return np.bincount((shown[:, 0] * bins + shown[:, 1]) * bins + shown[:, 2], minlength=bins**3)
+    share = np.arange(256) * bins >> 8
+    red, green, blue = (part[canvas[:, :, k]] for k, part in enumerate((share * bins**2, share * bins, share)))
+    return np.bincount((red + green + blue)[canvas[:, :, 3] > 0], minlength=bins**3)
 
 
 _UNREADABLE = (ValueError, IndexError, struct.error)
