@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vellum import rank
+from vellum import rank, scratch
 from vellum.jsontext import metadata_rows, title_of
 from vellum.operators import annotations, catalogue, comparisons, library, localize, merge
 from vellum.sources import fetch, files, graph, ingest
@@ -59,6 +59,9 @@ def test_a_walk_is_taken_up_again(spark, tmp_path):
     again = graph.walk_frontier(edges, "r", folder)
     assert rows(again, "url") == [("a",), ("b",), ("c",), ("m1",), ("m2",), ("r",)]
     assert tuple(graph.frontier_stats(again, again.filter("expanded")).first()) == (4, 0, 2, True)
+    assert tuple(graph.stored_stats(spark, folder).first()) == ("r", 1, 4, 0, 2, True)
+    with pytest.raises(FileNotFoundError):
+        graph.stored_stats(spark, f"{tmp_path}/none")
     with pytest.raises(ValueError, match="holds a walk of r"):
         graph.walk_frontier(edges, "other", folder)
 
@@ -87,6 +90,38 @@ def test_ranks(spark):
     assert rank.ranked_by(df.limit(0), ["k"], [F.col("v")]).count() == 0
 
 
+def test_ranks_of_hot_keys(spark):
+    rnd = random.Random(4)
+    pairs = [(rnd.choice([None, "a", "a", "a", "b"]), n) for n in rnd.sample(range(1000), 300)] + [("c", 1)]
+    want, seen = {}, {}
+    for k, n in sorted(pairs, key=lambda p: p[1]):
+        want[k, n] = seen[k] = seen.get(k, 0) + 1
+    df = spark.createDataFrame(pairs, "k string, n int")
+    for hot in (1, 60, 1000):  # all keys by ranges, some, none
+        assert {(r.k, r.n): r.rn for r in rank.ranked_by(df, ["k"], [F.col("n")], "rn", hot).collect()} == want
+
+
+def test_catalogue_order_is_that_of_readers(spark):
+    titles = ["Zebra", "apple", "Éclair", "eclair", "Eclaire", "öl", "Oz", "zèbre", None]
+    df = spark.createDataFrame([(f"d{n}", t, "I", 1) for n, t in enumerate(titles)], "dir string, title string, institution string, pages int").repartition(3)
+    got = {r.title: r.by_title for r in catalogue.ranks(df).collect()}
+    assert sorted(got, key=got.get) == [None, "apple", "eclair", "Éclair", "Eclaire", "öl", "Oz", "Zebra", "zèbre"]
+    assert sorted(r.by_path for r in catalogue.ranks(df.withColumn("dir", F.lit("same"))).collect()) == list(range(1, 10))  # ties keep places of their own
+
+
+def test_known_rows_are_joined_in_their_buckets(spark):
+    known = scratch.Known("t", ["a", "b"])
+    rounds = [spark.createDataFrame([(k, k + n) for k in range(0, 40, n + 1)], "a int, b int") for n in range(11)]
+    kept = []
+    for r in rounds:
+        kept.append(known.add(known.without(r.distinct())).count())
+    assert [len(t) for t in known.tables] == [3, 2]  # eleven rounds, five tables
+    assert known.all().count() == known.all().distinct().count() == sum(kept)
+    asked = known.tables[0][0].select("a", "b")
+    plan = known.without(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan or "Broadcast" in plan
+
+
 def test_the_newest_response_is_kept(spark):
     shape = "url string, status int, etag string, last_modified string, content_type string, body string, at int"
     got = spark.createDataFrame([("u", 200, "z", None, None, "{}", 1), ("u", 200, "a", None, None, "[]", 2), ("u", 500, "y", None, None, "{}", 3)], shape)

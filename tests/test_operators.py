@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from vellum import rank
 from vellum.operators import annotations, audit, images, linked, localize, merge, select
 from vellum.sources import graph
 
@@ -104,7 +105,7 @@ def test_audit(spark):
     dirs = spark.createDataFrame([("a",), ("a/b",), ("ab",), ("c/d",)], "dir string")
     assert rows(audit.topmost(dirs, "dir"), "dir") == [("a",), ("ab",), ("c/d",)]
     people = spark.createDataFrame([(x,) for x in "cabbage"], "v string").withColumn("u", F.monotonically_increasing_id())
-    ranked = audit.global_rank(people, F.col("v"), [F.col("v"), F.col("u")])
+    ranked = rank.ranked(people, [F.col("v"), F.col("u")])
     assert [r["v"] for r in sorted(ranked.collect(), key=lambda r: r["rn"])] == sorted("cabbage")
     assert audit.first_results(people, "u", 3).count() == 3
 
@@ -132,6 +133,21 @@ def test_linked_resources(spark):
     assert got.filter("over").count() == 1
 
 
+def test_a_walk_of_links_stops_at_its_cap(spark):
+    link = lambda n: {"id": f"https://x/{n}"}
+    many = json.dumps({"seeAlso": [link(n) for n in range(200_000)]})
+    page = lambda at, *links: (f"https://x/{at}", json.dumps({"type": "AnnotationPage", "items": [{"type": "Annotation", "body": f"https://x/{n}"} for n in links], "next": f"https://x/{at}n"}))
+    small = json.dumps({"otherContent": ["https://x/p", "https://x/q"]})
+    df = spark.createDataFrame([("many", many), ("small", small), ("fits", json.dumps({"otherContent": ["https://x/r"]}))], "k string, body string")
+    fetched = spark.createDataFrame([page("p", 1, 2), page("q", 2, 3, 1), page("qn", 7), ("https://x/r", json.dumps({"type": "AnnotationPage", "items": [{"body": f"https://x/{n}"} for n in range(4)]}))], "url string, body string")
+    got = {}
+    for r in linked.closure(df, fetched, "k", "body", limit=5).collect():
+        got.setdefault(r.key, []).append((r.place, r.url.removeprefix("https://x/"), r.over))
+    assert sorted(got["many"]) == [(n + 1, str(n), n == 5) for n in range(6)]  # one beyond is told, no more are kept
+    assert sorted(got["small"]) == [(1, "p", False), (2, "q", False), (3, "1", False), (4, "2", False), (5, "pn", False), (6, "3", True)]
+    assert sorted(got["fits"]) == [(1, "r", False), (2, "0", False), (3, "1", False), (4, "2", False), (5, "3", False)]  # as many as there is room for
+
+
 def test_localized_documents(spark):
     doc = {"type": "Manifest", "thumbnail": "https://far/t.jpg", "seeAlso": "https://x/meta", "items": [{"type": "Canvas", "width": 1, "height": 1, "body": {
         "id": "https://i/s/full/max/0/default.jpg", "service": [{"id": "https://i/s"}], "width": 1}}, {"type": "Canvas", "thumbnail": {"id": "http://me/t"}, "body": {"@id": "https://i/sx"}}]}

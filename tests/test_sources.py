@@ -37,10 +37,30 @@ def test_commit_pointers(spark):
     assert rows(files.active(new, bad, "k"), "k", "manifest") == [("a", "manifest.json"), ("b", "manifest-versions/2.json"), ("c", "manifest.json")]
 
 
+def segment(marker, body):
+    return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def frame(marker, width, height, parts=3, bits=8):
+    return segment(marker, bytes([bits]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([parts]) + b"\x01\x11\x00" * parts)
+
+
 def test_jpeg_header(spark):
-    good = bytes.fromhex("FFD8FFE000104A46FFC0001108001000200301")
-    df = spark.createDataFrame([(bytearray(good),), (bytearray(b"\xff\xd8\xff"),), (bytearray(b""),), (None,)], "b binary")
-    assert [r[0] for r in df.select(files.readable_jpeg(F.col("b"))).collect()] == [True, False, False, False]
+    start, small = b"\xff\xd8", frame(0xC0, 8, 6)
+    thumbnail = segment(0xE1, b"Exif\0\0" + start + small + b"\xff\xd9")
+    table = segment(0xC4, b"\x00" * 20)
+    cases = {
+        "plain": (start + small, (8, 6)), "thumbnail": (start + thumbnail + frame(0xC0, 4000, 3000), (4000, 3000)), "progressive": (start + table + frame(0xC2, 5, 7, 1), (5, 7)),
+        "filled": (start + b"\xff\xff" + small[1:], (8, 6)), "only a thumbnail": (start + thumbnail + b"\xff\xd9", None), "cut": (start + small[:-3], None),
+        "in a segment": (start + segment(0xE0, b"JFIF") + b"\xff\xe2\x40\x00" + small, None), "after the scan": (start + segment(0xDA, b"\x01") + small, None),
+        "lossless": (start + frame(0xC3, 8, 6), None), "no size": (start + frame(0xC0, 0, 6), None), "bits": (start + frame(0xC0, 8, 6, bits=12), None),
+        "parts": (start + frame(0xC0, 8, 6, 2), None), "half bytes": (start + segment(0xE0, bytes.fromhex("0FFC00011080100020030F")), None), "start": (start, None), "empty": (b"", None), "null": (None, None),
+    }
+    df = spark.createDataFrame([(k, v and bytearray(v)) for k, (v, _) in cases.items()], "k string, b binary").repartition(2)
+    got = {r.k: r.s and tuple(r.s) for r in df.select("k", files.jpeg_size(F.col("b")).alias("s")).collect()}
+    assert got == {k: want for k, (_, want) in cases.items()}
+    assert {r.k for r in df.filter(files.readable_jpeg(F.col("b"))).collect()} == {k for k, (_, want) in cases.items() if want}
+    assert df.limit(0).select(files.jpeg_size(F.col("b"))).count() == 0
 
 
 def test_fetch_outcomes(spark):

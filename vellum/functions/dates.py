@@ -54,7 +54,11 @@ def parse_date_range(text: Column) -> Column:
     has two of these forms, so the cheap ones are tried first and a plain year costs one
     test.  Dates inside longer texts are not read.
     """
-    return let(trimmed(text), _read)
+    return F.when(text.rlike(YEAR), _years(text, text)).otherwise(let(trimmed(text), _read))
+
+
+def _years(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -63,21 +67,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _read(raw: Column) -> Column:
-    def years(start: Column, end: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-
     def number(of: Column, pattern: str, k: int = 1) -> Column:
         return F.regexp_extract(of, pattern, k).cast("int")
 
     def words(norm: Column) -> Column:
         about, nth = number(norm, CIRCA), number(norm, CENTURY)
-        found = F.when(norm.rlike(CIRCA), years(about - CIRCA_YEARS, about + CIRCA_YEARS)).when(norm.rlike(CENTURY), F.when(nth > 0, century(nth)))
+        found = F.when(norm.rlike(CIRCA), _years(about - CIRCA_YEARS, about + CIRCA_YEARS)).when(norm.rlike(CENTURY), F.when(nth > 0, century(nth)))
         for pattern in ROMAN:
             found = found.when(norm.rlike(pattern), let(roman_to_int(F.regexp_extract(norm, pattern, 1)), lambda n: F.when(n > 0, century(n))))
         return found
 
     a, b = number(raw, SPAN, 1), number(raw, SPAN, 2)
-    return F.when(raw.rlike(YEAR), years(raw, raw)).when(raw.rlike(SPAN), years(F.least(a, b), F.greatest(a, b))).otherwise(
+    return F.when(raw.rlike(YEAR), _years(raw, raw)).when(raw.rlike(SPAN), _years(F.least(a, b), F.greatest(a, b))).otherwise(
         let(F.lower(F.regexp_replace(raw, r"\s+", " ")), words))
 
 

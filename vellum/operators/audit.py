@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_of
-from ..rank import ranked
 
 
 def missing_by_kind(links: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
@@ -64,10 +63,5 @@ def topmost(paths: DataFrame, path: str) -> DataFrame:
     return paths.join(nested, path, "left_anti")
 
 
-def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "rn") -> DataFrame:
-    """1-based rank over all rows by ``order``; see :func:`vellum.rank.ranked`, which needs no ``bucket``."""
-    return ranked(df, order, name)
-
-
 def institution(url: Column) -> Column:
     return F.coalesce(F.nullif(host_of(url), F.lit("")), F.lit("—"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import trimmed
 from ..functions.text import megabytes, normalize_tags, or_else
 from ..rank import ranked
+from ..scratch import written
 from .audit import institution
 
 WRITTEN = ("title", "notes", "tags")
@@ -35,20 +36,33 @@ def search(rows: DataFrame, query: str) -> DataFrame:
     return rows.filter(F.contains(text, F.lower(trimmed(F.lit(query)))))
 
 
+#: Fixed value: the order of a browser's ``localeCompare``, accents and case after letters.
+COLLATION = "UNICODE"
+
+
+def collated(text: Column) -> Column:
+    """Sort key of a text in lower case: by letters, then accents, as readers expect, not by code points."""
+    return F.collate(F.lower(F.coalesce(text, F.lit(""))), COLLATION)
+
+
 def sort_keys(mode: str) -> list[Column]:
     """Of the four ways to sort the catalogue; the folder settles ties."""
-    title = F.lower("title")
-    return {
-        "path": [F.col("dir")], "title": [title, F.col("dir")], "institution": [F.lower("institution"), F.col("dir")],
-        "pages": [F.col("pages").desc(), title, F.col("dir")],
-    }[mode]
+    title, path = collated(F.col("title")), [collated(F.col("dir")), F.col("dir")]
+    return {"path": path, "title": [title, *path], "institution": [collated(F.col("institution")), *path], "pages": [F.col("pages").desc(), title, *path]}[mode]
 
 
 def ranks(rows: DataFrame) -> DataFrame:
-    """``rows`` with their place under each way to sort: ``by_path, by_title, by_institution, by_pages``."""
+    """``rows`` with their place under each way to sort: ``by_path, by_title, by_institution, by_pages``.
+
+    Only sort keys and row numbers are sorted; the four narrow results meet before the rows join.
+    """
+    numbered = written(rows.withColumn("__row", F.monotonically_increasing_id()), "catalogue")
+    narrow = numbered.select("__row", "dir", "title", "institution", "pages")
+    places = None
     for mode in ("path", "title", "institution", "pages"):
-        rows = ranked(rows, sort_keys(mode), f"by_{mode}")
-    return rows
+        one = ranked(narrow, sort_keys(mode), f"by_{mode}").select("__row", f"by_{mode}")
+        places = one if places is None else places.join(one, "__row")
+    return numbered.join(places, "__row").drop("__row")
 
 
 #: Orders of listings.
@@ -56,6 +70,7 @@ ORDERS = {"catalogue": ("dir",), "bundles": ("slug",), "problems": ("path", "mes
 
 
 def in_order(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows in the order of a listing: by their columns' values, as files and logs are."""
     return rows.orderBy(*ORDERS[kind])
 
 

@@ -28,13 +28,23 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     return rows.join(F.broadcast(base), "__part").select(*df.columns, (F.col("__base") + place + 1).alias(name))
 
 
-def ranked_by(df: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+#: Rows of one key from which on its ranks come from range partitions; fewer are one window.
+HOT = 100_000
+
+
+def ranked_by(df: DataFrame, by: list[str], order: list[Column], name: str = "rn", hot: int = HOT) -> DataFrame:
     """Append the 1-based rank within equal ``by`` (nulls are equal).
 
-    A key that many rows share is spread over partitions, too: ranks over all rows, less
-    the lowest of the key.  The join back is one row a key, which adaptive execution can split.
+    Rows are counted by key first.  Keys of ``hot`` rows or more are spread over partitions: their ranks
+    are those over all such rows, less the lowest of the key.  The others are windows of a bounded size.
     """
-    rows = ranked(df, [*map(F.col, by), *order], "__all")
-    lowest = rows.groupBy(*by).agg(F.min("__all").alias("__low")).select(*[F.col(c).alias(f"__by_{c}") for c in by], "__low")
+    marks = [F.col(c).alias(f"__by_{c}") for c in by]
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
-    return rows.join(lowest, same).select(*df.columns, (F.col("__all") - F.col("__low") + 1).alias(name))
+    window = lambda rows: rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    large = written(df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") >= hot).select(*marks), "hot-keys")
+    if large.isEmpty():
+        return window(df)
+    rows = ranked(df.join(large, same, "left_semi"), [*map(F.col, by), *order], "__all")
+    lowest = rows.groupBy(*by).agg(F.min("__all").alias("__low")).select(*marks, "__low")
+    spread = rows.join(lowest, same).select(*df.columns, (F.col("__all") - F.col("__low") + 1).alias(name))
+    return window(df.join(large, same, "left_anti")).unionByName(spread)

@@ -51,6 +51,71 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """Write ``df`` in buckets of ``by``, sorted, and read it again: joins on ``by`` need no shuffle of it.
+
+    There are as many buckets as shuffle partitions.  The catalogue knows the table only while it is
+    opened here; what is returned reads the files.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(count, *by)  # as buckets are: a file a bucket
+    dealt.write.bucketBy(count, *by).sortBy(*by).option("path", scratch(spark, label)).format("parquet").saveAsTable(name)
+    table = spark.table(name).select("*")
+    table.schema  # noqa: B018  resolves the files before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+class Known:
+    """A growing set of rows by key, in bucketed tables: what a round adds is one more table.
+
+    Asking which rows are new joins each table in its buckets, without moving it.  When there are
+    ``LEVELS`` of equal rank they are put into one of the next, so a row is written again only
+    logarithmically often and there are few tables.
+    """
+
+    LEVELS = 4
+
+    def __init__(self, label: str, by: list[str]):
+        self.label, self.by = label, by
+        self.tables: list[list[DataFrame]] = [[]]
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows``; they come back as a table."""
+        table = bucketed(rows, self.label, self.by)
+        self.tables[0].append(table)
+        for rank in range(len(self.tables)):
+            if len(self.tables[rank]) < self.LEVELS:
+                break
+            if rank + 1 == len(self.tables):
+                self.tables.append([])
+            self.tables[rank + 1].append(bucketed(_union(self.tables[rank]), self.label, self.by))
+            self.tables[rank] = []
+        return table
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """``rows`` whose key isn't there yet."""
+        for table in self.tables_in_order():
+            rows = rows.join(table.select(*self.by), self.by, "left_anti")
+        return rows
+
+    def all(self) -> DataFrame:
+        return _union(self.tables_in_order())
+
+    def tables_in_order(self) -> list[DataFrame]:
+        """The tables, those of many rows first."""
+        return [t for rank in reversed(self.tables) for t in rank]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    found = tables[0]
+    for t in tables[1:]:
+        found = found.unionByName(t)
+    return found
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

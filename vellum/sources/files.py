@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,6 @@ from ..functions.tiles import info_json
 from ..functions.urls import is_absolute, safe_relative
 from .graph import latest
 
-JPEG_START = "FFD8FF"
-
-
 def settings(lines: DataFrame, line: str = "value", order: str = "ord") -> DataFrame:
     """``(key, value, error)`` of ``key = value`` lines; '#' comments and blank lines drop out.
 
@@ -55,10 +53,53 @@ def stamp(modified: Column, length: Column) -> Column:
     return F.coalesce(made, F.lit("-"))
 
 
+def jpeg_dimensions(data: bytes | None) -> tuple[int, int] | None:
+    """Width and height from the frame header of a JPEG, or None.
+
+    Segments are followed by their lengths, so nothing inside one (a thumbnail in EXIF data, a
+    colour profile) is taken for a marker; a file that ends before its frame header has none.
+    Baseline, extended and progressive frames of 8 bits with 1, 3 or 4 components are read.
+    """
+    if not data or data[:2] != b"\xff\xd8":
+        return None
+    at, n = 2, len(data)
+    while True:
+        at = data.find(b"\xff", at)  # what stands between segments is skipped
+        while 0 <= at < n and data[at] == 0xFF:  # fill bytes
+            at += 1
+        if at < 0 or at >= n:
+            return None
+        marker, at = data[at], at + 1
+        if marker == 0 or 0xD0 <= marker <= 0xD7:  # stuffed, or a restart: no segment
+            continue
+        if marker in (0xD9, 0xDA) or marker < 0xC0:  # the end, or image data, before a frame
+            return None
+        size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2 or at + size > n:
+            return None
+        if marker in (0xC0, 0xC1, 0xC2):
+            bits, height, width, parts = data[at + 2], int.from_bytes(data[at + 3 : at + 5], "big"), int.from_bytes(data[at + 5 : at + 7], "big"), (size - 8) // 3
+            good = size in (11, 17, 20) and bits == 8 and data[at + 7] == parts and width and height
+            return (width, height) if good else None
+        if 0xC3 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):  # lossless, hierarchical, arithmetic
+            return None
+        at += size
+
+
+def jpeg_size(body: Column) -> Column:
+    """``struct<width, height>`` of a JPEG's bytes; null if it can't be read.  See :func:`jpeg_dimensions`."""
+
+    @F.pandas_udf("width int, height int")
+    def run(bodies: pd.Series) -> pd.DataFrame:
+        found = [jpeg_dimensions(b) or (None, None) for b in bodies]
+        return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+    return F.transform(F.array(run(body)), lambda s: F.when(s["width"].isNotNull(), s))[0]
+
+
 def readable_jpeg(body: Column) -> Column:
-    """A non-empty file that begins as JPEG and has a frame header (SOF) with a size."""
-    text = F.hex(body)
-    return F.coalesce(F.startswith(text, F.lit(JPEG_START)) & text.rlike("FFC[0-357-9A-BD-F]00(?:0[89A-F]|1[0-9A-F])08(?!0000)[0-9A-F]{4}(?!0000)[0-9A-F]{4}"), F.lit(False))
+    """Whether the bytes are a JPEG with a frame header that has a size."""
+    return jpeg_size(body).isNotNull()
 
 
 def publish(new: DataFrame, pointers: DataFrame, key: str, digest: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rank import ranked_by
-from ..scratch import complete, forget, scratch, written
+from ..scratch import Known, bucketed, complete, scratch, written
 
 COLLECTION = (
     "manifests array<struct<`@id`:string>>, collections array<struct<`@id`:string>>, "
@@ -54,20 +54,20 @@ def walk_tree(edges: DataFrame, root: str, failed: DataFrame | None = None) -> D
     walk goes on.  Sorting by ``path`` gives the depth-first order.
     """
     spark = edges.sparkSession
-    inner = edges.filter("kind = 'collection' and child <> ''").select(F.col("parent").alias("node"), "child", "pos")
-    at = scratch(spark, "walk")
-    known = written(spark.createDataFrame([(root, [])], "node string, path array<int>"), "walk", at)
-    changed = known
+    edges = bucketed(edges.select("parent", "child", "kind", "pos"), "walk-edges", ["parent"])
+    inner = edges.filter("kind = 'collection' and child <> ''")
+    paths = Known("walk", ["node"])  # a node's least path counts
+    changed = paths.add(spark.createDataFrame([(root, [])], "node string, path array<int>"))
     while True:
-        offers = changed.join(inner, "node").select(F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"))
-        best = offers.groupBy("node").agg(F.min("path").alias("path"))
-        less = best.join(known.withColumnRenamed("path", "was"), "node", "left").filter("was is null or path < was").select("node", "path")
-        changed = written(less, "walk-changed")
+        offers = changed.join(inner, F.expr("node = parent")).select(F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"))
+        less = offers.groupBy("node").agg(F.min("path").alias("path"))
+        for table in paths.tables_in_order():
+            had = table.groupBy("node").agg(F.min("path").alias("was"))
+            less = less.join(had, "node", "left").filter("was is null or path < was").select("node", "path")
+        changed = paths.add(less)
         if changed.isEmpty():
             break
-        before, at = at, scratch(spark, "walk")
-        known = written(known.join(changed.select("node"), "node", "left_anti").unionByName(changed), "walk", at)
-        forget(spark, before)
+    known = paths.all().groupBy("node").agg(F.min("path").alias("path"))
     leaves = known.join(edges.filter("kind = 'manifest'"), F.expr("node = parent")).select(
         F.col("child").alias("manifest"), F.concat("path", F.array("pos")).alias("path"), F.lit(None).cast("string").alias("error"))
     if failed is not None:
@@ -97,33 +97,60 @@ def walk_frontier(edges: DataFrame, root: str, folder: str | None = None, failed
             raise ValueError(f"{folder} holds a walk of {had['root']}, version {had['version']}")
     else:
         spark.createDataFrame([(root, FRONTIER_VERSION)], "root string, version int").write.mode("overwrite").parquet(about)
-    shape = "url string, kind string, depth int"
-    found = spark.createDataFrame([(root, "collection", 0)], shape)
-    done = spark.createDataFrame([], "url string")
-    depth = 0
+    edges = bucketed(edges.filter("child <> ''").select("parent", "child", "kind"), "frontier-edges", ["parent"])
+    path = lambda name, n: f"{folder}/{name}-{n:06d}"
+    rounds = 0
+    while complete(spark, path("done", rounds + 1)):  # written last: the round counts from then on
+        rounds += 1
+    found, done = _walked(spark, folder, root, rounds)
+    known = Known("frontier", ["url"])
+    known.add(found.select("url"))
+    pending = written(found.filter("kind = 'collection'").join(done, "url", "left_anti").select("url"), "pending")
+    stuck = failed.select("url").distinct() if failed is not None else spark.createDataFrame([], "url string")
     while True:
-        depth += 1
-        paths = {name: f"{folder}/{name}-{depth:06d}" for name in ("found", "done")}
-        if not complete(spark, paths["done"]):  # written last: the round counts from then on
-            pending = found.filter("kind = 'collection'").join(done, "url", "left_anti").select("url")
-            ready = pending if failed is None else pending.join(failed.select("url"), "url", "left_anti")
-            step = ready.join(edges, F.expr("url = parent")).filter("child <> ''")
-            new = step.groupBy("child").agg(F.min("kind").alias("kind")).select(
-                F.col("child").alias("url"), "kind", F.lit(depth).alias("depth")).join(found, "url", "left_anti")
-            if ready.isEmpty():
-                break
-            new.write.mode("overwrite").parquet(paths["found"])
-            ready.write.mode("overwrite").parquet(paths["done"])
-            stop = failed is not None and not pending.join(failed.select("url"), "url", "left_semi").isEmpty()
-        else:
-            stop = False
-        found = found.unionByName(spark.read.schema(shape).parquet(paths["found"]))
-        done = done.unionByName(spark.read.schema("url string").parquet(paths["done"]))
-        if stop:
+        ready, blocked = (written(pending.join(stuck, "url", how), "pending") for how in ("left_anti", "left_semi"))
+        if ready.isEmpty():
             break
+        rounds += 1
+        step = ready.join(edges, F.expr("url = parent")).groupBy(F.col("child").alias("url")).agg(F.min("kind").alias("kind"))
+        known.without(step).select("url", "kind", F.lit(rounds).alias("depth")).write.mode("overwrite").parquet(path("found", rounds))
+        ready.write.mode("overwrite").parquet(path("done", rounds))
+        new = spark.read.schema(_FOUND).parquet(path("found", rounds))
+        known.add(new.select("url"))
+        pending = blocked.unionByName(new.filter("kind = 'collection'").select("url"))
+        if not blocked.isEmpty():
+            break
+    found, done = _walked(spark, folder, root, rounds)
     return found.join(done.withColumn("expanded", F.lit(True)), "url", "left").select("url", "kind", "depth", F.coalesce("expanded", F.lit(False)).alias("expanded"))
 
 
+_FOUND = "url string, kind string, depth int"
+
+
+def _walked(spark: SparkSession, folder: str, root: str, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """What the rounds so far have found, and what they have expanded: one scan each."""
+    start = spark.createDataFrame([(root, "collection", 0)], _FOUND)
+    if not rounds:
+        return start, spark.createDataFrame([], "url string")
+    paths = lambda name: [f"{folder}/{name}-{n:06d}" for n in range(1, rounds + 1)]
+    return start.unionByName(spark.read.schema(_FOUND).parquet(*paths("found"))), spark.read.schema("url string").parquet(*paths("done"))
+
+
+def stored_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """One row about a walk that is stored in ``folder``: its root and version, and :func:`frontier_stats`.  None there: an error."""
+    about = f"{folder}/about"
+    if not complete(spark, about):
+        raise FileNotFoundError(f"{folder} holds no walk")
+    had = spark.read.parquet(about).first()
+    if had["version"] != FRONTIER_VERSION:
+        raise ValueError(f"{folder} holds a walk of version {had['version']}")
+    rounds = 0
+    while complete(spark, f"{folder}/done-{rounds + 1:06d}"):
+        rounds += 1
+    found, done = _walked(spark, folder, had["root"], rounds)
+    return frontier_stats(found, done).select(F.lit(had["root"]).alias("root"), F.lit(had["version"]).alias("version"), "*")
+
+
 def frontier_stats(visited: DataFrame, expanded: DataFrame) -> DataFrame:
     """One row: collections visited, collections not yet expanded, manifests, complete."""
     state = visited.select("url", "kind").join(expanded.select("url", F.lit(True).alias("done")), "url", "left")
