@@ -43,14 +43,17 @@ def q32_open_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, lower(source) AS title, lang AS institution, n_chars AS pages FROM documents WHERE contains(lower(source || ' t' || doc_id || ' ' || lang || ' tag ' || source), 'src1'))
-SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS by_path, row_number() OVER (ORDER BY title, doc_id) AS by_title, row_number() OVER (ORDER BY institution, doc_id) AS by_institution,
- row_number() OVER (ORDER BY pages DESC, title, doc_id) AS by_pages FROM c""")
+WITH t AS (SELECT *, 'd' || lpad(doc_id::VARCHAR, 9, '0') AS dir, source || CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN ' Zèbre' WHEN 2 THEN ' zebra' WHEN 3 THEN ' éclair' WHEN 4 THEN ' Eclairs' ELSE '-öl' END AS name FROM documents),
+c AS (SELECT doc_id, dir, lower(name) AS title, lang AS institution, n_chars AS pages FROM t WHERE contains(lower(source || ' t' || doc_id || ' ' || lang || ' tag ' || name), 'src1'))
+SELECT doc_id, row_number() OVER (ORDER BY dir) AS by_path, row_number() OVER (ORDER BY title COLLATE en, dir) AS by_title, row_number() OVER (ORDER BY institution COLLATE en, dir) AS by_institution,
+ row_number() OVER (ORDER BY pages DESC, title COLLATE en, dir) AS by_pages FROM c""")
 def q35_catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 6
+    tail = F.when(k == 0, "").when(k == 1, " Zèbre").when(k == 2, " zebra").when(k == 3, " éclair").when(k == 4, " Eclairs").otherwise("-öl")
     rows = load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("dir"), F.concat(F.lit("t"), "doc_id").alias("source_title"), F.col("source").alias("title"), F.col("lang").alias("institution"),
-        F.lit("—").alias("languages"), F.col("n_chars").alias("pages"), F.lit("").alias("notes"), F.lit("tag").alias("tags"))
-    return C.ranks(C.search(rows, " SRC1 ")).select(F.col("dir").alias("doc_id"), "by_path", "by_title", "by_institution", "by_pages")
+        "doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("dir"), F.concat(F.lit("t"), "doc_id").alias("source_title"),
+        F.concat("source", tail).alias("title"), F.col("lang").alias("institution"), F.lit("—").alias("languages"), F.col("n_chars").alias("pages"), F.lit("").alias("notes"), F.lit("tag").alias("tags"))
+    return C.ranks(C.search(rows, " SRC1 ")).select("doc_id", "by_path", "by_title", "by_institution", "by_pages")
 
 
 @query("""
