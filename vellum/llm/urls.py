@@ -68,50 +68,65 @@ def mine(labelled: DataFrame) -> DataFrame:
 
     Rules of any length whose confidence and support reach the bounds and of which no
     proper part does.  Such a rule has no token that all labelled urls have, nor one that
-    fewer than MIN_COUNT blocked ones have, so those are left out of the baskets.
+    fewer than MIN_COUNT blocked ones have, so those are left out of the baskets.  Tokens
+    that stand in the same labelled urls, such as the segments of one long path, are mined as
+    one, and each of them makes a rule in its place.
     """
     schema = "rule_id long, tokens array<string>, confidence double, support double"
     n, blocked = labelled.agg(F.count("*"), F.sum("blocked")).first()
     if (blocked or 0) < MIN_COUNT:
         return labelled.sparkSession.createDataFrame([], schema)
-    counts = labelled.select("blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
-    useful = counts.filter((F.col("n") < n) & (F.col("b") >= MIN_COUNT)).select("token")
     keyed = materialize(labelled.withColumn("id", F.monotonically_increasing_id()), "url-baskets")
-    baskets = keyed.select("id", "blocked", F.explode("tokens").alias("token")).join(useful, "token").groupBy("id").agg(
-        F.collect_list("token").alias("tokens"), F.max("blocked").alias("blocked"))
+    each = keyed.select("id", "blocked", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum("blocked").alias("b"),
+        # tokens of the same urls: equal in both digests of those
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("xor"),
+    )
+    useful = counts.filter((F.col("n") < n) & (F.col("b") >= MIN_COUNT))
+    # a class lies in one url, which bounds it; mining sees one token for it, so what always comes together makes no subsets
+    classes = useful.groupBy("n", "b", "sum", "xor").agg(F.min("token").alias("token"), F.collect_set("token").alias("members"))
+    classes = materialize(classes.select("token", "members"), "url-tokens")
+    baskets = each.join(classes.select("token"), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"), F.max("blocked").alias("blocked"))
     items = F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens"))
     # half a url less: a share of n times n may round up past MIN_COUNT
     baskets = materialize(baskets.select(items.alias("items")), "url-items")
     held = baskets.count()  # urls without a useful token count in no rule
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, MIN_COUNT - 0.5) / max(held, 1), minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCKED).select(
-        F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support")
+        F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support")
     )
     rules = materialize(rules, "url-rules")
-    # every proper part: one token after another, each part so far with and without it
-    parts = F.aggregate(
-        "tokens", F.array(F.array().cast("array<string>")),
-        lambda got, t: F.concat(got, F.transform(got, lambda part: F.array_append(part, t))),
+    larger = met(rules.select(F.col("rule_id").alias("key"), "tokens"), rules).filter("size(need) < size(tokens)").select(F.col("key").alias("rule_id")).distinct()
+    minimal = rules.join(larger, "rule_id", "left_anti")
+    # each token of a class in turn
+    slots = minimal.select("rule_id", "confidence", "support", F.explode("tokens").alias("token")).join(classes, "token")
+    slots = slots.groupBy("rule_id", "confidence", "support").agg(F.collect_list("members").alias("slots"))
+    ways = F.aggregate(
+        "slots", F.array(F.array().cast("array<string>")),
+        lambda got, members: F.flatten(F.transform(got, lambda part: F.transform(members, lambda t: F.array_append(part, t)))),
     )
-    parts = rules.select("tokens", F.explode(parts).alias("part")).filter("size(part) < size(tokens) and size(part) > 0")
-    implied = parts.join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
-    left = rules.join(implied, "tokens", "left_anti")
-    return materialize(left.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-minimal")
+    whole = slots.select("confidence", "support", F.explode(ways).alias("tokens")).withColumn("tokens", F.sort_array("tokens"))
+    return materialize(whole.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-minimal")
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls(key, tokens)``, distinct -> ``(key, confidence)`` of urls that meet all tokens of some rule.
+def met(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """``sets(key, tokens)`` -> ``(key, tokens, need, confidence)``: a row for each rule all of whose tokens (``need``) a set has.
 
-    The index has one row a rule, under the token that the fewest urls have, so a token of
-    nearly all urls isn't asked for; the rest of the rule is compared in the join.
+    The index has one row a rule, under the token that the fewest sets have, so a token of
+    nearly all of them isn't asked for; the rest of the rule is compared in the join.
     """
-    asked = urls.select("key", "tokens", F.explode("tokens").alias("token"))
+    asked = sets.select("key", "tokens", F.explode("tokens").alias("token"))
     used = rules.select(F.explode("tokens").alias("token")).distinct()
     often = asked.select("token").join(used, "token").groupBy("token").agg(F.count("*").alias("n"))
     index = rules.select("rule_id", F.col("tokens").alias("need"), "confidence", F.explode("tokens").alias("token")).join(often, "token")
     index = index.groupBy("rule_id").agg(F.min_by(F.struct("token", "need", "confidence"), F.struct("n", "token")).alias("i")).select("i.*")
-    met = asked.join(index, "token").filter(F.size(F.array_except("need", "tokens")) == 0)
-    return met.groupBy("key").agg(F.max("confidence").alias("confidence"))
+    return asked.join(index, "token").filter(F.size(F.array_except("need", "tokens")) == 0).select("key", "tokens", "need", "confidence")
+
+
+def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls(key, tokens)``, distinct -> ``(key, confidence)`` of urls that meet all tokens of some rule."""
+    return met(urls, rules).groupBy("key").agg(F.max("confidence").alias("confidence"))
 
 
 def _judged(pages: DataFrame) -> DataFrame:
