@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rank import ranked_by
 from .common import free, kept_columns, materialize, named
 
 #: Shuffle partitions at most; beyond, some hold several buckets, one after another.
@@ -54,8 +55,8 @@ def shuffle_into_shards(
     so a bucket fits a task's memory at any size.  A record's bucket depends on its key,
     its text's checksum and the seed: copies of one text with different keys spread
     evenly, so no group of equal texts can overfill a bucket.  Of equal rows (same key and
-    text) beyond HOT_ROWS, which are interchangeable, each input partition deals its own
-    to another bucket.  Within a bucket rows are first ordered by key and checksum, so the
+    text), numbered in the order of their other columns, each HOT_ROWS go to another bucket.
+    So neither the files of the table nor how often a row occurs moves any other row.  Within a bucket rows are first ordered by key and checksum, so the
     permutation doesn't depend on arrival order.  Input columns named like an output are
     replaced; a null key is a key like any other, a null text counts as empty.
     """
@@ -67,15 +68,13 @@ def shuffle_into_shards(
     keyed = docs.withColumns({
         crc: F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), k: F.coalesce(F.col(key).cast("string"), F.lit("null")),
     })
-    many = materialize(keyed.groupBy(k, crc).agg(F.count("*").alias(hot)).filter(F.col(hot) > HOT_ROWS), "hot-rows")
-    n, salted = many.count(), F.lit(-1)
-    if n:
-        keyed = keyed.withColumn(salt, F.spark_partition_id()).join(F.broadcast(many) if n <= MAX_BROADCAST else many, [k, crc], "left")
-        salted = F.when(F.col(hot).isNotNull(), F.col(salt)).otherwise(-1)
+    many = materialize(keyed.groupBy(k, crc).agg(F.count("*").alias(hot)).filter(F.col(hot) > HOT_ROWS).select(k, crc), "hot-rows")
+    n = many.count()
+    keyed = keyed.withColumn(salt, F.lit(0).cast("long")) if not n else _dealt(keyed, F.broadcast(many) if n <= MAX_BROADCAST else many, k, crc, salt)
     scattered = keyed.select(
         *named(columns),
         shard_of(F.col(key), shards, seed).cast("int").alias("shard"), shard_of(F.col(key), shards + 1, seed).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), k, crc, salted), F.lit(buckets)).cast("long").alias("bucket"), F.col(crc),
+        F.pmod(F.xxhash64(F.lit(seed + 1), k, crc, salt), F.lit(buckets)).cast("long").alias("bucket"), F.col(crc),
     ).repartition(min(shards * buckets, MAX_PARTITIONS), "shard", "bucket")
     schema = scattered.drop(crc).withColumn("place", F.lit(0).cast("long")).schema
     names = [f.name for f in schema]
@@ -90,6 +89,18 @@ def shuffle_into_shards(
     return scattered.groupBy("shard", "bucket").applyInArrow(permute, schema)
 
 
+def _dealt(rows: DataFrame, many: DataFrame, k: str, crc: str, salt: str) -> DataFrame:
+    """``rows`` with a number for each HOT_ROWS rows of one key and checksum; 0 for the first of them, and where there are no more."""
+    plain = [f"c{i}" for i in range(len(rows.columns))]  # the ranks' own columns can't clash with these
+    back = dict(zip(plain, rows.columns, strict=True))
+    hot = rows.join(many, [k, crc], "left_semi").select(*named(rows.columns)).toDF(*plain)
+    at = {name: c for c, name in back.items()}
+    hashed = [c for c, t in hot.dtypes if "map<" not in t and "variant" not in t]
+    numbered = ranked_by(hot, [at[k], at[crc]], [F.xxhash64(*hashed)], "number")
+    numbered = numbered.select(*[F.col(c).alias(name) for c, name in back.items()], F.floor((F.col("number") - 1) / HOT_ROWS).cast("long").alias(salt))
+    return rows.join(many, [k, crc], "left_anti").select(*named(rows.columns), F.lit(0).cast("long").alias(salt)).unionByName(numbered)
+
+
 def with_slots(shuffled: DataFrame) -> DataFrame:
     """Append ``slot``: the place in the shard, gapless from 0, buckets in order.
 
