@@ -435,6 +435,18 @@ def test_pii_base(docs, none):
     assert clean.columns == docs.columns and clean.filter("text like '%[EMAIL]%'").count() == 1
 
 
+def test_announced_values_are_added_among_decoys(spark):
+    rows = [(i, f"call us tel. 06 {i % 90 + 10} 34 56 {i % 80 + 11} or not") for i in range(120)]
+    rows += [(1000 + i, f"order 06 {i % 90 + 10} 34 56 {i % 80 + 11} was sent") for i in range(400)]  # the same format
+    rows += [(2000 + i, f"password: hunter{i}") for i in range(60)] + [(3000 + i, f"the key: value of words {i}") for i in range(60)]
+    rows += [(4000, "mail bob@home now"), (4001, "see bob@home now")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == "number:13:27" for i in range(120))  # each announced value, whole
+    assert all(found[1000 + i] == "" for i in range(400))  # and none of its decoys
+    assert all(found[2000 + i] == f"secret:10:{16 + len(str(i))}" for i in range(60))
+    assert all(found[3000 + i] == "" for i in range(60)) and found[4000] == "contact:5:13" and found[4001] == ""
+
+
 def test_pii_learns_secrets(spark):
     rnd = random.Random(2)
     hexa = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
@@ -604,6 +616,19 @@ def test_hot_rows_are_dealt_over_buckets(spark):
     assert got.filter("doc_id = 7").select("shard").distinct().count() == 1  # the law holds for hot rows, too
 
 
+def test_files_and_counts_move_no_other_row(spark):
+    def places(copies, parts):
+        rows = [(7, "the same text " * 20, k) for k in range(copies)] + [(i, f"text {i} " * 20, 0) for i in range(100, 600)]
+        made = spark.createDataFrame(rows, "doc_id long, text string, __n int").repartition(parts)
+        return sorted((r["doc_id"], r["__n"], r["shard"], r["bucket"]) for r in sharding.shuffle_into_shards(made, bucket_bytes=5_000).collect())
+
+    many = places(300, 16)
+    assert many == places(300, 1) == places(300, 7)
+    few, more = places(64, 3), places(65, 3)
+    assert [r for r in few if r[0] != 7] == [r for r in more if r[0] != 7]
+    assert len({r[3] for r in few if r[0] == 7}) == 1 and sorted(r[3] for r in more if r[0] == 7)[1:-1] != []
+
+
 def test_shards_are_written_in_order(docs, tmp_path):
     sharding.write_shards(docs.drop("shard"), f"{tmp_path}/out", bucket_bytes=300)
     back = docs.sparkSession.read.parquet(f"{tmp_path}/out").select("*", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("file")).collect()
@@ -667,6 +692,13 @@ def test_url_rules_have_one_count_and_any_length(spark):
     assert {r["key"] for r in met.collect()} == {k for k, ts in asked if any(set(w) <= set(ts) for w in want)}
 
 
+def test_long_shared_paths_make_few_rules(spark):
+    path = [f"path:s{k}" for k in range(30)]  # 2^30 sets of tokens, mined one by one
+    sets = [([*path, f"host:{k}", "all"], 1) for k in range(25)] + [(["path:x", "all"], 0)] * 50
+    rules = urls.mine(spark.createDataFrame(sets, "tokens array<string>, blocked int"))
+    assert sorted(r["tokens"] for r in rules.collect()) == sorted([p] for p in path)
+
+
 def test_url_rules_on_urls_held_out(spark):
     rows = [(i, f"https://h{i % 11}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'es', 'fr')[i // 3 % 4]}/{i}.html") for i in range(1200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
