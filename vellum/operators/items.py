@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import or_else
+from ..functions.text import ordinal_name, or_else
 from ..functions.dates import trimmed
 
 DEFAULT_TITLE = "Library of Congress item"
@@ -60,3 +60,17 @@ def derived_manifests(items: DataFrame, pages: DataFrame, item: str, url: str) -
     ))
     has = F.col("canvases").isNotNull()
     return made.select(item, F.when(has, doc).alias("manifest"), F.when(~has, "no pages").alias("error"))
+
+
+def capped(rows: DataFrame, by: str, order: list[str], value: str, kind: str, most: int, width: int = 4) -> DataFrame:
+    """Per key what numbering its rows in order gives: ``(by, last_name, distinct_in_order, taster, capped, overflow)``.
+
+    The zero-padded name of the last row, its kinds once each in order of appearance, the first
+    value, how many of the first ``most`` rows there are, and whether there are more.  A key is one document.
+    """
+    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    each = numbered.groupBy(by).agg(F.max("rn").alias("n"), F.min_by(value, "rn").alias("taster"), F.sort_array(F.collect_list(F.struct("rn", F.col(kind).alias("k")))).alias("vs"))
+    return each.select(
+        by, ordinal_name(F.col("n"), width).alias("last_name"), F.array_distinct(F.transform("vs", lambda x: x["k"])).alias("distinct_in_order"), "taster",
+        F.least("n", F.lit(most)).cast("long").alias("capped"), (F.col("n") > most).alias("overflow"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles
 from ..operators import audit as A
-from ..operators import library
+from ..operators import items, library
 from ..operators import linked as L
 from ..sources import ingest
 from .base import load, query
@@ -97,16 +97,9 @@ f AS (SELECT l_orderkey, l_partkey % 5 AS k, min(rn) AS p FROM r GROUP BY ALL),
 SELECT l_orderkey, lpad(max(rn)::VARCHAR, 4, '0') AS last_name, ks AS distinct_in_order, min(l_partkey) FILTER (rn = 1) AS taster, count(*) FILTER (rn <= 3) AS capped, count(*) > 3 AS overflow
 FROM r JOIN o USING (l_orderkey) GROUP BY l_orderkey, ks""")
 def q56_ordinals_and_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("rn"))
-    per = rows.groupBy("l_orderkey").agg(
-        F.max("rn").alias("n"), F.min_by("l_partkey", "rn").alias("taster"),
-        F.sort_array(F.collect_list(F.struct("rn", (F.col("l_partkey") % 5).alias("k")))).alias("ks"),
-    )
-    return per.select(
-        "l_orderkey", F.lpad(F.col("n").cast("string"), 4, "0").alias("last_name"), F.array_join(F.array_distinct(F.transform("ks", lambda x: x["k"])), ",").alias("distinct_in_order"),
-        "taster", F.least("n", F.lit(3)).cast("long").alias("capped"), (F.col("n") > 3).alias("overflow"),
-    )
+    lines = load(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") % 5)
+    made = items.capped(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_partkey", "k", 3)
+    return made.withColumn("distinct_in_order", F.array_join("distinct_in_order", ","))
 
 
 @query("""

@@ -182,7 +182,8 @@ def q52_active_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     pointers = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("active"), F.count("*").alias("n"))
     name = F.concat(F.lit("manifest-versions/"), F.sha2(F.col("active").cast("string").cast("binary"), 256), F.lit(".json"))
     versions = F.coalesce("n", F.lit(0)).cast("long")
-    return load(spark, sf_dir, "customer").select("c_custkey").join(pointers, "c_custkey", "left").select(
-        "c_custkey", F.coalesce(name, F.lit("manifest.json")).alias("manifest"), versions.alias("versions"), (versions % 2 == 1).alias("changed"))
+    bundles = load(spark, sf_dir, "customer").select("c_custkey")
+    named = active(bundles, pointers.select("c_custkey", name.alias("manifest")), "c_custkey")
+    return named.join(pointers, "c_custkey", "left").select("c_custkey", "manifest", versions.alias("versions"), (versions % 2 == 1).alias("changed"))
 
 

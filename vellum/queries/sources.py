@@ -174,9 +174,8 @@ def q22_image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", *order, F.row_number().over(w).cast("long").alias("rn"),
         F.when(F.col("l_linenumber") % 4 < 3, F.col("l_linenumber") % 4).alias("v"),
     )
-    before = Window.partitionBy("l_orderkey").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     service = F.concat(F.lit("https://s/"), "l_partkey", F.lit("//"))
-    return rows.withColumn("pref", F.last("v", ignorenulls=True).over(before)).select(
+    return fetch.preferred(rows, ["l_orderkey"], ["rn"], "v").select(
         "l_orderkey", "rn", F.array_join(U.image_candidates(service, F.coalesce("pref", F.lit(-1))), " ").alias("candidates")
     )
 

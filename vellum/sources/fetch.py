@@ -58,6 +58,15 @@ def item_fallback(responses: DataFrame, items: DataFrame, keys: list[str]) -> Da
     return met.select(*keys, "url", via.alias("via"), body.alias("body"), derivation_key(F.col("url"), F.coalesce("derived", "body")).alias("derivation"))
 
 
+def preferred(rows: DataFrame, by: list[str], order: list[str], worked: str) -> DataFrame:
+    """``rows`` with ``pref``: the form that ``worked`` (null: none did) for the last row before this one of the same ``by``.
+
+    A key is a bundle's images on one host, a window of a few thousand rows at most.
+    """
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("pref", F.last(worked, ignorenulls=True).over(before))
+
+
 def attempts(log: DataFrame, limit: int = 3) -> DataFrame:
     """``log(url, attempt, status, retry_after)`` with ``delay_ms`` before the next try and the time it begins."""
     delay = retry_delay_ms(F.col("status"), F.col("retry_after"), F.col("attempt"), limit)
