@@ -289,6 +289,25 @@ def test_near_copies_are_verified(spark, none):
     assert len(set(root.values())) > 13 and simhash.near_copies(none, 5).count() == 0
 
 
+def test_near_copies_find_planted_pairs(spark):
+    rnd = random.Random(8)
+    rows, sets = [], []
+    for g in range(250):  # texts of all lengths, each with a copy at about the limit
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice((12, 25, 60, 150, 400)))]
+        near = list(base)
+        for at in rnd.sample(range(len(base)), max(1, len(base) // rnd.choice((30, 45, 60, 90)))):
+            near[at] = f"x{g}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    similar = {g for g in range(250) if 9 * len(sets[2 * g] & sets[2 * g + 1]) >= 4 * (len(sets[2 * g]) + len(sets[2 * g + 1]))}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5).collect()}
+    found = {g for g in range(250) if got[2 * g] == got[2 * g + 1]}
+    assert 100 < len(similar) < 240 and found <= similar  # no stranger is linked
+    assert len(found) >= 0.97 * len(similar)
+
+
 def test_simhash(docs, none):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     prints = []
