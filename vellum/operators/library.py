@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import ceil_div
 from ..functions.urls import safe_relative
+from ..scratch import written
 from .audit import missing_by_kind, reconcile, repeated_files
 from .once import once
 
@@ -79,8 +80,19 @@ def _absent(promised: DataFrame, files: DataFrame) -> DataFrame:
     return met.withColumn("m", message).filter("m is not null").select(*_problem("ERROR", _at(F.col("file")), F.col("m")))
 
 
-def problems(bundles: DataFrame, files: DataFrame, texts: DataFrame, links: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``(severity, path, message)`` of all findings; ERROR for what is broken, WARN for what a rerun would mend."""
+def parsed(bundles: DataFrame) -> DataFrame:
+    """``(slug, p, ok)``: provenance as it is read, and whether it is JSON; written once for all that look at it."""
+    ok = F.try_parse_json("provenance").isNotNull().alias("ok")
+    return written(bundles.select("slug", F.from_json("provenance", PROVENANCE).alias("p"), ok), "provenance")
+
+
+def problems(
+    bundles: DataFrame, files: DataFrame, texts: DataFrame, links: DataFrame, catalogue: DataFrame, provenance: DataFrame | None = None,
+) -> DataFrame:
+    """``(severity, path, message)`` of all findings; ERROR for what is broken, WARN for what a rerun would mend.
+
+    ``provenance`` is :func:`parsed`, where it is there already.
+    """
     json = lambda c: F.try_parse_json(c).isNotNull()
     safe = lambda c: F.coalesce(safe_relative(c), F.lit(False))
     out = []
@@ -89,7 +101,7 @@ def problems(bundles: DataFrame, files: DataFrame, texts: DataFrame, links: Data
     m = F.when(F.col("provenance").isNull(), "cannot read provenance").when(~json("provenance"), "invalid provenance JSON")
     out.append(bundles.withColumn("m", m).filter("m is not null").select(*_problem("ERROR", _at("provenance.json"), F.col("m"))))
     out.append(bundles.filter(F.col("annotations").isNotNull() & ~json("annotations")).select(*_problem("ERROR", _at("annotations.json"), "invalid JSON")))
-    read = bundles.filter(json("provenance")).select("slug", F.from_json("provenance", PROVENANCE).alias("p"))
+    read = (parsed(bundles) if provenance is None else provenance).filter("ok").select("slug", "p")
     prov = _at("provenance.json")
 
     active = read.select("slug", F.col("p.manifest_file").alias("file")).filter("file <> ''")
@@ -134,18 +146,18 @@ def problems(bundles: DataFrame, files: DataFrame, texts: DataFrame, links: Data
     return found
 
 
-def reruns(bundles: DataFrame, links: DataFrame) -> DataFrame:
+def reruns(bundles: DataFrame, links: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
     """``(url)`` of manifests whose linked resources are missing, or failed when they were stored."""
-    read = bundles.select("slug", F.from_json("provenance", PROVENANCE).alias("p"))
+    read = parsed(bundles) if provenance is None else provenance
     stored = read.select("slug", F.explode("p.linked_resources").alias("r")).select("slug", "r.url")
     gone = links.select("slug", "url").join(stored, ["slug", "url"], "left_anti").select("slug")
     failed = read.filter(F.size("p.linked_failures") > 0).select("slug")
     return read.join(gone.union(failed).distinct(), "slug", "left_semi").select(F.col("p.manifest_url").alias("url")).filter("url <> ''").distinct()
 
 
-def report(bundles: DataFrame, found: DataFrame) -> DataFrame:
+def report(bundles: DataFrame, found: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
     """One row: bundles, images, pyramids and linked resources that provenance names, errors, warnings, and whether it is healthy."""
-    read = bundles.select(F.from_json("provenance", PROVENANCE).alias("p"))
+    read = parsed(bundles) if provenance is None else provenance
     some = lambda c: F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0))
     tiled = F.filter("p.images", lambda i: F.coalesce(i["tile_dir"], F.lit("")) != "")
     counts = read.agg(F.count("*").alias("bundles"), some(F.col("p.images")).alias("images"), some(tiled).alias("pyramids"), some(F.col("p.linked_resources")).alias("linked"))

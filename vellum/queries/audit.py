@@ -9,6 +9,7 @@ from ..functions import tiles
 from ..operators import audit as A
 from ..operators import items, library
 from ..operators import linked as L
+from ..scratch import written
 from ..sources import ingest
 from .base import load, query
 
@@ -187,8 +188,10 @@ SELECT (SELECT count(*) FROM c) AS bundles, 2 * (SELECT count(*) FROM ok) AS ima
  (SELECT count(*) FROM ok WHERE k % 13 IN (0, 8)) AS reruns FROM n""")
 def q65_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _library(spark, sf_dir)
-    again = library.reruns(held["bundles"], held["links"]).agg(F.count("*").alias("reruns"))
-    return library.report(held["bundles"], library.problems(**held)).join(again).select(
+    read = library.parsed(held["bundles"])
+    again = library.reruns(held["bundles"], held["links"], read).agg(F.count("*").alias("reruns"))
+    found = written(library.problems(**held, provenance=read), "problems")
+    return library.report(held["bundles"], found, read).join(again).select(
         "bundles", *[F.col(c).cast("long") for c in ("images", "pyramids", "linked", "errors", "warnings")], "healthy", "reruns")
 
 
