@@ -56,7 +56,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words in class names and ids that mark page furniture; of the second kind any word beginning so.
 MARKS = frozenset("""
 ad ads adbox adsense promo promoted promotion banner nav navbar menu pager pagination aside widget related recommended share sharing social
-follow newsletter subscribe signup login search consent gdpr notice notices popup modal overlay header footer masthead toolbar reply replies disclaimer
+follow newsletter subscribe subscription signup login search consent gdpr notice notices alert popup modal overlay header footer masthead toolbar
+topbar submenu skip reply replies respond disclaimer
 """.split())
 STEMS = ("advert", "sponsor", "cookie", "sidebar", "navig", "breadcrumb", "comment", "disqus")
 ARTICLE_MARKS = frozenset(("content", "article", "story", "maincontent", "articlebody", "articlecontent", "postcontent", "postbody", "entrycontent"))
