@@ -49,7 +49,7 @@ def mined(rows, width):
 @pytest.mark.parametrize("small", [False, True])
 def test_hard_negatives_equal_all_pairs(spark, monkeypatch, small):
     if small:  # several groups, blocks of anchors, other pivots
-        monkeypatch.setattr(negatives, "ROWS_PER_GROUP", 50)
+        monkeypatch.setattr(negatives, "GROUP_VALUES", 800)
         monkeypatch.setattr(negatives, "ANCHORS_PER_BLOCK", 2)
         monkeypatch.setattr(negatives, "PIVOT_SAMPLE", 3)
     rows = vectors()

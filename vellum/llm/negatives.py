@@ -29,7 +29,8 @@ from .common import materialize
 from .vectors import finite, integers, matrix, of_one_width
 
 PIVOTS, PIVOT_SAMPLE = 8, 1024
-ROWS_PER_GROUP, ANCHORS_PER_BLOCK = 1 << 18, 1 << 10
+#: Components in a group of rows (128 MB as doubles, whatever the width), anchors in a block.
+GROUP_VALUES, ANCHORS_PER_BLOCK = 1 << 24, 1 << 10
 EXACT_DOUBLE = 1 << 53
 
 
@@ -161,7 +162,7 @@ def mine(
     square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)
     n, longest = rows.agg(F.count("*"), F.coalesce(F.max(square), F.lit(0))).first()
     sample = rows.orderBy(F.xxhash64("v"), "row").limit(PIVOT_SAMPLE).select("v").collect()
-    groups = max(1, -(-n // ROWS_PER_GROUP), min(2 * spark.sparkContext.defaultParallelism, n // 512))
+    groups = max(1, -(-n * width // GROUP_VALUES), min(2 * spark.sparkContext.defaultParallelism, n // 512))
     pivots = pivots_of(np.array([r.v for r in sample], np.int64), longest) if sample else np.zeros((0, 1))
     table = pivot_table(rows.select("row", "id", "label", "v"), groups, width, pivots, longest)
     asking = rows.filter("anchor").select("row", "id", "label", "v")
