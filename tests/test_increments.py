@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import select
+from vellum.operators import catalogue, select
 from vellum.sources import graph
 from vellum.streaming import changes
 
@@ -44,6 +44,21 @@ def test_change_stream_by_batches(spark, tmp_path):
     assert changes.current(spark, table, "id", "seq", schema).count() == 0
 
 
+def test_last_rows_refresh_a_catalogue(spark, tmp_path):
+    source, table, state = f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/state"
+
+    def seen(*rows_):
+        spark.createDataFrame(rows_, "n long, dir string, stamp string, pages int").coalesce(1).write.mode("append").parquet(source)
+        return changes.last_rows(spark, source, "dir", "n", ["stamp", "pages"], table, state)
+
+    seen((1, "a", "s1", 3), (2, "b", "s1", 4), (3, "a", "s2", 5), (4, None, "x", 0))
+    now = seen((2, "a", "old", 1), (5, "c", "s9:-", 1))
+    assert rows(now, "dir", "n", "stamp", "pages") == [("a", 3, "s2", 5), ("b", 2, "s1", 4), ("c", 5, "s9:-", 1)]
+    held = spark.createDataFrame([("a", "s1", 3, "t", "", "", 9), ("b", "s1", 4, "", "", "", 8)], "dir string, stamp string, pages int, title string, notes string, tags string, size int")
+    got = catalogue.refreshed(held, now.select("dir", "stamp", "pages"))
+    assert rows(got, "dir", "pages", "title", "size", "state") == [("a", 5, "t", None, "changed"), ("b", 4, "", 8, "same")]
+
+
 def test_torn_journals_are_split(spark, tmp_path):
     had = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")

@@ -194,6 +194,14 @@ def q42_change_stream_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_changes(spark, f"{sf_dir}/events.parquet", ("signup", "view"), "event_type", "user_id", "event_id")
 
 
+@query("""
+SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def q101_last_rows_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.changes import last_rows
+
+    return last_rows(spark, f"{sf_dir}/events.parquet", "user_id", "event_id", ["event_type"])
+
+
 @query("""
 WITH u AS (SELECT o_orderkey, o_orderkey % 5 AS k, CASE o_orderkey % 3 WHEN 0 THEN 403 WHEN 1 THEN 200 ELSE 404 END AS status FROM orders)
 SELECT o_orderkey, CASE WHEN k IN (0, 1) AND status = 403 THEN 'derived' WHEN status = 200 THEN 'direct' ELSE 'error' END AS via,

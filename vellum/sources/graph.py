@@ -228,7 +228,7 @@ def latest(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, value)`` of an append-only journal's lines; a torn last line (without line feed) is dropped.
 
-    Files are split and read in parallel.  A file is torn if its lines and a line feed for each take
+    Plain (not compressed) files are split and read in parallel.  A file is torn if its lines and a line feed for each take
     more bytes than it has; its last line is the one that starts last in its last split.
     """
     row = spark.read.option("lineSep", "\n").text(path).select(

@@ -1,17 +1,18 @@
 """Structured Streaming form of the change stream: keyed upserts.
 
-A batch writes the objects whose first change it moved, in a folder of its own, and nothing else; a
-batch that is repeated after a failure overwrites its folder.  The table is the least order
-of each object over all folders, so folders may be read in any order and folded at any time.
+A batch writes the objects that it has rows of, in a folder of its own, and nothing else; a batch that
+is repeated after a failure overwrites its folder.  The table is the least (or greatest) value of
+each object over all folders, so folders may be read in any order and folded at any time.
 """
 
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import complete, forget, scratch
 
@@ -42,24 +43,47 @@ def first_changes(
     objects.  With a ``table`` and a ``state`` folder a later call takes in new files only.
     Rows without key or order are no changes.
     """
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema)
+    rows = _rows(spark, path, files_per_batch)
+    wanted = rows.filter(F.col(kind).isin(*kinds) & F.col(key).isNotNull() & F.col(order).isNotNull())
+    return _taken(wanted.groupBy(key).agg(F.min(order).alias(order)), table, state, key, order, F.min)
+
+
+def last_rows(
+    spark: SparkSession, path: str, key: str, order: str, values: Sequence[str],
+    table: str | None = None, state: str | None = None, files_per_batch: int | None = None,
+) -> DataFrame:
+    """``(key, order, values)`` of each key's row with the greatest ``order``, over everything available by now.
+
+    Stamps of bundles as they are seen, say: the catalogue is then refreshed by the keys that have one.
+    Of rows of one order the greatest values count; grows and resumes as :func:`first_changes` does.
+    """
+    rows = _rows(spark, path, files_per_batch).filter(F.col(key).isNotNull() & F.col(order).isNotNull())
+    last = rows.groupBy(key).agg(F.max(F.struct(order, *values)).alias("last"))
+    return _taken(last, table, state, key, "last", F.max).select(key, "last.*")
+
+
+def _rows(spark: SparkSession, path: str, files_per_batch: int | None) -> DataFrame:
+    """A stream of the rows of a Parquet folder or file."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    rows = source.parquet(path) if folder else source.parquet(path.rpartition("/")[0], pathGlobFilter=path.rpartition("/")[2])
-    wanted = rows.filter(F.col(kind).isin(*kinds) & F.col(key).isNotNull() & F.col(order).isNotNull())
-    first = wanted.groupBy(key).agg(F.min(order).alias(order))
+    return source.parquet(path) if folder else source.parquet(path.rpartition("/")[0], pathGlobFilter=path.rpartition("/")[2])
+
+
+def _taken(grouped: DataFrame, table: str | None, state: str | None, key: str, value: str, keep: Callable) -> DataFrame:
+    """Run ``grouped(key, value)`` over what is there, write each batch's keys, and read the table."""
+    spark = grouped.sparkSession
     table, state = table or scratch(spark, "changes"), state or scratch(spark, "changes-state")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch-{number:0{_DIGITS}d}")
 
     with _state_on_disk(spark):
-        run = first.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(put)
+        run = grouped.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(put)
         run.trigger(availableNow=True).start().awaitTermination()
-    return current(spark, table, key, order, first.schema.simpleString()[len("struct<") : -1].replace(":", " "))
+    return current(spark, table, key, value, grouped.schema, keep)
 
 
 def _folders(spark: SparkSession, table: str) -> tuple[str | None, list[str]]:
@@ -73,16 +97,16 @@ def _folders(spark: SparkSession, table: str) -> tuple[str | None, list[str]]:
     return (folds[-1] if folds else None), [n for n in whole if n.startswith("batch-") and n.removeprefix("batch-") > last]
 
 
-def current(spark: SparkSession, table: str, key: str, order: str, schema: str) -> DataFrame:
-    """The table ``(key, order)`` as the batches so far leave it."""
+def current(spark: SparkSession, table: str, key: str, order: str, schema: StructType | str, keep: Callable = F.min) -> DataFrame:
+    """The table ``(key, order)`` as the batches so far leave it: of a key's values the one that ``keep`` keeps."""
     fold, batches = _folders(spark, table)
     paths = [f"{table}/{n}" for n in ([fold] if fold else []) + batches]
     if not paths:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths).groupBy(key).agg(F.min(order).alias(order))
+    return spark.read.schema(schema).parquet(*paths).groupBy(key).agg(keep(order).alias(order))
 
 
-def fold(spark: SparkSession, table: str, key: str, order: str, schema: str) -> int:
+def fold(spark: SparkSession, table: str, key: str, order: str, schema: StructType | str, keep: Callable = F.min) -> int:
     """Put all batches so far into one folder; how many it took in.
 
     The new folder is whole before the old ones go; a reader that listed those must read again.
@@ -91,7 +115,7 @@ def fold(spark: SparkSession, table: str, key: str, order: str, schema: str) ->
     if not batches:
         return 0
     last = batches[-1].removeprefix("batch-")
-    current(spark, table, key, order, schema).write.mode("overwrite").parquet(f"{table}/upto-{last}")
+    current(spark, table, key, order, schema, keep).write.mode("overwrite").parquet(f"{table}/upto-{last}")
     for n in ([before] if before else []) + batches:
         forget(spark, f"{table}/{n}")
     return len(batches)
