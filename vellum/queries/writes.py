@@ -115,3 +115,30 @@ def q91_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph.append_lines(urls.filter("n % 3 <> 0").select("url"), folder)
     graph.append_lines(urls.select("url"), folder)  # takes in what isn't there
     return graph.journal_lines(spark, folder).select(F.col("value").alias("url"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN strlen(text) > 8192 THEN 'body too large' END AS deletion, CASE WHEN 40 * strlen(text) > 65536 THEN 'body too large' END AS edit FROM documents""")
+def q102_body_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(
+        "doc_id", saving.body_error(F.col("text"), "deletion").alias("deletion"), saving.body_error(F.repeat("text", F.lit(40)), "edit").alias("edit"))
+
+
+@query("""
+WITH n AS (SELECT conv_id, turn, 'a' || conv_id AS id FROM conversations),
+l AS (SELECT * FROM n WHERE turn = 0 AND conv_id % 3 = 0), i AS (SELECT * FROM n WHERE turn = 0 AND conv_id % 2 = 0)
+SELECT count(*) FILTER (l.id IS NULL AND i.id IS NOT NULL) AS added, count(*) FILTER (l.id IS NOT NULL AND i.id IS NOT NULL) AS duplicates, count(l.id) + count(*) FILTER (l.id IS NULL AND i.id IS NOT NULL) AS stored
+FROM l FULL JOIN i USING (conv_id)""")
+def q103_imported_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, k = scratch(spark, "store"), F.col("conv_id")
+    notes = load(spark, sf_dir, "conversations").filter("turn = 0").select(
+        "conv_id", F.concat(F.lit("d"), k % 20).alias("dir"), k.cast("long").alias("ord"), F.concat(F.lit("a"), k).alias("id"), F.lit("https://x/c").alias("canvas"))
+    body = F.to_json(F.struct("id", F.concat("canvas", F.lit("#xywh=1,1,2,2")).alias("target")))
+    notes = notes.withColumn("body", body)
+    folders = spark.range(20).select(F.concat(F.lit("d"), "id").alias("dir"), F.lit("").alias("manifest_url"), F.lit("").alias("title"), F.lit("").alias("notes"), F.lit("").alias("tags"))
+    columns = ["dir", "ord", "id", "canvas", "body"]
+    store.commit(spark, store.snapshot(spark, folder), {"catalogue": folders, "annotations": notes.filter(k % 3 == 0).select(*columns)})
+    lines = exchange.export(folders, notes.filter(k % 2 == 0).select("dir", "ord", "body")).select("value")
+    made = exchange.import_archive(spark, folder, exchange.archive_of(lines, most=1 << 40), spark.createDataFrame([], "doc string, canvas string")).report()
+    there = store.snapshot(spark, folder).read(spark, "annotations", exchange.ANNOTATIONS).agg(F.count("*").alias("stored"))
+    return made.join(there).select(F.col("annotations_added").alias("added"), "duplicates", "stored")  # one row each
