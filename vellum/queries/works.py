@@ -9,6 +9,7 @@ from ..functions.dates import parse_date_range
 from ..functions.language import parse_language
 from ..jsontext import member_text, metadata_rows, text_of, title_of
 from ..operators.images import canvas_ids, enumerate_images, first_string
+from ..operators.linked import inventory
 from ..operators.select import Filter, period_counts, work_records
 from ..scratch import written
 from .base import load, query
@@ -259,3 +260,15 @@ def q59_document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = part.select("p_partkey", F.concat(F.lit('{"type":"Manifest"'), label, F.lit(',"metadata":'), entries, F.lit("}")).alias("manifest"))
     titles = docs.select("p_partkey", title_of(F.col("manifest")).alias("title"))
     return metadata_rows(docs, "p_partkey", "manifest").join(titles, "p_partkey").select("p_partkey", "title", "pos", "label", "value")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN l_orderkey % 11 <> 0 THEN n END AS images, CASE WHEN l_orderkey % 11 <> 0 THEN l_orderkey % 3 END AS linked,
+ CASE WHEN l_orderkey % 11 <> 0 THEN n || ' image(s), ' || l_orderkey % 3 || ' linked resource reference(s) (dry-run, not stored)' END AS line, CASE WHEN l_orderkey % 11 = 0 THEN 'not JSON' END AS error FROM c""")
+def q104_dry_run_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey")
+    links = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (k % 3).cast("int")), lambda n: F.concat(F.lit("https://x/"), n))
+    with_links = F.concat(F.regexp_replace("manifest", r"\}\z", ""), F.lit(',"seeAlso":'), F.to_json(links), F.lit("}"))
+    docs = manifests(spark, sf_dir).select("l_orderkey", F.when(k % 11 == 0, "{").otherwise(with_links).alias("manifest"))
+    return inventory(docs, "l_orderkey")
