@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_range, present, trimmed
 from ..functions.language import parse_language
+from ..scratch import written
 from .once import once
 
 # Metadata labels (lower case) by what they hold.
@@ -118,14 +120,41 @@ def overlapping(left: DataFrame, right: DataFrame, left_years: tuple[str, str],
     return met.filter(once_only & exact).select(*left.columns, *right.columns)
 
 
+def _up_to(counted: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(__at, __sum)`` of all values of ``marks(__at)``: the sum of ``__n`` over values of ``counted(__at, __n)`` up to it.
+
+    Values lie in blocks of 1,024: a window holds the values of one block, or a row a block.
+    """
+    values = counted.unionByName(marks.filter("__at is not null").withColumn("__n", F.lit(0).cast("long"))).groupBy("__at").agg(F.sum("__n").alias("__n"))
+    values = values.withColumn("__block", F.shiftright("__at", 10))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = values.groupBy("__block").agg(F.sum("__n").alias("__n")).select("__block", F.coalesce(before, F.lit(0)).alias("__base"))
+    inside = F.sum("__n").over(Window.partitionBy("__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    return values.withColumn("__inside", inside).join(blocks, "__block").select("__at", (F.col("__base") + F.col("__inside")).alias("__sum"))
+
+
 def period_counts(works: DataFrame, periods: DataFrame, key: str, years: tuple[str, str], bounds: tuple[str, str]) -> DataFrame:
     """``periods`` with ``works``: how many works each period's years admit.  Works without a date are in every period.
 
-    Works of equal years are counted before the join.
+    Works of equal years are one row, as periods of equal bounds are.  No pairs are made: of works that start up to a
+    period's end, those that end before its start don't meet it.  Only where a work or a period ends before
+    it starts, the different years are joined.  A null ``key`` is a key as any other.
     """
-    start, end = years
-    spans = works.groupBy(F.col(start).alias("__start"), F.col(end).alias("__end")).agg(F.count("*").alias("__n"))
-    dated = overlapping(spans, periods, ("__start", "__end"), bounds).groupBy(key).agg(F.sum("__n").alias("__dated"))
+    (start, end), (low, high) = years, bounds
+    as_year = lambda c, name: F.col(c).cast("long").alias(name)
+    spans = written(works.groupBy(as_year(start, "__start"), as_year(end, "__end")).agg(F.count("*").alias("__n")), "spans")
+    asked = written(periods.select(as_year(low, "__low"), as_year(high, "__high")).distinct(), "periods")
+    forward = spans.filter("__start <= __end")
+    begun = _up_to(forward.select(F.col("__start").alias("__at"), "__n"), asked.select(F.col("__high").alias("__at")))
+    ended = _up_to(forward.select(F.col("__end").alias("__at"), "__n"), asked.select((F.col("__low") - 1).alias("__at")))
+    met = asked.filter("__low <= __high").join(begun.withColumnsRenamed({"__at": "__high", "__sum": "__begun"}), "__high").join(
+        ended.select((F.col("__at") + 1).alias("__low"), F.col("__sum").alias("__ended")), "__low")
+    parts = [met.select("__low", "__high", (F.col("__begun") - F.col("__ended")).alias("__n"))]
+    for some, others in ((spans.filter("__start > __end"), asked), (forward, asked.filter("__low > __high"))):
+        if not some.isEmpty() and not others.isEmpty():
+            parts.append(overlapping(some, others, ("__start", "__end"), ("__low", "__high")).select("__low", "__high", "__n"))
+    dated = reduce(DataFrame.unionByName, parts).groupBy("__low", "__high").agg(F.sum("__n").alias("__dated"))
     undated = spans.agg(F.coalesce(F.sum(F.when(F.col("__start").isNull() | F.col("__end").isNull(), F.col("__n"))), F.lit(0)).alias("__undated"))
-    counted = periods.join(dated, key, "left").join(F.broadcast(undated))  # one row on the right
+    same = (F.col(low).cast("long") == F.col("__low")) & (F.col(high).cast("long") == F.col("__high"))
+    counted = periods.join(dated, same, "left").join(F.broadcast(undated))  # one row on the right
     return counted.select(*periods.columns, (F.coalesce("__dated", F.lit(0)) + F.col("__undated")).alias("works"))
