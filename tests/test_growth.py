@@ -23,3 +23,8 @@ def test_periods_are_counted_without_pairs(spark, monkeypatch):
     rows = [tuple(r) for r in works.collect()]
     want = [(p, lo, hi, sum(s is None or (lo is not None and s <= hi and lo <= e) for s, e in rows)) for p, lo, hi in bounds]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)  # null and repeated keys, too
+
+
+def test_tiles_are_never_broadcast(spark):
+    plan = plan_of(QUERIES["q25_missing_tiles"](spark, SMALL))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

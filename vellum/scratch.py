@@ -51,6 +51,18 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that makes many rows of each.
+EACH = 20_000
+
+
+def spread(df: DataFrame, by: list[str], each: int = 0) -> DataFrame:
+    """``df`` dealt by ``by`` into a partition per ``each`` rows, for rows that become many further on.
+
+    A small file is one split, whatever its rows grow to, and AQE joins small partitions: a number that is asked for stays.
+    """
+    return df.repartition(max(1, -(-df.count() // (each or EACH))), *by)
+
+
 def bucketed(df: DataFrame, label: str, by: list[str]) -> DataFrame:
     """Write ``df`` in buckets of ``by``, sorted, and read it again: joins on ``by`` need no shuffle of it.
 
