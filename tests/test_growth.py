@@ -46,3 +46,9 @@ def test_rows_that_become_many_are_spread(spark, monkeypatch):
     monkeypatch.setattr(scratch, "EACH", 50)
     n = -(-spark.read.parquet(f"{SMALL}/part.parquet").count() // 50)
     assert n > 1 and f", {n}), REPARTITION_BY_NUM" in plan_of(QUERIES["q60_advertised_files"](spark, SMALL))
+
+
+def test_bundles_of_a_library_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "EACH", 50)
+    n = -(-spark.read.parquet(f"{SMALL}/customer.parquet").count() // 50)
+    assert n > 1 and f", {n}), REPARTITION_BY_NUM" in plan_of(QUERIES["q64_library_audit"](spark, SMALL))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import ceil_div
 from ..functions.urls import safe_relative
-from ..scratch import written
+from ..scratch import spread, written
 from .audit import missing_by_kind, reconcile, repeated_files
 from .once import once
 
@@ -120,7 +120,7 @@ def problems(
     tiled = images.filter(safe(F.col("file")) & (F.coalesce("tile_dir", F.lit("")) != ""))
     out.append(tiled.filter(~safe(F.col("tile_dir"))).select(*_problem("ERROR", prov, F.concat(F.lit("image "), F.col("pos") + 1, F.lit(" has an unsafe tile folder")))))
     info = tiled.filter(safe(F.col("tile_dir"))).select("slug", F.col("tile_dir").alias("prefix"), F.concat("tile_dir", F.lit("/info.json")).alias("file")).distinct()
-    described = info.join(texts, ["slug", "file"], "left")
+    described = spread(written(info.join(texts, ["slug", "file"], "left"), "descriptions"), ["slug"])  # many files of each
     out.append(described.filter("body is null").select(*_problem("ERROR", _at(F.col("file")), "cannot read tile description")))
     promised = advertised(described.filter("body is not null").select("slug", "prefix", "body"), ["slug", "prefix"])
     out.append(promised.filter("error is not null").select(*_problem("ERROR", _at(F.concat("prefix", F.lit("/info.json"))), F.col("error"))))

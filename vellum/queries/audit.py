@@ -9,7 +9,7 @@ from ..functions import tiles
 from ..operators import audit as A
 from ..operators import items, library
 from ..operators import linked as L
-from ..scratch import written
+from ..scratch import spread, written
 from ..sources import ingest
 from .base import load, query
 
@@ -130,7 +130,7 @@ _NO_FACTOR = '{"width":600,"height":400,"tiles":[{"width":5,"scaleFactors":[null
 
 def _library(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A library of one bundle per customer, with faults by the remainder of its key."""
-    who = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("b/"), "c_custkey").alias("slug"))
+    who = spread(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("b/"), "c_custkey").alias("slug")), ["slug"])
     k = F.col("k")
     linked = F.array(F.struct(
         F.concat(F.lit("https://x/"), k).alias("url"), F.when(k % 13 == 5, "../up").otherwise("resources/r.json").alias("file"), F.lit("annotation").alias("kind"),
