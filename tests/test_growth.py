@@ -4,8 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from vellum import scratch
-from vellum.operators import select
+from vellum.operators import images, linked, select
 from vellum.queries import ORACLE_SQL, QUERIES
+from vellum.sources import fetch
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +53,12 @@ def test_bundles_of_a_library_are_spread(spark, monkeypatch):
     monkeypatch.setattr(scratch, "EACH", 50)
     n = -(-spark.read.parquet(f"{SMALL}/customer.parquet").count() // 50)
     assert n > 1 and f", {n}), REPARTITION_BY_NUM" in plan_of(QUERIES["q64_library_audit"](spark, SMALL))
+
+
+def test_responses_without_an_item_meet_in_no_task(spark):
+    route = "https://www.loc.gov/item/{}/manifest.json"
+    asked = [(1, route.format("a"), 403, "x"), (2, route.format("b"), 403, "x"), (3, "u", 200, "x"), (4, "u", 403, None), (5, None, None, None)]
+    responses = spark.createDataFrame(asked, "k int, url string, status int, body string")
+    met = fetch.item_fallback(responses, spark.createDataFrame([("a", "from a"), (None, "y")], "item string, body string").hint("merge"), ["k"])
+    assert [(r.k, r.via, r.body) for r in met.orderBy("k").collect()] == [(1, "derived", "from a"), (2, "error", None), (3, "direct", "x"), (4, "error", None), (5, "error", None)]
+    assert "Union" in plan_of(met)  # those without an item are never shuffled

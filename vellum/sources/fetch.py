@@ -49,10 +49,13 @@ def item_fallback(responses: DataFrame, items: DataFrame, keys: list[str]) -> Da
     """``(keys, url, via, body)``: where a manifest comes from, with the key it is derived under.
 
     A refused (403) manifest of an exact catalogue route is derived from its item among
-    ``items(item, body)``; a 200 is taken as it is; anything else is an error.
+    ``items(item, body)``; a 200 is taken as it is; anything else is an error.  Only responses of
+    such a route are joined: the others, most of them, have no item and would all meet in one task.
     """
     routed = responses.withColumn("item", F.when(F.col("status") == 403, item_route(F.col("url"))))
-    met = routed.join(items.select("item", F.col("body").alias("derived")), "item", "left")
+    held = items.select("item", F.col("body").alias("derived"))
+    met = routed.filter("item is not null").join(held, "item", "left").unionByName(
+        routed.filter("item is null").withColumn("derived", F.lit(None).cast(held.schema["derived"].dataType)))
     via = F.when(F.col("derived").isNotNull(), "derived").when(F.col("status") == 200, "direct").otherwise("error")
     body = F.when(via == "derived", F.col("derived")).when(via == "direct", F.col("body"))
     return met.select(*keys, "url", via.alias("via"), body.alias("body"), derivation_key(F.col("url"), F.coalesce("derived", "body")).alias("derivation"))
