@@ -62,3 +62,9 @@ def test_responses_without_an_item_meet_in_no_task(spark):
     met = fetch.item_fallback(responses, spark.createDataFrame([("a", "from a"), (None, "y")], "item string, body string").hint("merge"), ["k"])
     assert [(r.k, r.via, r.body) for r in met.orderBy("k").collect()] == [(1, "derived", "from a"), (2, "error", None), (3, "direct", "x"), (4, "error", None), (5, "error", None)]
     assert "Union" in plan_of(met)  # those without an item are never shuffled
+
+
+def test_descriptions_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "EACH", 50)
+    n = -(-spark.read.parquet(f"{SMALL}/part.parquet").count() // 50)
+    assert n > 1 and f", {n}), REPARTITION_BY_NUM" in plan_of(QUERIES["q97_names_and_descriptions"](spark, SMALL))

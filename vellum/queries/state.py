@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles, urls
 from ..operators import annotations, catalogue, items, localize
+from ..operators.once import once
+from ..scratch import spread
 from ..sources import fetch, files, ingest
 from .base import load, query
 
@@ -78,10 +80,12 @@ SELECT p_partkey, 'image-' || left(sha256(('s' || p_partkey)::BLOB || '\\x00'::B
 def q97_names_and_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     info = tiles.info_json(F.lit("old"), size.cast("long"), size.cast("long"))
-    asked = localize.with_request_id(info, F.concat(F.lit("https://me/"), k))
-    return load(spark, sf_dir, "part").select(
+    part = spread(load(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"])
+    # a description is made, and made again, once a row
+    asked = once(once(part, "info", info), "asked", localize.with_request_id(F.col("info"), F.concat(F.lit("https://me/"), k)))
+    return asked.select(
         "p_partkey", urls.refreshed_name(F.concat(F.lit("s"), k), F.concat(F.lit("c"), size), size).alias("name"), tiles.size_key(F.lit("t"), k, size, F.lit(4)).alias("key"),
-        F.get_json_object(asked, "$.id").alias("id"), F.get_json_object(asked, "$.width").cast("int").alias("width"))
+        F.get_json_object("asked", "$.id").alias("id"), F.get_json_object("asked", "$.width").cast("int").alias("width"))
 
 
 @query("""
