@@ -68,3 +68,8 @@ def test_descriptions_are_made_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(scratch, "EACH", 50)
     n = -(-spark.read.parquet(f"{SMALL}/part.parquet").count() // 50)
     assert n > 1 and f", {n}), REPARTITION_BY_NUM" in plan_of(QUERIES["q97_names_and_descriptions"](spark, SMALL))
+
+
+def test_services_are_parsed_once(spark):
+    docs = spark.createDataFrame([(1, "{}")], "k int, manifest string")
+    assert plan_of(images.enumerate_images(docs, "k").select("service_id")).count("from_json(") == 2  # the document, and an image's service

@@ -23,14 +23,21 @@ def own_id(node: Column) -> Column:
     return F.coalesce(or_else(node["id"], node["@id"]), F.lit(""))
 
 
-def _service(resource: Column) -> Column:
-    """Of a service object its id; of a list the first element's, even if empty; else from the image's own id."""
+def _first_service(resource: Column) -> Column:
+    """The service object, or the first of a list; to be bound, as it is looked at several times."""
     raw = resource["service"]
-    # an object is read as a list of one, so each service is parsed once
-    listed = F.coalesce(F.startswith(F.ltrim(raw), F.lit("[")), F.lit(False))
-    first = F.get(F.from_json(F.when(listed, raw).otherwise(F.concat(F.lit("["), raw, F.lit("]"))), "array<struct<`@id`:string,id:string>>"), F.lit(0))
+    # an object is read as a list of one
+    return F.get(F.from_json(F.when(_listed(raw), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]"))), "array<struct<`@id`:string,id:string>>"), F.lit(0))
+
+
+def _listed(raw: Column) -> Column:
+    return F.coalesce(F.startswith(F.ltrim(raw), F.lit("[")), F.lit(False))
+
+
+def _service(resource: Column, first: Column) -> Column:
+    """Of a service object its id; of a list the first element's, even if empty; else from the image's own id."""
     found = F.when(first.isNotNull(), own_id(first))
-    return F.coalesce(F.when(listed, found).otherwise(F.nullif(found, F.lit(""))), service_id(own_id(resource)))
+    return F.coalesce(F.when(_listed(resource["service"]), found).otherwise(F.nullif(found, F.lit(""))), service_id(own_id(resource)))
 
 
 def parsed(manifests: DataFrame, column: str = "manifest") -> DataFrame:
@@ -38,11 +45,10 @@ def parsed(manifests: DataFrame, column: str = "manifest") -> DataFrame:
     return once(manifests, "m", F.from_json(column, SHAPE))
 
 
-def enumerate_images(manifests: DataFrame, key: str) -> DataFrame:
-    """``(key, ord, canvas_id, service_id, width, height, label)``; ``label`` is raw JSON text.
+def with_images(manifests: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``images``: those of each document in order, as an array; null where it isn't JSON.
 
-    The older shape wins if it has any image.  Rows come from nested explodes, in
-    document order; ``ord`` counts from 1 within the document.
+    The older shape wins if it has any image.
     """
     m = parsed(manifests)
     old = F.flatten(F.transform("m.sequences", lambda s: F.flatten(F.transform(
@@ -54,10 +60,17 @@ def enumerate_images(manifests: DataFrame, key: str) -> DataFrame:
             F.coalesce(p["items"], F.array()), lambda a: F.struct(
                 own_id(c).alias("canvas_id"), a["body"].alias("r"), F.lit(None).cast("string").alias("label")))))))
     both = once(once(m, "old", old), "new", new)
-    chosen = both.select(key, F.when(F.size("old") > 0, F.col("old")).otherwise(F.col("new")).alias("images"))
-    rows = chosen.select(key, F.posexplode("images").alias("pos", "i"))
+    return both.select(*columns, F.when(F.size("old") > 0, F.col("old")).otherwise(F.col("new")).alias("images"))
+
+
+def enumerate_images(manifests: DataFrame, key: str) -> DataFrame:
+    """``(key, ord, canvas_id, service_id, width, height, label)``; ``label`` is raw JSON text.
+
+    Rows are in document order; ``ord`` counts from 1 within the document.
+    """
+    rows = once(with_images(manifests, [key]).select(key, F.posexplode("images").alias("pos", "i")), "first", _first_service(F.col("i.r")))
     return rows.select(
-        key, (F.col("pos") + 1).alias("ord"), "i.canvas_id", _service(F.col("i.r")).alias("service_id"),
+        key, (F.col("pos") + 1).alias("ord"), "i.canvas_id", _service(F.col("i.r"), F.col("first")).alias("service_id"),
         F.coalesce("i.r.width", F.lit(0)).cast("int").alias("width"), F.coalesce("i.r.height", F.lit(0)).cast("int").alias("height"),
         F.col("i.label").alias("label"),
     )
