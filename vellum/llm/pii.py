@@ -26,12 +26,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import spread
 from .common import bind, free, materialize, named
 from .trees import probability
 
-#: Formats to learn from at most (of those with and those without an announced value, the smallest hashes each),
-#: the precision asked of a threshold, announced occurrences it takes, and characters looked at before a value.
-MAX_TRAIN, PRECISION, MIN_HELD, LEFT = 20_000, 0.95, 5, 24
+#: Formats that one task learns from, the precision asked of a threshold, announced occurrences it takes, and
+#: characters looked at before a value.
+FORMATS_A_TASK, PRECISION, MIN_HELD, LEFT = 50_000, 0.95, 5, 24
 
 # The base patterns.  (Match the contract's; \G continues after a match inside a run.)
 BASE = {
@@ -180,34 +181,32 @@ class Model:
     thresholds: dict[int, float] = field(default_factory=dict)  # by kind; a kind without one adds nothing
 
 
-def fit(proposed: DataFrame, cands: str, max_rows: int = MAX_TRAIN) -> Model:
-    """Fit on ``max_rows`` formats (kind and features) at most; two thirds for the trees, one for thresholds.
+def fit(proposed: DataFrame, cands: str) -> Model:
+    """Fit on all formats (kind and features): two thirds of them, by hash, for the trees, the others for thresholds.
 
-    A format's occurrences are counted over the whole corpus.  Counts of a sample are
-    scaled to those of all formats with, or without, an announced value.
+    A format is one row with the counts of its occurrences over the whole corpus, so equal values weigh
+    what they are worth and cost nothing.
     """
     each = proposed.select(F.explode(cands).alias("c")).select("c.k", "c.f", "c.said", "c.base")
-    formats = materialize(each.groupBy("k", "f").agg(
+    formats = each.groupBy("k", "f").agg(
         F.count_if(F.expr("said or base")).alias("pos"), F.count("*").alias("n"),
         F.count_if(F.expr("said and not base")).alias("free_pos"), F.count_if(F.expr("not base")).alias("free_n"),
-    ).withColumn("h", F.xxhash64("f", "k")).withColumn("some", F.col("free_pos") > 0), "pii-formats")
-    parts = [formats.filter(c).orderBy("h").limit(max_rows // 2) for c in ("some", "not some")]
-    rows = materialize(parts[0].unionByName(parts[1]).withColumn("held", F.pmod("h", F.lit(3)) == 0).repartition(1), "pii")  # max_rows rows at most
+    ).withColumn("h", F.xxhash64("f", "k"))
+    # in an order of its own: sums of a boosting step shouldn't follow the order of a shuffle
+    dealt = spread(materialize(formats, "pii-formats"), ["h"], FORMATS_A_TASK).sortWithinPartitions("h", "k", "f")
+    rows = materialize(dealt.withColumn("held", F.pmod("h", F.lit(3)) == 0), "pii")
     label = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), c.alias("weight")) for y, c in ((1.0, F.col("pos")), (0.0, F.col("n") - F.col("pos")))]))
     train = rows.filter("not held").select(array_to_vector("f").alias("features"), label.alias("l")).select("features", "l.label", F.col("l.weight").cast("double").alias("weight")).filter("weight > 0")
     if train.select("label").distinct().count() < 2:
         return Model()
     trees = GBTClassifier(maxIter=12, maxDepth=4, minInstancesPerNode=3, stepSize=0.3, seed=42, weightCol="weight").fit(train)
-    totals = {r["some"]: r["n"] for r in formats.groupBy("some").agg(F.sum("n").alias("n")).collect()}
-    taken = {r["some"]: r["n"] for r in rows.groupBy("some").agg(F.sum("n").alias("n")).collect()}
-    scale = F.when(F.col("some"), totals.get(True, 0) / taken.get(True, 1)).otherwise(totals.get(False, 0) / taken.get(False, 1))
     score = F.round(probability(trees, lambda i: F.col("f")[i]), 3)
     # at most 1,001 scores a kind
     steps = rows.filter("held").groupBy("k", score.alias("p")).agg(
-        F.sum(F.col("free_pos") * scale).alias("y"), F.sum(F.col("free_n") * scale).alias("n")).collect()
+        F.sum("free_pos").alias("y"), F.sum("free_n").alias("n")).collect()
     model = Model(trees)
     for k in {r["k"] for r in steps}:
-        y = n = 0.0
+        y = n = 0
         for r in sorted((r for r in steps if r["k"] == k), key=lambda r: -r["p"]):
             y, n = y + r["y"], n + r["n"]
             if y >= MIN_HELD and y >= PRECISION * n:
