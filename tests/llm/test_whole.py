@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from vellum.llm import pii
+from vellum.llm import pii, toxicity
 
 
 def test_pii_learns_from_all_formats(spark, monkeypatch):
@@ -31,3 +31,27 @@ def test_pii_learns_from_all_formats(spark, monkeypatch):
         pii.fit(made, cands)
     rows, weight = seen.value.args
     assert want[0] > 14_000 and rows >= want[0] and weight == want[1]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 9 = 0 as int) as toxic")
+    docs = labels.selectExpr("doc_id", "if(toxic = 1, 'you idiot', concat('fine ', doc_id)) as text")
+    seen = []
+
+    def watch(sample):
+        seen.append(sample.count())
+        return []
+
+    class Done(Exception):
+        pass
+
+    def stop(sample, learned):
+        seen.append(sample.count())
+        raise Done
+
+    monkeypatch.setattr(toxicity, "learn_words", watch)
+    monkeypatch.setattr(toxicity, "features", stop)
+    with pytest.raises(Done):
+        toxicity.fit(docs, labels)
+    known = labels.filter(~toxicity.held_out(labels.doc_id)).count()
+    assert known > 14_000 and seen[1] == known and seen[0] > 0.7 * known

@@ -4,7 +4,7 @@ Features: densities of a fixed and of a learned lexicon, how near hits stand to
 second-person words, capitals, punctuation and obfuscated spellings.  All are
 built-in functions; texts are scored where they lie, without a shuffle.
 
-Learned words and trees see three quarters of the labelled sample; the isotonic step is
+Learned words and trees see three quarters of the labelled rows; the isotonic step is
 fitted on the last quarter alone, so it maps scores of texts that neither has seen.
 """
 
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import bind, free, kept_columns, materialize, named, words_of
 from .trees import probability
 
-#: Labelled rows to learn from at most (those with the smallest hashes of doc_id); learned words at most (those in
-#: most contexts), the contexts each takes, and the share of them in toxic texts.
-MAX_TRAIN, MAX_LEARNED, MIN_CONTEXTS, MIN_SHARE = 12_000, 64, 4, 0.6
+#: Learned words at most (those in most contexts; each is a part of the scoring expression), the contexts each takes,
+#: and the share of them in toxic texts.
+MAX_LEARNED, MIN_CONTEXTS, MIN_SHARE = 64, 4, 0.6
 THRESHOLD = 0.3
 
 # Common insults, and second-person words of four languages.
@@ -120,22 +120,21 @@ def learn_words(sample: DataFrame) -> list[str]:
     return [r["w"] for r in top.orderBy(F.desc("t"), "w").limit(MAX_LEARNED).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
-    """Learn from labelled rows that are not held out, ``max_rows`` at most."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from all labelled rows that are not held out."""
     known = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     sample = materialize(
-        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_rows rows of two numbers
-        .withColumn("calibrate", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).repartition(8), "toxic",
+        docs.select("doc_id", "text").join(known, "doc_id")
+        .withColumn("calibrate", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0), "toxic",
     )
     learned = learn_words(sample.filter("not calibrate"))
     made, into = features(sample, learned)
     rows = materialize(
-        made.select(F.col("toxic").cast("double").alias("label"), array_to_vector(into).alias("features"), "calibrate").coalesce(4), "toxic-features"
+        made.select(F.col("toxic").cast("double").alias("label"), array_to_vector(into).alias("features"), "calibrate"), "toxic-features"
     )
     total, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     rate = (toxic or 0.0) / total if total else 0.0
