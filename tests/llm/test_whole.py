@@ -2,9 +2,11 @@
 
 import random
 import string
+from pathlib import Path
 
 import pytest
 
+from vellum import scratch
 from vellum.llm import pii, toxicity
 
 
@@ -55,3 +57,26 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
         toxicity.fit(docs, labels)
     known = labels.filter(~toxicity.held_out(labels.doc_id)).count()
     assert known > 14_000 and seen[1] == known and seen[0] > 0.7 * known
+
+
+def _shuffled(spark):
+    """Bytes of each shuffle file that this session has on disk."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p: p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_learned_words_shuffle_less_than_the_texts(spark):
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(500)]
+    rows = []
+    for k in range(1200):
+        words = rnd.choices(vocabulary, k=200)
+        for j in rnd.sample(range(200), 5) if k % 20 == 0 else []:
+            words[j] = "zorkface"
+        rows.append((k, " ".join(words), int(k % 20 == 0)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    sample.write.parquet(path := scratch.scratch(spark, "test"))
+    before = set(_shuffled(spark))
+    assert toxicity.learn_words(spark.read.parquet(path)) == ["zorkface"]
+    moved = sum(n for p, n in _shuffled(spark).items() if p not in before)
+    assert moved < 0.5 * sum(len(text) for _, text, _ in rows), moved

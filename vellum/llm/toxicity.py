@@ -18,12 +18,14 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, free, kept_columns, materialize, named, words_of
+from .common import SPACE, bind, free, kept_columns, materialize, named
 from .trees import probability
 
 #: Learned words at most (those in most contexts; each is a part of the scoring expression), the contexts each takes,
 #: and the share of them in toxic texts.
 MAX_LEARNED, MIN_CONTEXTS, MIN_SHARE = 64, 4, 0.6
+#: Words that are broadcast at most; more are joined as Spark sees fit.
+MAX_BROADCAST = 200_000
 THRESHOLD = 0.3
 
 # Common insults, and second-person words of four languages.
@@ -39,27 +41,23 @@ SECOND_PERSON = (
 
 # Punctuation.
 _PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_~`+=/\\"
+_MARK = "[" + "".join("\\" + c for c in _PUNCTUATION) + "]"
+_SPELLED = ("0134@57", "oieaast")
+# Of words with one blank between them: what stands before the first letter, digit, @ or $, and after the last letter or digit.
+_OUTER = r"(?:\A|(?<=\x20))[^\p{L}\p{N}@$\x20]+|[^\p{L}\p{N}\x20]++(?=\x20|\z)"
 NAMES = (
     "fixed_density", "learned_density", "fixed_hits", "learned_hits", "near_you", "you_density", "capitals",
     "capital_words", "exclaims", "punctuation", "obfuscated", "log_words",
 )
 
 
-def _plain(word: Column) -> Column:
-    """Lower case, without outer punctuation, common digit and sign spellings undone."""
-    return F.translate(F.regexp_replace(word, r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}]+\z", ""), "0134@57", "oieaast")
-
-
-def _words(text: Column) -> Column:
-    return words_of(F.lower(text))
-
-
 def features(docs: DataFrame, learned: list[str]) -> tuple[DataFrame, str]:
     """``docs`` and a column of features (array of doubles, in the order of NAMES), and its name; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
     words, marks, into = free(docs.columns, "words", "marks", "features")
     # punctuation off first, so plain words need one lookup
-    step = bind(docs, words, words_of(F.translate(F.translate(F.lower(text), _PUNCTUATION, ""), "0134@57", "oieaast")))
+    plain = F.translate(F.regexp_replace(F.lower(text), _MARK + "+", ""), *_SPELLED)
+    step = bind(docs, words, F.array_remove(F.split(plain, SPACE), ""))
     w = F.col(words)
     lexicon = sorted({*INSULTS, *learned, *SECOND_PERSON})
 
@@ -73,20 +71,22 @@ def features(docs: DataFrame, learned: list[str]) -> tuple[DataFrame, str]:
     met = F.arrays_overlap(w, F.array(*map(F.lit, lexicon)))
     step = bind(step, marks, F.when(met, F.array_join(F.transform(w, mark), "")).otherwise(F.repeat(F.lit("."), F.size(w)))).drop(words)
 
-    def count(chars: str, of: Column = text) -> Column:
-        return F.length(of) - F.length(F.translate(of, chars, ""))
+    def count(chars: str) -> Column:
+        return F.length(marks) - F.length(F.translate(marks, chars, ""))
+
+    def found(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
 
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     chars = F.greatest(F.length(text), F.lit(1))
     m = F.col(marks)
-    fixed, hits_learned = count("F", m), count("L", m)
+    fixed, hits_learned = count("F"), count("L")
     near = F.when(fixed + hits_learned == 0, 0).otherwise(F.regexp_count(m, F.lit("[FL](?=.{0,3}Y)|Y(?=.{0,3}[FL])")))
-    obfuscated = F.regexp_count(text, F.lit(r"[A-Za-z]{1,20}[0-9@$*!]{1,4}[A-Za-z]"))
-    shout = F.regexp_count(text, F.lit(r"\b[A-Z]{3,}\b"))
+    obfuscated = found("[A-Za-z][0-9@$*!]{1,4}[A-Za-z]")  # letters before the last one change no count
+    shout = found(r"(?=[A-Z]{3})\b[A-Z]{3,}\b")
     n = F.greatest(F.length(m), F.lit(1))
     values = [
-        fixed / n, hits_learned / n, fixed, hits_learned, near, count("Y", m) / n, count(upper) / chars, shout / n,
-        count("!?") / chars, count(_PUNCTUATION) / chars, obfuscated / n, F.log1p(n),
+        fixed / n, hits_learned / n, fixed, hits_learned, near, count("Y") / n, found("[A-Z]") / chars, shout / n,
+        found("[!?]") / chars, found(_MARK) / chars, obfuscated / n, F.log1p(n),
     ]
     return bind(step, into, F.array(*[v.cast("double") for v in values])).drop(marks), into
 
@@ -104,20 +104,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def contexts(texts: DataFrame) -> DataFrame:
+    """``(w, before)``: each word of two characters or more, plain, and the one before it (empty for a text's first).
+
+    Plain: lower case, without outer punctuation, common digit and sign spellings undone.
+    """
+    apart = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), SPACE, " "))
+    plain = bind(texts, "w", F.split(F.translate(F.regexp_replace(apart, _OUTER, ""), *_SPELLED), " ")).select("w")
+    pairs = plain.withColumn("before", F.concat(F.array(F.lit("")), "w")).select(F.explode(F.arrays_zip("w", "before")).alias("p"))
+    return pairs.select("p.*").filter("length(w) > 1")
+
+
 def learn_words(sample: DataFrame) -> list[str]:
     """Words that stand in toxic texts in varied company.
 
     A word counts once per distinct word before it, so copies of one toxic text don't
     make all of its words look toxic.  A null text has no words.
+
+    Clean contexts are met by bits first, as no more bits are set than there are contexts: on 64
+    bits a word, then, for words that this leaves, on twice as many as the word has toxic contexts.
+    The few words that stay are counted exactly, so no shuffle holds all pairs of words.
     """
-    words = bind(sample, "ws", F.transform(_words(F.coalesce("text", F.lit(""))), _plain))
-    pairs = words.select("toxic", F.explode(F.transform(
-        "ws", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get("ws", i - 1), F.lit("")).alias("before")))
-    ).alias("p")).select("toxic", "p.*").filter("length(w) > 1")
-    contexts = pairs.groupBy("w", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
-    share = contexts.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    top = share.filter((F.col("t") >= MIN_CONTEXTS) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c"))))
-    return [r["w"] for r in top.orderBy(F.desc("t"), "w").limit(MAX_LEARNED).collect()]
+
+    clean = sample.filter("toxic = 0")
+
+    def among(words: DataFrame) -> DataFrame:
+        few = words.count() <= MAX_BROADCAST
+        return contexts(clean).join(F.broadcast(words) if few else words, "w")
+
+    def pass_share(words: DataFrame, counts: DataFrame) -> DataFrame:
+        both = words.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        return both.filter(F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c"))).select("w", "t")
+
+    toxic = contexts(sample.filter("toxic = 1")).distinct().groupBy("w").agg(F.count("*").alias("t"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(before), 58) as int))")).alias("bits")
+    first = contexts(clean).groupBy("w").agg(bits).select("w", F.bit_count("bits").alias("c"))
+    left = materialize(pass_share(toxic.filter(F.col("t") >= MIN_CONTEXTS), first), "toxic-words")
+    cells = among(left).groupBy("w", F.expr("pmod(xxhash64(before), (t + 31) div 32)").alias("cell")).agg(bits)
+    left = materialize(pass_share(left, cells.groupBy("w").agg(F.sum(F.bit_count("bits")).alias("c"))), "toxic-words")
+    exact = among(left).select("w", "before").distinct().groupBy("w").agg(F.count("*").alias("c"))
+    return [r["w"] for r in pass_share(left, exact).orderBy(F.desc("t"), "w").limit(MAX_LEARNED).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -128,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     sample = materialize(
-        docs.select("doc_id", "text").join(known, "doc_id")
+        docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")  # the same join however few labels there are
         .withColumn("calibrate", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0), "toxic",
     )
     learned = learn_words(sample.filter("not calibrate"))
