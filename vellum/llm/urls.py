@@ -17,6 +17,8 @@ from .common import materialize
 
 #: A rule holds in this many labelled urls at least, whatever the number of urls.
 MIN_COUNT, MIN_CONFIDENCE = 20, 0.8
+#: An index of rules of so many bytes at most is sent to all tasks; a larger one meets the urls in a shuffle.
+INDEX_BYTES = 8_000_000
 BLOCKED = "label:block"
 
 # The contract's rules (host and path, verdict).
@@ -68,9 +70,11 @@ def mine(labelled: DataFrame) -> DataFrame:
 
     Rules of any length whose confidence and support reach the bounds and of which no
     proper part does.  Such a rule has no token that all labelled urls have, nor one that
-    fewer than MIN_COUNT blocked ones have, so those are left out of the baskets.  Tokens
-    that stand in the same labelled urls, such as the segments of one long path, are mined as
-    one, and each of them makes a rule in its place.
+    fewer than MIN_COUNT blocked ones have, so those are left out of the baskets.  So are
+    tokens that make a rule alone, as their counts say: no larger one is minimal.  FP-growth
+    keeps its tokens on the driver, so it gets only those that may stand in larger rules.
+    Tokens that stand in the same labelled urls, such as the segments of one long path, are
+    mined as one, and each of them makes a rule in its place.
     """
     schema = "rule_id long, tokens array<string>, confidence double, support double"
     n, blocked = labelled.agg(F.count("*"), F.sum("blocked")).first()
@@ -83,16 +87,23 @@ def mine(labelled: DataFrame) -> DataFrame:
         # tokens of the same urls: equal in both digests of those
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("xor"),
     )
-    useful = counts.filter((F.col("n") < n) & (F.col("b") >= MIN_COUNT))
+    useful = materialize(counts.filter((F.col("n") < n) & (F.col("b") >= MIN_COUNT)), "url-useful")
+    sure = F.col("b") / F.col("n") >= MIN_CONFIDENCE
+    alone = useful.filter(sure).select(
+        F.xxhash64(F.array("token")).alias("rule_id"), F.array("token").alias("tokens"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / F.lit(n)).alias("support")
+    )
     # a class lies in one url, which bounds it; mining sees one token for it, so what always comes together makes no subsets
-    classes = useful.groupBy("n", "b", "sum", "xor").agg(F.min("token").alias("token"), F.collect_set("token").alias("members"))
+    classes = useful.filter(~sure).groupBy("n", "b", "sum", "xor").agg(F.min("token").alias("token"), F.collect_set("token").alias("members"))
     classes = materialize(classes.select("token", "members"), "url-tokens")
-    baskets = each.join(classes.select("token"), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"), F.max("blocked").alias("blocked"))
+    # Spark takes exploded rows for as small as the file they come from: semi joins and hints keep them from being broadcast
+    baskets = each.join(classes.select("token"), "token", "left_semi").groupBy("id").agg(F.collect_list("token").alias("tokens"), F.max("blocked").alias("blocked"))
     items = F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens"))
     # half a url less: a share of n times n may round up past MIN_COUNT
     baskets = materialize(baskets.select(items.alias("items")), "url-items")
-    held = baskets.count()  # urls without a useful token count in no rule
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, MIN_COUNT - 0.5) / max(held, 1), minConfidence=MIN_CONFIDENCE).fit(baskets)
+    held = baskets.count()  # urls without such a token count in no larger rule
+    if not held:
+        return alone
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, MIN_COUNT - 0.5) / held, minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCKED).select(
         F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support")
     )
@@ -100,28 +111,30 @@ def mine(labelled: DataFrame) -> DataFrame:
     larger = met(rules.select(F.col("rule_id").alias("key"), "tokens"), rules).filter("size(need) < size(tokens)").select(F.col("key").alias("rule_id")).distinct()
     minimal = rules.join(larger, "rule_id", "left_anti")
     # each token of a class in turn
-    slots = minimal.select("rule_id", "confidence", "support", F.explode("tokens").alias("token")).join(classes, "token")
+    slots = minimal.select("rule_id", "confidence", "support", F.explode("tokens").alias("token")).join(classes.hint("merge"), "token")
     slots = slots.groupBy("rule_id", "confidence", "support").agg(F.collect_list("members").alias("slots"))
     ways = F.aggregate(
         "slots", F.array(F.array().cast("array<string>")),
         lambda got, members: F.flatten(F.transform(got, lambda part: F.transform(members, lambda t: F.array_append(part, t)))),
     )
     whole = slots.select("confidence", "support", F.explode(ways).alias("tokens")).withColumn("tokens", F.sort_array("tokens"))
-    return materialize(whole.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-minimal")
+    return materialize(whole.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support").unionByName(alone), "url-minimal")
 
 
 def met(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """``sets(key, tokens)`` -> ``(key, tokens, need, confidence)``: a row for each rule all of whose tokens (``need``) a set has.
 
     The index has one row a rule, under the token that the fewest sets have, so a token of
-    nearly all of them isn't asked for; the rest of the rule is compared in the join.
+    nearly all of them isn't asked for; the rest of the rule is compared in the join.  It may
+    be broadcast, the sets never are.
     """
     asked = sets.select("key", "tokens", F.explode("tokens").alias("token"))
-    used = rules.select(F.explode("tokens").alias("token")).distinct()
-    often = asked.select("token").join(used, "token").groupBy("token").agg(F.count("*").alias("n"))
-    index = rules.select("rule_id", F.col("tokens").alias("need"), "confidence", F.explode("tokens").alias("token")).join(often, "token")
+    often = materialize(asked.groupBy("token").agg(F.count("*").alias("n")), "url-counts")  # a join of written rows can be split
+    index = rules.select("rule_id", F.col("tokens").alias("need"), "confidence", F.explode("tokens").alias("token")).join(often.hint("merge"), "token")
     index = index.groupBy("rule_id").agg(F.min_by(F.struct("token", "need", "confidence"), F.struct("n", "token")).alias("i")).select("i.*")
-    return asked.join(index, "token").filter(F.size(F.array_except("need", "tokens")) == 0).select("key", "tokens", "need", "confidence")
+    index = materialize(index, "url-index")
+    held = index.agg(F.sum(F.octet_length(F.concat_ws("", "need")) + 24 * F.size("need") + 64)).first()[0] or 0
+    return asked.join(index.hint("broadcast" if held <= INDEX_BYTES else "merge"), "token").filter(F.size(F.array_except("need", "tokens")) == 0).select("key", "tokens", "need", "confidence")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
